@@ -52,3 +52,41 @@ def bm25_zero_filled(spark, sf):
     z = R.zero_fill_top_k(s, posts, claims, post_id="input_id", claim_id="item_id", k=86)
     return z.select("input_id", F.col("item_id").alias("misinfo_id"),
                     F.round("score", 6).alias("confidence"), "rank")
+
+
+# --------------------------------------------------------------- evaluation
+from claimspark.operators import evaluate as EV  # noqa: E402
+
+RETRIEVAL_FIXTURE_MODELS = ["bow-cosine", "pyserini"]
+
+
+@register("avg_rank_ties")
+def avg_rank_ties(spark, sf):
+    """WIN-01 on scores rounded to hundredths (many ties)."""
+    p = FX.retrieval_preds(spark, sf).withColumn("confidence", F.round("confidence", 2))
+    return EV.average_rank(p, by="input_id", score="confidence") \
+        .select("model_id", "input_id", "misinfo_id", "confidence", "rank")
+
+
+@register("retrieval_report")
+def retrieval_report(spark, sf):
+    """EVL-01/03/04: Hits@1/5/10 and MRR of TF-IDF and BM25 against the
+    annotator's gold pairs; pairs a model did not score rank in the zero block."""
+    p = FX.retrieval_preds(spark, sf)
+    n = FX.n_rows(spark, sf, "benchmark")
+    ranked, zero = EV.rank_with_implicit_zeros(p, n)
+    return EV.retrieval_report(FX.gold(spark, sf), ranked, RETRIEVAL_FIXTURE_MODELS,
+                               zero_ranks=zero, n_claims=n)
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark, sf):
+    """AGG-03: 3x3 gold x predicted counts per stance model, zero cells kept."""
+    cells = EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf))
+    return EV.confusion_long(cells)
+
+
+@register("stance_report")
+def stance_report(spark, sf):
+    """EVL-02 / AGG-04..06 per stance model."""
+    return EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))

@@ -55,3 +55,37 @@ def gold(spark, sf) -> DataFrame:
 
 
 __all__ = ["table", "posts", "claims", "gold", "hash32", "hash_mod"]
+
+
+# Stance models simulated by the ``preds`` fixture.
+STANCE_FIXTURE_MODELS = ["bow-log-snli", "sbert-snli", "comb-sbert-fever-ct"]
+
+
+def retrieval_preds(spark, sf) -> DataFrame:
+    """Real retrieval predictions: sparse TF-IDF ('bow-cosine') and BM25
+    ('pyserini') scores of every post against every claim (missing pairs
+    score 0)."""
+    from claimspark.operators import retrieval as R
+    p, c = posts(spark, sf), table(spark, sf, "benchmark")
+    tf = R.tfidf_cosine(p, c.withColumnRenamed("item_id", "misinfo_id"),
+                        post_id="input_id", claim_id="misinfo_id")
+    bm = R.bm25(p, c.withColumnRenamed("item_id", "misinfo_id"), post_id="input_id", claim_id="misinfo_id")
+    return (tf.select(F.lit("bow-cosine").alias("model_id"), "input_id", "misinfo_id",
+                      F.round("score", 9).alias("confidence"))
+            .unionByName(bm.select(F.lit("pyserini").alias("model_id"), "input_id", "misinfo_id",
+                                   F.round("score", 9).alias("confidence"))))
+
+
+def stance_preds(spark, sf) -> DataFrame:
+    """preds(model): a simulated stance model per name, agreeing with gold
+    on ~70% of the rows; confidence in hundredths (ties on purpose)."""
+    g = gold(spark, sf)
+    m = F.col("model_id")
+    key = F.concat(m, F.col("input_id").cast("string"))
+    return (g.select("input_id", "misinfo_id", "gold_label",
+                     F.explode(F.array(*[F.lit(x) for x in STANCE_FIXTURE_MODELS])).alias("model_id"))
+             .select("model_id", "input_id", "misinfo_id",
+                     F.when(hash_mod(key, 10) < 7, F.col("gold_label"))
+                      .otherwise(hash_mod(F.concat(F.col("input_id").cast("string"), m), 3))
+                      .cast("bigint").alias("label_id"),
+                     (hash_mod(F.concat(key, F.lit("c")), 100) / 100.0).alias("confidence")))

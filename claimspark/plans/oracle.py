@@ -6,45 +6,60 @@ from claimspark.plans.sqlfix import CLAIMS, GOLD, POSTS, H, tokens, with_  # noq
 
 ORACLE: dict[str, str] = {}
 
-# TF-IDF closed form shared by tfidf_* oracles.
-_TFIDF = f"""
-mt AS (SELECT item_id, tok, count(*) AS tf FROM (SELECT item_id, unnest({tokens('text')}) AS tok FROM benchmark) GROUP BY ALL),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM benchmark),
-dfm AS (SELECT tok, count(*) AS df FROM mt GROUP BY tok),
-pt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents) GROUP BY ALL),
-pi AS (SELECT p.doc_id, p.tok, p.tf, ln((n.n + 2) / (2 + coalesce(d.df, 0))) + 1 AS i1
-       FROM pt p LEFT JOIN dfm d ON p.tok = d.tok CROSS JOIN n),
-pn AS (SELECT doc_id, sum(tf * tf * i1 * i1) AS nn FROM pi GROUP BY doc_id),
-mb AS (SELECT m.item_id, sum(m.tf * m.tf * power(ln((n.n + 2) / (1 + d.df)) + 1, 2)) AS bb
-       FROM mt m JOIN dfm d ON m.tok = d.tok CROSS JOIN n GROUP BY m.item_id),
-hit AS (SELECT p.doc_id, m.item_id, sum(p.tf * m.tf * p.i1 * p.i1) AS dot,
+# TF-IDF closed form (RET-01) -> tfidf_sc(doc_id, item_id, score)
+TFIDF = f"""
+t_mt AS (SELECT item_id, tok, count(*) AS tf FROM (SELECT item_id, unnest({tokens('text')}) AS tok FROM benchmark) GROUP BY ALL),
+t_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM benchmark),
+t_df AS (SELECT tok, count(*) AS df FROM t_mt GROUP BY tok),
+t_pt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents) GROUP BY ALL),
+t_pi AS (SELECT p.doc_id, p.tok, p.tf, ln((n.n + 2) / (2 + coalesce(d.df, 0))) + 1 AS i1
+       FROM t_pt p LEFT JOIN t_df d ON p.tok = d.tok CROSS JOIN t_n n),
+t_pn AS (SELECT doc_id, sum(tf * tf * i1 * i1) AS nn FROM t_pi GROUP BY doc_id),
+t_mb AS (SELECT m.item_id, sum(m.tf * m.tf * power(ln((n.n + 2) / (1 + d.df)) + 1, 2)) AS bb
+       FROM t_mt m JOIN t_df d ON m.tok = d.tok CROSS JOIN t_n n GROUP BY m.item_id),
+t_hit AS (SELECT p.doc_id, m.item_id, sum(p.tf * m.tf * p.i1 * p.i1) AS dot,
         sum(m.tf * m.tf * (p.i1 * p.i1 - power(ln((n.n + 2) / (1 + d.df)) + 1, 2))) AS corr
-        FROM pi p JOIN mt m ON p.tok = m.tok JOIN dfm d ON d.tok = m.tok CROSS JOIN n
+        FROM t_pi p JOIN t_mt m ON p.tok = m.tok JOIN t_df d ON d.tok = m.tok CROSS JOIN t_n n
         GROUP BY p.doc_id, m.item_id),
-sc AS (SELECT h.doc_id, h.item_id, h.dot / sqrt(pn.nn * (mb.bb + h.corr)) AS score
-       FROM hit h JOIN pn ON pn.doc_id = h.doc_id JOIN mb ON mb.item_id = h.item_id)
-"""
+tfidf_sc AS (SELECT h.doc_id, h.item_id, h.dot / sqrt(pn.nn * (mb.bb + h.corr)) AS score
+       FROM t_hit h JOIN t_pn pn ON pn.doc_id = h.doc_id JOIN t_mb mb ON mb.item_id = h.item_id)"""
 
-ORACLE["tfidf_top5"] = "WITH " + _TFIDF + """
+# BM25 (RET-05) -> bm25_sc(doc_id, item_id, score)
+BM25 = f"""
+b_ct AS (SELECT item_id, {tokens('text')} AS toks FROM benchmark),
+b_n AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(toks)) / count(*) AS avgl FROM b_ct),
+b_mt AS (SELECT item_id, tok, count(*) AS tf FROM (SELECT item_id, unnest(toks) AS tok FROM b_ct) GROUP BY ALL),
+b_df AS (SELECT tok, count(*) AS df FROM b_mt GROUP BY tok),
+b_w AS (SELECT m.tok, m.item_id,
+         ln(1 + (n.n - d.df + 0.5) / (d.df + 0.5)) * m.tf / (m.tf + 0.9 * (1 - 0.4 + 0.4 * len(c.toks) / n.avgl)) AS w
+       FROM b_mt m JOIN b_df d ON m.tok = d.tok JOIN b_ct c ON c.item_id = m.item_id CROSS JOIN b_n n),
+b_pt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents) GROUP BY ALL),
+bm25_sc AS (SELECT p.doc_id, c.item_id, sum(p.tf * c.w) AS score FROM b_pt p JOIN b_w c ON p.tok = c.tok GROUP BY ALL)"""
+
+RETRIEVAL_PREDS = TFIDF + "," + BM25 + """,
+rpreds AS (SELECT 'bow-cosine' AS model_id, doc_id AS input_id, item_id AS misinfo_id, round(score, 9) AS confidence FROM tfidf_sc
+           UNION ALL
+           SELECT 'pyserini', doc_id, item_id, round(score, 9) FROM bm25_sc)"""
+
+STANCE_MODELS_SQL = "['bow-log-snli', 'sbert-snli', 'comb-sbert-fever-ct']"
+STANCE_PREDS = GOLD + f""",
+spreds AS (SELECT model_id, input_id, misinfo_id,
+  CAST(CASE WHEN {H("model_id || CAST(input_id AS VARCHAR)")} % 10 < 7 THEN gold_label
+       ELSE {H("CAST(input_id AS VARCHAR) || model_id")} % 3 END AS BIGINT) AS label_id,
+  ({H("model_id || CAST(input_id AS VARCHAR) || 'c'")} % 100) / 100.0 AS confidence
+  FROM (SELECT input_id, misinfo_id, gold_label, unnest({STANCE_MODELS_SQL}) AS model_id FROM gold))"""
+
+ORACLE["tfidf_top5"] = "WITH " + TFIDF + """
 SELECT doc_id AS input_id, item_id AS misinfo_id, round(score, 6) AS confidence, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc)
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM tfidf_sc)
 WHERE rank <= 5"""
 
-ORACLE["tfidf_scores"] = "WITH " + _TFIDF + """
+ORACLE["tfidf_scores"] = "WITH " + TFIDF + """
 SELECT doc_id AS input_id, 'bow-cosine' AS model_id, CAST(NULL AS INTEGER) AS label_id,
-       item_id AS misinfo_id, round(score, 6) AS confidence FROM sc"""
-
-ORACLE["bm25_zero_filled"] = f"""WITH
-ctoks AS (SELECT item_id, {tokens('text')} AS toks FROM benchmark),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(toks)) / count(*) AS avgl FROM ctoks),
-mt AS (SELECT item_id, tok, count(*) AS tf FROM (SELECT item_id, unnest(toks) AS tok FROM ctoks) GROUP BY ALL),
-dfm AS (SELECT tok, count(*) AS df FROM mt GROUP BY tok),
-ct AS (SELECT m.tok, m.item_id,
-         ln(1 + (n.n - d.df + 0.5) / (d.df + 0.5)) * m.tf / (m.tf + 0.9 * (1 - 0.4 + 0.4 * len(c.toks) / n.avgl)) AS w
-       FROM mt m JOIN dfm d ON m.tok = d.tok JOIN ctoks c ON c.item_id = m.item_id CROSS JOIN n),
-pt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents) GROUP BY ALL),
-sc AS (SELECT p.doc_id, c.item_id, sum(p.tf * c.w) AS score FROM pt p JOIN ct c ON p.tok = c.tok GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc) WHERE rank <= 86),
+       item_id AS misinfo_id, round(score, 6) AS confidence FROM tfidf_sc"""
+
+ORACLE["bm25_zero_filled"] = "WITH " + BM25 + """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25_sc) WHERE rank <= 86),
 nh AS (SELECT d.doc_id, count(b.item_id) AS n_hits FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id),
 fill AS (SELECT nh.doc_id, c.item_id, 0.0 AS score,
            nh.n_hits + row_number() OVER (PARTITION BY nh.doc_id ORDER BY c.item_id) AS rank
@@ -53,3 +68,74 @@ fill AS (SELECT nh.doc_id, c.item_id, 0.0 AS score,
 SELECT doc_id AS input_id, item_id AS misinfo_id, round(score, 6) AS confidence, rank FROM best
 UNION ALL
 SELECT doc_id, item_id, 0.0, rank FROM fill WHERE rank <= 86"""
+
+_AVG_RANK = """rank() OVER (PARTITION BY model_id, input_id ORDER BY confidence DESC)
+      + (count(*) OVER (PARTITION BY model_id, input_id, confidence) - 1) / 2.0"""
+
+ORACLE["avg_rank_ties"] = "WITH " + RETRIEVAL_PREDS + f""",
+r AS (SELECT model_id, input_id, misinfo_id, round(confidence, 2) AS confidence FROM rpreds)
+SELECT model_id, input_id, misinfo_id, confidence, {_AVG_RANK} AS rank FROM r"""
+
+ORACLE["retrieval_report"] = "WITH " + RETRIEVAL_PREDS + "," + GOLD + f""",
+ranked AS (SELECT model_id, input_id, misinfo_id, {_AVG_RANK} AS rank FROM rpreds),
+npos AS (SELECT model_id, input_id, count(*) FILTER (WHERE confidence > 0) AS n_pos FROM rpreds GROUP BY ALL),
+nc AS (SELECT count(*) AS n FROM benchmark),
+e AS (SELECT m.model_id, g.input_id, g.misinfo_id, g.gold_label,
+        coalesce(r.rank, np.n_pos + ((SELECT n FROM nc) - np.n_pos + 1) / 2.0, ((SELECT n FROM nc) + 1) / 2.0) AS rank
+      FROM gold g CROSS JOIN (SELECT unnest(['bow-cosine', 'pyserini']) AS model_id) m
+      LEFT JOIN ranked r ON r.model_id = m.model_id AND r.input_id = g.input_id AND r.misinfo_id = g.misinfo_id
+      LEFT JOIN npos np ON np.model_id = m.model_id AND np.input_id = g.input_id
+      WHERE g.gold_label IN (0, 1))
+SELECT model_id,
+  100.0 * sum(CASE WHEN gold_label = 0 AND rank <= 1 THEN 1 ELSE 0 END) / sum(CASE WHEN gold_label = 0 THEN 1 ELSE 0 END) AS pos_hits_1,
+  100.0 * sum(CASE WHEN gold_label = 0 AND rank <= 5 THEN 1 ELSE 0 END) / sum(CASE WHEN gold_label = 0 THEN 1 ELSE 0 END) AS pos_hits_5,
+  100.0 * sum(CASE WHEN gold_label = 0 AND rank <= 10 THEN 1 ELSE 0 END) / sum(CASE WHEN gold_label = 0 THEN 1 ELSE 0 END) AS pos_hits_10,
+  avg(CASE WHEN gold_label = 0 THEN 1.0 / rank END) AS pos_mrr,
+  100.0 * sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) / count(*) AS both_hits_1,
+  100.0 * sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) / count(*) AS both_hits_5,
+  100.0 * sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) / count(*) AS both_hits_10,
+  avg(1.0 / rank) AS both_mrr
+FROM e GROUP BY model_id"""
+
+_CELLS = ",\n".join(
+    f"CAST(sum(CASE WHEN gold_label = {g} AND label_id = {p} THEN 1 ELSE 0 END) AS BIGINT) AS c{g}{p}"
+    for g in range(3) for p in range(3))
+_STANCE_CELLS = "WITH " + STANCE_PREDS + f""",
+cells AS (SELECT p.model_id, {_CELLS}
+          FROM gold g JOIN spreds p ON p.input_id = g.input_id AND p.misinfo_id = g.misinfo_id
+          GROUP BY p.model_id)"""
+
+ORACLE["confusion_matrix"] = _STANCE_CELLS + """
+SELECT model_id, CAST(g AS BIGINT) AS gold_label, CAST(p AS BIGINT) AS label_id,
+  CASE g * 3 + p WHEN 0 THEN c00 WHEN 1 THEN c01 WHEN 2 THEN c02 WHEN 3 THEN c10 WHEN 4 THEN c11
+   WHEN 5 THEN c12 WHEN 6 THEN c20 WHEN 7 THEN c21 ELSE c22 END AS n
+FROM cells, (SELECT unnest([0, 1, 2]) AS g), (SELECT unnest([0, 1, 2]) AS p)"""
+
+
+def _stance_report_sql(src: str) -> str:
+    def pr(i):
+        col = " + ".join(f"c{g}{i}" for g in range(3))
+        row = " + ".join(f"c{i}{p}" for p in range(3))
+        return (f"CASE WHEN ({col}) = 0 THEN NULL ELSE c{i}{i} * 1.0 / ({col}) END",
+                f"CASE WHEN ({row}) = 0 THEN NULL ELSE c{i}{i} * 1.0 / ({row}) END",
+                f"CASE WHEN ({col}) + ({row}) > 0 THEN 1 ELSE 0 END")
+    parts = []
+    names = {0: "pos", 1: "neg", 2: "na"}
+    f1s, ps, rs, pres = {}, {}, {}, {}
+    for i in range(3):
+        p, r, pr_ = pr(i)
+        ps[i], rs[i], pres[i] = p, r, pr_
+        f1s[i] = f"CASE WHEN ({p}) + ({r}) = 0 THEN NULL ELSE 2 * ({p}) * ({r}) / (({p}) + ({r})) END"
+    npres = " + ".join(f"({pres[i]})" for i in range(3))
+    total = " + ".join(f"c{g}{p}" for g in range(3) for p in range(3))
+    parts.append(f"(c00 + c11 + c22) * 1.0 / ({total}) AS accuracy")
+    for nm, d in (("precision", ps), ("recall", rs), ("f1", f1s)):
+        s = " + ".join(f"coalesce({d[i]}, 0.0) * ({pres[i]})" for i in range(3))
+        parts.append(f"({s}) / ({npres}) AS macro_{nm}")
+    for i in range(3):
+        parts += [f"{ps[i]} AS {names[i]}_precision", f"{rs[i]} AS {names[i]}_recall",
+                  f"{f1s[i]} AS {names[i]}_f1"]
+    return f"SELECT model_id, {', '.join(parts)} FROM {src}"
+
+
+ORACLE["stance_report"] = _STANCE_CELLS + "\n" + _stance_report_sql("cells")
