@@ -90,3 +90,40 @@ def confusion_matrix(spark, sf):
 def stance_report(spark, sf):
     """EVL-02 / AGG-04..06 per stance model."""
     return EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))
+
+
+# ------------------------------------------------------------ dense models
+from claimspark.functions.text import glove_tokens, word_tokens  # noqa: E402
+from claimspark.operators import vector_search as VS  # noqa: E402
+
+
+@register("wordvec_cosine_top5")
+def wordvec_cosine_top5(spark, sf):
+    """RET-02: averaged word vectors (FN-01 tokens), cosine, top 5 claims."""
+    wv = FX.word_vectors(spark, sf, glove_tokens)
+    pm = VS.wordvec_average(FX.posts(spark, sf), wv, id_col="input_id")
+    cm = VS.wordvec_average(FX.table(spark, sf, "benchmark"), wv, id_col="item_id")
+    top = VS.cosine_top_k(pm, cm, q_id="input_id", c_id="item_id", k=5)
+    return top.select("input_id", F.col("item_id").alias("misinfo_id"),
+                      F.round("score", 6).alias("confidence"), "rank")
+
+
+@register("embedding_cosine_top5")
+def embedding_cosine_top5(spark, sf):
+    """RET-03: each embedding's 5 most cosine-similar other embeddings."""
+    e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    top = VS.cosine_top_k(e, e.withColumnRenamed("vec_id", "neighbor_id"), q_id="vec_id",
+                          c_id="neighbor_id", k=5, exclude_self=True)
+    return top.select("vec_id", "neighbor_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("token_softmatch_prf")
+def token_softmatch_prf(spark, sf):
+    """RET-04: soft precision / recall / F1 of whole posts against whole
+    claims with word-vector tokens; best 5 claims per post by F1."""
+    wv = FX.word_vectors(spark, sf, word_tokens)
+    top = VS.token_softmatch_top_k(FX.posts(spark, sf), FX.table(spark, sf, "benchmark"), wv,
+                                   post_id="input_id", claim_id="item_id", k=5)
+    return top.select("input_id", F.col("item_id").alias("misinfo_id"),
+                      F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
+                      F.round("f1", 6).alias("f1"), "rank")

@@ -89,3 +89,17 @@ def stance_preds(spark, sf) -> DataFrame:
                       .otherwise(hash_mod(F.concat(F.col("input_id").cast("string"), m), 3))
                       .cast("bigint").alias("label_id"),
                      (hash_mod(F.concat(key, F.lit("c")), 100) / 100.0).alias("confidence")))
+
+
+def word_vectors(spark, sf, tokenizer) -> DataFrame:
+    """Word-vector file stand-in: every distinct token of documents and
+    benchmark (by ``tokenizer``) gets the embedding row h(token) % n_vec;
+    tokens with h(token) % 7 = 0 are out of vocabulary."""
+    n_vec = n_rows(spark, sf, "embeddings")
+    words = (table(spark, sf, "documents").select(F.explode(tokenizer(F.col("text"))).alias("word"))
+             .unionByName(table(spark, sf, "benchmark").select(F.explode(tokenizer(F.col("text"))).alias("word")))
+             .distinct()
+             .filter(hash_mod(F.col("word"), 7) != 0)
+             .withColumn("vec_id", hash_mod(F.col("word"), n_vec)))
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return words.join(emb, "vec_id").select("word", "vec")

@@ -139,3 +139,64 @@ def _stance_report_sql(src: str) -> str:
 
 
 ORACLE["stance_report"] = _STANCE_CELLS + "\n" + _stance_report_sql("cells")
+
+
+def _wv(tok_expr_docs: str, tok_expr_bench: str) -> str:
+    """word -> vec_id table (twin of fixtures.word_vectors)."""
+    return f"""
+wv AS (SELECT word, {H('word')} % (SELECT count(*) FROM embeddings) AS vec_id FROM (
+        SELECT DISTINCT word FROM (SELECT unnest({tok_expr_docs}) AS word FROM documents
+                                   UNION ALL SELECT unnest({tok_expr_bench}) AS word FROM benchmark))
+       WHERE {H('word')} % 7 <> 0),
+ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
+
+
+def glove_toks(x: str) -> str:
+    return (f"list_filter(list_transform(string_split_regex(trim({x}), '\\s+'), "
+            f"lambda w: lower(regexp_replace(w, '[.,!?\\\\''\"]', '', 'g'))), lambda w: length(w) > 0)")
+
+
+def _mean_vec(name: str, src: str, id_col: str) -> str:
+    return f"""
+{name}_c AS (SELECT {id_col} AS id, word, count(*) AS cnt FROM (SELECT {id_col}, unnest({glove_toks('text')}) AS word FROM {src}) GROUP BY ALL),
+{name}_e AS (SELECT c.id, c.cnt, ev.e FROM {name}_c c JOIN wv ON wv.word = c.word JOIN ev ON ev.vec_id = wv.vec_id),
+{name}_d AS (SELECT id, i, sum(cnt * x) / sum(cnt) AS x FROM (SELECT id, cnt, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM {name}_e) GROUP BY id, i),
+{name}_m AS (SELECT s.{id_col} AS id, coalesce(v.vec, list_transform(range((SELECT len(embedding) FROM embeddings LIMIT 1)), lambda i: 0.0::DOUBLE)) AS vec
+             FROM {src} s LEFT JOIN (SELECT id, list(x ORDER BY i) AS vec FROM {name}_d GROUP BY id) v ON v.id = s.{id_col})"""
+
+
+ORACLE["wordvec_cosine_top5"] = "WITH " + _wv(glove_toks("text"), glove_toks("text")) + "," \
+    + _mean_vec("pm", "documents", "doc_id") + "," + _mean_vec("cm", "benchmark", "item_id") + """,
+sc AS (SELECT p.id AS input_id, c.id AS misinfo_id, coalesce(CASE WHEN list_dot_product(p.vec, p.vec) = 0 OR list_dot_product(c.vec, c.vec) = 0 THEN 0.0
+         ELSE list_dot_product(p.vec, c.vec) / sqrt(list_dot_product(p.vec, p.vec) * list_dot_product(c.vec, c.vec)) END, 0.0) AS score
+       FROM pm_m p CROSS JOIN cm_m c)
+SELECT input_id, misinfo_id, round(score, 6) AS confidence, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY round(score, 9) DESC, misinfo_id) AS rank FROM sc)
+WHERE rank <= 5"""
+
+ORACLE["embedding_cosine_top5"] = """WITH ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sc AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
+         list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS score
+       FROM ev a JOIN ev b ON a.vec_id <> b.vec_id)
+SELECT vec_id, neighbor_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, neighbor_id) AS rank FROM sc)
+WHERE rank <= 5"""
+
+ORACLE["token_softmatch_prf"] = "WITH " + _wv(tokens("text"), tokens("text")) + f""",
+pc AS (SELECT t.doc_id, wv.vec_id, count(*) AS cnt FROM (SELECT doc_id, unnest({tokens('text')}) AS word FROM documents) t
+       JOIN wv ON wv.word = t.word GROUP BY ALL),
+cc AS (SELECT t.item_id, wv.vec_id, count(*) AS cnt FROM (SELECT item_id, unnest({tokens('text')}) AS word FROM benchmark) t
+       JOIN wv ON wv.word = t.word GROUP BY ALL),
+pv AS (SELECT DISTINCT vec_id FROM pc), cv AS (SELECT DISTINCT vec_id FROM cc),
+sim AS (SELECT a.vec_id AS pv, b.vec_id AS cv,
+          list_dot_product(ea.e, eb.e) / sqrt(list_dot_product(ea.e, ea.e) * list_dot_product(eb.e, eb.e)) AS s
+        FROM pv a CROSS JOIN cv b JOIN ev ea ON ea.vec_id = a.vec_id JOIN ev eb ON eb.vec_id = b.vec_id),
+m AS (SELECT sim.pv, cc.item_id, max(sim.s) AS m FROM sim JOIN cc ON cc.vec_id = sim.cv GROUP BY ALL),
+p AS (SELECT pc.doc_id, m.item_id, sum(pc.cnt * m.m) / sum(pc.cnt) AS p FROM pc JOIN m ON m.pv = pc.vec_id GROUP BY ALL),
+nx AS (SELECT pc.doc_id, sim.cv, max(sim.s) AS nmax FROM pc JOIN sim ON sim.pv = pc.vec_id GROUP BY ALL),
+r AS (SELECT nx.doc_id, cc.item_id, sum(cc.cnt * nx.nmax) / sum(cc.cnt) AS r FROM nx JOIN cc ON cc.vec_id = nx.cv GROUP BY ALL),
+prf AS (SELECT p.doc_id, p.item_id, p.p, r.r, CASE WHEN p.p + r.r = 0 THEN NULL ELSE 2 * p.p * r.r / (p.p + r.r) END AS f1
+        FROM p JOIN r ON r.doc_id = p.doc_id AND r.item_id = p.item_id)
+SELECT doc_id AS input_id, item_id AS misinfo_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(f1, '-inf'::DOUBLE), 9) DESC, item_id) AS rank FROM prf)
+WHERE rank <= 5"""
