@@ -127,3 +127,92 @@ def token_softmatch_prf(spark, sf):
     return top.select("input_id", F.col("item_id").alias("misinfo_id"),
                       F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
                       F.round("f1", 6).alias("f1"), "rank")
+
+
+# ------------------------------------------------------------------ stance
+from claimspark.functions.vectors import pair_features as _pf  # noqa: E402
+from claimspark.operators import stance as ST  # noqa: E402
+
+STANCE_DIM_PARTS = ("u", "v", "absdiff")
+
+
+def _stance_fn(spark, sf, parts=STANCE_DIM_PARTS):
+    pv, cv = FX.sentence_vectors(spark, sf)
+    d = 64 * len(parts)
+    w, b = ST.rule_weights(3, d)
+    n = FX.n_rows(spark, sf, "benchmark")
+
+    def fn(pairs):
+        return ST.linear_softmax(ST.attach_vectors(pairs, pv, cv, n_claims=n), w, b, parts=parts)
+    return fn
+
+
+def _probs_cols(df):
+    return [F.round(F.col("probs")[i], 6).alias(f"p{i}") for i in range(3)]
+
+
+@register("linear_softmax_head")
+def linear_softmax_head(spark, sf):
+    """STN-04 / STN-08: [u, v, |u-v|] -> linear -> softmax for each post's
+    best claim."""
+    out = _stance_fn(spark, sf)(FX.tfidf_best(spark, sf))
+    return out.select("input_id", "misinfo_id", F.col("label_id").cast("bigint"),
+                      F.round("confidence", 6).alias("confidence"), *_probs_cols(out))
+
+
+@register("pair_features")
+def pair_features(spark, sf):
+    """FN-18 with the element-wise product: summary of [u, v, |u-v|, u*v]."""
+    pv, cv = FX.sentence_vectors(spark, sf)
+    pairs = ST.attach_vectors(FX.tfidf_best(spark, sf), pv, cv)
+    x = _pf("u", "v", ("u", "v", "absdiff", "prod"))
+    return pairs.select("input_id", "misinfo_id", F.size(x).cast("bigint").alias("n_features"),
+                        F.round(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), 6).alias("feature_sum"),
+                        F.round(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y)), 6).alias("feature_norm"))
+
+
+@register("cross_entropy")
+def cross_entropy(spark, sf):
+    """AGG-15: mean cross-entropy of the head's logits against gold labels."""
+    out = _stance_fn(spark, sf)(FX.tfidf_best(spark, sf))
+    g = FX.gold(spark, sf).select("input_id", "misinfo_id", "gold_label")
+    e = out.join(g, ["input_id", "misinfo_id"])
+    l = F.col("logits")
+    m = F.array_max(l)
+    lse = m + F.log(F.aggregate(F.transform(l, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, y: a + y))
+    return e.agg(F.count(F.lit(1)).alias("n_pairs"),
+                 F.round(F.avg(lse - F.get(l, F.col("gold_label").cast("int"))), 6).alias("mean_loss"))
+
+
+@register("triplet_margin_loss")
+def triplet_margin_loss(spark, sf):
+    """AGG-16: triplets (a, a+1, a+2 mod n) of embeddings; margin 1, L2
+    distance with eps 1e-6 added to the difference."""
+    e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    n = FX.n_rows(spark, sf, "embeddings")
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("v").alias("a"),
+                 ((F.col("vec_id") + 1) % n).alias("p_id"), ((F.col("vec_id") + 2) % n).alias("n_id"))
+    t = (a.join(e.select(F.col("vec_id").alias("p_id"), F.col("v").alias("p")), "p_id")
+          .join(e.select(F.col("vec_id").alias("n_id"), F.col("v").alias("nv")), "n_id"))
+
+    def dist(x, y):
+        d = F.zip_with(x, y, lambda s, t: (s.cast("double") - t.cast("double") + 1e-6) ** 2)
+        return F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, z: acc + z))
+    loss = F.greatest(F.lit(0.0), dist("a", "p") - dist("a", "nv") + 1.0)
+    return t.agg(F.count(F.lit(1)).alias("n_triplets"), F.round(F.avg(loss), 6).alias("mean_loss"))
+
+
+@register("two_stage_label")
+def two_stage_label(spark, sf):
+    """STN-06: relevance by TF-IDF >= 0.4, stance only for relevant pairs."""
+    out = ST.two_stage(FX.tfidf_scores(spark, sf), _stance_fn(spark, sf))
+    return out.select("input_id", "misinfo_id", F.col("label_id").cast("bigint"),
+                      F.round("score", 6).alias("confidence"))
+
+
+@register("pipeline_agree_disagree")
+def pipeline_agree_disagree(spark, sf):
+    """STN-07: best claim per post, threshold 0.4, forced agree/disagree."""
+    out = ST.agree_disagree(FX.tfidf_best(spark, sf), _stance_fn(spark, sf))
+    return out.select("input_id", F.when(F.col("relevant"), F.col("misinfo_id")).alias("misinfo_id"),
+                      "relevant", F.col("label_id").cast("bigint"), "label")

@@ -103,3 +103,28 @@ def word_vectors(spark, sf, tokenizer) -> DataFrame:
              .withColumn("vec_id", hash_mod(F.col("word"), n_vec)))
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return words.join(emb, "vec_id").select("word", "vec")
+
+
+def sentence_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sentence encoder stand-in: mean-pooled word vectors (AGG-10) of every
+    post and every claim -> (input_id, vec), (misinfo_id, vec)."""
+    from claimspark.functions.text import glove_tokens
+    from claimspark.operators.vector_search import wordvec_average
+    wv = word_vectors(spark, sf, glove_tokens)
+    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id")
+    cv = wordvec_average(table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
+                         wv, id_col="misinfo_id")
+    return pv, cv
+
+
+def tfidf_scores(spark, sf) -> DataFrame:
+    """(input_id, misinfo_id, score) for every post/claim pair sharing a term."""
+    from claimspark.operators import retrieval as R
+    return R.tfidf_cosine(posts(spark, sf), table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
+                          post_id="input_id", claim_id="misinfo_id")
+
+
+def tfidf_best(spark, sf) -> DataFrame:
+    """TOP-04: best claim per post by TF-IDF cosine (ties: lower claim id)."""
+    from claimspark.operators import retrieval as R
+    return R.top_claims(tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")

@@ -200,3 +200,70 @@ prf AS (SELECT p.doc_id, p.item_id, p.p, r.r, CASE WHEN p.p + r.r = 0 THEN NULL
 SELECT doc_id AS input_id, item_id AS misinfo_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(f1, '-inf'::DOUBLE), 9) DESC, item_id) AS rank FROM prf)
 WHERE rank <= 5"""
+
+
+# ------------------------------------------------------------------ stance
+def _weights_sql(c: int, dim: int) -> str:
+    return f"list_transform(range({dim}), lambda j: ((31 * {c} + 17 * j) % 11 - 5) / 10.0)"
+
+
+_SENT = "WITH " + _wv(glove_toks("text"), glove_toks("text")) + "," \
+    + _mean_vec("pm", "documents", "doc_id") + "," + _mean_vec("cm", "benchmark", "item_id") + "," + TFIDF + """,
+best AS (SELECT doc_id AS input_id, item_id AS misinfo_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rk FROM tfidf_sc) WHERE rk = 1)"""
+
+
+def _head(src: str, parts=("u", "v", "absdiff")) -> str:
+    pieces = {"u": "u", "v": "v", "absdiff": "list_transform(range(len(u)), lambda i: abs(u[i + 1] - v[i + 1]))",
+              "prod": "list_transform(range(len(u)), lambda i: u[i + 1] * v[i + 1])"}
+    x = "list_concat(" + ", ".join(pieces[p] for p in parts) + ")"
+    dim = 64 * len(parts)
+    logits = ", ".join(f"list_dot_product(x, {_weights_sql(c, dim)}) + {(c - 1) / 10.0} AS l{c}" for c in range(3))
+    return f"""
+feat AS (SELECT s.*, p.vec AS u, c.vec AS v FROM {src} s JOIN pm_m p ON p.id = s.input_id JOIN cm_m c ON c.id = s.misinfo_id),
+lg AS (SELECT *, {logits} FROM (SELECT *, {x} AS x FROM feat)),
+pr AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM lg),
+head AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM pr)"""
+
+
+ORACLE["linear_softmax_head"] = _SENT + "," + _head("best") + """
+SELECT input_id, misinfo_id,
+  CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) AS label_id,
+  round(greatest(p0, p1, p2), 6) AS confidence, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2
+FROM head"""
+
+ORACLE["pair_features"] = _SENT + """,
+feat AS (SELECT s.*, p.vec AS u, c.vec AS v FROM best s JOIN pm_m p ON p.id = s.input_id JOIN cm_m c ON c.id = s.misinfo_id),
+x AS (SELECT input_id, misinfo_id, list_concat(u, v, list_transform(range(len(u)), lambda i: abs(u[i + 1] - v[i + 1])),
+        list_transform(range(len(u)), lambda i: u[i + 1] * v[i + 1])) AS x FROM feat)
+SELECT input_id, misinfo_id, CAST(len(x) AS BIGINT) AS n_features, round(list_sum(x), 6) AS feature_sum,
+  round(sqrt(list_dot_product(x, x)), 6) AS feature_norm FROM x"""
+
+ORACLE["cross_entropy"] = _SENT + "," + _head("best") + "," + GOLD + """
+SELECT count(*) AS n_pairs, round(avg(greatest(l0, l1, l2) + ln(e0 + e1 + e2)
+   - CASE g.gold_label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END), 6) AS mean_loss
+FROM head h JOIN gold g ON g.input_id = h.input_id AND g.misinfo_id = h.misinfo_id"""
+
+ORACLE["triplet_margin_loss"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT count(*) AS n FROM embeddings),
+t AS (SELECT a.v AS a, p.v AS p, q.v AS q FROM e a CROSS JOIN n
+      JOIN e p ON p.vec_id = (a.vec_id + 1) % n.n JOIN e q ON q.vec_id = (a.vec_id + 2) % n.n)
+SELECT count(*) AS n_triplets, round(avg(greatest(0.0,
+  sqrt(list_sum(list_transform(range(len(a)), lambda i: (a[i + 1] - p[i + 1] + 1e-6) ** 2)))
+  - sqrt(list_sum(list_transform(range(len(a)), lambda i: (a[i + 1] - q[i + 1] + 1e-6) ** 2))) + 1.0)), 6) AS mean_loss
+FROM t"""
+
+ORACLE["two_stage_label"] = _SENT + """,
+rel AS (SELECT doc_id AS input_id, item_id AS misinfo_id, score FROM tfidf_sc),
+relv AS (SELECT * FROM rel WHERE score >= 0.4),""" + _head("relv")[1:] + """
+SELECT r.input_id, r.misinfo_id,
+  CAST(CASE WHEN r.score >= 0.4 THEN (CASE WHEN h.p0 >= h.p1 THEN 0 ELSE 1 END) ELSE 2 END AS BIGINT) AS label_id,
+  round(r.score, 6) AS confidence
+FROM rel r LEFT JOIN head h ON h.input_id = r.input_id AND h.misinfo_id = r.misinfo_id"""
+
+ORACLE["pipeline_agree_disagree"] = _SENT + """,
+relv AS (SELECT * FROM best WHERE score >= 0.4),""" + _head("relv")[1:] + """
+SELECT b.input_id, CASE WHEN b.score >= 0.4 THEN b.misinfo_id END AS misinfo_id, b.score >= 0.4 AS relevant,
+  CAST(CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 0 ELSE 1 END) END AS BIGINT) AS label_id,
+  CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 'agrees' ELSE 'disagrees' END) END AS label
+FROM best b LEFT JOIN head h ON h.input_id = b.input_id AND h.misinfo_id = b.misinfo_id"""
