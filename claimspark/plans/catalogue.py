@@ -216,3 +216,271 @@ def pipeline_agree_disagree(spark, sf):
     out = ST.agree_disagree(FX.tfidf_best(spark, sf), _stance_fn(spark, sf))
     return out.select("input_id", F.when(F.col("relevant"), F.col("misinfo_id")).alias("misinfo_id"),
                       "relevant", F.col("label_id").cast("bigint"), "label")
+
+
+# ------------------------------------------------------------ store / ingest
+from claimspark.functions.misc import ANNOTATION_CODES, day_window, label_code, utc_stamp  # noqa: E402
+from claimspark.operators import ingest as IG  # noqa: E402
+from claimspark.operators import relational as RL  # noqa: E402
+
+_TS_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+def _pairs(spark, sf):
+    return RL.input_output_pairs(FX.io_inputs(spark, sf), FX.io_outputs(spark, sf))
+
+
+@register("input_output_pairs")
+def input_output_pairs(spark, sf):
+    """JOIN-01."""
+    return _pairs(spark, sf).select("input_id", "output_id", "input_source_type",
+                                    F.round("confidence", 6).alias("confidence"),
+                                    F.date_format("date", _TS_FMT).alias("date"))
+
+
+@register("pairs_by_date")
+def pairs_by_date(spark, sf):
+    """FLT-06: pairs in [1995-01-01, 1996-01-01)."""
+    p = RL.pairs_by_date(_pairs(spark, sf), "1995-01-01", "1996-01-01")
+    return p.select("input_id", "output_id", F.date_format("date", _TS_FMT).alias("date"))
+
+
+@register("pairs_by_date_bounds")
+def pairs_by_date_bounds(spark, sf):
+    """FLT-06 bound variants: from only, until only, both, none."""
+    variants = [("from", "1995-01-01", None), ("until", None, "1996-01-01"),
+                ("both", "1995-01-01", "1996-01-01"), ("none", None, None)]
+    out = None
+    for name, a, b in variants:
+        c = RL.pairs_by_date(_pairs(spark, sf), a, b).agg(F.count(F.lit(1)).alias("n_pairs")) \
+            .select(F.lit(name).alias("variant"), "n_pairs")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("recent_k_pairs")
+def recent_k_pairs(spark, sf):
+    """TOP-03: the 10 newest pairs by output id."""
+    return RL.recent_pairs(_pairs(spark, sf), 10).select("input_id", "output_id")
+
+
+@register("outputs_by_model_input_misinfo")
+def outputs_by_model_input_misinfo(spark, sf):
+    """FLT-07: outputs of model 'm-R' (filter pushed to the scan)."""
+    o = RL.outputs_filter(FX.li_outputs(spark, sf), model="m-R")
+    return o.select(F.col("id").alias("output_id"), "input_id", "misinfo_id", "label_id",
+                    F.round("confidence", 6).alias("confidence"))
+
+
+@register("inputs_by_source")
+def inputs_by_source(spark, sf):
+    """FLT-03: posts of source 'src3'."""
+    return RL.by_source(FX.posts(spark, sf), "src3").select("input_id", "source_id")
+
+
+@register("claims_by_source")
+def claims_by_source(spark, sf):
+    """FLT-04 over the claim table built by PRJ-03."""
+    rows = IG.claims_to_rows(FX.claims(spark, sf).withColumn("origin", F.get(F.col("sources"), 0)), keep_id=True)
+    return RL.by_source(rows, "src1", col="source").select("id", "text", "source")
+
+
+@register("insert_if_new")
+def insert_if_new(spark, sf):
+    """ING-01: incoming event keys not yet stored, first per key, new ids."""
+    new, _ = IG.insert_if_new(FX.incoming_inputs(spark, sf), FX.stored_inputs(spark, sf),
+                              key=["source_id"], order="event_id")
+    return new.select("id", "source_id", "event_id")
+
+
+@register("insert_counts")
+def insert_counts(spark, sf):
+    """ING-02 / AGG-18: given vs inserted rows and the success flag."""
+    _, counts = IG.insert_if_new(FX.incoming_inputs(spark, sf), FX.stored_inputs(spark, sf),
+                                 key=["source_id"], order="event_id", id_col=None)
+    return counts
+
+
+@register("annotation_csv_load")
+def annotation_csv_load(spark, sf):
+    """ING-03: inputs (deduplicated by tweet id, ids generated), then every
+    annotation row as an output joined to its input id (JOIN-03)."""
+    rows = FX.annotation_rows(spark, sf).filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
+    inputs, _ = IG.insert_if_new(rows.select("doc_id", F.col("tweet_id").alias("source_id"), "tweet"),
+                                 spark.createDataFrame([], "source_id string, id bigint"),
+                                 key=["source_id"], order="doc_id")
+    ids = inputs.select(F.col("source_id").alias("tweet_id"), F.col("id").alias("input_id"))
+    return (rows.join(ids, "tweet_id")
+                .select("input_id", F.col("misconception_id").alias("misinfo_id"),
+                        label_code("label", ANNOTATION_CODES, 2).cast("bigint").alias("label_id"),
+                        F.lit(1.0).alias("confidence"), F.lit("human").alias("model_id")))
+
+
+@register("claims_to_table")
+def claims_to_table(spark, sf):
+    """PRJ-03 / ING-04: claim records -> misinformation rows keyed by text."""
+    rows = IG.claims_to_rows(FX.claims(spark, sf), keep_id=True)
+    new, _ = IG.insert_if_new(rows, spark.createDataFrame([], "text string"), key=["text"], order="id",
+                              id_col=None)
+    return new.select("id", "text", "url", "source", "reliability", "misc")
+
+
+MINIMAL_TREE = {"id": True, "created_at": True, "lang": True, "user": {"id_str": True}, "props": {"k": True}}
+DEFAULTS_TEMPLATE = {"id": -1, "lang": "und", "user": {"id_str": "", "followers_count": 0.0},
+                     "props": {"k": 0, "note": "n/a"}}
+
+
+def _flat(df):
+    return df.select("id", *[c for c in df.columns if c != "id"])
+
+
+@register("minimize_json")
+def minimize_json(spark, sf):
+    """PRJ-01 + FLT-01 (lang 'en') + FLT-02 (no retweets)."""
+    t = FX.tweets(spark, sf).filter((F.col("lang") == "en") & F.col("retweeted_status").isNull())
+    m = t.select(*IG.project_tree(t, MINIMAL_TREE))
+    return m.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "lang",
+                    F.col("user.id_str").alias("user_id_str"), F.col("props.k").cast("bigint").alias("props_k"))
+
+
+@register("minimize_json_defaults")
+def minimize_json_defaults(spark, sf):
+    """PRJ-02: template projection; absent / NULL leaves take the template value."""
+    t = FX.tweets(spark, sf)
+    m = t.select(*IG.project_with_defaults(DEFAULTS_TEMPLATE))
+    return m.select("id", "lang", F.col("user.id_str").alias("user_id_str"),
+                    F.round("user.followers_count", 6).alias("user_followers_count"),
+                    F.col("props.k").cast("bigint").alias("props_k"), F.col("props.note").alias("props_note"))
+
+
+@register("unique_counts")
+def unique_counts(spark, sf):
+    """AGG-01: rows, distinct ids, texts and users (sources) of the posts."""
+    d = FX.table(spark, sf, "documents")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"),
+                 F.count_distinct("text").alias("n_texts"), F.count_distinct("source").alias("n_users"))
+
+
+KEYWORDS_ANY = ["the", "with"]
+KEYWORDS_ALL = ["and"]
+DENY_HOST_SUFFIX = ".example.org"
+
+
+@register("keyword_domain_filter")
+def keyword_domain_filter(spark, sf):
+    """FLT-13 + TOP-07: keyword groups (any / all), language, host deny
+    list, date range; newest first, first page of 100."""
+    a = FX.articles(spark, sf)
+    toks = F.regexp_extract_all(F.lower(F.col("html")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    cond = (F.exists(toks, lambda t: t.isin(*KEYWORDS_ANY))
+            & F.forall(F.array(*[F.lit(k) for k in KEYWORDS_ALL]), lambda k: F.array_contains(toks, k))
+            & (F.col("lang") == "en") & ~F.col("host").endswith(DENY_HOST_SUFFIX)
+            & (F.col("publishedAt") >= "2024-01-03") & (F.col("publishedAt") < "2024-01-28"))
+    return (a.filter(cond).orderBy(F.col("publishedAt").desc(), F.col("page_id").asc()).limit(100)
+             .select("page_id", "host", "publishedAt"))
+
+
+@register("article_dedup")
+def article_dedup(spark, sf):
+    """ING-06 / JOIN-07: batch articles (events after the split day) new by
+    (category, url) against the stored ones."""
+    e = FX.table(spark, sf, "events").select(
+        F.col("event_type").alias("category"), F.concat(F.lit("https://news.example/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("event_id").alias("seq"), "ts")
+    split = F.to_timestamp(F.lit(FX.SPLIT_TS))
+    new = IG.dedup_articles(e.filter(F.col("ts") >= split).drop("ts"), e.filter(F.col("ts") < split))
+    return new.select("category", "url", "seq")
+
+
+FIXED_INSTANT = "2024-02-01 12:34:56"
+
+
+@register("article_rows")
+def article_rows(spark, sf):
+    """PRJ-06 + FLT-12 + FN-24: {url, title, publishedAt or ''} of error-free
+    articles, stamped with a fixed crawl instant."""
+    a = FX.articles(spark, sf).filter(F.col("errorCode").isNull())
+    return a.select("url", "title", F.coalesce("publishedAt", F.lit("")).alias("publishedAt"),
+                    utc_stamp(F.to_timestamp(F.lit(FIXED_INSTANT))).alias("addedAt"))
+
+
+@register("default_day_window")
+def default_day_window(spark, sf):
+    """FLT-15 / FN-25: one bound given -> the other is one day away."""
+    e = FX.table(spark, sf, "events")
+    out = None
+    for name, since, until in (("since", "2024-01-05", None), ("until", None, "2024-01-20")):
+        lo, hi = day_window(since, until)
+        part = e.filter((F.col("ts") >= lo.cast("timestamp")) & (F.col("ts") < hi.cast("timestamp"))) \
+            .select(F.lit(name).alias("variant"), "event_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("request_batches")
+def request_batches(spark, sf):
+    """ING-08 / WIN-04 / FN-26: post ids in request batches of 100."""
+    return IG.request_batches(FX.table(spark, sf, "documents"), "doc_id", 100)
+
+
+@register("pending_files")
+def pending_files(spark, sf):
+    """JOIN-12 / SET-05 / FN-27: input files (page paths) without a
+    processed output of the same stem in either output extension."""
+    from claimspark.functions.misc import path_basename, path_stem
+    from claimspark.functions.text import hash_mod
+    p = FX.table(spark, sf, "pages").select(
+        "page_id", F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(".jsonl")).alias("path"), "url")
+    done_a = p.filter(hash_mod("url", 3) == 0).select(F.concat(F.lit("out/"), path_stem("path"), F.lit(".jsonl")).alias("out"))
+    done_b = p.filter(hash_mod("url", 3) == 1).select(F.concat(F.lit("out/"), path_stem("path"), F.lit(".jsonl.gz")).alias("out"))
+    done = done_a.unionByName(done_b).select(F.regexp_replace(path_basename("out"), r"\.jsonl(\.gz)?$", "").alias("stem"))
+    return (p.select("path", path_stem("path").alias("stem")).join(done, "stem", "left_anti")
+             .select("path", "stem"))
+
+
+@register("latest_months")
+def latest_months(spark, sf):
+    """WIN-05: orders of the newest three order months."""
+    o = FX.table(spark, sf, "orders")
+    r = IG.newest_groups(o, F.date_format("o_orderdate", "yyyy-MM"), 3, "month")
+    return r.select("o_orderkey", "month")
+
+
+@register("html_cards_to_claims")
+def html_cards_to_claims(spark, sf):
+    """PRJ-07 / TRN-07: fact-check cards -> claim records."""
+    return IG.html_cards(FX.table(spark, sf, "pages"))
+
+
+@register("variant_columns_wide")
+def variant_columns_wide(spark, sf):
+    """PRJ-05 / SNK-07 rows: 5 sources, 5 positive and 5 negative variations
+    and the first category as fixed columns."""
+    c = FX.claims(spark, sf)
+    return c.select("id", *IG.fixed_columns("sources", 5, "source_"), *IG.fixed_columns("pos_variations", 5, "pos_"),
+                    *IG.fixed_columns("neg_variations", 5, "neg_"),
+                    F.coalesce(F.get(F.col("category"), 0), F.lit("")).alias("category"))
+
+
+@register("dataset_digest")
+def dataset_digest(spark, sf):
+    """AGG-17: ordered digest of all claim variation lines."""
+    lines = FX.claims(spark, sf).select("id", F.posexplode("pos_variations").alias("var_idx", "line"))
+    return IG.ordered_digest(lines, ["id", "var_idx"], "line", bucket_rows=16)
+
+
+@register("config_overlay")
+def config_overlay(spark, sf):
+    """FN-28 / FLT-14 / ING-05: nation defaults overlaid by values derived
+    from customers (blank overrides dropped, new keys added)."""
+    n = FX.table(spark, sf, "nation")
+    defaults = n.select(F.col("n_nationkey").alias("entity"),
+                        F.explode(F.create_map(F.lit("name"), F.col("n_name"),
+                                               F.lit("region"), F.col("n_regionkey").cast("string"),
+                                               F.lit("status"), F.lit("active"))).alias("key", "value"))
+    c = FX.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("entity")).agg(
+        F.max(F.when(F.col("c_acctbal") < 0, F.lit("in-debt")).otherwise(F.lit(""))).alias("status"),
+        F.max("c_mktsegment").alias("segment"))
+    overrides = c.select("entity", F.explode(F.create_map(F.lit("status"), F.col("status"),
+                                                          F.lit("segment"), F.col("segment"))).alias("key", "value"))
+    return IG.overlay(defaults, overrides).select(F.col("entity").cast("bigint"), "key", "value")

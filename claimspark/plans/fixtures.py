@@ -128,3 +128,88 @@ def tfidf_best(spark, sf) -> DataFrame:
     """TOP-04: best claim per post by TF-IDF cosine (ties: lower claim id)."""
     from claimspark.operators import retrieval as R
     return R.top_claims(tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+
+
+# ----------------------------------------------------------- store views
+def io_inputs(spark, sf) -> DataFrame:
+    """input table from customer."""
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("text"),
+        F.col("c_mktsegment").alias("source_type"), F.col("c_custkey").cast("string").alias("source_id"))
+
+
+def io_outputs(spark, sf) -> DataFrame:
+    """output table from orders."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("input_id"),
+        F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("confidence"))
+
+
+def li_outputs(spark, sf) -> DataFrame:
+    """output table from lineitem (model = return flag)."""
+    return table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("input_id"),
+        F.col("l_partkey").alias("misinfo_id"), F.concat(F.lit("m-"), F.col("l_returnflag")).alias("model_id"),
+        (F.col("l_linenumber") % 3).cast("bigint").alias("label_id"), F.col("l_discount").alias("confidence"))
+
+
+SPLIT_TS = "2024-01-11 00:00:00"
+
+
+def event_keys(spark, sf) -> DataFrame:
+    """incoming(batch): events keyed by event_type:user_id, ordered by event_id."""
+    return table(spark, sf, "events").select(
+        "event_id", "ts", F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("source_id"),
+        "event_type", "user_id")
+
+
+def stored_inputs(spark, sf) -> DataFrame:
+    """Rows already stored: first event per key before the split day; id =
+    that event id."""
+    from claimspark.operators.ingest import first_per_key
+    e = event_keys(spark, sf).filter(F.col("ts") < F.to_timestamp(F.lit(SPLIT_TS)))
+    return first_per_key(e, ["source_id"], "event_id").withColumn("id", F.col("event_id"))
+
+
+def incoming_inputs(spark, sf) -> DataFrame:
+    return event_keys(spark, sf).filter(F.col("ts") >= F.to_timestamp(F.lit(SPLIT_TS)))
+
+
+def annotation_rows(spark, sf) -> DataFrame:
+    """annotation CSV rows from documents ⟕ labels (FIXTURES B)."""
+    n_items = n_rows(spark, sf, "benchmark")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    lab = table(spark, sf, "labels")
+    label = (F.when(F.col("toxic") == 1, "neg").when(F.col("quality") == 1, "pos")
+              .when(F.col("toxic").isNotNull(), "na").otherwise(""))
+    return d.join(lab, "doc_id", "left").select(
+        "doc_id", (F.col("doc_id") % n_items).alias("misconception_id"), F.col("text").alias("tweet"),
+        label.alias("label"),
+        F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise((F.col("doc_id") % 500).cast("string")).alias("tweet_id"))
+
+
+def tweets(spark, sf) -> DataFrame:
+    """tweet JSONL stand-in from events."""
+    langs = F.array(F.lit("en"), F.lit("fr"), F.lit("de"))
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").alias("created_at"),
+        F.get(langs, (F.col("event_id") % 3).cast("int")).alias("lang"),
+        F.struct(F.col("user_id").cast("string").alias("id_str"), F.col("value").alias("followers_count")).alias("user"),
+        F.from_json("props", "k int, note string").alias("props"),
+        F.when(F.col("event_type") == "error", F.col("user_id")).alias("retweeted_status"))
+
+
+def articles(spark, sf) -> DataFrame:
+    """article list from pages: title from <h1>, publishedAt day, category
+    from the host; pages whose url carries a fragment come back with an
+    error code."""
+    from claimspark.functions.text import collapse_ws
+    p = table(spark, sf, "pages")
+    host = F.call_function("parse_url", F.col("url"), F.lit("HOST"))
+    return p.select(
+        "page_id", "url", collapse_ws(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("title"),
+        F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 30).cast("int")), "yyyy-MM-dd")
+        .alias("publishedAt"),
+        F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("category"),
+        host.alias("host"), F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"), "html",
+        F.when(F.col("url").contains("#"), F.lit(500)).alias("errorCode"))

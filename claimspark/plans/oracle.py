@@ -67,7 +67,7 @@ fill AS (SELECT nh.doc_id, c.item_id, 0.0 AS score,
          WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = nh.doc_id AND b.item_id = c.item_id))
 SELECT doc_id AS input_id, item_id AS misinfo_id, round(score, 6) AS confidence, rank FROM best
 UNION ALL
-SELECT doc_id, item_id, 0.0, rank FROM fill WHERE rank <= 86"""
+SELECT doc_id, item_id, CAST(0.0 AS DOUBLE), rank FROM fill WHERE rank <= 86"""
 
 _AVG_RANK = """rank() OVER (PARTITION BY model_id, input_id ORDER BY confidence DESC)
       + (count(*) OVER (PARTITION BY model_id, input_id, confidence) - 1) / 2.0"""
@@ -267,3 +267,149 @@ SELECT b.input_id, CASE WHEN b.score >= 0.4 THEN b.misinfo_id END AS misinfo_id,
   CAST(CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 0 ELSE 1 END) END AS BIGINT) AS label_id,
   CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 'agrees' ELSE 'disagrees' END) END AS label
 FROM best b LEFT JOIN head h ON h.input_id = b.input_id AND h.misinfo_id = b.misinfo_id"""
+
+
+# ------------------------------------------------------------ store / ingest
+_TS = "'%Y-%m-%d %H:%M:%S'"
+_PAIRS = "FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey"
+
+ORACLE["input_output_pairs"] = f"""SELECT c.c_custkey AS input_id, o.o_orderkey AS output_id,
+  c.c_mktsegment AS input_source_type, round(o.o_totalprice, 6) AS confidence, strftime(o.o_orderdate, {_TS}) AS date {_PAIRS}"""
+
+ORACLE["pairs_by_date"] = f"""SELECT c.c_custkey AS input_id, o.o_orderkey AS output_id, strftime(o.o_orderdate, {_TS}) AS date {_PAIRS}
+WHERE o.o_orderdate >= TIMESTAMP '1995-01-01' AND o.o_orderdate < TIMESTAMP '1996-01-01'"""
+
+ORACLE["pairs_by_date_bounds"] = f"""
+SELECT 'from' AS variant, count(*) AS n_pairs {_PAIRS} WHERE o.o_orderdate >= TIMESTAMP '1995-01-01'
+UNION ALL SELECT 'until', count(*) {_PAIRS} WHERE o.o_orderdate < TIMESTAMP '1996-01-01'
+UNION ALL SELECT 'both', count(*) {_PAIRS} WHERE o.o_orderdate >= TIMESTAMP '1995-01-01' AND o.o_orderdate < TIMESTAMP '1996-01-01'
+UNION ALL SELECT 'none', count(*) {_PAIRS}"""
+
+ORACLE["recent_k_pairs"] = f"""SELECT c.c_custkey AS input_id, o.o_orderkey AS output_id {_PAIRS} ORDER BY o.o_orderkey DESC LIMIT 10"""
+
+ORACLE["outputs_by_model_input_misinfo"] = """SELECT l_orderkey * 10 + l_linenumber AS output_id, l_orderkey AS input_id,
+  l_partkey AS misinfo_id, CAST(l_linenumber % 3 AS BIGINT) AS label_id, round(l_discount, 6) AS confidence
+FROM lineitem WHERE 'm-' || l_returnflag = 'm-R'"""
+
+ORACLE["inputs_by_source"] = """SELECT doc_id AS input_id, CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE source = 'src3'"""
+
+ORACLE["claims_by_source"] = "WITH " + CLAIMS + """
+SELECT id, canonical_sentence AS text, sources[1] AS source FROM claims WHERE sources[1] = 'src1'"""
+
+_EVENTS = """ek AS (SELECT event_id, ts, event_type || ':' || CAST(user_id AS VARCHAR) AS source_id FROM events),
+stored AS (SELECT source_id, min(event_id) AS id FROM ek WHERE ts < TIMESTAMP '2024-01-11' GROUP BY source_id),
+inc AS (SELECT * FROM ek WHERE ts >= TIMESTAMP '2024-01-11'),
+firsts AS (SELECT source_id, min(event_id) AS event_id FROM inc GROUP BY source_id),
+new AS (SELECT * FROM firsts WHERE source_id NOT IN (SELECT source_id FROM stored))"""
+
+ORACLE["insert_if_new"] = "WITH " + _EVENTS + """
+SELECT (SELECT coalesce(max(id), 0) FROM stored) + row_number() OVER (ORDER BY event_id) AS id, source_id, event_id FROM new"""
+
+ORACLE["insert_counts"] = "WITH " + _EVENTS + """
+SELECT (SELECT count(*) FROM inc) AS given, (SELECT count(*) FROM new) AS inserted,
+  (SELECT count(*) FROM inc) = (SELECT count(*) FROM new) AS success"""
+
+ORACLE["annotation_csv_load"] = """WITH
+ann AS (SELECT d.doc_id, d.doc_id % (SELECT count(*) FROM benchmark) AS misconception_id, d.text AS tweet,
+   CASE WHEN l.toxic = 1 THEN 'neg' WHEN l.quality = 1 THEN 'pos' WHEN l.toxic IS NOT NULL THEN 'na' ELSE '' END AS label,
+   CASE WHEN d.doc_id % 50 = 0 THEN '' ELSE CAST(d.doc_id % 500 AS VARCHAR) END AS tweet_id
+   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+r AS (SELECT * FROM ann WHERE length(label) > 0 AND length(tweet_id) > 0),
+firsts AS (SELECT tweet_id, min(doc_id) AS doc_id FROM r GROUP BY tweet_id),
+ids AS (SELECT tweet_id, row_number() OVER (ORDER BY doc_id) AS input_id FROM firsts)
+SELECT i.input_id, r.misconception_id AS misinfo_id,
+  CAST(CASE r.label WHEN 'pos' THEN 0 WHEN 'neg' THEN 1 ELSE 2 END AS BIGINT) AS label_id,
+  CAST(1.0 AS DOUBLE) AS confidence, 'human' AS model_id
+FROM r JOIN ids i ON i.tweet_id = r.tweet_id"""
+
+ORACLE["claims_to_table"] = "WITH " + CLAIMS + """
+SELECT id, canonical_sentence AS text, to_json(struct_pack(list := sources)) AS url, origin AS source,
+  CAST(1.0 AS DOUBLE) AS reliability,
+  to_json(struct_pack(category := category, pos_variations := pos_variations, neg_variations := CAST([] AS VARCHAR[]),
+                      reliability_score := reliability_score)) AS misc
+FROM (SELECT *, row_number() OVER (PARTITION BY canonical_sentence ORDER BY id) AS rn FROM claims) WHERE rn = 1"""
+
+_TWEETS = """tw AS (SELECT event_id AS id, ts AS created_at, ['en', 'fr', 'de'][event_id % 3 + 1] AS lang,
+  CAST(user_id AS VARCHAR) AS id_str, value AS followers_count, props,
+  CASE WHEN event_type = 'error' THEN user_id END AS retweeted_status FROM events)"""
+
+ORACLE["minimize_json"] = "WITH " + _TWEETS + """
+SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, lang, id_str AS user_id_str,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS props_k
+FROM tw WHERE lang = 'en' AND retweeted_status IS NULL"""
+
+ORACLE["minimize_json_defaults"] = "WITH " + _TWEETS + """
+SELECT coalesce(id, -1) AS id, coalesce(lang, 'und') AS lang, coalesce(id_str, '') AS user_id_str,
+  round(coalesce(followers_count, 0.0), 6) AS user_followers_count,
+  CAST(coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) AS BIGINT) AS props_k,
+  coalesce(json_extract_string(props, '$.note'), 'n/a') AS props_note FROM tw"""
+
+ORACLE["unique_counts"] = """SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(DISTINCT text) AS n_texts,
+  count(DISTINCT source) AS n_users FROM documents"""
+
+_ARTICLES = """art AS (SELECT page_id, url,
+  trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS title,
+  strftime(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER), '%Y-%m-%d') AS publishedAt,
+  regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host,
+  regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, html,
+  CASE WHEN contains(url, '#') THEN 500 END AS errorCode FROM pages)"""
+
+ORACLE["keyword_domain_filter"] = "WITH " + _ARTICLES + f""",
+tk AS (SELECT *, {tokens('html')} AS toks FROM art)
+SELECT page_id, host, publishedAt FROM tk
+WHERE (list_contains(toks, 'the') OR list_contains(toks, 'with')) AND list_contains(toks, 'and')
+  AND lang = 'en' AND NOT suffix(host, '.example.org')
+  AND publishedAt >= '2024-01-03' AND publishedAt < '2024-01-28'
+ORDER BY publishedAt DESC, page_id LIMIT 100"""
+
+ORACLE["article_dedup"] = """WITH e AS (SELECT event_type AS category, 'https://news.example/' || CAST(user_id AS VARCHAR) AS url,
+  event_id AS seq, ts FROM events),
+b AS (SELECT category, url, min(seq) AS seq FROM e WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY ALL)
+SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ts < TIMESTAMP '2024-01-11' AND e.category = b.category AND e.url = b.url)"""
+
+ORACLE["article_rows"] = "WITH " + _ARTICLES + """
+SELECT url, title, coalesce(publishedAt, '') AS publishedAt, 'utc-20240201-123456' AS addedAt FROM art WHERE errorCode IS NULL"""
+
+ORACLE["default_day_window"] = """
+SELECT 'since' AS variant, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'
+UNION ALL
+SELECT 'until', event_id FROM events WHERE ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-20'"""
+
+ORACLE["request_batches"] = """SELECT CAST((rn - 1) // 100 AS BIGINT) AS batch, count(*) AS n_ids,
+  string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) GROUP BY 1"""
+
+ORACLE["pending_files"] = f"""WITH p AS (SELECT 'in/' || CAST(page_id AS VARCHAR) || '.jsonl' AS path, CAST(page_id AS VARCHAR) AS stem, url FROM pages),
+done AS (SELECT stem FROM p WHERE {H('url')} % 3 = 0 UNION SELECT stem FROM p WHERE {H('url')} % 3 = 1)
+SELECT path, stem FROM p WHERE stem NOT IN (SELECT stem FROM done)"""
+
+ORACLE["latest_months"] = """WITH m AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders)
+SELECT o_orderkey, month FROM m WHERE month IN (SELECT DISTINCT month FROM m ORDER BY month DESC LIMIT 3)"""
+
+ORACLE["html_cards_to_claims"] = """WITH c AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS cards FROM pages),
+u AS (SELECT page_id, url, unnest(cards) AS card, generate_subscripts(cards, 1) - 1 AS card_idx FROM c),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_extract(card, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS claim FROM u)
+SELECT page_id AS id, CAST(card_idx AS BIGINT) AS card_idx, url AS href, claim,
+  substr(string_split(claim, ' ')[1], 1, length(string_split(claim, ' ')[1]) - 1) AS status, 'fact-check-cards' AS origin FROM t"""
+
+ORACLE["variant_columns_wide"] = "WITH " + CLAIMS + """
+SELECT id, """ + ", ".join(f"coalesce(sources[{i + 1}], '') AS source_{i + 1}" for i in range(5)) + ", " \
+    + ", ".join(f"coalesce(pos_variations[{i + 1}], '') AS pos_{i + 1}" for i in range(5)) + ", " \
+    + ", ".join(f"'' AS neg_{i + 1}" for i in range(5)) + """, coalesce(category[1], '') AS category FROM claims"""
+
+ORACLE["dataset_digest"] = "WITH " + CLAIMS + """,
+l AS (SELECT id, unnest(pos_variations) AS line, generate_subscripts(pos_variations, 1) AS var_idx FROM claims),
+p AS (SELECT line, row_number() OVER (ORDER BY id, var_idx) AS pos FROM l),
+b AS (SELECT (pos - 1) // 16 AS bucket, md5(string_agg(md5(line), '' ORDER BY pos)) AS h, count(*) AS n FROM p GROUP BY 1)
+SELECT md5(string_agg(h, '' ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS n_lines FROM b"""
+
+ORACLE["config_overlay"] = """WITH d AS (
+  SELECT n_nationkey AS entity, 'name' AS key, n_name AS value FROM nation
+  UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation
+  UNION ALL SELECT n_nationkey, 'status', 'active' FROM nation),
+c AS (SELECT c_nationkey AS entity, max(CASE WHEN c_acctbal < 0 THEN 'in-debt' ELSE '' END) AS status,
+        max(c_mktsegment) AS segment FROM customer GROUP BY 1),
+o AS (SELECT entity, 'status' AS key, status AS value FROM c UNION ALL SELECT entity, 'segment', segment FROM c),
+o2 AS (SELECT * FROM o WHERE value IS NOT NULL AND value <> '')
+SELECT CAST(coalesce(d.entity, o2.entity) AS BIGINT) AS entity, coalesce(d.key, o2.key) AS key,
+  coalesce(o2.value, d.value) AS value FROM d FULL OUTER JOIN o2 ON d.entity = o2.entity AND d.key = o2.key"""
