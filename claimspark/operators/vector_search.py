@@ -138,40 +138,64 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
 
 
 # ---------------------------------------------------------- soft matching
+def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_text: str, tokenizer):
+    """Claim side of soft matching as numpy: distinct claim words x dim
+    (unit rows), and per claim its word indices and counts.  Size-checked
+    before collection (distinct words x dim x 8 bytes)."""
+    ccounts = token_counts(claims, claim_id, claim_text, tokenizer).join(v, "word")
+    stats = ccounts.agg(F.count_distinct("word").alias("w"), F.max(F.size("vec")).alias("d")).first()
+    if (stats["w"] or 0) * (stats["d"] or 0) * 8 > MAX_BROADCAST_BYTES:
+        raise ValueError("claim vocabulary above the broadcast limit; split the claim set")
+    cw = ccounts.select("word", "vec").distinct().toPandas()
+    widx = {w: i for i, w in enumerate(cw["word"])}
+    ymat = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in cw["vec"]])) if len(cw) else np.zeros((0, 1))
+    cl = ccounts.select("id", "word", "cnt").toPandas()
+    cl["w"] = cl["word"].map(widx)
+    cl = cl.sort_values(["id", "w"])
+    cids = cl["id"].drop_duplicates().to_numpy()
+    offsets = np.searchsorted(cl["id"].to_numpy(), cids)
+    return (cids, offsets, cl["w"].to_numpy().astype(np.int64), cl["cnt"].to_numpy().astype(np.float64), ymat)
+
+
+def _softmatch_one(toks, cat):
+    """P, R, F1 of one post (list of (cnt, vec)) against every claim."""
+    cids_, offs, widx_, wcnt, y = cat
+    cnt = np.array([t["cnt"] for t in toks], dtype=np.float64)
+    x = _unit(np.stack([np.asarray(t["vec"], dtype=np.float64) for t in toks]))
+    s = x @ y.T                                   # distinct post words x claim words
+    m = np.maximum.reduceat(s[:, widx_], offs, axis=1)   # best claim word per post word, per claim
+    prec = (cnt @ m) / cnt.sum()
+    nmax = s.max(axis=0)[widx_]                   # best post word per claim word
+    rec = np.add.reduceat(nmax * wcnt, offs) / np.add.reduceat(wcnt, offs)
+    den = prec + rec
+    with np.errstate(invalid="ignore", divide="ignore"):
+        f1 = np.where(den != 0, 2 * prec * rec / np.where(den != 0, den, 1.0), np.nan)
+    return prec, rec, f1
+
+
 def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *, post_id: str,
                           claim_id: str, text: str = "text", claim_text: str | None = None,
-                          tokenizer=None, k: int = 5, order_by: str = "f1",
+                          tokenizer=None, k: int = 5, order_by: str = "f1", per: str = "post",
                           word: str = "word", vec: str = "vec") -> DataFrame:
-    """RET-04: token-level soft matching of every post against every claim.
+    """RET-04 / RET-09: token-level soft matching of every post against
+    every claim.
 
     With unit token vectors x (post) and y (claim):
     ``P = mean_x max_y x.y``, ``R = mean_y max_x x.y``, ``F1 = 2PR/(P+R)``;
     out-of-vocabulary tokens are dropped, a side without tokens gives no
     row.  Posts are grouped with their (bounded) distinct-word vectors; the
-    claim side -- distinct words x dim plus per-claim word lists -- is one
-    size-checked broadcast.  Only the best ``k`` claims by ``order_by`` per
-    post are returned, with P, R and F1.
+    claim side is one size-checked broadcast.  ``per='post'`` keeps the best
+    ``k`` claims of each post; ``per='claim'`` keeps, inside each Arrow
+    batch, the best ``k`` posts of each claim (ties at the boundary kept) --
+    a distributed bounded heap -- and returns these candidates for a final
+    window (P, R and F1 always returned).
     """
     from claimspark.functions.text import word_tokens
     tokenizer = tokenizer or word_tokens
     claim_text = claim_text or text
     spark = posts.sparkSession
     v = vectors.select(F.col(word).alias("word"), F.col(vec).alias("vec"))
-
-    # claim side: distinct words with vectors, and per-claim word counts
-    ccounts = token_counts(claims, claim_id, claim_text, tokenizer).join(v, "word")
-    cw = ccounts.select("word", "vec").distinct().toPandas()
-    widx = {w: i for i, w in enumerate(cw["word"])}
-    ymat = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in cw["vec"]])) if len(cw) else np.zeros((0, 1))
-    cl = ccounts.select("id", "word", "cnt").toPandas()
-    cl["w"] = cl["word"].map(widx)
-    cl = cl.sort_values(["id", "w"])
-    cids = cl["id"].drop_duplicates().to_numpy()
-    offsets = np.searchsorted(cl["id"].to_numpy(), cids)
-    cat = (cids, offsets, cl["w"].to_numpy().astype(np.int64), cl["cnt"].to_numpy().astype(np.float64), ymat)
-    if ymat.nbytes > MAX_BROADCAST_BYTES:
-        raise ValueError("claim vocabulary above the broadcast limit; split the claim set")
-    bc = spark.sparkContext.broadcast(cat)
+    bc = spark.sparkContext.broadcast(_softmatch_catalogue(claims, v, claim_id, claim_text, tokenizer))
 
     pgroups = (token_counts(posts, post_id, text, tokenizer).join(v, "word")
                .groupBy("id").agg(F.collect_list(F.struct("cnt", "vec")).alias("toks")))
@@ -180,34 +204,37 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
     schema = f"{post_id} {ptype}, {claim_id} {ctype}, precision double, recall double, f1 double"
 
     def score(batches):
-        cids_, offs, widx_, wcnt, y = bc.value
-        clen = np.add.reduceat(wcnt, offs)
+        cat = bc.value
+        cids_ = cat[0]
         for pdf in batches:
-            out_p, out_c, out_pr, out_rc, out_f = [], [], [], [], []
+            if pdf.empty:
+                continue
+            pids, prs, rcs, fs = [], [], [], []
             for pid, toks in zip(pdf["id"], pdf["toks"]):
-                cnt = np.array([t["cnt"] for t in toks], dtype=np.float64)
-                x = _unit(np.stack([np.asarray(t["vec"], dtype=np.float64) for t in toks]))
-                s = x @ y.T                                   # distinct post words x claim words
-                g = s[:, widx_]                               # columns in claim order
-                m = np.maximum.reduceat(g, offs, axis=1)      # best claim word per post word and claim
-                prec = (cnt @ m) / cnt.sum()
-                nmax = s.max(axis=0)[widx_]                   # best post word per claim word
-                rec = np.add.reduceat(nmax * wcnt, offs) / clen
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    f1 = np.where(prec + rec != 0, 2 * prec * rec / np.where(prec + rec != 0, prec + rec, 1), np.nan)
-                key = {"f1": f1, "precision": prec, "recall": rec}[order_by]
-                key = np.where(np.isnan(key), -np.inf, key)
-                pick = _row_topk(key[None, :], cids_, k)[0]
-                out_p += [pid] * len(pick)
-                out_c += list(cids_[pick])
-                out_pr += list(prec[pick])
-                out_rc += list(rec[pick])
-                out_f += list(f1[pick])
-            yield pd.DataFrame({post_id: np.array(out_p, dtype=np.int64) if ptype == "bigint" else out_p,
-                                claim_id: out_c, "precision": out_pr, "recall": out_rc,
-                                "f1": pd.array(out_f, dtype="float64")})
-
-    res = pgroups.mapInPandas(score, schema)
-    return (res.withColumn("f1", F.when(F.isnan("f1"), F.lit(None)).otherwise(F.col("f1")))
-               .transform(lambda d: top_k(d, post_id, [score_key(F.coalesce(F.col(order_by), F.lit(float("-inf")))).desc(),
-                                                       F.col(claim_id).asc()], k)))
+                p_, r_, f_ = _softmatch_one(toks, cat)
+                pids.append(pid)
+                prs.append(p_)
+                rcs.append(r_)
+                fs.append(f_)
+            P, Rm, F1 = np.vstack(prs), np.vstack(rcs), np.vstack(fs)
+            key = {"f1": F1, "precision": P, "recall": Rm}[order_by]
+            key = np.where(np.isnan(key), -np.inf, key)
+            pids = np.asarray(pids)
+            if per == "post":
+                pick = _row_topk(key, cids_, k)
+                ri = np.repeat(np.arange(len(pids)), [len(x) for x in pick])
+                ci = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
+            else:
+                r = np.round(key, 9)
+                kk = min(k, r.shape[0])
+                kth = -np.partition(-r, kk - 1, axis=0)[kk - 1, :]
+                ri, ci = np.nonzero(r >= kth[None, :])
+            yield pd.DataFrame({post_id: pids[ri], claim_id: cids_[ci], "precision": P[ri, ci],
+                                "recall": Rm[ri, ci], "f1": F1[ri, ci]})
+
+    res = pgroups.withColumnRenamed("id", "id").mapInPandas(score, schema)
+    res = res.withColumn("f1", F.when(F.isnan("f1"), F.lit(None)).otherwise(F.col("f1")))
+    if per == "post":
+        return top_k(res, post_id, [score_key(F.coalesce(F.col(order_by), F.lit(float("-inf")))).desc(),
+                                    F.col(claim_id).asc()], k)
+    return res

@@ -484,3 +484,54 @@ def config_overlay(spark, sf):
     overrides = c.select("entity", F.explode(F.create_map(F.lit("status"), F.col("status"),
                                                           F.lit("segment"), F.col("segment"))).alias("key", "value"))
     return IG.overlay(defaults, overrides).select(F.col("entity").cast("bigint"), "key", "value")
+
+
+# ------------------------------------------------- variations / readable
+from claimspark.operators.common import top_k as _top_k  # noqa: E402
+
+
+@register("topk_posts_per_claim")
+def topk_posts_per_claim(spark, sf):
+    """RET-09 / TOP-02: for every claim variation the 5 posts with the best
+    soft-match F1 (ties: post text descending, then id)."""
+    var = FX.variations(spark, sf)
+    wv = FX.word_vectors(spark, sf, word_tokens)
+    posts = FX.posts(spark, sf)
+    cand = VS.token_softmatch_top_k(posts, var, wv, post_id="input_id", claim_id="vid",
+                                    claim_text="line", per="claim", k=5)
+    cand = cand.join(posts.select("input_id", F.col("text").alias("tweet")), "input_id")
+    top = _top_k(cand, "vid", [F.round(F.coalesce("f1", F.lit(float("-inf"))), 9).desc(),
+                               F.col("tweet").desc(), F.col("input_id").asc()], 5)
+    return (top.join(var, "vid")
+               .select(F.col("item_id").alias("id"), "var_idx", F.col("line").alias("pos_variation"),
+                       "input_id", "tweet", F.round("f1", 6).alias("score"), "rank"))
+
+
+@register("best_variation_per_claim")
+def best_variation_per_claim(spark, sf):
+    """RET-10 + TOP-04: TF-IDF of every post against every variation; a
+    claim scores its best variation; the best claim per post (max_by)."""
+    var = FX.variations(spark, sf)
+    s = R.tfidf_cosine(FX.posts(spark, sf), var, post_id="input_id", claim_id="vid", text="text",
+                       claim_text="line")
+    s = s.join(F.broadcast(var.select("vid", "item_id", "var_idx")), "vid")
+    best = s.groupBy("input_id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("item_id")).alias("ni"),
+                                                    (-F.col("var_idx")).alias("nv"), F.col("score").alias("raw"))).alias("b"))
+    return best.select("input_id", (-F.col("b.ni")).alias("misinfo_id"), (-F.col("b.nv")).alias("var_idx"),
+                       F.round("b.raw", 6).alias("confidence"))
+
+
+@register("readable_predictions")
+def readable_predictions(spark, sf):
+    """RET-07 / PRJ-08: per post {input, relevant, predictions[{score,
+    claim}]} (top 5 by TF-IDF), exploded back to rows."""
+    top = R.top_claims(FX.tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=5)
+    cl = FX.table(spark, sf, "benchmark").select(F.col("item_id").alias("misinfo_id"), F.col("text").alias("claim"))
+    nested = (top.join(F.broadcast(cl), "misinfo_id")
+                 .groupBy("input_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").alias("misinformation_score"),
+                                                           "misinfo_id", "claim"))).alias("predictions"))
+                 .withColumn("relevant", F.col("predictions")[0]["misinformation_score"] >= 0.4))
+    return nested.select("input_id", "relevant", F.inline("predictions")) \
+        .select("input_id", "relevant", "rank", "misinfo_id",
+                F.round("misinformation_score", 6).alias("misinformation_score"), "claim")

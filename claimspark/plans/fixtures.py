@@ -213,3 +213,12 @@ def articles(spark, sf) -> DataFrame:
         F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("category"),
         host.alias("host"), F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"), "html",
         F.when(F.col("url").contains("#"), F.lit(500)).alias("errorCode"))
+
+
+def variations(spark, sf) -> DataFrame:
+    """RET-10: one row per positive variation with a dense variation id."""
+    from claimspark.operators.ingest import dense_ids
+    from claimspark.operators.retrieval import explode_variations
+    v = explode_variations(claims(spark, sf), id_col="id").select(
+        F.col("id").alias("item_id"), F.col("var_idx").cast("bigint"), F.col("variation").alias("line"))
+    return dense_ids(v, ["item_id", "var_idx"], 0, "vid")

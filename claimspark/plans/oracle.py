@@ -413,3 +413,53 @@ o AS (SELECT entity, 'status' AS key, status AS value FROM c UNION ALL SELECT en
 o2 AS (SELECT * FROM o WHERE value IS NOT NULL AND value <> '')
 SELECT CAST(coalesce(d.entity, o2.entity) AS BIGINT) AS entity, coalesce(d.key, o2.key) AS key,
   coalesce(o2.value, d.value) AS value FROM d FULL OUTER JOIN o2 ON d.entity = o2.entity AND d.key = o2.key"""
+
+
+# ------------------------------------------------- variations / readable
+_VARS = CLAIMS + """,
+vars AS (SELECT id AS item_id, CAST(generate_subscripts(pos_variations, 1) - 1 AS BIGINT) AS var_idx,
+                unnest(pos_variations) AS line FROM claims)"""
+
+ORACLE["topk_posts_per_claim"] = "WITH " + _wv(tokens("text"), tokens("text")) + "," + _VARS + f""",
+pc AS (SELECT t.doc_id, wv.vec_id, count(*) AS cnt FROM (SELECT doc_id, unnest({tokens('text')}) AS word FROM documents) t
+       JOIN wv ON wv.word = t.word GROUP BY ALL),
+cc AS (SELECT t.item_id, t.var_idx, wv.vec_id, count(*) AS cnt FROM (SELECT item_id, var_idx, unnest({tokens('line')}) AS word FROM vars) t
+       JOIN wv ON wv.word = t.word GROUP BY ALL),
+pv AS (SELECT DISTINCT vec_id FROM pc), cv AS (SELECT DISTINCT vec_id FROM cc),
+sim AS (SELECT a.vec_id AS pv, b.vec_id AS cv,
+          list_dot_product(ea.e, eb.e) / sqrt(list_dot_product(ea.e, ea.e) * list_dot_product(eb.e, eb.e)) AS s
+        FROM pv a CROSS JOIN cv b JOIN ev ea ON ea.vec_id = a.vec_id JOIN ev eb ON eb.vec_id = b.vec_id),
+m AS (SELECT sim.pv, cc.item_id, cc.var_idx, max(sim.s) AS m FROM sim JOIN cc ON cc.vec_id = sim.cv GROUP BY ALL),
+p AS (SELECT pc.doc_id, m.item_id, m.var_idx, sum(pc.cnt * m.m) / sum(pc.cnt) AS p FROM pc JOIN m ON m.pv = pc.vec_id GROUP BY ALL),
+nx AS (SELECT pc.doc_id, sim.cv, max(sim.s) AS nmax FROM pc JOIN sim ON sim.pv = pc.vec_id GROUP BY ALL),
+r AS (SELECT nx.doc_id, cc.item_id, cc.var_idx, sum(cc.cnt * nx.nmax) / sum(cc.cnt) AS r FROM nx JOIN cc ON cc.vec_id = nx.cv GROUP BY ALL),
+prf AS (SELECT p.doc_id, p.item_id, p.var_idx, CASE WHEN p.p + r.r = 0 THEN NULL ELSE 2 * p.p * r.r / (p.p + r.r) END AS f1
+        FROM p JOIN r ON r.doc_id = p.doc_id AND r.item_id = p.item_id AND r.var_idx = p.var_idx),
+ranked AS (SELECT prf.*, d.text AS tweet, row_number() OVER (PARTITION BY prf.item_id, prf.var_idx
+             ORDER BY round(coalesce(f1, '-inf'::DOUBLE), 9) DESC, d.text DESC, prf.doc_id) AS rank
+           FROM prf JOIN documents d ON d.doc_id = prf.doc_id)
+SELECT k.item_id AS id, k.var_idx, v.line AS pos_variation, k.doc_id AS input_id, k.tweet, round(k.f1, 6) AS score, k.rank
+FROM ranked k JOIN vars v ON v.item_id = k.item_id AND v.var_idx = k.var_idx WHERE k.rank <= 5"""
+
+ORACLE["best_variation_per_claim"] = "WITH " + _VARS + f""",
+vt AS (SELECT item_id, var_idx, tok, count(*) AS tf FROM (SELECT item_id, var_idx, unnest({tokens('line')}) AS tok FROM vars) GROUP BY ALL),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM vars),
+dfm AS (SELECT tok, count(*) AS df FROM vt GROUP BY tok),
+pt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents) GROUP BY ALL),
+pi AS (SELECT p.doc_id, p.tok, p.tf, ln((n.n + 2) / (2 + coalesce(d.df, 0))) + 1 AS i1 FROM pt p LEFT JOIN dfm d ON p.tok = d.tok CROSS JOIN n),
+pn AS (SELECT doc_id, sum(tf * tf * i1 * i1) AS nn FROM pi GROUP BY doc_id),
+mb AS (SELECT m.item_id, m.var_idx, sum(m.tf * m.tf * power(ln((n.n + 2) / (1 + d.df)) + 1, 2)) AS bb
+       FROM vt m JOIN dfm d ON m.tok = d.tok CROSS JOIN n GROUP BY ALL),
+hit AS (SELECT p.doc_id, m.item_id, m.var_idx, sum(p.tf * m.tf * p.i1 * p.i1) AS dot,
+        sum(m.tf * m.tf * (p.i1 * p.i1 - power(ln((n.n + 2) / (1 + d.df)) + 1, 2))) AS corr
+        FROM pi p JOIN vt m ON p.tok = m.tok JOIN dfm d ON d.tok = m.tok CROSS JOIN n GROUP BY ALL),
+sc AS (SELECT h.doc_id, h.item_id, h.var_idx, h.dot / sqrt(pn.nn * (mb.bb + h.corr)) AS score
+       FROM hit h JOIN pn ON pn.doc_id = h.doc_id JOIN mb ON mb.item_id = h.item_id AND mb.var_idx = h.var_idx)
+SELECT doc_id AS input_id, item_id AS misinfo_id, var_idx, round(score, 6) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id, var_idx) AS rk FROM sc) WHERE rk = 1"""
+
+ORACLE["readable_predictions"] = "WITH " + TFIDF + """
+SELECT s.doc_id AS input_id, first_value(round(s.score, 9)) OVER (PARTITION BY s.doc_id ORDER BY s.rank) >= 0.4 AS relevant,
+  s.rank, s.item_id AS misinfo_id, round(s.score, 6) AS misinformation_score, b.text AS claim
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM tfidf_sc) s
+JOIN benchmark b ON b.item_id = s.item_id WHERE s.rank <= 5"""
