@@ -13,6 +13,8 @@ merged by a window.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,26 +31,67 @@ MAX_BROADCAST_BYTES = 256 << 20
 
 
 # ----------------------------------------------------------------- averages
-def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens) -> DataFrame:
-    """(id, word, cnt) after repartitioning the texts by id."""
-    return (df.select(F.col(id_col).alias("id"), F.col(text)).repartition("id")
-              .select("id", F.explode(tokenizer(F.col(text))).alias("word"))
-              .groupBy("id", "word").agg(F.count(F.lit(1)).alias("cnt")))
+def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens, word_key=None) -> DataFrame:
+    """(id, word, cnt) after repartitioning the texts by id.  With
+    ``word_key`` (a function Column -> Column) tokens are first mapped to a
+    vocabulary key (NULL = out of vocabulary) and counted per key."""
+    toks = (df.select(F.col(id_col).alias("id"), F.col(text)).repartition("id")
+              .select("id", F.explode(tokenizer(F.col(text))).alias("word")))
+    if word_key is not None:
+        toks = toks.select("id", word_key(F.col("word")).alias("word")).filter(F.col("word").isNotNull())
+    return toks.groupBy("id", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _vocab_size(vectors: DataFrame, vec: str) -> tuple[int, int]:
+    r = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    return int(r["n"]), int(r["d"] or 0)
+
+
+def _collect_vocab(vectors: DataFrame, word: str, vec: str):
+    pdf = vectors.select(word, vec).toPandas()
+    mat = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[vec]]) if len(pdf) else np.zeros((0, 0))
+    return pdf[word].tolist(), mat
 
 
 def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str = "text",
-                    tokenizer=glove_tokens, word: str = "word", vec: str = "vec") -> DataFrame:
+                    tokenizer=glove_tokens, word: str = "word", vec: str = "vec",
+                    word_key=None) -> DataFrame:
     """RET-02 encoder (AGG-09 + JOIN-10): element-wise mean of the vectors
     of the in-vocabulary tokens (out-of-vocabulary tokens dropped); a text
-    without any known token gets the zero vector.  The weighted mean runs
-    through MLlib's ``Summarizer`` so the element-wise sum stays JVM-side
-    with map-side partial aggregation."""
-    counts = token_counts(df, id_col, text, tokenizer)
-    v = vectors.select(F.col(word).alias("word"), array_to_vector(F.col(vec)).alias("v"))
-    means = (counts.join(v, "word")
-                   .groupBy("id").agg(Summarizer.mean(F.col("v"), F.col("cnt").cast("double")).alias("m"))
-                   .select("id", vector_to_array("m").alias("vec")))
-    d = vectors.select(F.size(vec).alias("d")).first()["d"]
+    without any known token gets the zero vector.
+
+    A vocabulary that fits one broadcast (size-checked) is shipped as a
+    numpy matrix: token counts are joined to row indices of that matrix and
+    averaged per text with one matrix product per Arrow batch.  A larger
+    vocabulary is joined by Spark (shuffle join) and averaged JVM-side with
+    MLlib's ``Summarizer`` (weighted mean, map-side partial aggregation).
+    """
+    spark = df.sparkSession
+    counts = token_counts(df, id_col, text, tokenizer, word_key)
+    n, d = _vocab_size(vectors, vec)
+    idtype = df.schema[id_col].dataType.simpleString()
+    if n * d * 8 <= MAX_BROADCAST_BYTES:
+        words, mat = _collect_vocab(vectors, word, vec)
+        bc = spark.sparkContext.broadcast(mat)
+        index = spark.createDataFrame([(w, i) for i, w in enumerate(words)],
+                                      f"word {vectors.schema[word].dataType.simpleString()}, vidx int")
+        groups = (counts.join(F.broadcast(index), "word")
+                  .groupBy("id").agg(F.collect_list("vidx").alias("vidx"), F.collect_list("cnt").alias("cnt")))
+
+        def mean_blocks(batches):
+            m = bc.value
+            for pdf in batches:
+                out = []
+                for vi, c in zip(pdf["vidx"], pdf["cnt"]):
+                    w = np.asarray(c, dtype=np.float64)
+                    out.append((w @ m[np.asarray(vi, dtype=np.int64)]) / w.sum())
+                yield pd.DataFrame({"id": pdf["id"], "vec": out})
+        means = groups.mapInPandas(mean_blocks, f"id {idtype}, vec array<double>")
+    else:
+        v = vectors.select(F.col(word).alias("word"), array_to_vector(F.col(vec)).alias("v"))
+        means = (counts.join(v, "word")
+                       .groupBy("id").agg(Summarizer.mean(F.col("v"), F.col("cnt").cast("double")).alias("m"))
+                       .select("id", vector_to_array("m").alias("vec")))
     return (df.select(F.col(id_col).alias("id")).join(means, "id", "left")
               .select(F.col("id").alias(id_col),
                       F.coalesce(F.col("vec"), F.array_repeat(F.lit(0.0), d)).alias("vec")))
@@ -138,11 +181,12 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
 
 
 # ---------------------------------------------------------- soft matching
-def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_text: str, tokenizer):
+def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_text: str, tokenizer,
+                         word_key=None):
     """Claim side of soft matching as numpy: distinct claim words x dim
     (unit rows), and per claim its word indices and counts.  Size-checked
     before collection (distinct words x dim x 8 bytes)."""
-    ccounts = token_counts(claims, claim_id, claim_text, tokenizer).join(v, "word")
+    ccounts = token_counts(claims, claim_id, claim_text, tokenizer, word_key).join(v, "word")
     stats = ccounts.agg(F.count_distinct("word").alias("w"), F.max(F.size("vec")).alias("d")).first()
     if (stats["w"] or 0) * (stats["d"] or 0) * 8 > MAX_BROADCAST_BYTES:
         raise ValueError("claim vocabulary above the broadcast limit; split the claim set")
@@ -157,69 +201,125 @@ def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_t
     return (cids, offsets, cl["w"].to_numpy().astype(np.int64), cl["cnt"].to_numpy().astype(np.float64), ymat)
 
 
-def _softmatch_one(toks, cat):
-    """P, R, F1 of one post (list of (cnt, vec)) against every claim."""
-    cids_, offs, widx_, wcnt, y = cat
-    cnt = np.array([t["cnt"] for t in toks], dtype=np.float64)
-    x = _unit(np.stack([np.asarray(t["vec"], dtype=np.float64) for t in toks]))
-    s = x @ y.T                                   # distinct post words x claim words
-    m = np.maximum.reduceat(s[:, widx_], offs, axis=1)   # best claim word per post word, per claim
-    prec = (cnt @ m) / cnt.sum()
-    nmax = s.max(axis=0)[widx_]                   # best post word per claim word
-    rec = np.add.reduceat(nmax * wcnt, offs) / np.add.reduceat(wcnt, offs)
+_PREP_CACHE: dict = {}
+
+
+def _vocab_prep(bc):
+    """Per Python worker, once per broadcast: similarity of every vocabulary
+    vector to every distinct claim vector (V x Vc) and its per-claim maxima
+    (V x N).  Cached across tasks of the reused worker."""
+    key, v, cv, loc, offs, ccnt, cids = bc.value
+    if key not in _PREP_CACHE:
+        simc = v @ v[cv].T
+        m = np.maximum.reduceat(simc[:, loc], offs, axis=1)
+        _PREP_CACHE.clear()
+        _PREP_CACHE[key] = (simc, m, loc, offs, ccnt, np.add.reduceat(ccnt, offs), cids)
+    return _PREP_CACHE[key]
+
+
+def _f1(prec, rec):
     den = prec + rec
     with np.errstate(invalid="ignore", divide="ignore"):
-        f1 = np.where(den != 0, 2 * prec * rec / np.where(den != 0, den, 1.0), np.nan)
-    return prec, rec, f1
+        return np.where(den != 0, 2 * prec * rec / np.where(den != 0, den, 1.0), np.nan)
 
 
 def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *, post_id: str,
                           claim_id: str, text: str = "text", claim_text: str | None = None,
                           tokenizer=None, k: int = 5, order_by: str = "f1", per: str = "post",
-                          word: str = "word", vec: str = "vec") -> DataFrame:
+                          word: str = "word", vec: str = "vec", word_key=None) -> DataFrame:
     """RET-04 / RET-09: token-level soft matching of every post against
     every claim.
 
     With unit token vectors x (post) and y (claim):
     ``P = mean_x max_y x.y``, ``R = mean_y max_x x.y``, ``F1 = 2PR/(P+R)``;
     out-of-vocabulary tokens are dropped, a side without tokens gives no
-    row.  Posts are grouped with their (bounded) distinct-word vectors; the
-    claim side is one size-checked broadcast.  ``per='post'`` keeps the best
-    ``k`` claims of each post; ``per='claim'`` keeps, inside each Arrow
-    batch, the best ``k`` posts of each claim (ties at the boundary kept) --
-    a distributed bounded heap -- and returns these candidates for a final
-    window (P, R and F1 always returned).
+    row.  ``per='post'`` keeps the best ``k`` claims of each post;
+    ``per='claim'`` keeps, inside each Arrow batch, the best ``k`` posts of
+    each claim (ties at the boundary kept) -- a distributed bounded heap --
+    and returns these candidates for a final window.  P, R and F1 are always
+    returned.
+
+    Two plans, chosen by size checks:
+
+    * vocabulary plan -- the word-vector table fits one broadcast and so does
+      vocabulary x distinct-claim-vector similarity: each worker computes
+      that similarity once; a post then costs one gather over its distinct
+      words.  Posts ship only (vocabulary index, count) arrays.
+    * general plan -- posts carry their distinct-word vectors (Spark join on
+      the word), the claim side (distinct claim words x dim) is broadcast and
+      each post is scored with one BLAS product.
     """
     from claimspark.functions.text import word_tokens
     tokenizer = tokenizer or word_tokens
     claim_text = claim_text or text
     spark = posts.sparkSession
-    v = vectors.select(F.col(word).alias("word"), F.col(vec).alias("vec"))
-    bc = spark.sparkContext.broadcast(_softmatch_catalogue(claims, v, claim_id, claim_text, tokenizer))
-
-    pgroups = (token_counts(posts, post_id, text, tokenizer).join(v, "word")
-               .groupBy("id").agg(F.collect_list(F.struct("cnt", "vec")).alias("toks")))
     ptype = posts.schema[post_id].dataType.simpleString()
     ctype = claims.schema[claim_id].dataType.simpleString()
     schema = f"{post_id} {ptype}, {claim_id} {ctype}, precision double, recall double, f1 double"
+    n_vocab, dim = _vocab_size(vectors, vec)
+    wtype = vectors.schema[word].dataType.simpleString()
+
+    plan = "general"
+    if n_vocab * dim * 8 <= MAX_BROADCAST_BYTES:
+        words, vmat = _collect_vocab(vectors, word, vec)
+        index = spark.createDataFrame([(w, i) for i, w in enumerate(words)], f"word {wtype}, vidx int")
+        cc = (token_counts(claims, claim_id, claim_text, tokenizer, word_key)
+              .join(F.broadcast(index), "word").select("id", "vidx", "cnt").toPandas()
+              .sort_values(["id", "vidx"]))
+        cv, loc = np.unique(cc["vidx"].to_numpy(), return_inverse=True)
+        if n_vocab * max(len(cv), 1) * 8 <= MAX_BROADCAST_BYTES:
+            plan = "vocab"
+            cids = cc["id"].drop_duplicates().to_numpy()
+            offs = np.searchsorted(cc["id"].to_numpy(), cids)
+            bc = spark.sparkContext.broadcast((uuid.uuid4().hex, _unit(vmat), cv, loc.astype(np.int64), offs,
+                                               cc["cnt"].to_numpy().astype(np.float64), cids))
+            pgroups = (token_counts(posts, post_id, text, tokenizer, word_key)
+                       .join(F.broadcast(index), "word")
+                       .groupBy("id").agg(F.collect_list("vidx").alias("vidx"), F.collect_list("cnt").alias("cnt")))
+
+            def scorer_factory():
+                simc, m, loc_, offs_, ccnt, clen, cids_ = _vocab_prep(bc)
+
+                def one(row):
+                    vi = np.asarray(row["vidx"], dtype=np.int64)
+                    w = np.asarray(row["cnt"], dtype=np.float64)
+                    prec = (w @ m[vi]) / w.sum()
+                    nmax = simc[vi].max(axis=0)[loc_]
+                    rec = np.add.reduceat(nmax * ccnt, offs_) / clen
+                    return prec, rec
+                return one, cids_
+    if plan == "general":
+        v = vectors.select(F.col(word).alias("word"), F.col(vec).alias("vec"))
+        cat = _softmatch_catalogue(claims, v, claim_id, claim_text, tokenizer, word_key)
+        bc = spark.sparkContext.broadcast(cat)
+        pgroups = (token_counts(posts, post_id, text, tokenizer, word_key).join(v, "word")
+                   .groupBy("id").agg(F.collect_list("cnt").alias("cnt"), F.flatten(F.collect_list("vec")).alias("vecs")))
+
+        def scorer_factory():
+            cids_, offs_, widx_, wcnt, y = bc.value
+            clen = np.add.reduceat(wcnt, offs_)
+
+            def one(row):
+                w = np.asarray(row["cnt"], dtype=np.float64)
+                x = _unit(np.asarray(row["vecs"], dtype=np.float64).reshape(len(w), -1))
+                sim = x @ y.T
+                prec = (w @ np.maximum.reduceat(sim[:, widx_], offs_, axis=1)) / w.sum()
+                rec = np.add.reduceat(sim.max(axis=0)[widx_] * wcnt, offs_) / clen
+                return prec, rec
+            return one, cids_
 
     def score(batches):
-        cat = bc.value
-        cids_ = cat[0]
+        one, cids_ = scorer_factory()
         for pdf in batches:
             if pdf.empty:
                 continue
-            pids, prs, rcs, fs = [], [], [], []
-            for pid, toks in zip(pdf["id"], pdf["toks"]):
-                p_, r_, f_ = _softmatch_one(toks, cat)
-                pids.append(pid)
-                prs.append(p_)
-                rcs.append(r_)
-                fs.append(f_)
-            P, Rm, F1 = np.vstack(prs), np.vstack(rcs), np.vstack(fs)
+            res = [one(r) for _, r in pdf.iterrows()]
+            P = np.vstack([r[0] for r in res])
+            Rm = np.vstack([r[1] for r in res])
+            F1 = _f1(P, Rm)
             key = {"f1": F1, "precision": P, "recall": Rm}[order_by]
             key = np.where(np.isnan(key), -np.inf, key)
-            pids = np.asarray(pids)
+            pids = pdf["id"].to_numpy()
             if per == "post":
                 pick = _row_topk(key, cids_, k)
                 ri = np.repeat(np.arange(len(pids)), [len(x) for x in pick])
@@ -232,7 +332,7 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
             yield pd.DataFrame({post_id: pids[ri], claim_id: cids_[ci], "precision": P[ri, ci],
                                 "recall": Rm[ri, ci], "f1": F1[ri, ci]})
 
-    res = pgroups.withColumnRenamed("id", "id").mapInPandas(score, schema)
+    res = pgroups.mapInPandas(score, schema)
     res = res.withColumn("f1", F.when(F.isnan("f1"), F.lit(None)).otherwise(F.col("f1")))
     if per == "post":
         return top_k(res, post_id, [score_key(F.coalesce(F.col(order_by), F.lit(float("-inf")))).desc(),

@@ -100,9 +100,10 @@ from claimspark.operators import vector_search as VS  # noqa: E402
 @register("wordvec_cosine_top5")
 def wordvec_cosine_top5(spark, sf):
     """RET-02: averaged word vectors (FN-01 tokens), cosine, top 5 claims."""
-    wv = FX.word_vectors(spark, sf, glove_tokens)
-    pm = VS.wordvec_average(FX.posts(spark, sf), wv, id_col="input_id")
-    cm = VS.wordvec_average(FX.table(spark, sf, "benchmark"), wv, id_col="item_id")
+    wv, key = FX.word_vectors(spark, sf)
+    pm = VS.wordvec_average(FX.posts(spark, sf), wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    cm = VS.wordvec_average(FX.table(spark, sf, "benchmark"), wv, id_col="item_id", tokenizer=glove_tokens,
+                            word_key=key)
     top = VS.cosine_top_k(pm, cm, q_id="input_id", c_id="item_id", k=5)
     return top.select("input_id", F.col("item_id").alias("misinfo_id"),
                       F.round("score", 6).alias("confidence"), "rank")
@@ -121,9 +122,9 @@ def embedding_cosine_top5(spark, sf):
 def token_softmatch_prf(spark, sf):
     """RET-04: soft precision / recall / F1 of whole posts against whole
     claims with word-vector tokens; best 5 claims per post by F1."""
-    wv = FX.word_vectors(spark, sf, word_tokens)
+    wv, key = FX.word_vectors(spark, sf)
     top = VS.token_softmatch_top_k(FX.posts(spark, sf), FX.table(spark, sf, "benchmark"), wv,
-                                   post_id="input_id", claim_id="item_id", k=5)
+                                   post_id="input_id", claim_id="item_id", k=5, word_key=key)
     return top.select("input_id", F.col("item_id").alias("misinfo_id"),
                       F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
                       F.round("f1", 6).alias("f1"), "rank")
@@ -495,10 +496,10 @@ def topk_posts_per_claim(spark, sf):
     """RET-09 / TOP-02: for every claim variation the 5 posts with the best
     soft-match F1 (ties: post text descending, then id)."""
     var = FX.variations(spark, sf)
-    wv = FX.word_vectors(spark, sf, word_tokens)
+    wv, key = FX.word_vectors(spark, sf)
     posts = FX.posts(spark, sf)
     cand = VS.token_softmatch_top_k(posts, var, wv, post_id="input_id", claim_id="vid",
-                                    claim_text="line", per="claim", k=5)
+                                    claim_text="line", per="claim", k=5, word_key=key)
     cand = cand.join(posts.select("input_id", F.col("text").alias("tweet")), "input_id")
     top = _top_k(cand, "vid", [F.round(F.coalesce("f1", F.lit(float("-inf"))), 9).desc(),
                                F.col("tweet").desc(), F.col("input_id").asc()], 5)

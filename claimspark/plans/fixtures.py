@@ -91,29 +91,28 @@ def stance_preds(spark, sf) -> DataFrame:
                      (hash_mod(F.concat(key, F.lit("c")), 100) / 100.0).alias("confidence")))
 
 
-def word_vectors(spark, sf, tokenizer) -> DataFrame:
-    """Word-vector file stand-in: every distinct token of documents and
-    benchmark (by ``tokenizer``) gets the embedding row h(token) % n_vec;
-    tokens with h(token) % 7 = 0 are out of vocabulary."""
+def word_vectors(spark, sf):
+    """Word-vector file stand-in, keyed by a hashing vocabulary: a token's
+    vector is embedding row h(token) % n_vec; tokens with h(token) % 7 = 0
+    are out of vocabulary.  Returns (vectors(word=vec_id, vec), word_key)
+    where ``word_key`` maps a token Column to its vocabulary key (NULL when
+    out of vocabulary)."""
     n_vec = n_rows(spark, sf, "embeddings")
-    words = (table(spark, sf, "documents").select(F.explode(tokenizer(F.col("text"))).alias("word"))
-             .unionByName(table(spark, sf, "benchmark").select(F.explode(tokenizer(F.col("text"))).alias("word")))
-             .distinct()
-             .filter(hash_mod(F.col("word"), 7) != 0)
-             .withColumn("vec_id", hash_mod(F.col("word"), n_vec)))
-    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return words.join(emb, "vec_id").select("word", "vec")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"))
+
+    def word_key(w):
+        return F.when(hash_mod(w, 7) != 0, hash_mod(w, n_vec))
+    return vectors, word_key
 
 
 def sentence_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Sentence encoder stand-in: mean-pooled word vectors (AGG-10) of every
     post and every claim -> (input_id, vec), (misinfo_id, vec)."""
-    from claimspark.functions.text import glove_tokens
     from claimspark.operators.vector_search import wordvec_average
-    wv = word_vectors(spark, sf, glove_tokens)
-    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id")
+    wv, key = word_vectors(spark, sf)
+    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id", word_key=key)
     cv = wordvec_average(table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
-                         wv, id_col="misinfo_id")
+                         wv, id_col="misinfo_id", word_key=key)
     return pv, cv
 
 
