@@ -101,7 +101,8 @@ def word_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"))
 
     def word_key(w):
-        return F.when(hash_mod(w, 7) != 0, hash_mod(w, n_vec))
+        h = hash32(w)
+        return F.when(h % 7 != 0, h % n_vec)
     return vectors, word_key
 
 
