@@ -536,3 +536,91 @@ def readable_predictions(spark, sf):
     return nested.select("input_id", "relevant", F.inline("predictions")) \
         .select("input_id", "relevant", "rank", "misinfo_id",
                 F.round("misinformation_score", 6).alias("misinformation_score"), "claim")
+
+
+# ---------------------------------------------------------- training sets
+from claimspark.functions.misc import NLI_CODES  # noqa: E402
+from claimspark.operators import training as TR  # noqa: E402
+
+
+def _sets_str(col):
+    return F.array_join(F.transform(col, lambda s: F.array_join(s.cast("array<string>"), ",")), ";")
+
+
+@register("fever_convert")
+def fever_convert(spark, sf):
+    """TRN-01: FEVER claims + wiki pages -> sentences and evidence indices."""
+    c = TR.fever_convert(FX.fever_claims(spark, sf), FX.wiki(spark, sf))
+    return c.select("id", "claim", "label", F.size("sentences").cast("bigint").alias("n_sentences"),
+                    F.md5(F.array_join("sentences", "\n")).alias("sentences_md5"),
+                    _sets_str(F.col("evidence_sets")).alias("evidence_sets"))
+
+
+@register("fever_examples")
+def fever_examples(spark, sf):
+    """TRN-02: training pairs from the converted FEVER set (seeded samples)."""
+    c = TR.fever_convert(FX.fever_claims(spark, sf), FX.wiki(spark, sf))
+    e = TR.fever_examples(c, seed="fever", neg_sample=True)
+    return e.select("id", "kind", F.col("set_idx").cast("bigint"), "rationale", F.col("label").cast("bigint"))
+
+
+@register("scifact_examples")
+def scifact_examples(spark, sf):
+    """TRN-03: SciFact training pairs."""
+    corpus, claims = FX.scifact(spark, sf)
+    e = TR.scifact_examples(corpus, claims, seed="scifact")
+    return e.select("claim_id", "doc_id", "kind", F.col("set_idx").cast("bigint"), "rationale",
+                    F.col("label").cast("bigint"))
+
+
+@register("nli_examples")
+def nli_examples(spark, sf):
+    """TRN-04: NLI pairs with the three gold labels, coded."""
+    e = TR.nli_examples(FX.nli_pairs(spark, sf), NLI_CODES)
+    return e.select("conv_id", "turn", "sentence1", "sentence2", "label")
+
+
+@register("batch_mean_accuracy")
+def batch_mean_accuracy(spark, sf):
+    """AGG-14: exact accuracy vs the mean of per-batch accuracies (batches
+    of 32 examples in (conv_id, turn) order) of a simulated predictor."""
+    e = TR.nli_examples(FX.nli_pairs(spark, sf), NLI_CODES)
+    e = e.withColumn("correct", ((FX._h(F.col("conv_id"), F.col("turn"), "p") % 3) == F.col("label")).cast("double"))
+    pos = IG.dense_ids(e.select("conv_id", "turn", "correct"), ["conv_id", "turn"], 0, "pos")
+    b = pos.groupBy(F.floor((F.col("pos") - 1) / 32).alias("batch")).agg(
+        F.avg("correct").alias("acc"), F.count(F.lit(1)).alias("n"))
+    return b.agg(F.sum("n").cast("bigint").alias("n_examples"), F.count(F.lit(1)).alias("n_batches"),
+                 F.round(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), 6).alias("exact_accuracy"),
+                 F.round(F.avg("acc"), 6).alias("batch_mean_accuracy"))
+
+
+@register("retriever_training_set")
+def retriever_training_set(spark, sf):
+    """TRN-05: per source title its posts as positives and half as many
+    seeded negatives from the whole pool (long form)."""
+    d = FX.table(spark, sf, "documents")
+    r = TR.retriever_set(d, question="source", ctx_id="doc_id", text="text", neg_scale=0.5, seed="dpr")
+    return r.select("question", "kind", "ctx_idx", "ctx_id", "text")
+
+
+@register("seeded_split")
+def seeded_split(spark, sf):
+    """TRN-06: seeded shuffle of the posts over 4 workers."""
+    return TR.seeded_split(FX.table(spark, sf, "documents"), "doc_id", 4, seed="split")
+
+
+@register("vocab_min_count")
+def vocab_min_count(spark, sf):
+    """AGG-19: token vocabulary (count >= 2) of the NLI sentences."""
+    e = TR.nli_examples(FX.nli_pairs(spark, sf), NLI_CODES)
+    toks = e.select(F.explode(F.concat(glove_tokens("sentence1"), glove_tokens("sentence2"))).alias("token"))
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= 2)
+
+
+@register("bigram_df")
+def bigram_df(spark, sf):
+    """AGG-11 / FN-03: document frequency of word uni- and bigrams, min df 2."""
+    from claimspark.functions.text import word_ngrams
+    d = FX.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    terms = d.select("doc_id", F.explode(F.array_distinct(word_ngrams(word_tokens("text"), 2))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 2)

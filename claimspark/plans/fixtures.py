@@ -7,7 +7,7 @@ tables.  The DuckDB twins live in ``plans.sqlfix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import hash32, hash_mod
@@ -222,3 +222,70 @@ def variations(spark, sf) -> DataFrame:
     v = explode_variations(claims(spark, sf), id_col="id").select(
         F.col("id").alias("item_id"), F.col("var_idx").cast("bigint"), F.col("variation").alias("line"))
     return dense_ids(v, ["item_id", "var_idx"], 0, "vid")
+
+
+# ------------------------------------------------------- training inputs
+def _h(*parts) -> Column:
+    return hash32(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+
+
+def wiki(spark, sf) -> DataFrame:
+    """wiki dump: id = string(doc_id); lines = 'i<TAB>line' joined by newlines."""
+    d = table(spark, sf, "documents")
+    numbered = F.transform(F.split(F.col("text"), "\n"), lambda l, i: F.concat(i.cast("string"), F.lit("\t"), l))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.array_join(numbered, "\n").alias("lines"))
+
+
+def fever_claims(spark, sf) -> DataFrame:
+    """FEVER claims from benchmark: two evidence sets of 1-2 (page, line);
+    pages drawn from 1.05 x the number of documents, so some are missing."""
+    n_pages = n_rows(spark, sf, "documents") * 105 // 100
+    i = F.col("item_id")
+    labels = F.array(F.lit("SUPPORTS"), F.lit("REFUTES"), F.lit("NOT ENOUGH INFO"))
+    ev = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda s: F.transform(
+        F.sequence(F.lit(0), (_h(i, "s", s) % 2).cast("int")),
+        lambda j: F.struct((_h(i, s, j) % n_pages).cast("string").alias("page"),
+                           (_h(i, s, j, "l") % 3).cast("int").alias("line"))))
+    return table(spark, sf, "benchmark").select(
+        i.alias("id"), F.col("text").alias("claim"), F.get(labels, (i % 3).cast("int")).alias("label"),
+        ev.alias("evidence"))
+
+
+def scifact(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """SciFact corpus (doc_id, abstract = lines) and claims with an
+    evidence map doc_id -> [{sentences, label}] over existing documents;
+    every fifth claim has no evidence and two cited documents."""
+    corpus = table(spark, sf, "documents").select("doc_id", F.split(F.col("text"), "\n").alias("abstract"))
+    n_docs = n_rows(spark, sf, "documents")
+    i = F.col("item_id")
+    b = table(spark, sf, "benchmark").select(i, F.col("text").alias("claim"))
+    # evidence documents (1-2 per claim), their abstract length, then 1-2 sets of 1-2 sentences
+    ed = (b.filter(i % 5 != 0)
+           .select(i, F.explode(F.sequence(F.lit(0), (_h(i, "d") % 2).cast("int"))).alias("j"))
+           .select(i, (_h(i, "d", F.col("j")) % n_docs).alias("doc_id")).distinct()
+           .join(corpus.select("doc_id", F.size("abstract").alias("n")), "doc_id"))
+    d = F.col("doc_id")
+    sets = F.transform(F.sequence(F.lit(0), (_h(i, d, "n") % 2).cast("int")), lambda s: F.struct(
+        F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), (_h(i, d, s, "m") % 2).cast("int")),
+                                                  lambda t: (_h(i, d, s, t) % F.col("n")).cast("int")))).alias("sentences"),
+        F.when(_h(i, d) % 2 == 0, F.lit("SUPPORT")).otherwise(F.lit("CONTRADICT")).alias("label")))
+    evmap = ed.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(d, sets))).alias("evidence"))
+    cited = F.array((_h(i, "c0") % n_docs), (_h(i, "c1") % n_docs))
+    claims_ = (b.join(evmap, "item_id", "left")
+                .select(i.alias("id"), "claim",
+                        F.coalesce("evidence", F.create_map().cast("map<bigint,array<struct<sentences:array<int>,label:string>>>"))
+                        .alias("evidence"),
+                        F.when(i % 5 == 0, cited).otherwise(F.array().cast("array<bigint>")).alias("cited_doc_ids")))
+    return corpus, claims_
+
+
+def nli_pairs(spark, sf) -> DataFrame:
+    """NLI pairs from conversations: a user turn and the next turn of the
+    same conversation; gold label from a hash of (conv_id, turn)."""
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("sentence1"))
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sentence2"))
+    labels = F.array(*[F.lit(x) for x in ("entailment", "contradiction", "neutral", "-")])
+    return u.join(a, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "sentence1", "sentence2",
+        F.get(labels, (_h(F.col("conv_id"), F.col("turn")) % 4).cast("int")).alias("gold_label"))

@@ -463,3 +463,147 @@ SELECT s.doc_id AS input_id, first_value(round(s.score, 9)) OVER (PARTITION BY s
   s.rank, s.item_id AS misinfo_id, round(s.score, 6) AS misinformation_score, b.text AS claim
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM tfidf_sc) s
 JOIN benchmark b ON b.item_id = s.item_id WHERE s.rank <= 5"""
+
+
+# ---------------------------------------------------------- training sets
+def HC(*parts: str) -> str:
+    """Hash of concat_ws('|', parts...) -- twin of fixtures._h."""
+    return H("concat_ws('|', " + ", ".join(parts) + ")")
+
+
+def _v(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+_FEVER_CONVERT = f"""
+fc AS (SELECT item_id AS id, text AS claim, ['SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO'][item_id % 3 + 1] AS label FROM benchmark),
+np AS (SELECT count(*) * 105 // 100 AS n FROM documents),
+st AS (SELECT item_id AS id, s FROM benchmark, (SELECT unnest([0, 1]) AS s)),
+el AS (SELECT id, s, unnest(range({HC(_v('id'), "'s'", _v('s'))} % 2 + 1)) AS j FROM st),
+ev AS (SELECT id, s AS set_idx, CAST({HC(_v('id'), _v('s'), _v('j'))} % (SELECT n FROM np) AS VARCHAR) AS page,
+              CAST({HC(_v('id'), _v('s'), _v('j'), "'l'")} % 3 AS INTEGER) AS line FROM el),
+pg AS (SELECT DISTINCT id, page FROM ev),
+miss AS (SELECT DISTINCT id FROM pg WHERE page NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)),
+wl AS (SELECT CAST(doc_id AS VARCHAR) AS page,
+         array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CAST(i - 1 AS VARCHAR) || chr(9) || l), chr(10)) AS lines
+       FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT page FROM pg)),
+wp AS (SELECT page, string_split(replace(replace(replace(replace(lines, '-LRB-', '('), '-RRB-', ')'), '-LSB-', '('), '-RSB-', ')'), chr(10)) AS parts FROM wl),
+ws AS (SELECT page, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line, unnest(parts) AS raw FROM wp),
+wss AS (SELECT page, line, replace(substr(raw, instr(raw, chr(9)) + 1), chr(9), ' ') AS sentence FROM ws),
+sent AS (SELECT pg.id, wss.page, wss.line, wss.sentence,
+           CAST(row_number() OVER (PARTITION BY pg.id ORDER BY wss.page, wss.line) - 1 AS INTEGER) AS idx
+         FROM pg JOIN wss ON wss.page = pg.page WHERE length(wss.sentence) > 0),
+sagg AS (SELECT id, list(sentence ORDER BY idx) AS sentences FROM sent GROUP BY id),
+es AS (SELECT ev.id, ev.set_idx, list_sort(list(sent.idx)) AS s FROM ev JOIN sent ON sent.id = ev.id AND sent.page = ev.page AND sent.line = ev.line GROUP BY ALL),
+esd AS (SELECT id, s, min(set_idx) AS first FROM es GROUP BY id, s),
+eagg AS (SELECT id, list(s ORDER BY first) AS evidence_sets FROM esd GROUP BY id),
+conv AS (SELECT fc.id, fc.claim, CASE WHEN fc.id IN (SELECT id FROM miss) THEN 'NOT ENOUGH INFO' ELSE fc.label END AS label,
+           coalesce(sagg.sentences, CAST([] AS VARCHAR[])) AS sentences, coalesce(eagg.evidence_sets, CAST([] AS INTEGER[][])) AS evidence_sets
+         FROM fc LEFT JOIN sagg ON sagg.id = fc.id LEFT JOIN eagg ON eagg.id = fc.id)"""
+
+ORACLE["fever_convert"] = "WITH " + _FEVER_CONVERT + """
+SELECT id, claim, label, CAST(len(sentences) AS BIGINT) AS n_sentences, md5(array_to_string(sentences, chr(10))) AS sentences_md5,
+  array_to_string(list_transform(evidence_sets, lambda s: array_to_string(s, ',')), ';') AS evidence_sets FROM conv"""
+
+
+def _pick1(arr: str, seed: str, key: str) -> str:
+    return (f"list_sort(list_transform({arr}, lambda i: {{'h': md5(concat_ws('|', '{seed}', {key}, CAST(i AS VARCHAR))), "
+            f"'i': i}}))[1].i")
+
+
+ORACLE["fever_examples"] = "WITH " + _FEVER_CONVERT + f""",
+evr AS (SELECT id, claim, label, sentences, unnest(evidence_sets) AS s, generate_subscripts(evidence_sets, 1) - 1 AS set_idx
+        FROM conv WHERE label <> 'NOT ENOUGH INFO' AND len(evidence_sets) > 0),
+non AS (SELECT id, sentences, list_filter(range(len(sentences)), lambda i: NOT list_contains(flatten(evidence_sets), i)) AS nn
+        FROM conv WHERE label <> 'NOT ENOUGH INFO' AND len(sentences) > 0)
+SELECT id, 'evidence' AS kind, CAST(set_idx AS BIGINT) AS set_idx,
+  array_to_string(list_transform(s, lambda i: sentences[i + 1]), ' ') AS rationale,
+  CAST(CASE label WHEN 'SUPPORTS' THEN 0 ELSE 1 END AS BIGINT) AS label FROM evr
+UNION ALL
+SELECT id, 'nei', 0, sentences[{_pick1('range(len(sentences))', 'fever', _v('id'))} + 1], 2
+FROM conv WHERE label = 'NOT ENOUGH INFO' AND len(sentences) > 0
+UNION ALL
+SELECT id, 'negative', 0, sentences[{_pick1('nn', 'fever', _v('id'))} + 1], 2 FROM non WHERE len(nn) > 0"""
+
+
+def _pickk(arr: str, seed: str, key: str, k: str) -> str:
+    return (f"list_transform(list_sort(list_transform({arr}, lambda i: {{'h': md5(concat_ws('|', '{seed}', {key}, CAST(i AS VARCHAR))), "
+            f"'i': i}}))[1:{k}], lambda x: x.i)")
+
+
+_KNEG = "least(1 + (" + H("concat_ws('|', 'scifact', key, 'k')") + " % 2), len(nn))"
+_KCIT = "least(1 + (" + H("concat_ws('|', 'scifact', key, 'k')") + " % 2), len(abstract))"
+
+ORACLE["scifact_examples"] = f"""WITH
+corpus AS (SELECT doc_id, string_split(text, chr(10)) AS abstract FROM documents),
+nd AS (SELECT count(*) AS n FROM documents),
+b AS (SELECT item_id, text AS claim FROM benchmark),
+ej AS (SELECT item_id, unnest(range({HC(_v('item_id'), "'d'")} % 2 + 1)) AS j FROM b WHERE item_id % 5 <> 0),
+ed AS (SELECT DISTINCT item_id, {HC(_v('item_id'), "'d'", _v('j'))} % (SELECT n FROM nd) AS doc_id FROM ej),
+edn AS (SELECT ed.item_id, ed.doc_id, len(c.abstract) AS n, c.abstract, b.claim FROM ed JOIN corpus c ON c.doc_id = ed.doc_id JOIN b ON b.item_id = ed.item_id),
+ss AS (SELECT item_id, doc_id, n, abstract, claim, unnest(range({HC(_v('item_id'), _v('doc_id'), "'n'")} % 2 + 1)) AS s FROM edn),
+st AS (SELECT item_id, doc_id, n, abstract, claim, s,
+         list_sort(list_distinct(list_transform(range({HC(_v('item_id'), _v('doc_id'), _v('s'), "'m'")} % 2 + 1),
+           lambda t: CAST({HC(_v('item_id'), _v('doc_id'), _v('s'), _v('t'))} % n AS INTEGER)))) AS sentences,
+         CASE WHEN {HC(_v('item_id'), _v('doc_id'))} % 2 = 0 THEN 'SUPPORT' ELSE 'CONTRADICT' END AS label FROM ss),
+alli AS (SELECT item_id, doc_id, any_value(abstract) AS abstract, any_value(claim) AS claim, list_sort(list_distinct(flatten(list(sentences)))) AS idx,
+           any_value(label) AS label FROM st GROUP BY item_id, doc_id),
+nonr AS (SELECT *, list_filter(range(len(abstract)), lambda i: NOT list_contains(idx, i)) AS nn,
+           concat_ws('|', CAST(item_id AS VARCHAR), CAST(doc_id AS VARCHAR)) AS key FROM alli),
+cd AS (SELECT item_id, claim, unnest([{HC(_v('item_id'), "'c0'")} % (SELECT n FROM nd), {HC(_v('item_id'), "'c1'")} % (SELECT n FROM nd)]) AS doc_id
+       FROM b WHERE item_id % 5 = 0),
+cdn AS (SELECT cd.*, c.abstract, concat_ws('|', CAST(cd.item_id AS VARCHAR), CAST(cd.doc_id AS VARCHAR)) AS key FROM cd JOIN corpus c ON c.doc_id = cd.doc_id)
+SELECT item_id AS claim_id, doc_id, 'set' AS kind, CAST(s AS BIGINT) AS set_idx,
+  array_to_string(list_transform(sentences, lambda i: trim(abstract[i + 1])), ' ') AS rationale,
+  CAST(CASE label WHEN 'SUPPORT' THEN 0 ELSE 1 END AS BIGINT) AS label FROM st
+UNION ALL
+SELECT item_id, doc_id, 'all', 0, array_to_string(list_transform(idx, lambda i: trim(abstract[i + 1])), ' '),
+  CAST(CASE label WHEN 'SUPPORT' THEN 0 ELSE 1 END AS BIGINT) FROM alli
+UNION ALL
+SELECT item_id, doc_id, 'negative', 0,
+  array_to_string(list_transform(list_sort({_pickk('nn', 'scifact', 'key', _KNEG)}),
+                                 lambda i: trim(abstract[i + 1])), ' '), 2 FROM nonr
+UNION ALL
+SELECT item_id, doc_id, 'cited', 0,
+  array_to_string(list_transform({_pickk('range(len(abstract))', 'scifact', 'key', _KCIT)},
+                                 lambda i: trim(abstract[i + 1])), ' '), 2 FROM cdn"""
+
+_NLI = f"""u AS (SELECT conv_id, turn, text AS sentence1 FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS sentence2 FROM conversations),
+nli AS (SELECT u.conv_id, u.turn, sentence1, sentence2,
+          ['entailment', 'contradiction', 'neutral', '-'][{HC(_v('u.conv_id'), _v('u.turn'))} % 4 + 1] AS gold_label
+        FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn),
+nlx AS (SELECT *, CAST(CASE gold_label WHEN 'entailment' THEN 0 WHEN 'contradiction' THEN 1 ELSE 2 END AS BIGINT) AS label
+        FROM nli WHERE gold_label IN ('entailment', 'contradiction', 'neutral'))"""
+
+ORACLE["nli_examples"] = "WITH " + _NLI + "\nSELECT conv_id, turn, sentence1, sentence2, label FROM nlx"
+
+ORACLE["batch_mean_accuracy"] = "WITH " + _NLI + f""",
+c AS (SELECT CASE WHEN {HC(_v('conv_id'), _v('turn'), "'p'")} % 3 = label THEN 1.0 ELSE 0.0 END AS correct,
+        row_number() OVER (ORDER BY conv_id, turn) AS pos FROM nlx),
+bt AS (SELECT (pos - 1) // 32 AS batch, avg(correct) AS acc, count(*) AS n FROM c GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_examples, count(*) AS n_batches, round(sum(acc * n) / sum(n), 6) AS exact_accuracy,
+  round(avg(acc), 6) AS batch_mean_accuracy FROM bt"""
+
+ORACLE["retriever_training_set"] = f"""WITH
+pool AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5(concat_ws('|', 'dpr', CAST(doc_id AS VARCHAR))), doc_id) AS p
+         FROM documents WHERE length(text) > 0),
+np AS (SELECT count(*) AS n FROM pool),
+sz AS (SELECT source AS question, CAST(floor(count(*) * 0.5) AS BIGINT) AS neg_size FROM documents GROUP BY source),
+w AS (SELECT question, ('0x' || substr(md5(concat_ws('|', 'dpr', question)), 1, 8))::BIGINT % (SELECT n FROM np) AS o,
+        unnest(range(neg_size)) AS ctx_idx FROM sz WHERE neg_size > 0)
+SELECT source AS question, 'positive' AS kind, CAST(NULL AS BIGINT) AS ctx_idx, doc_id AS ctx_id, text FROM documents
+UNION ALL
+SELECT w.question, 'negative', w.ctx_idx, pool.doc_id, pool.text FROM w JOIN pool ON pool.p = (w.o + w.ctx_idx) % (SELECT n FROM np) + 1"""
+
+ORACLE["seeded_split"] = """SELECT doc_id, (pos - 1) % 4 AS worker, (pos - 1) // 4 AS local_idx FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', 'split', CAST(doc_id AS VARCHAR))), doc_id) AS pos FROM documents)"""
+
+ORACLE["vocab_min_count"] = "WITH " + _NLI + f"""
+SELECT token, count(*) AS cnt FROM (SELECT unnest(list_concat({glove_toks('sentence1')}, {glove_toks('sentence2')})) AS token FROM nlx)
+GROUP BY token HAVING count(*) >= 2"""
+
+ORACLE["bigram_df"] = f"""WITH t AS (SELECT doc_id, {tokens('text')} AS toks FROM documents),
+g AS (SELECT doc_id, list_concat(toks, list_transform(range(greatest(len(toks) - 1, 0)), lambda i: toks[i + 1] || ' ' || toks[i + 2])) AS terms FROM t),
+d AS (SELECT DISTINCT doc_id, unnest(terms) AS term FROM g)
+SELECT term, count(*) AS df FROM d GROUP BY term HAVING count(*) >= 2"""
