@@ -624,3 +624,166 @@ def bigram_df(spark, sf):
     d = FX.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
     terms = d.select("doc_id", F.explode(F.array_distinct(word_ngrams(word_tokens("text"), 2))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 2)
+
+
+# --------------------------------------------------------- sources / sinks
+from claimspark.session import scratch_path  # noqa: E402
+from claimspark.sources import files as SR  # noqa: E402
+from claimspark.sources import sinks as SK  # noqa: E402
+
+
+@register("jsonl_gz_roundtrip")
+def jsonl_gz_roundtrip(spark, sf):
+    """SNK-01/02 + SRC-03/04 + ING-09: posts written as JSONL and as gzip
+    JSONL (bounded files, one folder per language), read back."""
+    base = scratch_path(spark, "jsonl")
+    d = FX.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    SK.write_jsonl(d.select("doc_id", "text"), f"{base}/plain")
+    SK.write_gzip_jsonl(d, f"{base}/gz", max_records=100, partition_by="lang")
+    gz = SR.read_jsonl_tree(spark, f"{base}/gz", "doc_id long, source string, text string")
+    plain = spark.read.schema("doc_id long, text string").json(f"{base}/plain")
+    texts = SR.read_text_field(spark, f"{base}/plain", "text")
+    n_plain = texts.count()
+    return (gz.join(plain.withColumnRenamed("text", "plain_text"), "doc_id", "left")
+              .select("doc_id", F.regexp_extract("subdir", "lang=(.*)", 1).alias("lang"), "source",
+                      F.md5("text").alias("text_md5"), (F.col("text") == F.col("plain_text")).alias("same_plain"),
+                      F.lit(n_plain).cast("bigint").alias("n_plain")))
+
+
+@register("mirrored_tree_thin")
+def mirrored_tree_thin(spark, sf):
+    """SRC-05 + ING-07 + SNK-09: a day-folder tree of tweet JSONL thinned
+    (English, no retweets, minimal fields) into a mirrored tree."""
+    base = scratch_path(spark, "tree")
+    t = FX.tweets(spark, sf).withColumn("day", F.date_format("created_at", "yyyy-MM-dd")) \
+        .withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    t.write.mode("overwrite").partitionBy("day").json(f"{base}/in")
+    schema = ("id long, created_at string, lang string, user struct<id_str:string,followers_count:double>, "
+              "props struct<k:int,note:string>, retweeted_status long")
+    src = SR.read_jsonl_tree(spark, f"{base}/in", schema)
+    thin = src.filter((F.col("lang") == "en") & F.col("retweeted_status").isNull()) \
+        .select(*IG.project_tree(src, MINIMAL_TREE), "subdir")
+    SK.write_mirrored(thin, f"{base}/out")
+    back = SR.read_jsonl_tree(spark, f"{base}/out", "id long, lang string, user struct<id_str:string>, props struct<k:int>")
+    return back.select(F.regexp_extract("subdir", r"(\d{4}-\d{2}-\d{2})", 1).alias("day"), "id", "lang",
+                       F.col("user.id_str").alias("user_id_str"), F.col("props.k").cast("bigint").alias("props_k"))
+
+
+@register("csv_annotation_roundtrip")
+def csv_annotation_roundtrip(spark, sf):
+    """SNK-03 + SRC-06: headerless 7-column annotation CSV written and read."""
+    base = scratch_path(spark, "anncsv")
+    a = FX.annotation_rows(spark, sf).select(
+        F.lit("r1").alias("rand1"), F.col("misconception_id"), F.lit("m").alias("misconception"), "tweet",
+        F.lit("r2").alias("rand2"), "label", "tweet_id")
+    SK.write_csv(a, base, header=False)
+    r = SR.read_annotation_csv(spark, base)
+    return r.select("misconception_id", F.md5("tweet").alias("tweet_md5"),
+                    F.coalesce("label", F.lit("")).alias("label"), F.coalesce("tweet_id", F.lit("")).alias("tweet_id"))
+
+
+@register("csv_news_roundtrip")
+def csv_news_roundtrip(spark, sf):
+    """SRC-07 + AGG-02: headered labelled-news CSV -> posts grouped by title."""
+    base = scratch_path(spark, "newscsv")
+    d = FX.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("source_id"), F.col("doc_id").cast("string").alias("tweet_id"),
+        F.lit("tweet").alias("tweet_type"), F.col("source").alias("source_title"), F.lit("news").alias("source_type"),
+        F.col("text").alias("tweet"), F.lit("real").alias("source_veracity"))
+    SK.write_csv(d, base, header=True)
+    r = SR.read_news_csv(spark, base)
+    return r.groupBy("source_title").agg(F.count(F.lit(1)).alias("n_tweets"),
+                                         F.sum(F.length("tweet")).cast("bigint").alias("total_chars"))
+
+
+@register("csv_predictions_roundtrip")
+def csv_predictions_roundtrip(spark, sf):
+    """SNK-04 + SRC-08 + STN-08: prediction records with the probability
+    list in ``misc`` written as CSV and parsed back."""
+    base = scratch_path(spark, "predcsv")
+    p = FX.stance_preds(spark, sf).select(
+        "input_id", "model_id", F.col("label_id").cast("int"), "misinfo_id", "confidence",
+        F.to_json(F.array(F.col("confidence"), F.lit(1.0) - F.col("confidence"), F.lit(0.0))).alias("misc"))
+    SK.write_csv(p, base, header=True)
+    r = SR.read_predictions_csv(spark, base)
+    return r.select("model_id", "input_id", "misinfo_id", F.col("label_id").cast("bigint"),
+                    F.round("confidence", 6).alias("confidence"), F.round(F.col("probs")[1], 6).alias("p1"))
+
+
+@register("claims_jsonl_roundtrip")
+def claims_jsonl_roundtrip(spark, sf):
+    """SRC-01: claim records written as JSONL and read one row per variation."""
+    base = scratch_path(spark, "claims")
+    c = FX.claims(spark, sf).withColumn("reliability_score", F.col("reliability_score").cast("string"))
+    SK.write_jsonl(c, base)
+    r = SR.read_claims_jsonl(spark, base)
+    return r.select("id", F.col("var_idx").cast("bigint"), "sentence", "reliability_score")
+
+
+@register("claims_table_roundtrip")
+def claims_table_roundtrip(spark, sf):
+    """PRJ-03 -> table -> SRC-02: claims with JSON misc, read back aligned."""
+    base = scratch_path(spark, "misinfo")
+    IG.claims_to_rows(FX.claims(spark, sf), keep_id=True).write.mode("overwrite").parquet(base)
+    r = SR.claims_from_table(spark.read.parquet(base))
+    return r.select("id", F.col("var_idx").cast("bigint"), "sentence", "source")
+
+
+@register("fever_jsonl_roundtrip")
+def fever_jsonl_roundtrip(spark, sf):
+    """SNK-10 + SRC-13: converted FEVER records written and read back."""
+    base = scratch_path(spark, "fever")
+    SK.write_jsonl(TR.fever_convert(FX.fever_claims(spark, sf), FX.wiki(spark, sf)), base)
+    r = spark.read.schema("id long, claim string, label string, sentences array<string>, "
+                          "evidence_sets array<array<int>>").json(base)
+    return r.select("id", "label", F.size("sentences").cast("bigint").alias("n_sentences"),
+                    _sets_str(F.col("evidence_sets")).alias("evidence_sets"))
+
+
+@register("word_vector_file")
+def word_vector_file(spark, sf):
+    """SRC-10: embeddings written as a ``word v1 .. vd`` text file and parsed."""
+    base = scratch_path(spark, "wvec")
+    e = FX.table(spark, sf, "embeddings")
+    e.select(F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")),
+                         F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")) \
+        .write.mode("overwrite").text(base)
+    r = SR.read_word_vectors(spark, base)
+    return r.select("word", F.size("vec").cast("bigint").alias("dim"),
+                    F.round(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"))
+
+
+@register("id_list_roundtrip")
+def id_list_roundtrip(spark, sf):
+    """ING-04 / SNK-06 + SRC-17: ids of inserted rows written one per line,
+    read back trimmed."""
+    base = scratch_path(spark, "ids")
+    new, _ = IG.insert_if_new(FX.incoming_inputs(spark, sf), FX.stored_inputs(spark, sf),
+                              key=["source_id"], order="event_id")
+    SK.write_ids(new.select(F.concat(F.lit("  "), F.col("id").cast("string"), F.lit(" ")).alias("id")), "id", base)
+    return SR.read_id_lists(spark, base).select(F.col("id").cast("bigint").alias("id"))
+
+
+@register("append_table_roundtrip")
+def append_table_roundtrip(spark, sf):
+    """SNK-05: stored keys written, new keys appended once (a second append
+    of the same batch adds nothing), table read back."""
+    base = scratch_path(spark, "table")
+    stored = FX.stored_inputs(spark, sf).select("source_id", "event_id")
+    stored.write.mode("overwrite").parquet(base)
+    firsts = IG.first_per_key(FX.incoming_inputs(spark, sf).select("source_id", "event_id"), ["source_id"], "event_id")
+    SK.append_if_new(base, firsts, ["source_id"])
+    SK.append_if_new(base, firsts, ["source_id"])
+    return spark.read.parquet(base).select("source_id", "event_id")
+
+
+@register("wide_sheet_roundtrip")
+def wide_sheet_roundtrip(spark, sf):
+    """SNK-07: the wide annotation sheet (PRJ-05) written as CSV and read."""
+    base = scratch_path(spark, "sheet")
+    SK.write_csv(variant_columns_wide(spark, sf), base, header=True)
+    cols = ["id"] + [f"source_{i}" for i in range(1, 6)] + [f"pos_{i}" for i in range(1, 6)] + \
+        [f"neg_{i}" for i in range(1, 6)] + ["category"]
+    r = spark.read.schema(", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in cols)) \
+        .option("header", "true").option("multiLine", "true").option("escape", '"').csv(base)
+    return r.select("id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols[1:]])

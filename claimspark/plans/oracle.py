@@ -607,3 +607,47 @@ ORACLE["bigram_df"] = f"""WITH t AS (SELECT doc_id, {tokens('text')} AS toks FRO
 g AS (SELECT doc_id, list_concat(toks, list_transform(range(greatest(len(toks) - 1, 0)), lambda i: toks[i + 1] || ' ' || toks[i + 2])) AS terms FROM t),
 d AS (SELECT DISTINCT doc_id, unnest(terms) AS term FROM g)
 SELECT term, count(*) AS df FROM d GROUP BY term HAVING count(*) >= 2"""
+
+
+# --------------------------------------------------------- sources / sinks
+ORACLE["jsonl_gz_roundtrip"] = """SELECT doc_id, lang, source, md5(text) AS text_md5, true AS same_plain,
+  (SELECT count(*) FROM documents) AS n_plain FROM documents"""
+
+ORACLE["mirrored_tree_thin"] = "WITH " + _TWEETS + """
+SELECT strftime(created_at, '%Y-%m-%d') AS day, id, lang, id_str AS user_id_str,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM tw WHERE lang = 'en' AND retweeted_status IS NULL"""
+
+ORACLE["csv_annotation_roundtrip"] = """WITH ann AS (SELECT d.doc_id % (SELECT count(*) FROM benchmark) AS misconception_id, d.text AS tweet,
+   CASE WHEN l.toxic = 1 THEN 'neg' WHEN l.quality = 1 THEN 'pos' WHEN l.toxic IS NOT NULL THEN 'na' ELSE '' END AS label,
+   CASE WHEN d.doc_id % 50 = 0 THEN '' ELSE CAST(d.doc_id % 500 AS VARCHAR) END AS tweet_id
+   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT misconception_id, md5(tweet) AS tweet_md5, label, tweet_id FROM ann"""
+
+ORACLE["csv_news_roundtrip"] = """SELECT source AS source_title, count(*) AS n_tweets, CAST(sum(length(text)) AS BIGINT) AS total_chars
+FROM documents GROUP BY source"""
+
+ORACLE["csv_predictions_roundtrip"] = "WITH " + STANCE_PREDS + """
+SELECT model_id, input_id, misinfo_id, label_id, round(confidence, 6) AS confidence, round(1.0 - confidence, 6) AS p1 FROM spreds"""
+
+ORACLE["claims_jsonl_roundtrip"] = "WITH " + CLAIMS + """
+SELECT id, CAST(generate_subscripts(pos_variations, 1) - 1 AS BIGINT) AS var_idx, unnest(pos_variations) AS sentence,
+  reliability_score FROM claims"""
+
+ORACLE["claims_table_roundtrip"] = "WITH " + CLAIMS + """
+SELECT id, CAST(generate_subscripts(pos_variations, 1) - 1 AS BIGINT) AS var_idx, unnest(pos_variations) AS sentence,
+  origin AS source FROM claims WHERE len(pos_variations) > 0"""
+
+ORACLE["fever_jsonl_roundtrip"] = "WITH " + _FEVER_CONVERT + """
+SELECT id, label, CAST(len(sentences) AS BIGINT) AS n_sentences,
+  array_to_string(list_transform(evidence_sets, lambda s: array_to_string(s, ',')), ';') AS evidence_sets FROM conv"""
+
+ORACLE["word_vector_file"] = """SELECT 'w' || CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS BIGINT) AS dim,
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vec_sum FROM embeddings"""
+
+ORACLE["id_list_roundtrip"] = "WITH " + _EVENTS + """
+SELECT (SELECT coalesce(max(id), 0) FROM stored) + row_number() OVER (ORDER BY event_id) AS id FROM new"""
+
+ORACLE["append_table_roundtrip"] = "WITH " + _EVENTS + """
+SELECT source_id, id AS event_id FROM stored UNION ALL SELECT source_id, event_id FROM new"""
+
+ORACLE["wide_sheet_roundtrip"] = ORACLE["variant_columns_wide"]
