@@ -211,12 +211,28 @@ def two_stage_label(spark, sf):
                       F.round("score", 6).alias("confidence"))
 
 
+def agree_disagree_for(spark, sf, posts):
+    """STN-07 for any set of posts (a table or one micro-batch): best
+    TF-IDF claim, threshold 0.4, [u, v, |u-v|] head, forced binary stance."""
+    claims = FX.table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id")
+    scores = R.tfidf_cosine(posts, claims, post_id="input_id", claim_id="misinfo_id")
+    best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+    wv, key = FX.word_vectors(spark, sf)
+    pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key)
+    w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
+
+    def fn(pairs):
+        return ST.linear_softmax(ST.attach_vectors(pairs, pv, cv), w, b, parts=STANCE_DIM_PARTS)
+    out = ST.agree_disagree(best, fn)
+    return out.select("input_id", F.when(F.col("relevant"), F.col("misinfo_id")).alias("misinfo_id"),
+                      "relevant", F.col("label_id").cast("bigint"), "label")
+
+
 @register("pipeline_agree_disagree")
 def pipeline_agree_disagree(spark, sf):
     """STN-07: best claim per post, threshold 0.4, forced agree/disagree."""
-    out = ST.agree_disagree(FX.tfidf_best(spark, sf), _stance_fn(spark, sf))
-    return out.select("input_id", F.when(F.col("relevant"), F.col("misinfo_id")).alias("misinfo_id"),
-                      "relevant", F.col("label_id").cast("bigint"), "label")
+    return agree_disagree_for(spark, sf, FX.posts(spark, sf))
 
 
 # ------------------------------------------------------------ store / ingest
@@ -787,3 +803,58 @@ def wide_sheet_roundtrip(spark, sf):
     r = spark.read.schema(", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in cols)) \
         .option("header", "true").option("multiLine", "true").option("escape", '"').csv(base)
     return r.select("id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols[1:]])
+
+
+# ---------------------------------------------------------------- streaming
+from claimspark.streaming import streams as SM  # noqa: E402
+
+
+@register("stream_stance")
+def stream_stance(spark, sf):
+    """ING-10: posts arriving as files, scored per micro-batch with the
+    STN-07 pipeline (foreachBatch, one output folder per batch id)."""
+    base = scratch_path(spark, "stream-stance")
+    posts = FX.posts(spark, sf)
+    SM.stage_files(posts, f"{base}/in", 4)
+    stream = SM.file_stream(spark, f"{base}/in", posts.schema)
+    SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b), f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+@register("article_dedup_stream")
+def article_dedup_stream(spark, sf):
+    """ING-06 streaming twin: incoming articles as a file stream, each
+    micro-batch appended only with keys never stored (exact dedup)."""
+    base = scratch_path(spark, "stream-dedup")
+    e = FX.table(spark, sf, "events").select(
+        F.col("event_type").alias("category"),
+        F.concat(F.lit("https://news.example/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("event_id").alias("seq"), "ts")
+    split = F.to_timestamp(F.lit(FX.SPLIT_TS))
+    e.filter(F.col("ts") < split).select("category", "url", "seq").write.mode("overwrite").parquet(f"{base}/stored")
+    incoming = e.filter(F.col("ts") >= split).select("category", "url", "seq")
+    incoming.repartition(4, "category", "url").write.mode("overwrite").parquet(f"{base}/in")
+    stream = SM.file_stream(spark, f"{base}/in", incoming.schema)
+    SM.dedup_forever(stream, f"{base}/stored", ["category", "url"], "seq")
+    stored_before = e.filter(F.col("ts") < split).select("category", "url", "seq")
+    return spark.read.parquet(f"{base}/stored").join(stored_before, ["category", "url", "seq"], "left_anti")
+
+
+@register("stream_unique_counts")
+def stream_unique_counts(spark, sf):
+    """ING-11: events as a stream; per UTC day the event count and the
+    approximate number of distinct users (watermarked tumbling windows)."""
+    base = scratch_path(spark, "stream-counts")
+    ev = FX.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    ev.repartitionByRange(4, "ts").write.mode("overwrite").parquet(f"{base}/in")
+    stream = SM.file_stream(spark, f"{base}/in", ev.schema)
+    agg = SM.daily_distinct_counts(stream, "ts", "user_id")
+    ckpt = scratch_path(spark, "ckpt-counts")
+
+    def each(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+    q = agg.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", ckpt) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"),
+                                                    "n_events", "approx_users")

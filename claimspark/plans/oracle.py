@@ -651,3 +651,8 @@ ORACLE["append_table_roundtrip"] = "WITH " + _EVENTS + """
 SELECT source_id, id AS event_id FROM stored UNION ALL SELECT source_id, event_id FROM new"""
 
 ORACLE["wide_sheet_roundtrip"] = ORACLE["variant_columns_wide"]
+
+
+# ---------------------------------------------------------------- streaming
+ORACLE["stream_stance"] = ORACLE["pipeline_agree_disagree"]
+ORACLE["article_dedup_stream"] = ORACLE["article_dedup"]
