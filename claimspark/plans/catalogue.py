@@ -858,3 +858,54 @@ def stream_unique_counts(spark, sf):
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"),
                                                     "n_events", "approx_users")
+
+
+# ------------------------------------------------------------- MLlib heads
+from pyspark.ml.functions import array_to_vector  # noqa: E402
+
+from claimspark.operators import mlheads as ML  # noqa: E402
+
+
+def _nli_split(spark, sf):
+    e = TR.nli_examples(FX.nli_pairs(spark, sf), NLI_CODES).withColumn("ex_id", F.concat_ws(":", "conv_id", "turn"))
+    s = TR.seeded_split(e.select("ex_id"), "ex_id", 4, seed="nli")
+    return e.join(s, "ex_id").withColumn("split", F.when(F.col("worker") == 3, "dev").otherwise("train"))
+
+
+@register("bow_logreg_accuracy")
+def bow_logreg_accuracy(spark, sf):
+    """STN-01/02/09/10: BoW logistic regression trained on the NLI train
+    split, saved, re-loaded and scored on train and dev."""
+    data = _nli_split(spark, sf)
+    model = ML.fit_bow_logistic(data.filter(F.col("split") == "train"))
+    path = scratch_path(spark, "bowlog")
+    model.save(path)
+    loaded = ML._WithClean.load(path)
+    return ML.accuracy_by_split(loaded.transform(data))
+
+
+def _nli_vectors(spark, sf, data):
+    wv, key = FX.word_vectors(spark, sf)
+    u = VS.wordvec_average(data.select("ex_id", F.col("sentence1").alias("text")), wv, id_col="ex_id",
+                           tokenizer=glove_tokens, word_key=key).withColumnRenamed("vec", "u")
+    v = VS.wordvec_average(data.select("ex_id", F.col("sentence2").alias("text")), wv, id_col="ex_id",
+                           tokenizer=glove_tokens, word_key=key).withColumnRenamed("vec", "v")
+    return data.join(u, "ex_id").join(v, "ex_id")
+
+
+@register("boe_logreg_accuracy")
+def boe_logreg_accuracy(spark, sf):
+    """STN-03: logistic regression on both averaged word vectors."""
+    d = _nli_vectors(spark, sf, _nli_split(spark, sf)) \
+        .withColumn("features", array_to_vector(F.concat("u", "v")))
+    m = ML.fit_vector_logistic(d.filter(F.col("split") == "train"))
+    return ML.accuracy_by_split(m.transform(d))
+
+
+@register("mlp_pair_classifier")
+def mlp_pair_classifier(spark, sf):
+    """STN-05: MLP on [u, v, |u-v|, u*v] pair features."""
+    d = _nli_vectors(spark, sf, _nli_split(spark, sf)) \
+        .withColumn("features", array_to_vector(_pf("u", "v", ("u", "v", "absdiff", "prod"))))
+    m = ML.fit_mlp(d.filter(F.col("split") == "train"))
+    return ML.accuracy_by_split(m.transform(d))
