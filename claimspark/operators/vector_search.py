@@ -14,6 +14,7 @@ merged by a window.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -147,6 +148,10 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
     qtype = queries.schema[q_id].dataType.simpleString()
     ctype = catalogue.schema[c_id].dataType.simpleString()
     schema = f"{q_id} {qtype}, {c_id} {ctype}, score double"
+    dq = queries.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
+    dc = catalogue.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
+    if len({dq["a"], dq["b"], dc["a"], dc["b"]} - {None}) > 1:
+        raise ValueError("Embedding dimensions must match")  # FN-20
     parts = []
     for chunk in _catalogue_chunks(catalogue, c_id, vec):
         ids, mat = _collect_matrix(chunk, c_id, vec)
@@ -338,3 +343,41 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
         return top_k(res, post_id, [score_key(F.coalesce(F.col(order_by), F.lit(float("-inf")))).desc(),
                                     F.col(claim_id).asc()], k)
     return res
+
+
+# ------------------------------------------------------------ user encoder
+def encode_texts(df: DataFrame, text: str, encoder_factory, dim: int, out: str = "vec") -> DataFrame:
+    """UDF-01: a user-supplied text encoder as an Iterator pandas UDF.
+
+    ``encoder_factory()`` is called once per Python worker (model load), then
+    every Arrow batch of texts is encoded in one call returning an
+    (n x dim) array.  Output: ``out`` array<double>.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder_factory()
+        for s in batches:
+            m = np.asarray(encode(s.fillna("").tolist()), dtype=np.float64).reshape(len(s), dim)
+            yield pd.Series(list(m))
+    return df.withColumn(out, enc(F.col(text)))
+
+
+def hashing_encoder_factory(dim: int = 64):
+    """Stand-in encoder: lower-case word tokens hashed (md5, first 8 hex
+    digits) into ``dim`` buckets, counts per bucket."""
+    def factory():
+        import hashlib
+
+        import regex
+        pat = regex.compile(r"[\p{L}\p{N}_]{2,}")
+
+        def encode(texts):
+            out = np.zeros((len(texts), dim))
+            for r, t in enumerate(texts):
+                for tok in pat.findall(t.lower()):
+                    out[r, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
+            return out
+        return encode
+    return factory

@@ -909,3 +909,93 @@ def mlp_pair_classifier(spark, sf):
         .withColumn("features", array_to_vector(_pf("u", "v", ("u", "v", "absdiff", "prod"))))
     m = ML.fit_mlp(d.filter(F.col("split") == "train"))
     return ML.accuracy_by_split(m.transform(d))
+
+
+# ------------------------------------------------------- more operators
+@register("user_encoder_topk")
+def user_encoder_topk(spark, sf):
+    """UDF-01 + RET-03: posts and claims encoded by a user encoder (pandas
+    UDF, loaded once per worker), cosine top 5 claims per post."""
+    fac = VS.hashing_encoder_factory(64)
+    p = VS.encode_texts(FX.posts(spark, sf).select("input_id", "text"), "text", fac, 64).select("input_id", "vec")
+    c = VS.encode_texts(FX.table(spark, sf, "benchmark").select("item_id", "text"), "text", fac, 64).select("item_id", "vec")
+    top = VS.cosine_top_k(p, c, q_id="input_id", c_id="item_id", k=5)
+    return top.select("input_id", F.col("item_id").alias("misinfo_id"), F.round("score", 6).alias("confidence"), "rank")
+
+
+@register("unique_counts_approx")
+def unique_counts_approx(spark, sf):
+    """AGG-01 approximate option: HyperLogLog++ distinct counts per event type."""
+    e = FX.table(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
+                                       F.approx_count_distinct("user_id", 0.02).alias("approx_users"))
+
+
+@register("all_models_report")
+def all_models_report(spark, sf):
+    """EVL-05: every model of the registry that has predictions, evaluated
+    in one job (retrieval metrics for similarity models, stance metrics for
+    stance models), long form (model_id, family, metric, value)."""
+    reg = EV.model_registry(spark)
+    p = FX.retrieval_preds(spark, sf)
+    n = FX.n_rows(spark, sf, "benchmark")
+    ranked, zero = EV.rank_with_implicit_zeros(p, n)
+    rr = EV.retrieval_report(FX.gold(spark, sf), ranked, RETRIEVAL_FIXTURE_MODELS, zero_ranks=zero, n_claims=n)
+    sr = EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))
+
+    def longform(df):
+        cols = [c for c in df.columns if c != "model_id"]
+        stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+        return df.select("model_id", F.expr(f"stack({len(cols)}, {stack}) AS (metric, value)"))
+    out = longform(rr).unionByName(longform(sr)).join(F.broadcast(reg), "model_id")
+    return out.select("model_id", "family", "metric", F.round("value", 6).alias("value"))
+
+
+@register("html_files_roundtrip")
+def html_files_roundtrip(spark, sf):
+    """SRC-16: pages as one HTML file each (a folder per page), read whole,
+    cards extracted (PRJ-07)."""
+    base = scratch_path(spark, "html")
+    FX.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")) \
+        .write.mode("overwrite").partitionBy("page_id").text(base)
+    h = SR.read_html_dir(spark, base).withColumn(
+        "page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
+    urls = FX.table(spark, sf, "pages").select("page_id", "url")
+    return IG.html_cards(h.join(urls, "page_id"))
+
+
+@register("nli_jsonl_roundtrip")
+def nli_jsonl_roundtrip(spark, sf):
+    """SRC-15 + TRN-04: NLI pairs as JSONL, read and coded."""
+    base = scratch_path(spark, "nli")
+    SK.write_jsonl(FX.nli_pairs(spark, sf).select("sentence1", "sentence2", "gold_label"), base)
+    e = TR.nli_examples(SR.read_nli(spark, base), NLI_CODES)
+    return e.select("sentence1", "sentence2", "label")
+
+
+@register("fever_files_convert")
+def fever_files_convert(spark, sf):
+    """SRC-12 + SRC-13 + TRN-01: the wiki dump and the claims as JSONL
+    files, read with explicit schemas and converted."""
+    base = scratch_path(spark, "feverin")
+    SK.write_jsonl(FX.wiki(spark, sf), f"{base}/wiki")
+    SK.write_jsonl(FX.fever_claims(spark, sf), f"{base}/claims")
+    w = spark.read.schema("id string, lines string").json(f"{base}/wiki")
+    c = SR.read_fever_claims(spark, f"{base}/claims")
+    conv = TR.fever_convert(c, w)
+    return conv.select("id", "claim", "label", F.size("sentences").cast("bigint").alias("n_sentences"),
+                       F.md5(F.array_join("sentences", "\n")).alias("sentences_md5"),
+                       _sets_str(F.col("evidence_sets")).alias("evidence_sets"))
+
+
+@register("scifact_files_examples")
+def scifact_files_examples(spark, sf):
+    """SRC-14 + TRN-03: corpus and claims (evidence map) as JSONL files."""
+    base = scratch_path(spark, "scifact")
+    corpus, claims = FX.scifact(spark, sf)
+    SK.write_jsonl(corpus, f"{base}/corpus")
+    SK.write_jsonl(claims, f"{base}/claims")
+    c2, cl2 = SR.read_scifact(spark, f"{base}/corpus", f"{base}/claims")
+    e = TR.scifact_examples(c2, cl2, seed="scifact")
+    return e.select("claim_id", "doc_id", "kind", F.col("set_idx").cast("bigint"), "rationale",
+                    F.col("label").cast("bigint"))

@@ -656,3 +656,59 @@ ORACLE["wide_sheet_roundtrip"] = ORACLE["variant_columns_wide"]
 # ---------------------------------------------------------------- streaming
 ORACLE["stream_stance"] = ORACLE["pipeline_agree_disagree"]
 ORACLE["article_dedup_stream"] = ORACLE["article_dedup"]
+
+
+# ------------------------------------------------------- more operators
+def _hash_vec(src: str, id_col: str) -> str:
+    return f"""SELECT {id_col} AS id, b, count(*) AS c FROM (
+  SELECT {id_col}, {H('tok')} % 64 AS b FROM (SELECT {id_col}, unnest({tokens('text')}) AS tok FROM {src})) GROUP BY ALL"""
+
+
+ORACLE["user_encoder_topk"] = f"""WITH pv AS ({_hash_vec('documents', 'doc_id')}), cv AS ({_hash_vec('benchmark', 'item_id')}),
+pn AS (SELECT id, sqrt(sum(c * c)) AS n FROM pv GROUP BY id), cn AS (SELECT id, sqrt(sum(c * c)) AS n FROM cv GROUP BY id),
+dt AS (SELECT p.id AS pid, c.id AS cid, sum(p.c * c.c) AS d FROM pv p JOIN cv c ON c.b = p.b GROUP BY ALL),
+sc AS (SELECT d.doc_id AS input_id, b.item_id AS misinfo_id,
+         coalesce(dt.d / (pn.n * cn.n), 0.0) AS score
+       FROM documents d CROSS JOIN benchmark b LEFT JOIN dt ON dt.pid = d.doc_id AND dt.cid = b.item_id
+       LEFT JOIN pn ON pn.id = d.doc_id LEFT JOIN cn ON cn.id = b.item_id)
+SELECT input_id, misinfo_id, round(score, 6) AS confidence, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY round(score, 9) DESC, misinfo_id) AS rank FROM sc)
+WHERE rank <= 5"""
+
+_REG = ", ".join(f"('{m}', 'similarity')" for m in
+                 ["bow-cosine", "bert-base-cosine", "bert-ft-cosine", "ct-bert-cosine", "bert-score-base",
+                  "bert-score-ft", "bert-score-ct", "glove-avg-cosine", "pyserini"])
+_REG += ", " + ", ".join(f"('{m}', 'stance')" for m in
+                         ["bow-log-snli", "bow-log-mnli", "bow-log-mednli", "boe-log-snli", "boe-log-mnli",
+                          "boe-log-mednli", "bilstm-snli", "bilstm-mnli", "bilstm-mednli", "sbert-snli",
+                          "sbert-mnli", "sbert-mednli", "sbert-snli-ct", "sbert-mnli-ct", "sbert-mednli-ct",
+                          "sbert-fever-ct", "sbert-scifact-ct", "sbert-ann-ct", "comb-bilstm-snli",
+                          "comb-bilstm-mnli", "comb-bilstm-mednli", "comb-sbert-snli-ct", "comb-sbert-mnli-ct",
+                          "comb-sbert-mednli-ct", "comb-sbert-fever-ct", "comb-sbert-scifact-ct",
+                          "comb-sbert-ann-ct"])
+
+
+def _unpivot(sql: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT model_id, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM ({sql})"
+                              for c in cols)
+
+
+_RR_COLS = ["pos_hits_1", "pos_hits_5", "pos_hits_10", "pos_mrr", "both_hits_1", "both_hits_5", "both_hits_10", "both_mrr"]
+_SR_COLS = ["accuracy", "macro_precision", "macro_recall", "macro_f1"] + \
+    [f"{c}_{m}" for c in ("pos", "neg", "na") for m in ("precision", "recall", "f1")]
+
+
+def _strip_with(sql: str) -> str:
+    return sql
+
+
+ORACLE["all_models_report"] = f"""WITH reg(model_id, family) AS (VALUES {_REG}),
+rr AS ({ORACLE['retrieval_report']}),
+sr AS ({ORACLE['stance_report']}),
+lf AS ({_unpivot('SELECT * FROM rr', _RR_COLS)} UNION ALL {_unpivot('SELECT * FROM sr', _SR_COLS)})
+SELECT lf.model_id, reg.family, lf.metric, round(lf.value, 6) AS value FROM lf JOIN reg ON reg.model_id = lf.model_id"""
+
+ORACLE["html_files_roundtrip"] = ORACLE["html_cards_to_claims"]
+ORACLE["nli_jsonl_roundtrip"] = "WITH " + _NLI + "\nSELECT sentence1, sentence2, label FROM nlx"
+ORACLE["fever_files_convert"] = ORACLE["fever_convert"]
+ORACLE["scifact_files_examples"] = ORACLE["scifact_examples"]
