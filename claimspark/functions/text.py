@@ -42,7 +42,11 @@ def glove_tokens(text) -> Column:
 
 
 def word_ngrams(tokens, n: int = 2) -> Column:
-    """FN-03: unigrams followed by the space-joined n-grams up to ``n``."""
+    """FN-03: unigrams followed by the space-joined n-grams up to ``n``.
+
+    Pass a column reference (not a tokeniser expression): the expression is
+    referenced inside the lambda and would be re-evaluated per position.
+    """
     toks = _c(tokens)
     out = toks
     for k in range(2, n + 1):

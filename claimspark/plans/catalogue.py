@@ -638,7 +638,10 @@ def bigram_df(spark, sf):
     """AGG-11 / FN-03: document frequency of word uni- and bigrams, min df 2."""
     from claimspark.functions.text import word_ngrams
     d = FX.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    terms = d.select("doc_id", F.explode(F.array_distinct(word_ngrams(word_tokens("text"), 2))).alias("term"))
+    # tokens materialised as a column first: the n-gram lambda then reads the
+    # array instead of re-running the tokeniser for every position
+    toks = d.select("doc_id", word_tokens("text").alias("toks"))
+    terms = toks.select("doc_id", F.explode(F.array_distinct(word_ngrams(F.col("toks"), 2))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 2)
 
 
