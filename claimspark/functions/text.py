@@ -44,16 +44,18 @@ def glove_tokens(text) -> Column:
 def word_ngrams(tokens, n: int = 2) -> Column:
     """FN-03: unigrams followed by the space-joined n-grams up to ``n``.
 
-    Pass a column reference (not a tokeniser expression): the expression is
-    referenced inside the lambda and would be re-evaluated per position.
+    k-grams are built by zipping k shifted slices of the token array (one
+    pass, no per-position slicing).  Pass a column reference rather than a
+    tokeniser expression so the tokeniser runs once per row.
     """
     toks = _c(tokens)
     out = toks
     for k in range(2, n + 1):
-        grams = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(toks) - k, F.lit(-1))),
-            lambda i: F.concat_ws(" ", F.slice(toks, i + 1, k)))
-        out = F.concat(out, F.when(F.size(toks) >= k, grams).otherwise(F.array().cast("array<string>")))
+        m = F.greatest(F.size(toks) - (k - 1), F.lit(0))
+        g = F.slice(toks, 1, m)
+        for j in range(1, k):
+            g = F.zip_with(g, F.slice(toks, j + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.concat(out, g)
     return out
 
 

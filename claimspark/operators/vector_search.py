@@ -29,6 +29,9 @@ from claimspark.operators.common import score_key, top_k
 # Catalogue bytes (rows x dim x 8) shipped in one broadcast; larger
 # catalogues are split into chunks of at most this size.
 MAX_BROADCAST_BYTES = 256 << 20
+# Vocabulary plans (whole word-vector table, vocabulary x claim-vector
+# similarity) are used only under this size.
+VOCAB_PLAN_MAX_BYTES = 256 << 20
 
 
 # ----------------------------------------------------------------- averages
@@ -71,7 +74,7 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
     counts = token_counts(df, id_col, text, tokenizer, word_key)
     n, d = _vocab_size(vectors, vec)
     idtype = df.schema[id_col].dataType.simpleString()
-    if n * d * 8 <= MAX_BROADCAST_BYTES:
+    if n * d * 8 <= VOCAB_PLAN_MAX_BYTES:
         words, mat = _collect_vocab(vectors, word, vec)
         bc = spark.sparkContext.broadcast(mat)
         index = spark.createDataFrame([(w, i) for i, w in enumerate(words)],
@@ -265,14 +268,14 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
     wtype = vectors.schema[word].dataType.simpleString()
 
     plan = "general"
-    if n_vocab * dim * 8 <= MAX_BROADCAST_BYTES:
+    if n_vocab * dim * 8 <= VOCAB_PLAN_MAX_BYTES:
         words, vmat = _collect_vocab(vectors, word, vec)
         index = spark.createDataFrame([(w, i) for i, w in enumerate(words)], f"word {wtype}, vidx int")
         cc = (token_counts(claims, claim_id, claim_text, tokenizer, word_key)
               .join(F.broadcast(index), "word").select("id", "vidx", "cnt").toPandas()
               .sort_values(["id", "vidx"]))
         cv, loc = np.unique(cc["vidx"].to_numpy(), return_inverse=True)
-        if n_vocab * max(len(cv), 1) * 8 <= MAX_BROADCAST_BYTES:
+        if n_vocab * max(len(cv), 1) * 8 <= VOCAB_PLAN_MAX_BYTES:
             plan = "vocab"
             cids = cc["id"].drop_duplicates().to_numpy()
             offs = np.searchsorted(cc["id"].to_numpy(), cids)
