@@ -8,7 +8,7 @@ The claim catalogue is the small side; it is broadcast behind a size check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import word_tokens
@@ -61,16 +61,19 @@ def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id:
     mb = ct.groupBy("cid").agg(F.sum(F.col("tf_m") ** 2 * F.col("i0") ** 2).alias("bb"))
 
     pt = term_counts(posts, post_id, text, tokenizer, "pid")
+    # the post norm is a window over the post's own terms: the rows are
+    # already hash-partitioned by post, so no exchange and -- unlike a
+    # separate aggregate joined back -- the texts are tokenised only once
     pi = (pt.join(broadcast_if(dfm, n_tok), "tok", "left")
-            .withColumn("i1", F.log((F.lit(nn) + 2) / (F.coalesce(F.col("df"), F.lit(0)) + 2)) + 1))
-    pn = pi.groupBy("pid").agg(F.sum(F.col("tf") ** 2 * F.col("i1") ** 2).alias("nn"))
-    hit = (pi.select("pid", "tok", "tf", "i1")
+            .withColumn("i1", F.log((F.lit(nn) + 2) / (F.coalesce(F.col("df"), F.lit(0)) + 2)) + 1)
+            .withColumn("nn", F.sum(F.col("tf") ** 2 * F.col("i1") ** 2).over(Window.partitionBy("pid"))))
+    hit = (pi.select("pid", "tok", "tf", "i1", "nn")
              .join(broadcast_if(ct.select("tok", "cid", "tf_m", F.col("i0").alias("i0m")), n_tok), "tok")
              .groupBy("pid", "cid")
              .agg(F.sum(F.col("tf") * F.col("tf_m") * F.col("i1") ** 2).alias("dot"),
-                  F.sum(F.col("tf_m") ** 2 * (F.col("i1") ** 2 - F.col("i0m") ** 2)).alias("corr")))
-    return (hit.join(pn, "pid")
-               .join(broadcast_if(mb, n), "cid")
+                  F.sum(F.col("tf_m") ** 2 * (F.col("i1") ** 2 - F.col("i0m") ** 2)).alias("corr"),
+                  F.first("nn").alias("nn")))
+    return (hit.join(broadcast_if(mb, n), "cid")
                .select(F.col("pid").alias(post_id), F.col("cid").alias(claim_id),
                        (F.col("dot") / F.sqrt(F.col("nn") * (F.col("bb") + F.col("corr")))).alias("score")))
 
