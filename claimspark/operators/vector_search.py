@@ -376,11 +376,20 @@ def hashing_encoder_factory(dim: int = 64):
         import regex
         pat = regex.compile(r"[\p{L}\p{N}_]{2,}")
 
+        buckets: dict[str, int] = {}  # token -> bucket, reused across batches of this worker
+
+        def bucket(tok):
+            b = buckets.get(tok)
+            if b is None:
+                b = buckets[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+            return b
+
         def encode(texts):
             out = np.zeros((len(texts), dim))
             for r, t in enumerate(texts):
-                for tok in pat.findall(t.lower()):
-                    out[r, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
+                idx = [bucket(tok) for tok in pat.findall(t.lower())]
+                if idx:
+                    np.add.at(out[r], idx, 1.0)
             return out
         return encode
     return factory

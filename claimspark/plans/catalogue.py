@@ -818,7 +818,7 @@ def stream_stance(spark, sf):
     STN-07 pipeline (foreachBatch, one output folder per batch id)."""
     base = scratch_path(spark, "stream-stance")
     posts = FX.posts(spark, sf)
-    SM.stage_files(posts, f"{base}/in", 4)
+    SM.stage_files(posts, f"{base}/in", 2)
     stream = SM.file_stream(spark, f"{base}/in", posts.schema)
     SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b), f"{base}/out")
     return spark.read.parquet(f"{base}/out").drop("batch_id")
@@ -959,7 +959,7 @@ def html_files_roundtrip(spark, sf):
     """SRC-16: pages as one HTML file each (a folder per page), read whole,
     cards extracted (PRJ-07)."""
     base = scratch_path(spark, "html")
-    FX.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")) \
+    FX.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")).repartition(32, "page_id") \
         .write.mode("overwrite").partitionBy("page_id").text(base)
     h = SR.read_html_dir(spark, base).withColumn(
         "page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
