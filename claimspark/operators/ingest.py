@@ -153,18 +153,28 @@ def html_cards(pages: DataFrame, *, id_col: str = "page_id", html: str = "html",
 
 
 def ordered_digest(lines: DataFrame, order: list[str], text: str, bucket_rows: int = 1024) -> DataFrame:
-    """AGG-17 at scale: md5 per line, md5 of the ordered line digests per
-    bucket of ``bucket_rows`` consecutive keys, md5 of the ordered bucket
-    digests.  Every group is bounded; the value is fixed by the order."""
-    pos = dense_ids(lines.select(*order, text), order, 0, "_pos")
-    lvl1 = (pos.withColumn("bucket", F.floor((F.col("_pos") - 1) / bucket_rows))
-               .groupBy("bucket")
-               .agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.md5(F.col(text)).alias("h")))),
-                                                   lambda s: s["h"]), "")).alias("h"),
-                    F.count(F.lit(1)).alias("n")))
-    return lvl1.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))),
-                                                   lambda s: s["h"]), "")).alias("digest"),
-                    F.sum("n").cast("bigint").alias("n_lines"))
+    """AGG-17 at scale: a Merkle-style ordered digest.  Level 0 is the md5 of
+    every line; each level hashes the ordered digests of ``bucket_rows``
+    consecutive items; levels repeat until at most ``bucket_rows`` digests
+    remain, whose ordered md5 is the result.  Every group is bounded by
+    ``bucket_rows`` and the value is fixed by the order."""
+    lvl = dense_ids(lines.select(*order, text), order, 0, "_pos") \
+        .select((F.col("_pos") - 1).alias("pos"), F.md5(F.col(text)).alias("h"))
+    n_lines = lvl.count()
+    n = n_lines
+
+    def roll(df):
+        return df.groupBy(F.floor(F.col("pos") / bucket_rows).alias("pos")).agg(
+            F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]),
+                               "")).alias("h"))
+    lvl = roll(lvl)
+    n = -(-n // bucket_rows)
+    while n > bucket_rows:
+        lvl = roll(lvl).checkpoint(eager=True)
+        n = -(-n // bucket_rows)
+    return lvl.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))),
+                                                  lambda s: s["h"]), "")).alias("digest")) \
+        .withColumn("n_lines", F.lit(n_lines).cast("bigint"))
 
 
 def overlay(defaults: DataFrame, overrides: DataFrame, keys=("entity", "key"), value: str = "value") -> DataFrame:

@@ -173,10 +173,18 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     sizes = (contexts.groupBy(F.col(question).alias("question"))
                      .agg(F.floor(F.count(F.lit(1)) * F.lit(neg_scale)).cast("bigint").alias("neg_size")))
     off = F.conv(F.substring(seeded_key(seed, "question"), 1, 8), 16, 10).cast("bigint") % F.lit(max(n_pool, 1))
-    want = (sizes.filter(F.col("neg_size") > 0)
-                 .select("question", off.alias("o"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("neg_size") - 1))
-                         .alias("ctx_idx"))
-                 .withColumn("p", (F.col("o") + F.col("ctx_idx")) % F.lit(max(n_pool, 1)) + 1))
+    # a question may own a large share of all rows: its negative slots are
+    # generated in chunks of CHUNK, the chunk list is spread over tasks
+    # before the inner explode, so no single task produces all of them
+    chunk = 100_000
+    chunks = (sizes.filter(F.col("neg_size") > 0)
+                   .select("question", "neg_size", off.alias("o"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("neg_size") - 1) / chunk)
+                                                .cast("bigint"))).alias("c"))
+                   .repartition("question", "c"))
+    want = (chunks.select("question", "o", F.explode(F.sequence(
+                F.col("c") * chunk, F.least(F.col("neg_size"), (F.col("c") + 1) * chunk) - 1)).alias("ctx_idx"))
+            .withColumn("p", (F.col("o") + F.col("ctx_idx")) % F.lit(max(n_pool, 1)) + 1))
     neg = want.join(pool, "p").select("question", F.lit("negative").alias("kind"), "ctx_id", "text", "ctx_idx")
     return pos.unionByName(neg)
 

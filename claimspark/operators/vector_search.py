@@ -271,9 +271,11 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
     if n_vocab * dim * 8 <= VOCAB_PLAN_MAX_BYTES:
         words, vmat = _collect_vocab(vectors, word, vec)
         index = spark.createDataFrame([(w, i) for i, w in enumerate(words)], f"word {wtype}, vidx int")
-        cc = (token_counts(claims, claim_id, claim_text, tokenizer, word_key)
-              .join(F.broadcast(index), "word").select("id", "vidx", "cnt").toPandas()
-              .sort_values(["id", "vidx"]))
+        ccdf = token_counts(claims, claim_id, claim_text, tokenizer, word_key) \
+            .join(F.broadcast(index), "word").select("id", "vidx", "cnt")
+        if ccdf.count() * 24 > MAX_BROADCAST_BYTES:
+            raise ValueError("claim token table above the broadcast limit; split the claim set")
+        cc = ccdf.toPandas().sort_values(["id", "vidx"])
         cv, loc = np.unique(cc["vidx"].to_numpy(), return_inverse=True)
         if n_vocab * max(len(cv), 1) * 8 <= VOCAB_PLAN_MAX_BYTES:
             plan = "vocab"

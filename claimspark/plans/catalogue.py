@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.operators import retrieval as R
+from claimspark.operators.common import broadcast_if
 from claimspark.plans import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,7 +532,7 @@ def best_variation_per_claim(spark, sf):
     var = FX.variations(spark, sf)
     s = R.tfidf_cosine(FX.posts(spark, sf), var, post_id="input_id", claim_id="vid", text="text",
                        claim_text="line")
-    s = s.join(F.broadcast(var.select("vid", "item_id", "var_idx")), "vid")
+    s = s.join(broadcast_if(var.select("vid", "item_id", "var_idx"), var.count()), "vid")
     best = s.groupBy("input_id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("item_id")).alias("ni"),
                                                     (-F.col("var_idx")).alias("nv"), F.col("score").alias("raw"))).alias("b"))
     return best.select("input_id", (-F.col("b.ni")).alias("misinfo_id"), (-F.col("b.nv")).alias("var_idx"),
@@ -544,7 +545,7 @@ def readable_predictions(spark, sf):
     claim}]} (top 5 by TF-IDF), exploded back to rows."""
     top = R.top_claims(FX.tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=5)
     cl = FX.table(spark, sf, "benchmark").select(F.col("item_id").alias("misinfo_id"), F.col("text").alias("claim"))
-    nested = (top.join(F.broadcast(cl), "misinfo_id")
+    nested = (top.join(broadcast_if(cl, FX.n_rows(spark, sf, "benchmark")), "misinfo_id")
                  .groupBy("input_id")
                  .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").alias("misinformation_score"),
                                                            "misinfo_id", "claim"))).alias("predictions"))

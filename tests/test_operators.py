@@ -137,3 +137,28 @@ def test_stream_dedup_forever_sequential(spark, tmp_path):
     SM.dedup_forever(stream, table, ["category", "url"], "seq", checkpoint=str(tmp_path / "ck"))
     got = sorted(tuple(r) for r in spark.read.parquet(table).collect())
     assert got == [("a", "u1", 1), ("b", "u2", 4)]
+
+
+def test_ordered_digest_levels(spark):
+    import hashlib
+    lines = [(i, f"line {i}") for i in range(11)]
+    df = spark.createDataFrame(lines, "k long, t string")
+    got = IG.ordered_digest(df, ["k"], "t", bucket_rows=2).first()
+
+    def md5(s):
+        return hashlib.md5(s.encode()).hexdigest()
+    level = [md5(t) for _, t in lines]
+    level = [md5("".join(level[i:i + 2])) for i in range(0, len(level), 2)]
+    while len(level) > 2:
+        level = [md5("".join(level[i:i + 2])) for i in range(0, len(level), 2)]
+    assert got["digest"] == md5("".join(level)) and got["n_lines"] == 11
+
+
+def test_retriever_set_cycles(spark):
+    from claimspark.operators import training as TR
+    ctx = spark.createDataFrame([("q1", i, f"t{i}") for i in range(5)] + [("q2", 9, "t9")],
+                                "q string, id long, text string")
+    out = TR.retriever_set(ctx, question="q", ctx_id="id", text="text", neg_scale=3.0, seed="s").collect()
+    negs = [r for r in out if r["kind"] == "negative"]
+    assert len([r for r in negs if r["question"] == "q1"]) == 15 and len([r for r in negs if r["question"] == "q2"]) == 3
+    assert len([r for r in out if r["kind"] == "positive"]) == 6
