@@ -43,42 +43,37 @@ def average_rank(preds: DataFrame, *, by: str = "input_id", score: str = "confid
     return preds.withColumn(out, F.when(F.col(score).isNull(), F.lit(None)).otherwise(r.cast("double")))
 
 
-def rank_with_implicit_zeros(preds: DataFrame, n_claims: int, *, by: str = "input_id",
-                             score: str = "confidence") -> tuple[DataFrame, DataFrame]:
-    """Average ranks of a sparse score table whose missing pairs score 0.
-
-    Returns (ranked hits, per-post number of positive scores); a missing
-    pair of a post with h positive hits has rank ``h + (n_claims - h + 1)/2``
-    (the mean position of the tied zero block) -- the dense grid is never
-    built.
-    """
-    ranked = average_rank(preds, by=by, score=score)
-    hits = preds.filter(F.col(score) > 0).groupBy("model_id", by).agg(F.count(F.lit(1)).alias("n_pos"))
-    return ranked, hits.withColumn("zero_rank", F.col("n_pos") + (F.lit(n_claims) - F.col("n_pos") + 1) / 2.0)
-
-
-def retrieval_report(gold: DataFrame, ranked: DataFrame, models: list[str], *, ks=(1, 5, 10),
-                     zero_ranks: DataFrame | None = None, n_claims: int | None = None) -> DataFrame:
+def retrieval_report(gold: DataFrame, preds: DataFrame, models: list[str], *, ks=(1, 5, 10),
+                     n_claims: int | None = None, score: str = "confidence") -> DataFrame:
     """EVL-01: Hits@k and MRR for positives and for positives+negatives.
 
-    ``gold`` (input_id, misinfo_id, gold_label); ``ranked`` (model_id,
-    input_id, misinfo_id, rank).  Every model in ``models`` (a short, fixed
-    list) is evaluated on the full gold set in one pass.  Gold rows with
-    labels 0/1 are kept (FLT-11); unmatched rows count in the Hits
-    denominator and are skipped by the MRR mean (Q10).  With ``zero_ranks``
-    (from :func:`rank_with_implicit_zeros`) a pair missing from a sparse score
-    table takes the rank of the tied zero block instead.
+    ``gold`` (input_id, misinfo_id, gold_label); ``preds`` (model_id,
+    input_id, misinfo_id, confidence).  Every model in ``models`` (a short,
+    fixed list) is evaluated on the full gold set in one pass.
+
+    Predictions are first reduced to the gold posts (semi join), ranked with
+    averaged ties (WIN-01), and gathered per (model, post) into a
+    claim -> rank map (bounded by the claims a post was scored against), so
+    the scoring plan is read once.  Gold rows with labels 0/1 are kept
+    (FLT-11).  With ``n_claims`` the predictions are read as a sparse table
+    whose missing pairs score 0: such a pair takes the mean rank of the tied
+    zero block, ``h + (n_claims - h + 1) / 2`` with h positive scores of the
+    post.  Without it unmatched rows count in the Hits denominator and are
+    skipped by the MRR mean (Q10).  Hits are percentages, unrounded.
     """
-    g = (gold.filter(F.col("gold_label").isin(0, 1))
-             .select("input_id", "misinfo_id", "gold_label",
-                     F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id")))
-    e = g.join(ranked.select("model_id", "input_id", "misinfo_id", "rank"),
-               ["model_id", "input_id", "misinfo_id"], "left")
-    if zero_ranks is not None:
-        fallback = F.lit((n_claims + 1) / 2.0) if n_claims else F.lit(None)
-        e = (e.join(zero_ranks.select("model_id", "input_id", "zero_rank"), ["model_id", "input_id"], "left")
-              .withColumn("rank", F.coalesce("rank", "zero_rank", fallback)))
-    e = e.withColumn("inv", F.try_divide(F.lit(1.0), F.col("rank")))
+    g = gold.filter(F.col("gold_label").isin(0, 1)).select("input_id", "misinfo_id", "gold_label")
+    p = preds.join(g.select("input_id").distinct(), "input_id", "left_semi")
+    ranked = average_rank(p, by="input_id", score=score)
+    per_post = ranked.groupBy("model_id", "input_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("misinfo_id", "rank"))).alias("ranks"),
+        F.count_if(F.col(score) > 0).alias("n_pos"))
+    e = (g.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
+          .join(per_post, ["model_id", "input_id"], "left"))
+    r = F.try_element_at(F.col("ranks"), F.col("misinfo_id"))
+    if n_claims is not None:
+        zero = F.coalesce(F.col("n_pos"), F.lit(0)) + (F.lit(n_claims) - F.coalesce(F.col("n_pos"), F.lit(0)) + 1) / 2.0
+        r = F.coalesce(r, zero)
+    e = e.withColumn("rank", r).withColumn("inv", F.try_divide(F.lit(1.0), F.col("rank")))
     pos = F.col("gold_label") == 0
     aggs = []
     for k in ks:

@@ -119,24 +119,26 @@ def zero_fill_top_k(hits: DataFrame, posts: DataFrame, claim_ids: DataFrame, *,
     ``min(k, #claims)`` rows.
 
     Only the first k claim ids can ever be needed for filling, so they are
-    computed once as a bounded literal array (k values) -- no post x claim
-    grid is built.
+    taken once as a bounded literal array (k values).  Hits (at most k per
+    post) and the post ids meet in one grouping by post, so the scoring plan
+    runs once and no post x claim grid is built.
     """
     best = top_claims(hits, post_id=post_id, claim_id=claim_id, score=score, k=k, rank_col=rank_col)
+    ctype = claim_ids.schema[claim_id].dataType.simpleString()
     first_ids = [r[0] for r in claim_ids.select(claim_id).orderBy(claim_id).limit(k).collect()]
-    fill_pool = F.array(*[F.lit(v) for v in first_ids]) if first_ids else \
-        F.array().cast(f"array<{claim_ids.schema[claim_id].dataType.simpleString()}>")
-    per_post = best.groupBy(post_id).agg(F.collect_list(claim_id).alias("hit_ids"),
-                                         F.count(F.lit(1)).alias("n_hits"))
-    fills = (posts.select(post_id).join(per_post, post_id, "left")
-                  .select(post_id, F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
-                          F.posexplode(F.slice(
-                              F.array_except(fill_pool, F.coalesce("hit_ids", F.array().cast(fill_pool_type(claim_ids, claim_id)))),
-                              1, F.greatest(F.lit(k) - F.coalesce("n_hits", F.lit(0)), F.lit(0))))
-                          .alias("pos", claim_id))
-                  .select(post_id, claim_id, F.lit(0.0).alias(score),
-                          (F.col("n_hits") + F.col("pos") + 1).cast("bigint").alias(rank_col)))
-    return best.select(post_id, claim_id, score, rank_col).unionByName(fills)
+    pool = F.array(*[F.lit(v).cast(ctype) for v in first_ids]) if first_ids else F.array().cast(f"array<{ctype}>")
+    hit_t = f"struct<c:{ctype},s:double,r:bigint>"
+    rows = (best.select(post_id, F.struct(F.col(claim_id).alias("c"), F.col(score).cast("double").alias("s"),
+                                          F.col(rank_col).cast("bigint").alias("r")).alias("h"))
+                .unionByName(posts.select(post_id, F.lit(None).cast(hit_t).alias("h"))))
+    per_post = rows.groupBy(post_id).agg(F.collect_list("h").alias("hits"))
+    n_hits = F.size("hits")
+    fill_ids = F.slice(F.array_except(pool, F.transform("hits", lambda h: h["c"])), 1,
+                       F.greatest(F.lit(k) - n_hits, F.lit(0)))
+    fills = F.transform(fill_ids, lambda c, i: F.struct(c.alias("c"), F.lit(0.0).alias("s"),
+                                                        (n_hits + i + 1).cast("bigint").alias("r")))
+    return (per_post.select(post_id, F.inline(F.concat("hits", fills)))
+                    .select(post_id, F.col("c").alias(claim_id), F.col("s").alias(score), F.col("r").alias(rank_col)))
 
 
 def fill_pool_type(df: DataFrame, col: str) -> str:

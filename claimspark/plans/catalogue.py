@@ -75,9 +75,7 @@ def retrieval_report(spark, sf):
     annotator's gold pairs; pairs a model did not score rank in the zero block."""
     p = FX.retrieval_preds(spark, sf)
     n = FX.n_rows(spark, sf, "benchmark")
-    ranked, zero = EV.rank_with_implicit_zeros(p, n)
-    return EV.retrieval_report(FX.gold(spark, sf), ranked, RETRIEVAL_FIXTURE_MODELS,
-                               zero_ranks=zero, n_claims=n)
+    return EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
 
 
 @register("confusion_matrix")
@@ -943,8 +941,7 @@ def all_models_report(spark, sf):
     reg = EV.model_registry(spark)
     p = FX.retrieval_preds(spark, sf)
     n = FX.n_rows(spark, sf, "benchmark")
-    ranked, zero = EV.rank_with_implicit_zeros(p, n)
-    rr = EV.retrieval_report(FX.gold(spark, sf), ranked, RETRIEVAL_FIXTURE_MODELS, zero_ranks=zero, n_claims=n)
+    rr = EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
     sr = EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))
 
     def longform(df):

@@ -54,9 +54,9 @@ def test_confusion_total_and_hits_monotone(spark):
                                   "model_id string, input_id long, misinfo_id long, label_id long")
     cells = EV.confusion_cells(gold, preds)
     assert EV.confusion_long(cells).agg(F.sum("n")).first()[0] == 30
-    ranked = spark.createDataFrame([("m", i, i % 3, float(i % 12 + 1)) for i in range(30)],
-                                   "model_id string, input_id long, misinfo_id long, rank double")
-    rep = EV.retrieval_report(gold, ranked, ["m"]).first()
+    preds2 = spark.createDataFrame([("m", i, c, float((i * c) % 7)) for i in range(30) for c in range(3)],
+                                   "model_id string, input_id long, misinfo_id long, confidence double")
+    rep = EV.retrieval_report(gold, preds2, ["m"]).first()
     assert rep["both_hits_1"] <= rep["both_hits_5"] <= rep["both_hits_10"]
 
 
