@@ -185,3 +185,14 @@ def overlay(defaults: DataFrame, overrides: DataFrame, keys=("entity", "key"), v
     o = overrides.filter(F.col(value).isNotNull() & (F.col(value) != "")).withColumnRenamed(value, "_o")
     d = defaults.withColumnRenamed(value, "_d")
     return d.join(o, keys, "full").select(*keys, F.coalesce("_o", "_d").alias(value))
+
+
+def pending_inputs(inputs: DataFrame, outputs: DataFrame, *, path: str = "path", out_path: str = "out",
+                   out_exts=(".jsonl", ".jsonl.gz")) -> DataFrame:
+    """JOIN-12 / SET-05 / FN-27: input files whose stem has no processed
+    output in any of the output extensions (union of the done sets, anti
+    join on the stem)."""
+    from claimspark.functions.misc import path_basename, path_stem
+    pat = "(" + "|".join(e.replace(".", r"\.") for e in sorted(out_exts, key=len, reverse=True)) + ")$"
+    done = outputs.select(F.regexp_replace(path_basename(out_path), pat, "").alias("stem")).distinct()
+    return inputs.withColumn("stem", path_stem(path)).join(done, "stem", "left_anti")

@@ -6,7 +6,7 @@ as recorded in the semantics ledger (Q1, Q2, Q4, Q5).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,37 @@ def outputs_filter(outputs: DataFrame, model=None, input_id=None, misinfo_id=Non
 def by_source(df: DataFrame, source=None, col: str = "source_type") -> DataFrame:
     """FLT-03 / FLT-04: optional source equality."""
     return df if source is None else df.filter(F.col(col) == source)
+
+
+def keyword_filter(df: DataFrame, *, tokens: Column, any_of=(), all_of=(), phrases=(), text: str | None = None,
+                   lang: str | None = None, lang_col: str = "lang", allow_hosts=(), deny_hosts=(),
+                   host_col: str = "host", date_col: str | None = None, from_date=None, until_date=None) -> DataFrame:
+    """FLT-13: a crawl query as a filter on a text table -- OR group, AND
+    group, exact phrases, language, host allow / deny suffixes and a
+    half-open date range; one conjunctive predicate (no UDF)."""
+    cond = F.lit(True)
+    if any_of:
+        cond = cond & F.exists(tokens, lambda t: t.isin(*any_of))
+    for k in all_of:
+        cond = cond & F.array_contains(tokens, k)
+    for ph in phrases:
+        cond = cond & F.lower(F.col(text)).contains(ph.lower())
+    if lang is not None:
+        cond = cond & (F.col(lang_col) == lang)
+    if allow_hosts:
+        ok = F.lit(False)
+        for h in allow_hosts:
+            ok = ok | F.col(host_col).endswith(h)
+        cond = cond & ok
+    for h in deny_hosts:
+        cond = cond & ~F.col(host_col).endswith(h)
+    if date_col is not None and from_date is not None:
+        cond = cond & (F.col(date_col) >= from_date)
+    if date_col is not None and until_date is not None:
+        cond = cond & (F.col(date_col) < until_date)
+    return df.filter(cond)
+
+
+def page(df: DataFrame, order: list[Column], size: int = 100, number: int = 0) -> DataFrame:
+    """TOP-07: one page of a sorted result (sort, then offset / limit)."""
+    return df.orderBy(*order).offset(size * number).limit(size)

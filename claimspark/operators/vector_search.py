@@ -201,6 +201,8 @@ def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_t
     cw = ccounts.select("word", "vec").distinct().toPandas()
     widx = {w: i for i, w in enumerate(cw["word"])}
     ymat = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in cw["vec"]])) if len(cw) else np.zeros((0, 1))
+    if ccounts.count() * 32 > MAX_BROADCAST_BYTES:
+        raise ValueError("claim token table above the broadcast limit; split the claim set")
     cl = ccounts.select("id", "word", "cnt").toPandas()
     cl["w"] = cl["word"].map(widx)
     cl = cl.sort_values(["id", "w"])

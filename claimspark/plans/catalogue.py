@@ -388,12 +388,11 @@ def keyword_domain_filter(spark, sf):
     list, date range; newest first, first page of 100."""
     a = FX.articles(spark, sf)
     toks = F.regexp_extract_all(F.lower(F.col("html")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    cond = (F.exists(toks, lambda t: t.isin(*KEYWORDS_ANY))
-            & F.forall(F.array(*[F.lit(k) for k in KEYWORDS_ALL]), lambda k: F.array_contains(toks, k))
-            & (F.col("lang") == "en") & ~F.col("host").endswith(DENY_HOST_SUFFIX)
-            & (F.col("publishedAt") >= "2024-01-03") & (F.col("publishedAt") < "2024-01-28"))
-    return (a.filter(cond).orderBy(F.col("publishedAt").desc(), F.col("page_id").asc()).limit(100)
-             .select("page_id", "host", "publishedAt"))
+    f = RL.keyword_filter(a, tokens=toks, any_of=KEYWORDS_ANY, all_of=KEYWORDS_ALL, lang="en",
+                          deny_hosts=[DENY_HOST_SUFFIX], date_col="publishedAt",
+                          from_date="2024-01-03", until_date="2024-01-28")
+    return RL.page(f, [F.col("publishedAt").desc(), F.col("page_id").asc()], 100, 0) \
+        .select("page_id", "host", "publishedAt")
 
 
 @register("article_dedup")
@@ -443,15 +442,13 @@ def request_batches(spark, sf):
 def pending_files(spark, sf):
     """JOIN-12 / SET-05 / FN-27: input files (page paths) without a
     processed output of the same stem in either output extension."""
-    from claimspark.functions.misc import path_basename, path_stem
+    from claimspark.functions.misc import path_stem
     from claimspark.functions.text import hash_mod
     p = FX.table(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(".jsonl")).alias("path"), "url")
     done_a = p.filter(hash_mod("url", 3) == 0).select(F.concat(F.lit("out/"), path_stem("path"), F.lit(".jsonl")).alias("out"))
     done_b = p.filter(hash_mod("url", 3) == 1).select(F.concat(F.lit("out/"), path_stem("path"), F.lit(".jsonl.gz")).alias("out"))
-    done = done_a.unionByName(done_b).select(F.regexp_replace(path_basename("out"), r"\.jsonl(\.gz)?$", "").alias("stem"))
-    return (p.select("path", path_stem("path").alias("stem")).join(done, "stem", "left_anti")
-             .select("path", "stem"))
+    return IG.pending_inputs(p.select("path"), done_a.unionByName(done_b)).select("path", "stem")
 
 
 @register("latest_months")
