@@ -323,10 +323,10 @@ SELECT i.input_id, r.misconception_id AS misinfo_id,
 FROM r JOIN ids i ON i.tweet_id = r.tweet_id"""
 
 ORACLE["claims_to_table"] = "WITH " + CLAIMS + """
-SELECT id, canonical_sentence AS text, to_json(struct_pack(list := sources)) AS url, origin AS source,
+SELECT id, canonical_sentence AS text, CAST(to_json(struct_pack(list := sources)) AS VARCHAR) AS url, origin AS source,
   CAST(1.0 AS DOUBLE) AS reliability,
-  to_json(struct_pack(category := category, pos_variations := pos_variations, neg_variations := CAST([] AS VARCHAR[]),
-                      reliability_score := reliability_score)) AS misc
+  CAST(to_json(struct_pack(category := category, pos_variations := pos_variations, neg_variations := CAST([] AS VARCHAR[]),
+                      reliability_score := reliability_score)) AS VARCHAR) AS misc
 FROM (SELECT *, row_number() OVER (PARTITION BY canonical_sentence ORDER BY id) AS rn FROM claims) WHERE rn = 1"""
 
 _TWEETS = """tw AS (SELECT event_id AS id, ts AS created_at, ['en', 'fr', 'de'][event_id % 3 + 1] AS lang,
