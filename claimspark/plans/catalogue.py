@@ -61,6 +61,13 @@ from claimspark.operators import evaluate as EV  # noqa: E402
 RETRIEVAL_FIXTURE_MODELS = ["bow-cosine", "pyserini"]
 
 
+def _round_doubles(df, digits: int = 6):
+    """Report form: every double column rounded (raw values stay available
+    from the library functions)."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 @register("avg_rank_ties")
 def avg_rank_ties(spark, sf):
     """WIN-01 on scores rounded to hundredths (many ties)."""
@@ -75,7 +82,7 @@ def retrieval_report(spark, sf):
     annotator's gold pairs; pairs a model did not score rank in the zero block."""
     p = FX.retrieval_preds(spark, sf)
     n = FX.n_rows(spark, sf, "benchmark")
-    return EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
+    return _round_doubles(EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n))
 
 
 @register("confusion_matrix")
@@ -88,7 +95,7 @@ def confusion_matrix(spark, sf):
 @register("stance_report")
 def stance_report(spark, sf):
     """EVL-02 / AGG-04..06 per stance model."""
-    return EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))
+    return _round_doubles(EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf))))
 
 
 # ------------------------------------------------------------ dense models

@@ -141,6 +141,11 @@ def _stance_report_sql(src: str) -> str:
 ORACLE["stance_report"] = _STANCE_CELLS + "\n" + _stance_report_sql("cells")
 
 
+def _rounded(sql: str, cols: list[str]) -> str:
+    """Report form of a metrics query: double columns rounded to 6 places."""
+    return "WITH r AS (" + sql + ")\nSELECT model_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + " FROM r"
+
+
 def _wv(tok_expr_docs: str, tok_expr_bench: str) -> str:
     """word -> vec_id table (twin of fixtures.word_vectors)."""
     return f"""
@@ -702,6 +707,9 @@ def _strip_with(sql: str) -> str:
     return sql
 
 
+ORACLE["retrieval_report"] = _rounded(ORACLE["retrieval_report"], _RR_COLS)
+ORACLE["stance_report"] = _rounded(ORACLE["stance_report"], _SR_COLS)
+
 ORACLE["all_models_report"] = f"""WITH reg(model_id, family) AS (VALUES {_REG}),
 rr AS ({ORACLE['retrieval_report']}),
 sr AS ({ORACLE['stance_report']}),
