@@ -157,7 +157,8 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     """TRN-05 (AGG-02, FLT-09): per question its positive contexts and
     ``int(n_pos * neg_scale)`` negatives drawn without replacement from the
     pool of non-empty texts in a seeded order, cycling when the pool is
-    short (Q30).  Long form (question, kind, ctx_idx, ctx_id, text): no
+    short (Q30).  Long form (question, kind, ctx_idx, ctx_id, text; ctx_idx
+    is the negative slot, -1 for positives): no
     question's contexts are ever collected into one row, so a question
     holding a third of the data is still split across tasks.
 
@@ -165,7 +166,7 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     its own seeded offset: an equi-join on the pool position, no pairs."""
     pos = contexts.select(F.col(question).alias("question"), F.lit("positive").alias("kind"),
                           F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"))
-    pos = pos.withColumn("ctx_idx", F.lit(None).cast("bigint"))
+    pos = pos.withColumn("ctx_idx", F.lit(-1).cast("bigint"))  # positives have no negative slot
     pool = contexts.filter(F.length(text) > 0).select(F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"),
                                                       seeded_key(seed, ctx_id).alias("h"))
     pool = dense_ids(pool, ["h", "ctx_id"], 0, "p")

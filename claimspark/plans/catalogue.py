@@ -231,8 +231,10 @@ def agree_disagree_for(spark, sf, posts):
     def fn(pairs):
         return ST.linear_softmax(ST.attach_vectors(pairs, pv, cv), w, b, parts=STANCE_DIM_PARTS)
     out = ST.agree_disagree(best, fn)
-    return out.select("input_id", F.when(F.col("relevant"), F.col("misinfo_id")).alias("misinfo_id"),
-                      "relevant", F.col("label_id").cast("bigint"), "label")
+    # irrelevant posts keep their best claim for reference and take the
+    # n/a class code (2); the stance word is only given for relevant ones
+    return out.select("input_id", "misinfo_id", "relevant",
+                      F.coalesce(F.col("label_id"), F.lit(2)).cast("bigint").alias("label_id"), "label")
 
 
 @register("pipeline_agree_disagree")

@@ -268,8 +268,8 @@ FROM rel r LEFT JOIN head h ON h.input_id = r.input_id AND h.misinfo_id = r.misi
 
 ORACLE["pipeline_agree_disagree"] = _SENT + """,
 relv AS (SELECT * FROM best WHERE score >= 0.4),""" + _head("relv")[1:] + """
-SELECT b.input_id, CASE WHEN b.score >= 0.4 THEN b.misinfo_id END AS misinfo_id, b.score >= 0.4 AS relevant,
-  CAST(CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 0 ELSE 1 END) END AS BIGINT) AS label_id,
+SELECT b.input_id, b.misinfo_id, b.score >= 0.4 AS relevant,
+  CAST(CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 0 ELSE 1 END) ELSE 2 END AS BIGINT) AS label_id,
   CASE WHEN b.score >= 0.4 THEN (CASE WHEN h.l0 >= h.l1 THEN 'agrees' ELSE 'disagrees' END) END AS label
 FROM best b LEFT JOIN head h ON h.input_id = b.input_id AND h.misinfo_id = b.misinfo_id"""
 
@@ -597,7 +597,7 @@ np AS (SELECT count(*) AS n FROM pool),
 sz AS (SELECT source AS question, CAST(floor(count(*) * 0.5) AS BIGINT) AS neg_size FROM documents GROUP BY source),
 w AS (SELECT question, ('0x' || substr(md5(concat_ws('|', 'dpr', question)), 1, 8))::BIGINT % (SELECT n FROM np) AS o,
         unnest(range(neg_size)) AS ctx_idx FROM sz WHERE neg_size > 0)
-SELECT source AS question, 'positive' AS kind, CAST(NULL AS BIGINT) AS ctx_idx, doc_id AS ctx_id, text FROM documents
+SELECT source AS question, 'positive' AS kind, CAST(-1 AS BIGINT) AS ctx_idx, doc_id AS ctx_id, text FROM documents
 UNION ALL
 SELECT w.question, 'negative', w.ctx_idx, pool.doc_id, pool.text FROM w JOIN pool ON pool.p = (w.o + w.ctx_idx) % (SELECT n FROM np) + 1"""
 
