@@ -1006,3 +1006,34 @@ def scifact_files_examples(spark, sf):
     e = TR.scifact_examples(c2, cl2, seed="scifact")
     return e.select("claim_id", "doc_id", "kind", F.col("set_idx").cast("bigint"), "rationale",
                     F.col("label").cast("bigint"))
+
+
+REPORT_COLUMNS = ["pos_hits_1", "pos_hits_5", "pos_hits_10", "pos_mrr", "both_hits_1", "both_hits_5",
+                  "both_hits_10", "both_mrr"]
+
+
+@register("retrieval_report_line")
+def retrieval_report_line(spark, sf):
+    """EVL-01 display line: Hits@1/5/10 (1 decimal) and MRR (2 decimals),
+    half-to-even, ' & '-joined in the reference's order."""
+    p = FX.retrieval_preds(spark, sf)
+    n = FX.n_rows(spark, sf, "benchmark")
+    r = EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
+    r = r.select("model_id", *[F.bround(F.col(c), 2 if c.endswith("mrr") else 1).alias(c) for c in REPORT_COLUMNS])
+    return EV.report_line(r, REPORT_COLUMNS, 2)
+
+
+@register("retriever_jsonl_roundtrip")
+def retriever_jsonl_roundtrip(spark, sf):
+    """SNK-08: retriever training records {question, answers, kind, ctx:
+    {title, text}} written as JSONL (one context per line) and read back."""
+    base = scratch_path(spark, "dpr")
+    d = FX.table(spark, sf, "documents")
+    r = TR.retriever_set(d, question="source", ctx_id="doc_id", text="text", neg_scale=0.5, seed="dpr")
+    rec = r.select("question", F.array().cast("array<string>").alias("answers"), "kind", "ctx_idx",
+                   F.struct(F.lit(None).cast("string").alias("title"), F.col("text"), F.col("ctx_id").alias("id")).alias("ctx"))
+    SK.write_jsonl(rec, base)
+    back = spark.read.schema("question string, answers array<string>, kind string, ctx_idx long, "
+                             "ctx struct<title:string,text:string,id:long>").json(base)
+    return back.select("question", "kind", "ctx_idx", F.col("ctx.id").alias("ctx_id"), F.col("ctx.text").alias("text"),
+                       F.size("answers").cast("bigint").alias("n_answers"))

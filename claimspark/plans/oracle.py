@@ -720,3 +720,10 @@ ORACLE["html_files_roundtrip"] = ORACLE["html_cards_to_claims"]
 ORACLE["nli_jsonl_roundtrip"] = "WITH " + _NLI + "\nSELECT sentence1, sentence2, label FROM nlx"
 ORACLE["fever_files_convert"] = ORACLE["fever_convert"]
 ORACLE["scifact_files_examples"] = ORACLE["scifact_examples"]
+
+_RAW_RR = ORACLE["retrieval_report"]
+ORACLE["retrieval_report_line"] = "WITH rr AS (" + _RAW_RR + """)
+SELECT model_id, concat_ws(' & ', """ + ", ".join(
+    f"CAST(round_even({c}, {2 if c.endswith('mrr') else 1}) AS VARCHAR)" for c in _RR_COLS) + """) AS line FROM rr"""
+
+ORACLE["retriever_jsonl_roundtrip"] = "SELECT *, CAST(0 AS BIGINT) AS n_answers FROM (" + ORACLE["retriever_training_set"] + ")"
