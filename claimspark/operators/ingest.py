@@ -17,21 +17,25 @@ from claimspark.session import checkpoint_dir
 # ------------------------------------------------------------- dense ids
 def dense_ids(df: DataFrame, order: list[str], base: int | Column = 0, id_col: str = "id") -> DataFrame:
     """Consecutive ids ``base+1 ..`` in ``order`` without a single-task
-    window: range-partition, number rows inside each partition, add the
-    running count of the preceding partitions (a P-row table).  The sorted
-    input is checkpointed into the shared checkpoint folder first, so the
-    numbering is stable even if executors are lost and tasks re-run."""
+    window: range-partition and sort within partitions, take each row's
+    index inside its partition from ``monotonically_increasing_id`` (partition
+    id in the upper bits), and add the running count of the preceding
+    partitions (a P-row table, broadcast).  The numbered rows are
+    checkpointed into the shared checkpoint folder, so the numbering is
+    fixed even if executors are lost and tasks re-run, and no second
+    shuffle of the data is needed."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-           .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_rn", F.monotonically_increasing_id() - F.col("_pid").cast("bigint") * F.lit(1 << 33))
+           .checkpoint(eager=True))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(*order)
     b = base if isinstance(base, Column) else F.lit(base)
     return (s.join(F.broadcast(offs), "_pid")
-             .withColumn(id_col, (b + F.col("_off") + F.row_number().over(w)).cast("bigint"))
-             .drop("_pid", "_off"))
+             .withColumn(id_col, (b + F.col("_off") + F.col("_rn") + 1).cast("bigint"))
+             .drop("_pid", "_off", "_rn"))
 
 
 def first_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
