@@ -727,3 +727,5 @@ SELECT model_id, concat_ws(' & ', """ + ", ".join(
     f"CAST(round_even({c}, {2 if c.endswith('mrr') else 1}) AS VARCHAR)" for c in _RR_COLS) + """) AS line FROM rr"""
 
 ORACLE["retriever_jsonl_roundtrip"] = "SELECT *, CAST(0 AS BIGINT) AS n_answers FROM (" + ORACLE["retriever_training_set"] + ")"
+
+ORACLE["stream_daily_events"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events FROM events GROUP BY 1"""
