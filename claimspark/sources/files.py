@@ -70,7 +70,10 @@ def read_jsonl_tree(spark: SparkSession, root: str, schema, ignore: tuple[str, .
     sub-directory of every row is kept (from the file path)."""
     df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", exts)
           .json(root).withColumn("_path", F.col("_metadata.file_path")))
-    rel = F.regexp_extract(F.col("_path"), r"^.*?" + root.rstrip("/").split("/")[-1] + r"/([^/]+)/", 1)
+    import os
+    from urllib.parse import urlparse
+    rp = (urlparse(root).path if "://" in root else os.path.abspath(root)).rstrip("/")
+    rel = F.regexp_extract(F.col("_path"), r"\Q" + rp + r"\E/([^/]+)/", 1)
     out = df.withColumn("subdir", rel).filter(~F.col("subdir").startswith("."))
     if ignore:
         out = out.filter(~F.col("subdir").isin(*ignore))
