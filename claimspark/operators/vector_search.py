@@ -292,14 +292,14 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
             def scorer_factory():
                 simc, m, loc_, offs_, ccnt, clen, cids_ = _vocab_prep(bc)
 
-                def one(row):
-                    vi = np.asarray(row["vidx"], dtype=np.int64)
-                    w = np.asarray(row["cnt"], dtype=np.float64)
+                def one(vidx, cnt):
+                    vi = np.asarray(vidx, dtype=np.int64)
+                    w = np.asarray(cnt, dtype=np.float64)
                     prec = (w @ m[vi]) / w.sum()
                     nmax = simc[vi].max(axis=0)[loc_]
                     rec = np.add.reduceat(nmax * ccnt, offs_) / clen
                     return prec, rec
-                return one, cids_
+                return one, cids_, ("vidx", "cnt")
     if plan == "general":
         v = vectors.select(F.col(word).alias("word"), F.col(vec).alias("vec"))
         cat = _softmatch_catalogue(claims, v, claim_id, claim_text, tokenizer, word_key)
@@ -311,21 +311,21 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
             cids_, offs_, widx_, wcnt, y = bc.value
             clen = np.add.reduceat(wcnt, offs_)
 
-            def one(row):
-                w = np.asarray(row["cnt"], dtype=np.float64)
-                x = _unit(np.asarray(row["vecs"], dtype=np.float64).reshape(len(w), -1))
+            def one(cnt, vecs):
+                w = np.asarray(cnt, dtype=np.float64)
+                x = _unit(np.asarray(vecs, dtype=np.float64).reshape(len(w), -1))
                 sim = x @ y.T
                 prec = (w @ np.maximum.reduceat(sim[:, widx_], offs_, axis=1)) / w.sum()
                 rec = np.add.reduceat(sim.max(axis=0)[widx_] * wcnt, offs_) / clen
                 return prec, rec
-            return one, cids_
+            return one, cids_, ("cnt", "vecs")
 
     def score(batches):
-        one, cids_ = scorer_factory()
+        one, cids_, cols = scorer_factory()
         for pdf in batches:
             if pdf.empty:
                 continue
-            res = [one(r) for _, r in pdf.iterrows()]
+            res = [one(a, b) for a, b in zip(pdf[cols[0]], pdf[cols[1]])]
             P = np.vstack([r[0] for r in res])
             Rm = np.vstack([r[1] for r in res])
             F1 = _f1(P, Rm)
