@@ -291,8 +291,8 @@ def recent_k_pairs(spark, sf):
 
 @register("outputs_by_model_input_misinfo")
 def outputs_by_model_input_misinfo(spark, sf):
-    """FLT-07: outputs of model 'm-R' (filter pushed to the scan)."""
-    o = RL.outputs_filter(FX.li_outputs(spark, sf), model="m-R")
+    """FLT-07: outputs of model 'R' (the filter reaches the Parquet scan)."""
+    o = RL.outputs_filter(FX.li_outputs(spark, sf), model="R")
     return o.select(F.col("id").alias("output_id"), "input_id", "misinfo_id", "label_id",
                     F.round("confidence", 6).alias("confidence"))
 

@@ -149,7 +149,7 @@ def li_outputs(spark, sf) -> DataFrame:
     """output table from lineitem (model = return flag)."""
     return table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("input_id"),
-        F.col("l_partkey").alias("misinfo_id"), F.concat(F.lit("m-"), F.col("l_returnflag")).alias("model_id"),
+        F.col("l_partkey").alias("misinfo_id"), F.col("l_returnflag").alias("model_id"),
         (F.col("l_linenumber") % 3).cast("bigint").alias("label_id"), F.col("l_discount").alias("confidence"))
 
 

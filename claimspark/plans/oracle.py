@@ -294,7 +294,7 @@ ORACLE["recent_k_pairs"] = f"""SELECT c.c_custkey AS input_id, o.o_orderkey AS o
 
 ORACLE["outputs_by_model_input_misinfo"] = """SELECT l_orderkey * 10 + l_linenumber AS output_id, l_orderkey AS input_id,
   l_partkey AS misinfo_id, CAST(l_linenumber % 3 AS BIGINT) AS label_id, round(l_discount, 6) AS confidence
-FROM lineitem WHERE 'm-' || l_returnflag = 'm-R'"""
+FROM lineitem WHERE l_returnflag = 'R'"""
 
 ORACLE["inputs_by_source"] = """SELECT doc_id AS input_id, CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE source = 'src3'"""
 
