@@ -1047,3 +1047,23 @@ def retriever_jsonl_roundtrip(spark, sf):
                              "ctx struct<title:string,text:string,id:long>").json(base)
     return back.select("question", "kind", "ctx_idx", F.col("ctx.id").alias("ctx_id"), F.col("ctx.text").alias("text"),
                        F.size("answers").cast("bigint").alias("n_answers"))
+
+
+
+@register("mirrored_tree_stream")
+def mirrored_tree_stream(spark, sf):
+    """ING-07 streaming twin: the day-folder tweet tree consumed as a file
+    stream, thinned and written to a mirrored tree by the file sink."""
+    base = scratch_path(spark, "tree-stream")
+    t = FX.tweets(spark, sf).withColumn("day", F.date_format("created_at", "yyyy-MM-dd")) \
+        .withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    t.write.mode("overwrite").partitionBy("day").json(f"{base}/in")
+    schema = ("id long, created_at string, lang string, user struct<id_str:string,followers_count:double>, "
+              "props struct<k:int,note:string>, retweeted_status long")
+    cond = (F.col("lang") == "en") & F.col("retweeted_status").isNull()
+    cols = [F.col("id"), F.col("created_at"), F.col("lang"), F.struct(F.col("user.id_str").alias("id_str")).alias("user"),
+            F.struct(F.col("props.k").alias("k")).alias("props")]
+    SM.thin_tree_stream(spark, f"{base}/in", schema, f"{base}/out", cols, cond)
+    back = SR.read_jsonl_tree(spark, f"{base}/out", "id long, lang string, user struct<id_str:string>, props struct<k:int>")
+    return back.select(F.regexp_extract("subdir", r"(\d{4}-\d{2}-\d{2})", 1).alias("day"), "id", "lang",
+                       F.col("user.id_str").alias("user_id_str"), F.col("props.k").cast("bigint").alias("props_k"))

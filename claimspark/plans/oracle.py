@@ -729,3 +729,4 @@ SELECT model_id, concat_ws(' & ', """ + ", ".join(
 ORACLE["retriever_jsonl_roundtrip"] = "SELECT *, CAST(0 AS BIGINT) AS n_answers FROM (" + ORACLE["retriever_training_set"] + ")"
 
 ORACLE["stream_daily_events"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events FROM events GROUP BY 1"""
+ORACLE["mirrored_tree_stream"] = ORACLE["mirrored_tree_thin"]

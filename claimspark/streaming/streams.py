@@ -88,3 +88,19 @@ def sink_to_parquet(agg: DataFrame, sink: str, checkpoint: str | None = None, mo
 
 __all__ = ["stage_files", "file_stream", "score_stream", "dedup_forever", "dedup_within_watermark",
            "daily_distinct_counts", "sink_to_parquet", "checkpoint_dir"]
+
+
+def thin_tree_stream(spark: SparkSession, root: str, schema, out: str, select_cols, condition,
+                     checkpoint: str | None = None, exts: str = "*.{jsonl,json,gz}"):
+    """ING-07 on ``readStream``: new files under ``root/<subdir>/`` are
+    filtered, projected and written to a tree mirrored per sub-directory
+    (file sink, partitioned by ``subdir``)."""
+    import os
+    from urllib.parse import urlparse
+    rp = (urlparse(root).path if "://" in root else os.path.abspath(root)).rstrip("/")
+    src = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", exts)
+           .option("maxFilesPerTrigger", 8).json(root)
+           .withColumn("subdir", F.regexp_extract(F.col("_metadata.file_path"), r"\Q" + rp + r"\E/([^/]+)/", 1)))
+    thin = src.filter(condition & ~F.col("subdir").startswith(".")).select(*select_cols, "subdir")
+    checkpoint = checkpoint or scratch_path(spark, "ckpt-thin")
+    return _run(thin.writeStream.format("json").partitionBy("subdir").option("path", out), checkpoint)

@@ -91,3 +91,31 @@ def test_overlay_long_and_map(spark):
 def test_f1_zero_guard(spark):
     r = spark.range(1).select(f1_of(F.lit(0.0), F.lit(0.0)).alias("f")).first()["f"]
     assert r is None or math.isnan(r)
+
+
+def test_stance_rules(spark):
+    from claimspark.functions.vectors import argmax, combine_stages, forced_binary, softmax
+    from claimspark.operators.stance import relevance
+    df = spark.createDataFrame([(0.5, [1.0, 1.0, 5.0], 0), (float("nan"), [0.0, 2.0, 1.0], 0),
+                                (0.3, [3.0, 1.0, 0.0], 2), (None, [1.0, 1.0, 1.0], 0)],
+                               "s double, l array<double>, rel int")
+    r = df.select(relevance(df, "s").alias("r"), argmax(softmax("l")).alias("a"), forced_binary("l").alias("f"),
+                  combine_stages("rel", softmax("l")).alias("c"),
+                  F.aggregate(softmax("l"), F.lit(0.0), lambda a, x: a + x).alias("sum")).collect()
+    assert [x["r"] for x in r] == [True, False, False, False]      # NaN and NULL are irrelevant (Q20)
+    assert [x["a"] for x in r] == [2, 1, 0, 0]                     # first maximum
+    assert [x["f"] for x in r] == [0, 1, 0, 0]                     # ties -> 0 (Q18)
+    assert [x["c"] for x in r] == [0, 1, 2, 0]
+    assert all(abs(x["sum"] - 1) < 1e-12 for x in r)
+
+
+def test_cosine_top_k_chunked_catalogue(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    q = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(40)], "id long, vec array<double>")
+    c = spark.createDataFrame([(100 + j, [rnd.uniform(-1, 1) for _ in range(8)]) for j in range(60)],
+                              "cid long, vec array<double>")
+    one = {(r["id"], r["rank"]): r["cid"] for r in VS.cosine_top_k(q, c, q_id="id", c_id="cid", k=3).collect()}
+    monkeypatch.setattr(VS, "MAX_BROADCAST_BYTES", 60 * 8 * 8 // 5)   # forces 5 chunks
+    many = {(r["id"], r["rank"]): r["cid"] for r in VS.cosine_top_k(q, c, q_id="id", c_id="cid", k=3).collect()}
+    assert one == many and len(one) == 120
