@@ -46,6 +46,22 @@ def first_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(agg).select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def anti_join_stored(new: DataFrame, stored: DataFrame, keys: list[str], max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """JOIN-06: rows of ``new`` whose key is not in ``stored``.
+
+    When the new keys are few (a batch against a large store) they are
+    broadcast to filter the stored keys where they lie (semi join, no
+    shuffle of the store) and the few matches are then removed by a
+    broadcast anti join.  Otherwise a plain shuffled anti join.
+    """
+    new_keys = new.select(*keys).distinct()
+    n = new_keys.count()
+    if n <= max_broadcast_rows:
+        hit = stored.select(*keys).join(F.broadcast(new_keys), keys, "left_semi").distinct()
+        return new.join(F.broadcast(hit), keys, "left_anti")
+    return new.join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
 def insert_if_new(incoming: DataFrame, stored: DataFrame, *, key: list[str], order: str,
                   id_col: str | None = "id") -> tuple[DataFrame, DataFrame]:
     """ING-01 / ING-02: rows of ``incoming`` whose natural key is not stored.
@@ -55,7 +71,7 @@ def insert_if_new(incoming: DataFrame, stored: DataFrame, *, key: list[str], ord
     after ``max(stored.id)`` in ``order``.  Returns (inserted rows, counts
     with given / inserted / success -- AGG-18, Q32)."""
     firsts = first_per_key(incoming, key, order)
-    new = firsts.join(stored.select(*key).distinct(), key, "left_anti")
+    new = anti_join_stored(firsts, stored, key)
     if id_col is not None:
         base = stored.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
         new = dense_ids(new, [order], base=int(base), id_col=id_col)
@@ -118,7 +134,7 @@ def dedup_articles(batch: DataFrame, stored: DataFrame, *, keys=("category", "ur
     """ING-06 / JOIN-07 (Q31): first article per (category, url) in the
     batch, minus keys already stored."""
     keys = list(keys)
-    return first_per_key(batch, keys, order).join(stored.select(*keys).distinct(), keys, "left_anti")
+    return anti_join_stored(first_per_key(batch, keys, order), stored, keys)
 
 
 def request_batches(ids: DataFrame, id_col: str, n: int) -> DataFrame:

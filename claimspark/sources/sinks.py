@@ -33,11 +33,12 @@ def append_if_new(table_path: str, new_rows: DataFrame, key: list[str]) -> DataF
     """SNK-05: append rows whose key is not in the stored table; returns
     the rows appended (existence check is one anti join, JOIN-06)."""
     spark = new_rows.sparkSession
+    from claimspark.operators.ingest import anti_join_stored
     try:
-        stored = spark.read.parquet(table_path).select(*key)
-        fresh = new_rows.join(stored.distinct(), key, "left_anti")
+        stored = spark.read.parquet(table_path)
     except Exception:  # noqa: BLE001 -- first write: no table yet
-        fresh = new_rows
+        stored = None
+    fresh = new_rows if stored is None else anti_join_stored(new_rows, stored, key)
     # materialise the anti join once (reliable checkpoint in the shared
     # folder) so the rows returned are exactly the rows appended
     from claimspark.session import checkpoint_dir

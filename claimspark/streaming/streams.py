@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.operators.ingest import first_per_key
+from claimspark.operators.ingest import anti_join_stored, first_per_key
 from claimspark.session import checkpoint_dir, scratch_path
 
 
@@ -59,10 +59,11 @@ def dedup_forever(stream: DataFrame, table: str, keys: list[str], order: str, ch
     def each(batch: DataFrame, batch_id: int):
         firsts = first_per_key(batch, keys, order)
         try:
-            stored = batch.sparkSession.read.parquet(table).select(*keys).distinct()
-            firsts = firsts.join(stored, keys, "left_anti")
+            stored = batch.sparkSession.read.parquet(table)
         except Exception:  # noqa: BLE001 -- empty table before the first write
-            pass
+            stored = None
+        if stored is not None:
+            firsts = anti_join_stored(firsts, stored, keys)
         firsts.write.mode("append").parquet(table)
     return _run(stream.writeStream.foreachBatch(each), checkpoint)
 
