@@ -27,6 +27,17 @@ from pyspark.sql import functions as F
 from claimspark.functions.text import WORD_PATTERN, strip_accents
 
 
+# Rows per partition for optimizer passes: every iteration ships one dense
+# gradient per task, so tiny partitions cost more than they compute.
+ROWS_PER_TRAIN_PARTITION = 50_000
+
+
+def _size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
+    """Coalesce (no shuffle) to about ROWS_PER_TRAIN_PARTITION rows per task."""
+    want = max(1, -(-n_rows // ROWS_PER_TRAIN_PARTITION))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def _clean(df: DataFrame, sides) -> DataFrame:
     """FN-04 accent stripping before tokenisation (JVM-side translate)."""
     for s in sides:
@@ -60,7 +71,7 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
             fitted.append(Normalizer(p=2.0, inputCol=f"{side}_tfidf", outputCol=f"{side}_vec"))
     fitted.append(VectorAssembler(inputCols=[f"{s}_vec" for s in sides], outputCol="features"))
     feats = PipelineModel(stages=fitted).transform(data).select("features", F.col(label).cast("double").alias("label"))
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    feats = _size_partitions(feats, n).persist(StorageLevel.MEMORY_AND_DISK)
     lr = LogisticRegression(family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
                             maxIter=max_iter, standardization=False, featuresCol="features", labelCol="label")
     model = lr.fit(feats)
@@ -91,8 +102,9 @@ def fit_vector_logistic(train: DataFrame, *, features: str = "features", label:
                         C: float = 1.0, max_iter: int = 100):
     """STN-03 / STN-04 (trained): logistic regression on a dense feature
     vector column (e.g. both averaged word vectors)."""
-    data = train.select(features, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    n = data.count()
+    sel = train.select(features, F.col(label).cast("double").alias("label"))
+    n = sel.count()
+    data = _size_partitions(sel, n).persist(StorageLevel.MEMORY_AND_DISK)
     m = LogisticRegression(family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
                            maxIter=max_iter, standardization=False, featuresCol=features,
                            labelCol="label").fit(data)
@@ -105,7 +117,8 @@ def fit_mlp(train: DataFrame, *, features: str = "features", label: str = "label
     """STN-05: multilayer perceptron pair classifier (MLlib's hidden layers
     are sigmoid; the reference's recurrent encoder is not built)."""
     n_in = len(train.select(features).first()[0])
-    data = train.select(features, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    sel = train.select(features, F.col(label).cast("double").alias("label"))
+    data = _size_partitions(sel, sel.count()).persist(StorageLevel.MEMORY_AND_DISK)
     m = MultilayerPerceptronClassifier(layers=[n_in, *hidden, 3], maxIter=max_iter, seed=seed,
                                        featuresCol=features, labelCol="label").fit(data)
     data.unpersist()
