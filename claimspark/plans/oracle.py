@@ -703,10 +703,6 @@ _SR_COLS = ["accuracy", "macro_precision", "macro_recall", "macro_f1"] + \
     [f"{c}_{m}" for c in ("pos", "neg", "na") for m in ("precision", "recall", "f1")]
 
 
-def _strip_with(sql: str) -> str:
-    return sql
-
-
 ORACLE["retrieval_report"] = _rounded(ORACLE["retrieval_report"], _RR_COLS)
 ORACLE["stance_report"] = _rounded(ORACLE["stance_report"], _SR_COLS)
 
