@@ -35,3 +35,15 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
     scores summed in a different order tie (and fall to the id tie rule)."""
     c = F.col(score) if isinstance(score, str) else score
     return F.round(c, digits)
+
+
+def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` once, sized to the input: as many
+    partitions as input splits (each ~``spark.sql.files.maxPartitionBytes``),
+    at least ``spark.sql.shuffle.partitions``.  With ``assume_partitioned``
+    (a table bucketed / partitioned by the key) no exchange is added."""
+    if assume_partitioned:
+        return df
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(df.rdd.getNumPartitions(), floor), key)

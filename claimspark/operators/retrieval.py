@@ -12,20 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import word_tokens
-from claimspark.operators.common import broadcast_if, score_key, top_k
+from claimspark.operators.common import broadcast_if, by_key, score_key, top_k
 
 
 def term_counts(df: DataFrame, id_col: str, text: str = "text", tokenizer=word_tokens,
-                out_id: str | None = None) -> DataFrame:
+                out_id: str | None = None, assume_partitioned: bool = False) -> DataFrame:
     """Bag of words: (id, tok, tf).
 
     The input is first hash-partitioned by id (moving compact text, not token
-    rows); every later per-id aggregation and id join then reuses this
-    partitioning without another exchange.
+    rows; one partition per input split); every later per-id aggregation and
+    id join then reuses this partitioning without another exchange.  A table
+    already bucketed by id skips the exchange (``assume_partitioned``).
     """
     out_id = out_id or id_col
-    return (df.select(F.col(id_col).alias(out_id), F.col(text))
-              .repartition(out_id)
+    return (by_key(df.select(F.col(id_col).alias(out_id), F.col(text)), out_id, assume_partitioned)
               .select(out_id, F.explode(tokenizer(F.col(text))).alias("tok"))
               .groupBy(out_id, "tok").agg(F.count(F.lit(1)).alias("tf")))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import glove_tokens, hash_mod
-from claimspark.operators.common import score_key, top_k
+from claimspark.operators.common import by_key, score_key, top_k
 
 # Catalogue bytes (rows x dim x 8) shipped in one broadcast; larger
 # catalogues are split into chunks of at most this size.
@@ -39,7 +39,7 @@ def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens,
     """(id, word, cnt) after repartitioning the texts by id.  With
     ``word_key`` (a function Column -> Column) tokens are first mapped to a
     vocabulary key (NULL = out of vocabulary) and counted per key."""
-    toks = (df.select(F.col(id_col).alias("id"), F.col(text)).repartition("id")
+    toks = (by_key(df.select(F.col(id_col).alias("id"), F.col(text)), "id")
               .select("id", F.explode(tokenizer(F.col(text))).alias("word")))
     if word_key is not None:
         toks = toks.select("id", word_key(F.col("word")).alias("word")).filter(F.col("word").isNotNull())
