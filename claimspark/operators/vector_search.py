@@ -35,14 +35,20 @@ VOCAB_PLAN_MAX_BYTES = 256 << 20
 
 
 # ----------------------------------------------------------------- averages
-def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens, word_key=None) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens, word_key=None,
+                 keep_empty: bool = False) -> DataFrame:
     """(id, word, cnt) after repartitioning the texts by id.  With
     ``word_key`` (a function Column -> Column) tokens are first mapped to a
-    vocabulary key (NULL = out of vocabulary) and counted per key."""
+    vocabulary key (NULL = out of vocabulary) and counted per key.  With
+    ``keep_empty`` every id keeps at least one row (word NULL when it has no
+    in-vocabulary token), so no join back to the ids is needed."""
+    exploder = F.explode_outer if keep_empty else F.explode
     toks = (by_key(df.select(F.col(id_col).alias("id"), F.col(text)), "id")
-              .select("id", F.explode(tokenizer(F.col(text))).alias("word")))
+              .select("id", exploder(tokenizer(F.col(text))).alias("word")))
     if word_key is not None:
-        toks = toks.select("id", word_key(F.col("word")).alias("word")).filter(F.col("word").isNotNull())
+        toks = toks.select("id", word_key(F.col("word")).alias("word"))
+        if not keep_empty:
+            toks = toks.filter(F.col("word").isNotNull())
     return toks.groupBy("id", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -71,16 +77,22 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
     MLlib's ``Summarizer`` (weighted mean, map-side partial aggregation).
     """
     spark = df.sparkSession
-    counts = token_counts(df, id_col, text, tokenizer, word_key)
     n, d = _vocab_size(vectors, vec)
     idtype = df.schema[id_col].dataType.simpleString()
     if n * d * 8 <= VOCAB_PLAN_MAX_BYTES:
+        # every text keeps a row (explode_outer + left join to the broadcast
+        # index), so texts without known tokens need no join back: one
+        # exchange (texts by id) for the whole encoder
+        counts = token_counts(df, id_col, text, tokenizer, word_key, keep_empty=True)
         words, mat = _collect_vocab(vectors, word, vec)
         bc = spark.sparkContext.broadcast(mat)
         index = spark.createDataFrame([(w, i) for i, w in enumerate(words)],
                                       f"word {vectors.schema[word].dataType.simpleString()}, vidx int")
-        groups = (counts.join(F.broadcast(index), "word")
-                  .groupBy("id").agg(F.collect_list("vidx").alias("vidx"), F.collect_list("cnt").alias("cnt")))
+        known = F.filter(F.collect_list(F.struct("vidx", "cnt")), lambda s_: s_["vidx"].isNotNull())
+        groups = (counts.join(F.broadcast(index), "word", "left")
+                  .groupBy("id").agg(known.alias("k"))
+                  .select("id", F.transform("k", lambda s_: s_["vidx"]).alias("vidx"),
+                          F.transform("k", lambda s_: s_["cnt"]).alias("cnt")))
 
         def mean_blocks(batches):
             m = bc.value
@@ -88,14 +100,14 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
                 out = []
                 for vi, c in zip(pdf["vidx"], pdf["cnt"]):
                     w = np.asarray(c, dtype=np.float64)
-                    out.append((w @ m[np.asarray(vi, dtype=np.int64)]) / w.sum())
+                    out.append((w @ m[np.asarray(vi, dtype=np.int64)]) / w.sum() if len(w) else np.zeros(d))
                 yield pd.DataFrame({"id": pdf["id"], "vec": out})
-        means = groups.mapInPandas(mean_blocks, f"id {idtype}, vec array<double>")
-    else:
-        v = vectors.select(F.col(word).alias("word"), array_to_vector(F.col(vec)).alias("v"))
-        means = (counts.join(v, "word")
-                       .groupBy("id").agg(Summarizer.mean(F.col("v"), F.col("cnt").cast("double")).alias("m"))
-                       .select("id", vector_to_array("m").alias("vec")))
+        return groups.mapInPandas(mean_blocks, f"id {idtype}, vec array<double>").withColumnRenamed("id", id_col)
+    counts = token_counts(df, id_col, text, tokenizer, word_key)
+    v = vectors.select(F.col(word).alias("word"), array_to_vector(F.col(vec)).alias("v"))
+    means = (counts.join(v, "word")
+                   .groupBy("id").agg(Summarizer.mean(F.col("v"), F.col("cnt").cast("double")).alias("m"))
+                   .select("id", vector_to_array("m").alias("vec")))
     return (df.select(F.col(id_col).alias("id")).join(means, "id", "left")
               .select(F.col("id").alias(id_col),
                       F.coalesce(F.col("vec"), F.array_repeat(F.lit(0.0), d)).alias("vec")))
@@ -114,6 +126,8 @@ def _catalogue_chunks(cat: DataFrame, c_id: str, vec: str) -> list[DataFrame]:
 
 def _collect_matrix(cat: DataFrame, c_id: str, vec: str):
     pdf = cat.select(c_id, vec).toPandas()
+    if pdf[vec].map(len).nunique() > 1:
+        raise ValueError("Embedding dimensions must match")  # FN-20
     ids = pdf[c_id].to_numpy()
     mat = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[vec]]) if len(pdf) else np.zeros((0, 0))
     return ids, mat
@@ -151,10 +165,6 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
     qtype = queries.schema[q_id].dataType.simpleString()
     ctype = catalogue.schema[c_id].dataType.simpleString()
     schema = f"{q_id} {qtype}, {c_id} {ctype}, score double"
-    dq = queries.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
-    dc = catalogue.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
-    if len({dq["a"], dq["b"], dc["a"], dc["b"]} - {None}) > 1:
-        raise ValueError("Embedding dimensions must match")  # FN-20
     parts = []
     for chunk in _catalogue_chunks(catalogue, c_id, vec):
         ids, mat = _collect_matrix(chunk, c_id, vec)
@@ -167,7 +177,10 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
             for pdf in batches:
                 if pdf.empty:
                     continue
-                q = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in pdf[vec]]))
+                rows = [np.asarray(x, dtype=np.float64) for x in pdf[vec]]
+                if any(len(r) != cm.shape[1] for r in rows):
+                    raise ValueError("Embedding dimensions must match")  # FN-20, checked in the task
+                q = _unit(np.stack(rows))
                 s = q @ cm.T
                 if exclude_self:
                     s = np.where(pdf[q_id].to_numpy()[:, None] == cids[None, :], -np.inf, s)
@@ -179,12 +192,17 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
                 rows_q = np.repeat(qids, [len(p) for p in pick])
                 sel = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
                 rows_i = np.repeat(np.arange(len(qids)), [len(p) for p in pick])
-                yield pd.DataFrame({q_id: rows_q, c_id: cids[sel], "score": s[rows_i, sel]})
-
-        parts.append(queries.select(q_id, vec).mapInPandas(score_blocks, schema))
-    out = parts[0]
+                ranks = np.concatenate([np.arange(1, len(p) + 1) for p in pick]) if pick else np.zeros(0, dtype=int)
+                yield pd.DataFrame({q_id: rows_q, c_id: cids[sel], "score": s[rows_i, sel],
+                                    rank_col: ranks.astype(np.int64)})
+
+        parts.append(queries.select(q_id, vec).mapInPandas(score_blocks, f"{schema}, {rank_col} bigint"))
+    if len(parts) == 1:
+        # one catalogue chunk: every query row is ranked completely inside its task
+        return parts[0]
+    out = parts[0].drop(rank_col)
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.drop(rank_col))
     return top_k(out, q_id, [score_key("score").desc(), F.col(c_id).asc()], k, rank_col)
 
 
@@ -336,20 +354,21 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
                 pick = _row_topk(key, cids_, k)
                 ri = np.repeat(np.arange(len(pids)), [len(x) for x in pick])
                 ci = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
+                rk = np.concatenate([np.arange(1, len(x) + 1) for x in pick]) if pick else np.zeros(0, dtype=int)
             else:
                 r = np.round(key, 9)
                 kk = min(k, r.shape[0])
                 kth = -np.partition(-r, kk - 1, axis=0)[kk - 1, :]
                 ri, ci = np.nonzero(r >= kth[None, :])
+                rk = np.zeros(len(ri), dtype=int)
             yield pd.DataFrame({post_id: pids[ri], claim_id: cids_[ci], "precision": P[ri, ci],
-                                "recall": Rm[ri, ci], "f1": F1[ri, ci]})
+                                "recall": Rm[ri, ci], "f1": F1[ri, ci], "rank": rk.astype(np.int64)})
 
-    res = pgroups.mapInPandas(score, schema)
+    # per='post': each post is scored and ranked completely inside one task
+    # (no window); per='claim': candidates for a window by claim
+    res = pgroups.mapInPandas(score, schema + ", rank bigint")
     res = res.withColumn("f1", F.when(F.isnan("f1"), F.lit(None)).otherwise(F.col("f1")))
-    if per == "post":
-        return top_k(res, post_id, [score_key(F.coalesce(F.col(order_by), F.lit(float("-inf")))).desc(),
-                                    F.col(claim_id).asc()], k)
-    return res
+    return res if per == "post" else res.drop("rank")
 
 
 # ------------------------------------------------------------ user encoder
