@@ -51,23 +51,37 @@ def relevance(scores: DataFrame, score: str = "score", threshold: float = RELEVA
     return s.isNotNull() & ~F.isnan(s) & (s >= threshold)
 
 
-def two_stage(scores: DataFrame, stance_fn, *, post_id: str = "input_id", claim_id: str = "misinfo_id",
-              score: str = "score", threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
-    """STN-06: stance only for relevant pairs (filter before the stance
-    transform), left-joined back (JOIN-05); label = FN-17 rule."""
+def attach_vectors_if(pairs: DataFrame, post_vecs: DataFrame, claim_vecs: DataFrame, cond, *,
+                      post_id: str = "input_id", claim_id: str = "misinfo_id",
+                      n_claims: int | None = None) -> DataFrame:
+    """Left-join u / v only onto the rows where ``cond`` holds (NULL
+    elsewhere): one pass over ``pairs`` instead of scoring a filtered copy and
+    joining it back, so the scoring plan upstream runs once."""
+    pv = post_vecs.select(F.col(post_vecs.columns[0]).alias("_p"), F.col("vec").alias("u"))
+    cv = claim_vecs.select(F.col(claim_vecs.columns[0]).alias("_c"), F.col("vec").alias("v"))
+    j = pairs.join(pv, (F.col(post_id) == F.col("_p")) & cond, "left").drop("_p")
+    return j.join(broadcast_if(cv, n_claims), (F.col(claim_id) == F.col("_c")) & cond, "left").drop("_c")
+
+
+def two_stage(scores: DataFrame, post_vecs: DataFrame, claim_vecs: DataFrame, head, *,
+              post_id: str = "input_id", claim_id: str = "misinfo_id", score: str = "score",
+              threshold: float = RELEVANCE_THRESHOLD, n_claims: int | None = None) -> DataFrame:
+    """STN-06 (JOIN-05, FN-17): relevance by the threshold; only relevant
+    pairs receive vectors, so only they are classified; label = 2 for
+    irrelevant pairs, else agree (0) unless disagree is more probable."""
     rel = scores.withColumn("rel", F.when(relevance(scores, score, threshold), 0).otherwise(2))
-    probs = stance_fn(rel.filter(F.col("rel") == 0)).select(post_id, claim_id, "probs")
-    return (rel.join(probs, [post_id, claim_id], "left")
-               .withColumn("label_id", combine_stages("rel", "probs")))
+    j = attach_vectors_if(rel, post_vecs, claim_vecs, F.col("rel") == 0, post_id=post_id, claim_id=claim_id,
+                          n_claims=n_claims)
+    return head(j).withColumn("label_id", combine_stages("rel", "probs"))
 
 
-def agree_disagree(best: DataFrame, stance_fn, *, score: str = "score",
-                   threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
+def agree_disagree(best: DataFrame, post_vecs: DataFrame, claim_vecs: DataFrame, head, *,
+                   post_id: str = "input_id", claim_id: str = "misinfo_id", score: str = "score",
+                   threshold: float = RELEVANCE_THRESHOLD, n_claims: int | None = None) -> DataFrame:
     """STN-07: best claim per post -> threshold -> forced binary stance over
-    the first two logits -> 'agrees' / 'disagrees'."""
+    the first two logits -> 'agrees' / 'disagrees' (relevant posts only)."""
     flagged = best.withColumn("relevant", relevance(best, score, threshold))
-    st = stance_fn(flagged.filter("relevant"))
-    keys = [c for c in best.columns if c in ("input_id", "misinfo_id")]
-    return (flagged.join(st.select(*keys, "logits"), keys, "left")
-                   .withColumn("label_id", F.when(F.col("relevant"), forced_binary("logits")))
+    j = attach_vectors_if(flagged, post_vecs, claim_vecs, F.col("relevant"), post_id=post_id,
+                          claim_id=claim_id, n_claims=n_claims)
+    return (head(j).withColumn("label_id", F.when(F.col("relevant"), forced_binary("logits")))
                    .withColumn("label", F.when(F.col("relevant"), stance_word("label_id"))))

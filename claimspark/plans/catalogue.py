@@ -212,7 +212,11 @@ def triplet_margin_loss(spark, sf):
 @register("two_stage_label")
 def two_stage_label(spark, sf):
     """STN-06: relevance by TF-IDF >= 0.4, stance only for relevant pairs."""
-    out = ST.two_stage(FX.tfidf_scores(spark, sf), _stance_fn(spark, sf))
+    pv, cv = FX.sentence_vectors(spark, sf)
+    w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
+    out = ST.two_stage(FX.tfidf_scores(spark, sf), pv, cv,
+                       lambda j: ST.linear_softmax(j, w, b, parts=STANCE_DIM_PARTS),
+                       n_claims=FX.n_rows(spark, sf, "benchmark"))
     return out.select("input_id", "misinfo_id", F.col("label_id").cast("bigint"),
                       F.round("score", 6).alias("confidence"))
 
@@ -227,10 +231,8 @@ def agree_disagree_for(spark, sf, posts):
     pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
     cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
-
-    def fn(pairs):
-        return ST.linear_softmax(ST.attach_vectors(pairs, pv, cv), w, b, parts=STANCE_DIM_PARTS)
-    out = ST.agree_disagree(best, fn)
+    out = ST.agree_disagree(best, pv, cv, lambda j: ST.linear_softmax(j, w, b, parts=STANCE_DIM_PARTS),
+                            n_claims=FX.n_rows(spark, sf, "benchmark"))
     # irrelevant posts keep their best claim for reference and take the
     # n/a class code (2); the stance word is only given for relevant ones
     return out.select("input_id", "misinfo_id", "relevant",
