@@ -48,61 +48,70 @@ def wiki_sentences(wiki: DataFrame, pages: DataFrame | None = None) -> DataFrame
 
 def fever_convert(claims: DataFrame, wiki: DataFrame) -> DataFrame:
     """TRN-01 (JOIN-08, WIN-03, TOP-06): per claim, the non-empty sentences
-    of its evidence pages (page id, line order) and its evidence sets as
+    of its evidence pages in (page id, line) order and its evidence sets as
     sorted sentence indices, duplicates removed in first-seen order; a
-    missing page turns the label into NOT ENOUGH INFO (Q27)."""
-    ev = (claims.select("id", F.posexplode("evidence").alias("set_idx", "es"))
-                .select("id", "set_idx", F.explode("es").alias("e"))
-                .select("id", "set_idx", F.col("e.page").alias("page"), F.col("e.line").cast("int").alias("line")))
-    pages = ev.select("id", "page").distinct()
-    known = wiki.select(F.col("id").alias("page"))
-    missing = pages.join(known, "page", "left_anti").select("id").distinct().withColumn("missing", F.lit(True))
-    sent = (pages.join(wiki_sentences(wiki, pages), "page")
-                 .filter(F.length("sentence") > 0)
-                 .withColumn("idx", (F.row_number().over(Window.partitionBy("id").orderBy("page", "line")) - 1)
-                             .cast("int")))
-    sentences = sent.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda s: s["sentence"]).alias("sentences"))
-    sets = (ev.join(sent.select("id", "page", "line", "idx"), ["id", "page", "line"])
-              .groupBy("id", "set_idx").agg(F.array_sort(F.collect_list("idx")).alias("s"))
-              .groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("set_idx", "s"))),
-                                                              lambda x: x["s"])).alias("evidence_sets")))
-    return (claims.select("id", "claim", "label")
-                  .join(missing, "id", "left").join(sentences, "id", "left").join(sets, "id", "left")
+    missing page turns the label into NOT ENOUGH INFO (Q27); evidence on a
+    missing page or an empty line is dropped.
+
+    One pass over the dump: only the referenced pages are read (semi join
+    against the distinct page ids), their lines are grouped per claim (a
+    claim's few pages bound the group), and the (page, line) -> index
+    lookup of the evidence is row-local on that claim row.
+    """
+    refs = (claims.select("id", F.explode(F.flatten("evidence")).alias("e"))
+                  .select("id", F.col("e.page").alias("page")).distinct())
+    pages = (wiki.select(F.col("id").alias("page"), "lines")
+                 .join(refs.select("page").distinct(), "page", "left_semi"))
+    lines = (refs.join(pages, "page", "left")
+                 .select("id", "page", F.col("lines").isNull().alias("miss"),
+                         F.posexplode_outer(F.split(fever_unescape(F.col("lines")), "\n")).alias("line", "raw"))
+                 .select("id", "page", "miss", F.col("line").cast("int").alias("line"),
+                         drop_line_number(F.col("raw")).alias("sentence")))
+    per = lines.groupBy("id").agg(
+        F.max("miss").alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.length("sentence") > 0, F.struct("page", "line", "sentence")))).alias("s"))
+    keys = F.transform("s", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line")))
+    sets = F.transform("evidence", lambda es: F.array_sort(F.filter(
+        F.transform(es, lambda e: (F.array_position(keys, F.struct(e["page"].alias("page"),
+                                                                  e["line"].cast("int").alias("line"))) - 1).cast("int")),
+        lambda i: i >= 0)))
+    return (claims.select("id", "claim", "label", "evidence").join(per, "id", "left")
                   .select("id", "claim",
                           F.when(F.col("missing"), F.lit(NEI)).otherwise(F.col("label")).alias("label"),
-                          F.coalesce("sentences", F.array().cast("array<string>")).alias("sentences"),
-                          F.coalesce("evidence_sets", F.array().cast("array<array<int>>")).alias("evidence_sets")))
+                          F.coalesce(F.transform("s", lambda x: x["sentence"]), F.array().cast("array<string>"))
+                          .alias("sentences"),
+                          F.coalesce(F.array_distinct(F.filter(sets, lambda x: F.size(x) > 0)),
+                                     F.array().cast("array<array<int>>")).alias("evidence_sets")))
 
 
 def fever_examples(converted: DataFrame, seed: str = "fever", neg_sample: bool = True) -> DataFrame:
     """TRN-02 (FN-10, SET-03, SET-06): (claim, rationale, label) examples:
     one per evidence set; a NOT ENOUGH INFO claim gives one sampled
     sentence; with ``neg_sample`` a supported / refuted claim adds one
-    sampled non-evidence sentence labelled NOT ENOUGH INFO.  Row-local."""
+    sampled non-evidence sentence labelled NOT ENOUGH INFO.  Row-local: all
+    example kinds of a claim are built on its row and exploded once."""
     code = F.create_map(*[x for k, v in FEVER_CODES.items() for x in (F.lit(k), F.lit(v))])
     n = F.size("sentences")
-    allidx = F.sequence(F.lit(0), n - 1)
+    allidx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     join_idx = lambda idx: F.array_join(F.transform(idx, lambda i: F.get(F.col("sentences"), i)), " ")
-    evid = (converted.filter(F.col("label") != NEI)
-                     .select("id", "claim", F.posexplode("evidence_sets").alias("set_idx", "s"), "sentences", "label")
-                     .select("id", "claim", F.lit("evidence").alias("kind"), "set_idx",
-                             join_idx(F.col("s")).alias("rationale"), code[F.col("label")].alias("label")))
-    nei = (converted.filter((F.col("label") == NEI) & (n > 0))
-                    .select("id", "claim", F.lit("nei").alias("kind"), F.lit(0).alias("set_idx"),
-                            join_idx(pick_smallest(allidx, seed, F.col("id"), 1)).alias("rationale"),
-                            F.lit(FEVER_CODES[NEI]).alias("label")))
-    out = evid.unionByName(nei)
+    ex_t = "array<struct<kind:string,set_idx:int,rationale:string,label:int>>"
+    empty = F.array().cast(ex_t)
+    nei_code = F.lit(FEVER_CODES[NEI])
+
+    def ex(kind, set_idx, rationale, label):
+        return F.struct(F.lit(kind).alias("kind"), set_idx.cast("int").alias("set_idx"),
+                        rationale.alias("rationale"), label.cast("int").alias("label"))
+    is_nei = F.col("label") == NEI
+    evid = F.when(~is_nei, F.transform("evidence_sets", lambda s, i: ex("evidence", i, join_idx(s), code[F.col("label")])))
+    nei = F.when(is_nei & (n > 0), F.array(ex("nei", F.lit(0), join_idx(pick_smallest(allidx, seed, F.col("id"), 1)),
+                                                nei_code)))
+    parts = [F.coalesce(evid, empty), F.coalesce(nei, empty)]
     if neg_sample:
         non = F.array_except(allidx, F.flatten("evidence_sets"))
-        neg = (converted.filter((F.col("label") != NEI) & (n > 0))
-                        .withColumn("non", F.when(n > 0, non))
-                        .filter(F.size("non") > 0)
-                        .select("id", "claim", F.lit("negative").alias("kind"), F.lit(0).alias("set_idx"),
-                                join_idx(pick_smallest(F.col("non"), seed, F.col("id"), 1)).alias("rationale"),
-                                F.lit(FEVER_CODES[NEI]).alias("label")))
-        out = out.unionByName(neg)
-    return out
+        neg = F.when(~is_nei & (n > 0) & (F.size(non) > 0),
+                     F.array(ex("negative", F.lit(0), join_idx(pick_smallest(non, seed, F.col("id"), 1)), nei_code)))
+        parts.append(F.coalesce(neg, empty))
+    return converted.select("id", "claim", F.inline(F.concat(*parts)))
 
 
 # ------------------------------------------------------------ SciFact
@@ -110,38 +119,39 @@ def scifact_examples(corpus: DataFrame, claims: DataFrame, seed: str = "scifact"
     """TRN-03 (JOIN-09, SET-03/04/06): per evidence set, per document all
     evidence merged (label of the first set), and 1-2 sampled non-evidence
     sentences; a claim without evidence samples 1-2 sentences of each cited
-    document.  Sentences are trimmed (FN-10)."""
+    document.  Sentences are trimmed (FN-10).
+
+    The (claim, document) needs of both cases meet the corpus in one join;
+    every example of a row is then built on that row and exploded once."""
     code = F.create_map(*[x for k, v in SCIFACT_CODES.items() for x in (F.lit(k), F.lit(v))])
-    docs = corpus.select("doc_id", "abstract")
+    nei = F.lit(SCIFACT_CODES["NOT_ENOUGH_INFO"])
+    sets_t = "array<struct<sentences:array<int>,label:string>>"
+    need = (claims.filter(F.cardinality("evidence") > 0)
+                  .select(F.col("id").alias("claim_id"), "claim", F.explode("evidence").alias("doc_id", "sets"))
+                  .unionByName(claims.filter(F.cardinality("evidence") == 0)
+                               .select(F.col("id").alias("claim_id"), "claim", F.explode("cited_doc_ids").alias("doc_id"),
+                                       F.lit(None).cast(sets_t).alias("sets"))))
+    rows = need.join(corpus.select("doc_id", "abstract"), "doc_id")
     join_idx = lambda idx: F.array_join(F.transform(idx, lambda i: F.trim(F.get(F.col("abstract"), i))), " ")
-    with_ev = (claims.filter(F.cardinality("evidence") > 0)
-                     .select(F.col("id").alias("claim_id"), "claim", F.explode("evidence").alias("doc_id", "sets"))
-                     .join(docs, "doc_id"))
-    per_set = with_ev.select("claim_id", "doc_id", "claim", F.lit("set").alias("kind"),
-                             F.posexplode("sets").alias("set_idx", "es"), "abstract") \
-        .select("claim_id", "doc_id", "claim", "kind", "set_idx", join_idx(F.col("es.sentences")).alias("rationale"),
-                code[F.col("es.label")].alias("label"))
-    idx = F.array_sort(F.array_distinct(F.flatten(F.transform("sets", lambda s: s["sentences"]))))
-    merged = with_ev.select("claim_id", "doc_id", "claim", F.lit("all").alias("kind"), F.lit(0).alias("set_idx"),
-                            join_idx(idx).alias("rationale"), code[F.col("sets")[0]["label"]].alias("label"))
-    non = F.array_except(F.sequence(F.lit(0), F.size("abstract") - 1), idx)
     key = F.concat_ws("|", F.col("claim_id").cast("string"), F.col("doc_id").cast("string"))
-    k = F.least(F.lit(1) + (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key, F.lit("k"))), 1, 8), 16, 10)
-                            .cast("bigint") % 2).cast("int"), F.size(non))
-    neg = with_ev.select("claim_id", "doc_id", "claim", F.lit("negative").alias("kind"), F.lit(0).alias("set_idx"),
-                         join_idx(F.array_sort(pick_smallest(non, seed, key, k))).alias("rationale"),
-                         F.lit(SCIFACT_CODES["NOT_ENOUGH_INFO"]).alias("label"))
-    cited = (claims.filter(F.cardinality("evidence") == 0)
-                   .select(F.col("id").alias("claim_id"), "claim", F.explode("cited_doc_ids").alias("doc_id"))
-                   .join(docs, "doc_id"))
-    keyc = F.concat_ws("|", F.col("claim_id").cast("string"), F.col("doc_id").cast("string"))
-    kc = F.least(F.lit(1) + (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), keyc, F.lit("k"))), 1, 8), 16, 10)
-                             .cast("bigint") % 2).cast("int"), F.size("abstract"))
-    cited_rows = cited.select("claim_id", "doc_id", "claim", F.lit("cited").alias("kind"), F.lit(0).alias("set_idx"),
-                              join_idx(pick_smallest(F.sequence(F.lit(0), F.size("abstract") - 1), seed, keyc, kc))
-                              .alias("rationale"),
-                              F.lit(SCIFACT_CODES["NOT_ENOUGH_INFO"]).alias("label"))
-    return per_set.unionByName(merged).unionByName(neg).unionByName(cited_rows)
+    k12 = (F.lit(1) + (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key, F.lit("k"))), 1, 8), 16, 10)
+                       .cast("bigint") % 2)).cast("int")
+    n = F.size("abstract")
+    allidx = F.sequence(F.lit(0), n - 1)
+    idx = F.array_sort(F.array_distinct(F.flatten(F.transform("sets", lambda s_: s_["sentences"]))))
+    non = F.array_except(allidx, idx)
+
+    def ex(kind, set_idx, rationale, label):
+        return F.struct(F.lit(kind).alias("kind"), set_idx.cast("int").alias("set_idx"),
+                        rationale.alias("rationale"), label.cast("int").alias("label"))
+    evidence_rows = F.concat(
+        F.transform("sets", lambda es, i: ex("set", i, join_idx(es["sentences"]), code[es["label"]])),
+        F.array(ex("all", F.lit(0), join_idx(idx), code[F.col("sets")[0]["label"]])),
+        F.array(ex("negative", F.lit(0), join_idx(F.array_sort(pick_smallest(non, seed, key, F.least(k12, F.size(non))))),
+                   nei)))
+    cited_rows = F.array(ex("cited", F.lit(0), join_idx(pick_smallest(allidx, seed, key, F.least(k12, n))), nei))
+    return rows.select("claim_id", "doc_id", "claim",
+                       F.inline(F.when(F.col("sets").isNotNull(), evidence_rows).otherwise(cited_rows)))
 
 
 # --------------------------------------------------------- NLI / DPR
