@@ -19,16 +19,20 @@ def input_output_pairs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return i.join(o, "input_id")
 
 
-def pairs_by_date(pairs: DataFrame, from_date=None, until_date=None, date_col: str = "date") -> DataFrame:
-    """FLT-06: half-open [from, until) on the output date (Q3); a missing
-    bound is not applied (Q1, Q2 fixed).  Pushed into the scan when the date
-    column comes straight from Parquet."""
+def date_condition(from_date=None, until_date=None, date_col: str = "date") -> Column:
+    """Half-open [from, until) (Q3); a missing bound is not applied (Q1, Q2)."""
     cond = F.lit(True)
     if from_date is not None:
         cond = cond & (F.col(date_col) >= F.to_timestamp(F.lit(from_date)))
     if until_date is not None:
         cond = cond & (F.col(date_col) < F.to_timestamp(F.lit(until_date)))
-    return pairs.filter(cond)
+    return cond
+
+
+def pairs_by_date(pairs: DataFrame, from_date=None, until_date=None, date_col: str = "date") -> DataFrame:
+    """FLT-06: half-open [from, until) on the output date.  Pushed into the
+    scan when the date column comes straight from Parquet."""
+    return pairs.filter(date_condition(from_date, until_date, date_col))
 
 
 def recent_pairs(pairs: DataFrame, k: int | None = None, id_col: str = "output_id") -> DataFrame:
