@@ -38,7 +38,9 @@ def average_rank(preds: DataFrame, *, by: str = "input_id", score: str = "confid
     the tied positions."""
     keys = [c for c in partition_extra if c in preds.columns] + [by]
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
-    tie = Window.partitionBy(*keys, score)
+    # ties counted with a RANGE frame of the same window (peers of the row):
+    # one partitioning and one sort for both expressions
+    tie = w.rangeBetween(Window.currentRow, Window.currentRow)
     r = F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
     return preds.withColumn(out, F.when(F.col(score).isNull(), F.lit(None)).otherwise(r.cast("double")))
 

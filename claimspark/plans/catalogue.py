@@ -526,7 +526,11 @@ def topk_posts_per_claim(spark, sf):
     posts = FX.posts(spark, sf)
     cand = VS.token_softmatch_top_k(posts, var, wv, post_id="input_id", claim_id="vid",
                                     claim_text="line", per="claim", k=5, word_key=key)
-    cand = cand.join(posts.select("input_id", F.col("text").alias("tweet")), "input_id")
+    # the tie rule needs the text of the (few) candidates only: broadcast them
+    # (size-checked) against the posts, which are then read without a shuffle
+    checkpoint_dir(spark)
+    cand = cand.checkpoint(eager=True)
+    cand = posts.select("input_id", F.col("text").alias("tweet")).join(broadcast_if(cand, cand.count()), "input_id")
     top = _top_k(cand, "vid", [F.round(F.coalesce("f1", F.lit(float("-inf"))), 9).desc(),
                                F.col("tweet").desc(), F.col("input_id").asc()], 5)
     return (top.join(var, "vid")
@@ -656,7 +660,7 @@ def bigram_df(spark, sf):
 
 
 # --------------------------------------------------------- sources / sinks
-from claimspark.session import scratch_path  # noqa: E402
+from claimspark.session import checkpoint_dir, scratch_path  # noqa: E402
 from claimspark.sources import files as SR  # noqa: E402
 from claimspark.sources import sinks as SK  # noqa: E402
 
