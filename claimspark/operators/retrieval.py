@@ -40,7 +40,7 @@ def _catalogue_stats(claims: DataFrame, text: str, tokenizer) -> tuple[int, int]
 
 def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id: str,
                  text: str = "text", claim_text: str | None = None,
-                 tokenizer=word_tokens) -> DataFrame:
+                 tokenizer=word_tokens, posts_partitioned: bool = False) -> DataFrame:
     """RET-01: cosine of smooth-idf TF-IDF vectors with the vectoriser fitted
     on (all claims + the post being scored), for every post at once.
 
@@ -60,7 +60,7 @@ def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id:
             .withColumn("i1", F.log((F.lit(nn) + 2) / (F.col("df") + 2)) + 1))
     mb = ct.groupBy("cid").agg(F.sum(F.col("tf_m") ** 2 * F.col("i0") ** 2).alias("bb"))
 
-    pt = term_counts(posts, post_id, text, tokenizer, "pid")
+    pt = term_counts(posts, post_id, text, tokenizer, "pid", assume_partitioned=posts_partitioned)
     # the post norm is a window over the post's own terms: the rows are
     # already hash-partitioned by post, so no exchange and -- unlike a
     # separate aggregate joined back -- the texts are tokenised only once
@@ -80,7 +80,7 @@ def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id:
 
 def bm25(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id: str,
          text: str = "text", claim_text: str | None = None, k1: float = 0.9, b: float = 0.4,
-         tokenizer=word_tokens) -> DataFrame:
+         tokenizer=word_tokens, posts_partitioned: bool = False) -> DataFrame:
     """RET-05: BM25 of every post (as the query) against the claim index.
 
     ``idf = ln(1 + (N - df + 0.5)/(df + 0.5))``; per matched term
@@ -99,7 +99,7 @@ def bm25(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id: str,
                     (F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
                      * F.col("tf_m")
                      / (F.col("tf_m") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))).alias("w")))
-    pt = term_counts(posts, post_id, text, tokenizer, "pid")
+    pt = term_counts(posts, post_id, text, tokenizer, "pid", assume_partitioned=posts_partitioned)
     return (pt.join(broadcast_if(ct, n_tok), "tok")
               .groupBy("pid", "cid").agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
               .select(F.col("pid").alias(post_id), F.col("cid").alias(claim_id), "score"))

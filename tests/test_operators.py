@@ -162,3 +162,21 @@ def test_retriever_set_cycles(spark):
     negs = [r for r in out if r["kind"] == "negative"]
     assert len([r for r in negs if r["question"] == "q1"]) == 15 and len([r for r in negs if r["question"] == "q2"]) == 3
     assert len([r for r in out if r["kind"] == "positive"]) == 6
+
+
+def test_softmatch_plans_agree_on_fixture(spark, monkeypatch):
+    """The vocabulary plan and the general plan give the same top-k on real
+    posts and claims (sf0.001)."""
+    from claimspark.operators import vector_search as VS
+    from claimspark.plans import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    wv, key = FX.word_vectors(spark, sf)
+    posts, claims = FX.posts(spark, sf), FX.table(spark, sf, "benchmark")
+
+    def run():
+        out = VS.token_softmatch_top_k(posts, claims, wv, post_id="input_id", claim_id="item_id", k=3, word_key=key)
+        return {(r["input_id"], r["rank"]): (r["item_id"], round(r["f1"], 9)) for r in out.collect()}
+    fast = run()
+    monkeypatch.setattr(VS, "VOCAB_PLAN_MAX_BYTES", 8)
+    general = run()
+    assert fast == general and len(fast) > 0

@@ -38,3 +38,25 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_discount:double,l_returnflag:string>" in p
     p2 = plan_of(E.queries()["pairs_by_date"](spark, SF))
     assert "GreaterThanOrEqual(o_orderdate" in p2 and "LessThan(o_orderdate" in p2
+
+
+def test_bucketed_posts_need_no_exchange(spark, tmp_path):
+    """A posts table bucketed by id feeds TF-IDF without any post-side shuffle."""
+    from pyspark.sql import functions as F
+    from claimspark.operators import retrieval as R
+    from claimspark.plans import fixtures as FX
+    posts = FX.posts(spark, SF).select("input_id", "text")
+    spark.sql("DROP TABLE IF EXISTS posts_bucketed")
+    posts.write.bucketBy(4, "input_id").mode("overwrite").option("path", str(tmp_path / "pb")) \
+        .saveAsTable("posts_bucketed")
+    pb = spark.table("posts_bucketed")
+    claims = FX.table(spark, SF, "benchmark")
+    s = R.tfidf_cosine(pb.withColumnRenamed("input_id", "pid"), claims, post_id="pid", claim_id="item_id",
+                       posts_partitioned=True)
+    p = plan_of(s)
+    assert "hashpartitioning(pid" not in p
+    ref = R.tfidf_cosine(posts.withColumnRenamed("input_id", "pid"), claims, post_id="pid", claim_id="item_id")
+    a = {(r["pid"], r["item_id"]): round(r["score"], 12) for r in s.collect()}
+    b = {(r["pid"], r["item_id"]): round(r["score"], 12) for r in ref.collect()}
+    assert a == b
+    spark.sql("DROP TABLE IF EXISTS posts_bucketed")
