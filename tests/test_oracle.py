@@ -20,6 +20,8 @@ NAMES = sorted(E.queries())
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    import tempfile
+    c.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='duck-spill-', dir='/tmp')}'")
     for t in TEST_TABLES:
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
