@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.plans.sqlfix import CLAIMS, GOLD, POSTS, H, tokens, with_  # noqa: F401
+from claimspark.plans.sqlfix import CLAIMS, GOLD, H, tokens
 
 ORACLE: dict[str, str] = {}
 

@@ -16,9 +16,6 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{WORD_RE}')"
 
 
-POSTS = """posts AS (SELECT doc_id AS input_id, text, source AS source_type,
-  CAST(doc_id AS VARCHAR) AS source_id, lang FROM documents)"""
-
 CLAIMS = """claims AS (SELECT item_id AS id, text AS canonical_sentence,
   ['src' || CAST(item_id % 3 AS VARCHAR)] AS sources, [CAST(item_id % 4 AS VARCHAR)] AS category,
   list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0) AS pos_variations,
@@ -27,7 +24,3 @@ CLAIMS = """claims AS (SELECT item_id AS id, text AS canonical_sentence,
 GOLD = """gold AS (SELECT doc_id AS input_id, doc_id % (SELECT count(*) FROM benchmark) AS misinfo_id,
   CAST(CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 0 ELSE 2 END AS BIGINT) AS gold_label,
   'human' AS model_id FROM labels)"""
-
-
-def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
