@@ -8,6 +8,8 @@ The claim catalogue is the small side; it is broadcast behind a size check.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +40,21 @@ def _catalogue_stats(claims: DataFrame, text: str, tokenizer) -> tuple[int, int]
     return int(r["n"]), int(r["t"])
 
 
-def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id: str,
-                 text: str = "text", claim_text: str | None = None,
-                 tokenizer=word_tokens, posts_partitioned: bool = False) -> DataFrame:
-    """RET-01: cosine of smooth-idf TF-IDF vectors with the vectoriser fitted
-    on (all claims + the post being scored), for every post at once.
+class TfidfIndex(NamedTuple):
+    """Claim side of RET-01, built once and reusable across post batches
+    (RET-06): claim count, total claim tokens (size check), claim document
+    frequencies, claim terms with both idf forms, post-free claim norms."""
+    n: int
+    n_tok: int
+    dfm: DataFrame
+    ct: DataFrame
+    mb: DataFrame
 
-    Closed form: with N claims and claim document frequency d(t), a term of
-    the post has idf ``ln((N+2)/(d+2))+1`` and a claim term absent from the
-    post ``ln((N+2)/(d+1))+1``; the claim norm is its post-free norm plus a
-    correction over the shared terms.  Result: (post_id, claim_id, score) for
-    pairs with a shared term (all other pairs score 0).
-    """
-    claim_text = claim_text or text
+
+def tfidf_index(claims: DataFrame, *, claim_id: str, claim_text: str = "text", tokenizer=word_tokens,
+                persist: bool = False) -> TfidfIndex:
+    """Build the claim-side tables once; ``persist`` keeps them cached for a
+    stream of post batches (the catalogue is the small, static side)."""
     n, n_tok = _catalogue_stats(claims, claim_text, tokenizer)
     nn = float(n)
     mt = term_counts(claims, claim_id, claim_text, tokenizer, "cid").withColumnRenamed("tf", "tf_m")
@@ -59,7 +63,29 @@ def tfidf_cosine(posts: DataFrame, claims: DataFrame, *, post_id: str, claim_id:
             .withColumn("i0", F.log((F.lit(nn) + 2) / (F.col("df") + 1)) + 1)
             .withColumn("i1", F.log((F.lit(nn) + 2) / (F.col("df") + 2)) + 1))
     mb = ct.groupBy("cid").agg(F.sum(F.col("tf_m") ** 2 * F.col("i0") ** 2).alias("bb"))
+    if persist:
+        dfm, ct, mb = dfm.cache(), ct.cache(), mb.cache()
+    return TfidfIndex(n, n_tok, dfm, ct, mb)
 
+
+def tfidf_cosine(posts: DataFrame, claims: DataFrame | None = None, *, post_id: str, claim_id: str,
+                 text: str = "text", claim_text: str | None = None,
+                 tokenizer=word_tokens, posts_partitioned: bool = False,
+                 index: TfidfIndex | None = None) -> DataFrame:
+    """RET-01: cosine of smooth-idf TF-IDF vectors with the vectoriser fitted
+    on (all claims + the post being scored), for every post at once.
+
+    Closed form: with N claims and claim document frequency d(t), a term of
+    the post has idf ``ln((N+2)/(d+2))+1`` and a claim term absent from the
+    post ``ln((N+2)/(d+1))+1``; the claim norm is its post-free norm plus a
+    correction over the shared terms.  Result: (post_id, claim_id, score) for
+    pairs with a shared term (all other pairs score 0).  A prebuilt ``index``
+    (:func:`tfidf_index`) replaces ``claims``.
+    """
+    if index is None:
+        index = tfidf_index(claims, claim_id=claim_id, claim_text=claim_text or text, tokenizer=tokenizer)
+    n, n_tok, dfm, ct, mb = index
+    nn = float(n)
     pt = term_counts(posts, post_id, text, tokenizer, "pid", assume_partitioned=posts_partitioned)
     # the post norm is a window over the post's own terms: the rows are
     # already hash-partitioned by post, so no exchange and -- unlike a

@@ -221,24 +221,34 @@ def two_stage_label(spark, sf):
                       F.round("score", 6).alias("confidence"))
 
 
-def agree_disagree_for(spark, sf, posts):
+def agree_disagree_for(spark, sf, posts, static=None):
     """STN-07 for any set of posts (a table or one micro-batch): best
-    TF-IDF claim, threshold 0.4, [u, v, |u-v|] head, forced binary stance."""
-    claims = FX.table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id")
-    scores = R.tfidf_cosine(posts, claims, post_id="input_id", claim_id="misinfo_id")
+    TF-IDF claim, threshold 0.4, [u, v, |u-v|] head, forced binary stance.
+    ``static`` = (tfidf index, claim vectors) built once for a stream.
+    Irrelevant posts keep their best claim for reference and take the n/a
+    class code (2); the stance word is given for relevant posts only."""
+    index, cv = static or claim_side(spark, sf, persist=False)
+    scores = R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index)
     best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
     wv, key = FX.word_vectors(spark, sf)
     pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
-    cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
     out = ST.agree_disagree(best, pv, cv, lambda j: ST.linear_softmax(j, w, b, parts=STANCE_DIM_PARTS),
-                            n_claims=FX.n_rows(spark, sf, "benchmark"))
-    # irrelevant posts keep their best claim for reference and take the
-    # n/a class code (2); the stance word is only given for relevant ones
+                            n_claims=index.n)
     return out.select("input_id", "misinfo_id", "relevant",
                       F.coalesce(F.col("label_id"), F.lit(2)).cast("bigint").alias("label_id"), "label")
 
 
+def claim_side(spark, sf, persist: bool):
+    """Static claim side of the stance pipeline: TF-IDF index and claim
+    vectors (RET-06), optionally cached for the lifetime of a stream."""
+    claims = FX.table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id")
+    index = R.tfidf_index(claims, claim_id="misinfo_id", persist=persist)
+    wv, key = FX.word_vectors(spark, sf)
+    cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key)
+    return index, (cv.cache() if persist else cv)
+
+
 @register("pipeline_agree_disagree")
 def pipeline_agree_disagree(spark, sf):
     """STN-07: best claim per post, threshold 0.4, forced agree/disagree."""
@@ -834,7 +844,10 @@ def stream_stance(spark, sf):
     posts = FX.posts(spark, sf)
     SM.stage_files(posts, f"{base}/in", 2)
     stream = SM.file_stream(spark, f"{base}/in", posts.schema)
-    SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b), f"{base}/out")
+    static = claim_side(spark, sf, persist=True)   # stream-static: claims prepared once
+    SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b, static), f"{base}/out")
+    for d in (static[0].dfm, static[0].ct, static[0].mb, static[1]):
+        d.unpersist()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
