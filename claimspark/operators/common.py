@@ -38,12 +38,15 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
 
 
 def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` once, sized to the input: as many
-    partitions as input splits (each ~``spark.sql.files.maxPartitionBytes``),
-    at least ``spark.sql.shuffle.partitions``.  With ``assume_partitioned``
-    (a table bucketed / partitioned by the key) no exchange is added."""
+    """Hash-partition ``df`` by ``key`` once, sized to the input.  A large
+    input gets one partition per input split (each about
+    ``spark.sql.files.maxPartitionBytes``), so the shuffle grows with the
+    data instead of with a fixed setting; a small input keeps the session's
+    shuffle partitions, which AQE coalesces.  With ``assume_partitioned`` (a
+    table bucketed / partitioned by the key) no exchange is added."""
     if assume_partitioned:
         return df
     spark = df.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(max(df.rdd.getNumPartitions(), floor), key)
+    n = df.rdd.getNumPartitions()
+    return df.repartition(n, key) if n > floor else df.repartition(key)
