@@ -216,3 +216,24 @@ def pending_inputs(inputs: DataFrame, outputs: DataFrame, *, path: str = "path",
     pat = "(" + "|".join(e.replace(".", r"\.") for e in sorted(out_exts, key=len, reverse=True)) + ")$"
     done = outputs.select(F.regexp_replace(path_basename(out_path), pat, "").alias("stem")).distinct()
     return inputs.withColumn("stem", path_stem(path)).join(done, "stem", "left_anti")
+
+
+def annotation_inputs(rows: DataFrame) -> DataFrame:
+    """PRJ-04 (input side): non-blank annotation rows -> input records keyed
+    by tweet id (first row per id in file order)."""
+    ok = rows.filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
+    return first_per_key(ok.select("doc_id", F.col("tweet_id").alias("source_id"), F.col("tweet").alias("text"),
+                                   F.lit("Twitter").alias("source_type")), ["source_id"], "doc_id")
+
+
+# UDF-04: per-format record reshapers, applied with ``df.transform(RESHAPERS[name])``.
+RESHAPERS = {
+    "initial_wiki": lambda df: claims_to_rows(df, keep_id=True),
+    "old_jsonl_format": lambda df: claims_to_rows(df, keep_id=False),
+    "old_csv_format": annotation_inputs,
+}
+
+
+def reshape(df: DataFrame, custom_type: str) -> DataFrame:
+    """UDF-04: reshape raw records of a known format; unknown formats raise."""
+    return df.transform(RESHAPERS[custom_type])

@@ -180,3 +180,16 @@ def test_softmatch_plans_agree_on_fixture(spark, monkeypatch):
     monkeypatch.setattr(VS, "VOCAB_PLAN_MAX_BYTES", 8)
     general = run()
     assert fast == general and len(fast) > 0
+
+
+def test_reshaper_registry(spark):
+    from claimspark.plans import fixtures as FX
+    c = FX.claims(spark, "/root/testdata/sf0.001")
+    with_id = IG.reshape(c, "initial_wiki")
+    without = IG.reshape(c, "old_jsonl_format")
+    assert "id" in with_id.columns and "id" not in without.columns
+    assert with_id.count() == without.count() == c.count()
+    r = IG.reshape(FX.annotation_rows(spark, "/root/testdata/sf0.001"), "old_csv_format")
+    assert r.select("source_id").distinct().count() == r.count()
+    with pytest.raises(KeyError):
+        IG.reshape(c, "unknown")
