@@ -341,8 +341,9 @@ def insert_counts(spark, sf):
 def annotation_csv_load(spark, sf):
     """ING-03: inputs (deduplicated by tweet id, ids generated), then every
     annotation row as an output joined to its input id (JOIN-03)."""
-    rows = FX.annotation_rows(spark, sf).filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
-    inputs, _ = IG.insert_if_new(rows.select("doc_id", F.col("tweet_id").alias("source_id"), "tweet"),
+    raw = FX.annotation_rows(spark, sf)
+    rows = raw.filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
+    inputs, _ = IG.insert_if_new(IG.reshape(raw, "old_csv_format"),
                                  spark.createDataFrame([], "source_id string, id bigint"),
                                  key=["source_id"], order="doc_id")
     ids = inputs.select(F.col("source_id").alias("tweet_id"), F.col("id").alias("input_id"))
