@@ -229,9 +229,14 @@ def agree_disagree_for(spark, sf, posts, static=None):
     class code (2); the stance word is given for relevant posts only."""
     index, cv = static or claim_side(spark, sf, persist=False)
     scores = R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index)
-    best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+    # one row per post, written to the shared checkpoint folder: the stance
+    # encoder then reads only the posts that passed the threshold
+    checkpoint_dir(spark)
+    best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank").checkpoint(eager=True)
+    relevant_ids = best.filter(ST.relevance(best, "score")).select("input_id")
     wv, key = FX.word_vectors(spark, sf)
-    pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    pv = VS.wordvec_average(posts.join(relevant_ids, "input_id", "left_semi"), wv, id_col="input_id",
+                            tokenizer=glove_tokens, word_key=key)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
     out = ST.agree_disagree(best, pv, cv, lambda j: ST.linear_softmax(j, w, b, parts=STANCE_DIM_PARTS),
                             n_claims=index.n)
