@@ -206,3 +206,13 @@ def seeded_split(df: DataFrame, id_col: str, world_size: int, seed: str = "split
     o = dense_ids(df.select(id_col, seeded_key(seed, id_col).alias("h")), ["h", id_col], 0, "pos")
     return o.select(id_col, ((F.col("pos") - 1) % world_size).cast("bigint").alias("worker"),
                     ((F.col("pos") - 1) / world_size).cast("bigint").alias("local_idx"))
+
+
+def seeded_sample(df: DataFrame, *, by: list[str], key: list[str], k: int, seed: str = "sample") -> DataFrame:
+    """Q28: reproducible sample without replacement of ``k`` rows per group
+    -- the rows with the smallest md5(seed | key).  Planned as a window top-k
+    whose partial limit runs before the shuffle, so a hot group ships at most
+    k rows per input partition."""
+    from claimspark.operators.common import top_k
+    return top_k(df.withColumn("_h", seeded_key(seed, *key)), by, [F.col("_h"), *[F.col(c) for c in key]], k,
+                 "_r").drop("_h", "_r")

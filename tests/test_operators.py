@@ -193,3 +193,13 @@ def test_reshaper_registry(spark):
     assert r.select("source_id").distinct().count() == r.count()
     with pytest.raises(KeyError):
         IG.reshape(c, "unknown")
+
+
+def test_seeded_sample_reproducible(spark):
+    from claimspark.operators import training as TR
+    df = spark.range(0, 3000).select(F.col("id"), (F.col("id") % 3).alias("g"))
+    a = sorted((r["g"], r["id"]) for r in TR.seeded_sample(df, by=["g"], key=["id"], k=4, seed="s").collect())
+    b = sorted((r["g"], r["id"]) for r in TR.seeded_sample(df.repartition(7), by=["g"], key=["id"], k=4, seed="s").collect())
+    assert a == b and len(a) == 12
+    c = sorted((r["g"], r["id"]) for r in TR.seeded_sample(df, by=["g"], key=["id"], k=4, seed="t").collect())
+    assert c != a
