@@ -79,8 +79,9 @@ def avg_rank_ties(spark, sf):
 @register("retrieval_report")
 def retrieval_report(spark, sf):
     """EVL-01/03/04: Hits@1/5/10 and MRR of TF-IDF and BM25 against the
-    annotator's gold pairs; pairs a model did not score rank in the zero block."""
-    p = FX.retrieval_preds(spark, sf)
+    annotator's gold pairs; pairs a model did not score rank in the zero block.
+    Only annotated posts are scored (the semi join runs before tokenising)."""
+    p = FX.retrieval_preds(spark, sf, only_posts=FX.gold_posts(spark, sf))
     n = FX.n_rows(spark, sf, "benchmark")
     return _round_doubles(EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n))
 
@@ -180,9 +181,18 @@ def pair_features(spark, sf):
 
 @register("cross_entropy")
 def cross_entropy(spark, sf):
-    """AGG-15: mean cross-entropy of the head's logits against gold labels."""
-    out = _stance_fn(spark, sf)(FX.tfidf_best(spark, sf))
+    """AGG-15: mean cross-entropy of the head's logits against gold labels.
+    Only annotated posts can contribute, so only they are scored and encoded
+    (the semi join runs before any text is tokenised)."""
     g = FX.gold(spark, sf).select("input_id", "misinfo_id", "gold_label")
+    posts = FX.posts(spark, sf).join(g.select("input_id").distinct(), "input_id", "left_semi")
+    index, cv = claim_side(spark, sf, persist=False)
+    best = R.top_claims(R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index),
+                        post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+    wv, key = FX.word_vectors(spark, sf)
+    pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
+    out = ST.linear_softmax(ST.attach_vectors(best, pv, cv, n_claims=index.n), w, b, parts=STANCE_DIM_PARTS)
     e = out.join(g, ["input_id", "misinfo_id"])
     l = F.col("logits")
     m = F.array_max(l)
@@ -983,7 +993,7 @@ def all_models_report(spark, sf):
     in one job (retrieval metrics for similarity models, stance metrics for
     stance models), long form (model_id, family, metric, value)."""
     reg = EV.model_registry(spark)
-    p = FX.retrieval_preds(spark, sf)
+    p = FX.retrieval_preds(spark, sf, only_posts=FX.gold_posts(spark, sf))
     n = FX.n_rows(spark, sf, "benchmark")
     rr = EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
     sr = EV.stance_report(EV.confusion_cells(FX.gold(spark, sf), FX.stance_preds(spark, sf)))
@@ -1054,7 +1064,7 @@ REPORT_COLUMNS = ["pos_hits_1", "pos_hits_5", "pos_hits_10", "pos_mrr", "both_hi
 def retrieval_report_line(spark, sf):
     """EVL-01 display line: Hits@1/5/10 (1 decimal) and MRR (2 decimals),
     half-to-even, ' & '-joined in the reference's order."""
-    p = FX.retrieval_preds(spark, sf)
+    p = FX.retrieval_preds(spark, sf, only_posts=FX.gold_posts(spark, sf))
     n = FX.n_rows(spark, sf, "benchmark")
     r = EV.retrieval_report(FX.gold(spark, sf), p, RETRIEVAL_FIXTURE_MODELS, n_claims=n)
     r = r.select("model_id", *[F.bround(F.col(c), 2 if c.endswith("mrr") else 1).alias(c) for c in REPORT_COLUMNS])

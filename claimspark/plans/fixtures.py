@@ -61,12 +61,21 @@ __all__ = ["table", "posts", "claims", "gold", "hash32", "hash_mod"]
 STANCE_FIXTURE_MODELS = ["bow-log-snli", "sbert-snli", "comb-sbert-fever-ct"]
 
 
-def retrieval_preds(spark, sf) -> DataFrame:
+def gold_posts(spark, sf) -> DataFrame:
+    """Ids of the posts with a positive or negative gold pair."""
+    return gold(spark, sf).filter(F.col("gold_label").isin(0, 1)).select("input_id").distinct()
+
+
+def retrieval_preds(spark, sf, only_posts: DataFrame | None = None) -> DataFrame:
     """Real retrieval predictions: sparse TF-IDF ('bow-cosine') and BM25
     ('pyserini') scores of every post against every claim (missing pairs
-    score 0)."""
+    score 0).  A post's scores and ranks depend on that post and the claims
+    only, so an evaluation may restrict scoring to ``only_posts`` (the
+    annotated ones) before any text is tokenised."""
     from claimspark.operators import retrieval as R
     p, c = posts(spark, sf), table(spark, sf, "benchmark")
+    if only_posts is not None:
+        p = p.join(only_posts, "input_id", "left_semi")
     tf = R.tfidf_cosine(p, c.withColumnRenamed("item_id", "misinfo_id"),
                         post_id="input_id", claim_id="misinfo_id")
     bm = R.bm25(p, c.withColumnRenamed("item_id", "misinfo_id"), post_id="input_id", claim_id="misinfo_id")
