@@ -19,7 +19,8 @@ def broadcast_if(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_MAX_
 
 
 def top_k(df: DataFrame, by, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
-    """TOP-01/02/05: the first ``k`` rows per group with a deterministic
+    """TOP-01/02/05 and the selection extension point (UDF-03: k, order and
+    tie rule are the window specification): the first ``k`` rows per group with a deterministic
     tie rule (``order`` must end in a unique key).  Spark plans this as a
     WindowGroupLimit before the final window, so at most k rows per group and
     partition cross the shuffle."""

@@ -47,7 +47,9 @@ def average_rank(preds: DataFrame, *, by: str = "input_id", score: str = "confid
 
 def retrieval_report(gold: DataFrame, preds: DataFrame, models: list[str], *, ks=(1, 5, 10),
                      n_claims: int | None = None, score: str = "confidence") -> DataFrame:
-    """EVL-01: Hits@k and MRR for positives and for positives+negatives.
+    """EVL-01 / EVL-04 / AGG-07 (MRR) / AGG-08 (Hits@k): Hits@k and MRR for
+    positives and for positives+negatives; predictions are ranked here, for
+    retrieval models only (EVL-04).
 
     ``gold`` (input_id, misinfo_id, gold_label); ``preds`` (model_id,
     input_id, misinfo_id, confidence).  Every model in ``models`` (a short,
@@ -110,7 +112,8 @@ def confusion_long(cells: DataFrame) -> DataFrame:
 
 
 def stance_report(cells: DataFrame) -> DataFrame:
-    """EVL-02 / AGG-04..06: accuracy, macro P/R/F1 and per-class P/R/F1.
+    """EVL-02 / AGG-04 (accuracy), AGG-05 (per-class P/R/F1), AGG-06 (macro
+    P/R/F1): accuracy, macro P/R/F1 and per-class P/R/F1.
 
     Per-class values are NULL where the reference yields NaN (0/0, Q11);
     macro averages run over labels present in gold or predictions, an

@@ -116,7 +116,7 @@ def fixed_columns(arr: str, n: int, prefix: str) -> list[Column]:
 
 
 def claims_to_rows(claims: DataFrame, *, keep_id: bool) -> DataFrame:
-    """PRJ-03 / UDF-04: claim record -> misinformation row: text, sources as
+    """PRJ-03 / UDF-04 / FN-22 (JSON encode): claim record -> misinformation row: text, sources as
     JSON ``{"list": [...]}``, reliability 1, the rest as JSON ``misc``; the
     id is kept (first format) or left to the store (second format)."""
     cols = [F.col("canonical_sentence").alias("text"),
@@ -219,8 +219,8 @@ def pending_inputs(inputs: DataFrame, outputs: DataFrame, *, path: str = "path",
 
 
 def annotation_inputs(rows: DataFrame) -> DataFrame:
-    """PRJ-04 (input side): non-blank annotation rows -> input records keyed
-    by tweet id (first row per id in file order)."""
+    """PRJ-04 (input side) with FLT-08: non-blank annotation rows -> input
+    records keyed by tweet id (first row per id in file order)."""
     ok = rows.filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
     return first_per_key(ok.select("doc_id", F.col("tweet_id").alias("source_id"), F.col("tweet").alias("text"),
                                    F.lit("Twitter").alias("source_type")), ["source_id"], "doc_id")

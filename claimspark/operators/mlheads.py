@@ -81,8 +81,10 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
 
 
 class _WithClean:
-    """Scoring wrapper: cleans the text columns, then the fitted pipeline
-    (the pipeline itself is what is persisted)."""
+    """STN-02 scoring (class, probabilities, max probability via the
+    LogisticRegression output columns): cleans the text columns, then the
+    fitted pipeline (the pipeline itself is what is persisted).  The fitted
+    pipeline is the stance model as an MLlib Transformer (UDF-05)."""
 
     def __init__(self, sides, model: PipelineModel):
         self.sides, self.model = sides, model

@@ -2,7 +2,8 @@
 (RET-01, RET-05, RET-08), top-k selection and zero fill (TOP-01/05,
 JOIN-11, SET-02), claim variations (RET-10).
 
-No cross join anywhere: a post meets a claim only through a shared term.
+No cross join anywhere: the posts x claims scoring grid (JOIN-04) is an
+equi-join on the term, so a post meets a claim only through a shared term.
 The claim catalogue is the small side; it is broadcast behind a size check.
 """
 

@@ -138,6 +138,7 @@ def scifact_examples(corpus: DataFrame, claims: DataFrame, seed: str = "scifact"
                        .cast("bigint") % 2)).cast("int")
     n = F.size("abstract")
     allidx = F.sequence(F.lit(0), n - 1)
+    # SET-04: union of the evidence indices of the document
     idx = F.array_sort(F.array_distinct(F.flatten(F.transform("sets", lambda s_: s_["sentences"]))))
     non = F.array_except(allidx, idx)
 

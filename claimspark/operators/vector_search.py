@@ -6,7 +6,9 @@ behind a size check, into numpy arrays and shipped to the executors as a
 broadcast variable; the large side (posts) is streamed through
 ``mapInPandas`` in Arrow batches where a BLAS matrix product scores a whole
 block of posts against the catalogue and only the best ``k`` claims per post
-leave the task.  No post x claim rows are ever materialised.  A catalogue
+leave the task.  No post x claim rows are ever materialised (JOIN-04 as a
+block product).  The pair scorer (UDF-02) is either a Column expression
+(``functions.vectors``) or such a block scorer.  A catalogue
 above the size limit is processed in bounded chunks whose per-chunk top-k are
 merged by a window.
 """

@@ -44,7 +44,8 @@ def n_rows(spark, sf, name) -> int:
 
 
 def gold(spark, sf) -> DataFrame:
-    """Annotator outputs from labels: misinfo = doc_id % n_items; gold label
+    """EVL-03 gold table of the annotator ('human' model outputs), here from
+    labels: misinfo = doc_id % n_items; gold label
     toxic -> 1 (disagrees), quality -> 0 (agrees), else 2."""
     n_items = n_rows(spark, sf, "benchmark")
     return table(spark, sf, "labels").select(

@@ -46,7 +46,7 @@ def read_claims_jsonl(spark: SparkSession, path: str, first_only: bool = False)
 
 
 def claims_from_table(misinformation: DataFrame) -> DataFrame:
-    """SRC-02 (Q8 fixed): claims from the misinformation table, ``misc``
+    """SRC-02 (Q8 fixed) / FN-22 (JSON decode): claims from the misinformation table, ``misc``
     JSON unpacked; claims without variations are dropped; one row per
     variation with its index, so claim and sentence stay aligned."""
     misc = F.from_json("misc", "category array<string>, pos_variations array<string>, "
