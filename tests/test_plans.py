@@ -19,7 +19,9 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["tfidf_top5", "tfidf_scores", "bm25_zero_filled", "retrieval_report",
-                                  "best_variation_per_claim"])
+                                  "best_variation_per_claim", "two_stage_label", "pipeline_agree_disagree",
+                                  "wordvec_cosine_top5", "token_softmatch_prf", "insert_if_new",
+                                  "annotation_csv_load", "fever_convert", "scifact_examples"])
 def test_no_pair_grid(spark, name):
     p = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p
