@@ -8,12 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.functions.misc import ANNOTATION_CODES, NLI_CODES, day_window, label_code, utc_stamp
+from claimspark.functions.text import glove_tokens, word_tokens
+from claimspark.functions.vectors import pair_features as _pf
+from claimspark.operators import evaluate as EV
+from claimspark.operators import ingest as IG
+from claimspark.operators import mlheads as ML
+from claimspark.operators import relational as RL
 from claimspark.operators import retrieval as R
+from claimspark.operators import stance as ST
+from claimspark.operators import training as TR
+from claimspark.operators import vector_search as VS
 from claimspark.operators.common import broadcast_if
+from claimspark.operators.common import top_k as _top_k
 from claimspark.plans import fixtures as FX
+from claimspark.session import checkpoint_dir, scratch_path
+from claimspark.sources import files as SR
+from claimspark.sources import sinks as SK
+from claimspark.streaming import streams as SM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -56,7 +72,6 @@ def bm25_zero_filled(spark, sf):
 
 
 # --------------------------------------------------------------- evaluation
-from claimspark.operators import evaluate as EV  # noqa: E402
 
 RETRIEVAL_FIXTURE_MODELS = ["bow-cosine", "pyserini"]
 
@@ -100,8 +115,6 @@ def stance_report(spark, sf):
 
 
 # ------------------------------------------------------------ dense models
-from claimspark.functions.text import glove_tokens, word_tokens  # noqa: E402
-from claimspark.operators import vector_search as VS  # noqa: E402
 
 
 @register("wordvec_cosine_top5")
@@ -138,8 +151,6 @@ def token_softmatch_prf(spark, sf):
 
 
 # ------------------------------------------------------------------ stance
-from claimspark.functions.vectors import pair_features as _pf  # noqa: E402
-from claimspark.operators import stance as ST  # noqa: E402
 
 STANCE_DIM_PARTS = ("u", "v", "absdiff")
 
@@ -271,9 +282,6 @@ def pipeline_agree_disagree(spark, sf):
 
 
 # ------------------------------------------------------------ store / ingest
-from claimspark.functions.misc import ANNOTATION_CODES, day_window, label_code, utc_stamp  # noqa: E402
-from claimspark.operators import ingest as IG  # noqa: E402
-from claimspark.operators import relational as RL  # noqa: E402
 
 _TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -540,7 +548,6 @@ def config_overlay(spark, sf):
 
 
 # ------------------------------------------------- variations / readable
-from claimspark.operators.common import top_k as _top_k  # noqa: E402
 
 
 @register("topk_posts_per_claim")
@@ -595,8 +602,6 @@ def readable_predictions(spark, sf):
 
 
 # ---------------------------------------------------------- training sets
-from claimspark.functions.misc import NLI_CODES  # noqa: E402
-from claimspark.operators import training as TR  # noqa: E402
 
 
 def _sets_str(col):
@@ -686,9 +691,6 @@ def bigram_df(spark, sf):
 
 
 # --------------------------------------------------------- sources / sinks
-from claimspark.session import checkpoint_dir, scratch_path  # noqa: E402
-from claimspark.sources import files as SR  # noqa: E402
-from claimspark.sources import sinks as SK  # noqa: E402
 
 
 @register("jsonl_gz_roundtrip")
@@ -849,7 +851,6 @@ def wide_sheet_roundtrip(spark, sf):
 
 
 # ---------------------------------------------------------------- streaming
-from claimspark.streaming import streams as SM  # noqa: E402
 
 
 @register("stream_stance")
@@ -917,9 +918,7 @@ def stream_daily_events(spark, sf):
 
 
 # ------------------------------------------------------------- MLlib heads
-from pyspark.ml.functions import array_to_vector  # noqa: E402
 
-from claimspark.operators import mlheads as ML  # noqa: E402
 
 
 def _nli_split(spark, sf):
