@@ -178,8 +178,10 @@ def ordered_digest(lines: DataFrame, order: list[str], text: str, bucket_rows: i
     consecutive items; levels repeat until at most ``bucket_rows`` digests
     remain, whose ordered md5 is the result.  Every group is bounded by
     ``bucket_rows`` and the value is fixed by the order."""
-    lvl = dense_ids(lines.select(*order, text), order, 0, "_pos") \
-        .select((F.col("_pos") - 1).alias("pos"), F.md5(F.col(text)).alias("h"))
+    # lines are reduced to their digests before numbering: the checkpoint
+    # holds 32-character digests, not the texts
+    lvl = dense_ids(lines.select(*order, F.md5(F.col(text)).alias("h")), order, 0, "_pos") \
+        .select((F.col("_pos") - 1).alias("pos"), "h")
     n_lines = lvl.count()
     n = n_lines
 

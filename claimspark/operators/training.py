@@ -178,10 +178,13 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     pos = contexts.select(F.col(question).alias("question"), F.lit("positive").alias("kind"),
                           F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"))
     pos = pos.withColumn("ctx_idx", F.lit(-1).cast("bigint"))  # positives have no negative slot
-    pool = contexts.filter(F.length(text) > 0).select(F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"),
+    # the seeded pool order is numbered on (hash, id) only -- the texts are
+    # joined back for the chosen negatives, never copied into the checkpoint
+    pool = contexts.filter(F.length(text) > 0).select(F.col(ctx_id).alias("ctx_id"),
                                                       seeded_key(seed, ctx_id).alias("h"))
-    pool = dense_ids(pool, ["h", "ctx_id"], 0, "p")
+    pool = dense_ids(pool, ["h", "ctx_id"], 0, "p").select("p", "ctx_id")
     n_pool = pool.count()
+    texts = contexts.select(F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"))
     sizes = (contexts.groupBy(F.col(question).alias("question"))
                      .agg(F.floor(F.count(F.lit(1)) * F.lit(neg_scale)).cast("bigint").alias("neg_size")))
     off = F.conv(F.substring(seeded_key(seed, "question"), 1, 8), 16, 10).cast("bigint") % F.lit(max(n_pool, 1))
@@ -197,7 +200,8 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     want = (chunks.select("question", "o", F.explode(F.sequence(
                 F.col("c") * chunk, F.least(F.col("neg_size"), (F.col("c") + 1) * chunk) - 1)).alias("ctx_idx"))
             .withColumn("p", (F.col("o") + F.col("ctx_idx")) % F.lit(max(n_pool, 1)) + 1))
-    neg = want.join(pool, "p").select("question", F.lit("negative").alias("kind"), "ctx_id", "text", "ctx_idx")
+    neg = (want.join(pool, "p").join(texts, "ctx_id")
+               .select("question", F.lit("negative").alias("kind"), "ctx_id", "text", "ctx_idx"))
     return pos.unionByName(neg)
 
 
