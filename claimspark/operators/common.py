@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only under this many (estimated) rows; above it the
-# join is left to Spark (sort-merge / AQE re-plan).
-BROADCAST_MAX_ROWS = 5_000_000
+# A side is broadcast only under this many (estimated) rows -- about 100 MB
+# for the ~50-byte rows of a claim term index; above it the join is left to
+# Spark (sort-merge, AQE re-plan and skew-join splitting).
+BROADCAST_MAX_ROWS = 2_000_000
 
 
 def broadcast_if(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
