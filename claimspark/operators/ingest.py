@@ -46,7 +46,8 @@ def first_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(agg).select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def anti_join_stored(new: DataFrame, stored: DataFrame, keys: list[str], max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def anti_join_stored(new: DataFrame, stored: DataFrame, keys: list[str],
+                     max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """JOIN-06: rows of ``new`` whose key is not in ``stored``.
 
     When the new keys are few (a batch against a large store) they are
