@@ -220,3 +220,19 @@ def test_dedup_within_watermark(spark, tmp_path):
                        checkpoint=str(tmp_path / "ck"))
     got = sorted((r["category"], r["url"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", "u1"), ("b", "u2")]
+
+
+def test_keyword_filter_and_page(spark):
+    df = spark.createDataFrame([
+        (1, "a.example.com", "en", "Vaccines cause harm says post", "2024-01-02"),
+        (2, "b.example.org", "en", "vaccines are safe", "2024-01-03"),
+        (3, "c.example.com", "fr", "les vaccins", "2024-01-04"),
+        (4, "d.example.com", "en", "masks and vaccines cause harm", "2024-01-05")],
+        "id long, host string, lang string, text string, day string")
+    toks = F.split(F.lower(F.col("text")), " ")
+    got = RL.keyword_filter(df, tokens=toks, any_of=["vaccines"], all_of=["cause"], phrases=["cause harm"],
+                            text="text", lang="en", allow_hosts=[".example.com"], date_col="day",
+                            from_date="2024-01-01", until_date="2024-01-05")
+    assert [r["id"] for r in got.collect()] == [1]
+    pg = RL.page(df, [F.col("day").desc()], size=2, number=1).collect()
+    assert [r["id"] for r in pg] == [2, 1]
