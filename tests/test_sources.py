@@ -45,3 +45,22 @@ def test_gzip_writer_bounded_files(spark, tmp_path):
         with gzip.open(f, "rt") as fh:
             assert sum(1 for _ in fh) <= 50
     assert spark.read.json(str(out)).count() == 250
+
+
+def test_html_cards_multiple_and_nested(spark):
+    from claimspark.operators.ingest import html_cards
+    html = ("<html><body><article id='a'><h1>  False:  the <b>moon</b>\n is cheese </h1></article>"
+            "<p>x</p><article><h1>True: water is wet</h1></article></body></html>")
+    pages = spark.createDataFrame([(7, "http://x.example/7", html)], "page_id long, url string, html string")
+    got = [(r["card_idx"], r["claim"], r["status"]) for r in html_cards(pages).orderBy("card_idx").collect()]
+    assert got == [(0, "False: the moon is cheese", "False"), (1, "True: water is wet", "True")]
+
+
+def test_claims_from_table_keeps_alignment(spark):
+    from claimspark.operators.ingest import claims_to_rows
+    claims = spark.createDataFrame(
+        [(1, "c1", ["s"], ["x"], ["v1", "v2"], [], "1", "o"), (2, "c2", ["s"], [], [], [], "1", "o")],
+        "id long, canonical_sentence string, sources array<string>, category array<string>, "
+        "pos_variations array<string>, neg_variations array<string>, reliability_score string, origin string")
+    rows = SR.claims_from_table(claims_to_rows(claims, keep_id=True)).orderBy("id", "var_idx").collect()
+    assert [(r["id"], r["var_idx"], r["sentence"]) for r in rows] == [(1, 0, "v1"), (1, 1, "v2")]
