@@ -62,3 +62,15 @@ def test_bucketed_posts_need_no_exchange(spark, tmp_path):
     b = {(r["pid"], r["item_id"]): round(r["score"], 12) for r in ref.collect()}
     assert a == b
     spark.sql("DROP TABLE IF EXISTS posts_bucketed")
+
+
+def test_store_anti_join_broadcasts_new_keys(spark):
+    """Few new keys against a store: the keys are broadcast into a semi join
+    on the store (no shuffle of the store), then removed by a broadcast anti join."""
+    from claimspark.operators.ingest import anti_join_stored
+    store = spark.range(0, 50_000).selectExpr("CAST(id AS STRING) AS k")
+    new = spark.createDataFrame([("1",), ("x",)], "k string")
+    out = anti_join_stored(new, store, ["k"])
+    p = plan_of(out)
+    assert "BroadcastHashJoin LeftSemi" in p and "BroadcastHashJoin LeftAnti" in p
+    assert [r["k"] for r in out.collect()] == ["x"]
