@@ -74,3 +74,12 @@ def test_store_anti_join_broadcasts_new_keys(spark):
     p = plan_of(out)
     assert "BroadcastHashJoin LeftSemi" in p and "BroadcastHashJoin LeftAnti" in p
     assert [r["k"] for r in out.collect()] == ["x"]
+
+
+@pytest.mark.parametrize("name", ["wordvec_cosine_top5", "token_softmatch_prf", "embedding_cosine_top5"])
+def test_dense_top_k_ranked_inside_tasks(spark, name):
+    """Single-chunk dense scorers rank inside the Arrow task: no window and
+    no exchange after the block scorer."""
+    p = plan_of(E.queries()[name](spark, SF))
+    head = p.split("MapInPandas")[0]
+    assert "Window" not in head and "Exchange" not in head
