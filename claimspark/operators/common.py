@@ -36,7 +36,8 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
     """Ordering key of a floating score: rounded so that mathematically equal
     scores summed in a different order tie (and fall to the id tie rule)."""
     c = F.col(score) if isinstance(score, str) else score
-    return F.round(c, digits)
+    # Spark orders NaN above every number: a NaN score must never win (Q20)
+    return F.round(F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c), digits)
 
 
 def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFrame:

@@ -236,3 +236,10 @@ def test_keyword_filter_and_page(spark):
     assert [r["id"] for r in got.collect()] == [1]
     pg = RL.page(df, [F.col("day").desc()], size=2, number=1).collect()
     assert [r["id"] for r in pg] == [2, 1]
+
+
+def test_nan_score_never_wins(spark):
+    from claimspark.operators.retrieval import top_claims
+    df = spark.createDataFrame([(1, 10, float("nan")), (1, 11, 0.2), (1, 12, 0.5)], "p long, c long, score double")
+    got = [r["c"] for r in top_claims(df, post_id="p", claim_id="c", k=3).orderBy("rank").collect()]
+    assert got == [12, 11, 10]
