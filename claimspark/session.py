@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,13 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, durable
-    folder there).  Only when it is unset -- local tests -- a fresh scratch
-    folder is created and registered, so jobs survive executor loss by
-    cutting lineage with ``checkpoint()`` / written tables, never
-    ``localCheckpoint``.
+    folder there).  Only a plain ``local[...]`` session, where driver and
+    executors are one process, may leave it unset and gets a scratch folder
+    of its own; any other master stops with a clear error, because
+    executors would each write to their own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="claimspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -61,8 +65,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    sub = tempfile.mkdtemp(prefix=f"{name}-", dir=base) if "://" not in base else \
-        f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    return sub
+    """A fresh folder name below the shared checkpoint folder; Spark's own
+    writers create it through Hadoop's FileSystem, whatever its scheme."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/claimspark-{spark.sparkContext.applicationId}"
+    _SCRATCH_ROOTS.add(root)
+    return f"{root}/{name}-{os.urandom(6).hex()}"
+
+
+def cleanup_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables (call when its results are
+    written; tables that a lazy result still reads must stay until then)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH_ROOTS:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH_ROOTS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+_SCRATCH_ROOTS: set[str] = set()
