@@ -93,8 +93,11 @@ def canonical(text: Column) -> Column:
     # each word keeps blanks of its own on both sides, so that neighbouring
     # words can both be replaced
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\pL\pN]+", "  "), F.lit(" "))
+    spelt = t
     for a, b in SPELLINGS.items():
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
+        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
+    # one look for any of the spellings saves most texts the replacements
+    t = F.when(t.rlike(f" (?:{'|'.join(SPELLINGS)}) "), spelt).otherwise(t)
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
