@@ -89,7 +89,11 @@ MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
 
 def canonical(text: Column) -> Column:
     """The normal form of a licence text: words of letters and digits."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
+    t = F.lower(F.coalesce(text, F.lit("")))
+    noted = F.lit(False)
+    for mark in ("copyright", "(c)", "\u00a9", "all rights reserved"):
+        noted = noted | t.contains(mark)
+    t = F.when(noted, F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
     # each word keeps blanks of its own on both sides, so that neighbouring
     # words can both be replaced
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\pL\pN]+", "  "), F.lit(" "))

@@ -83,7 +83,7 @@ select page_id, host, path, case {' '.join(f"{c} '{rule}'" for c, rule, _ in whe
 def _license_sql() -> str:
     def canonical(text: str) -> str:
         line = license_digest.COPYRIGHT_LINE.replace("(?mi)", "(?i)").replace("^", "(?m)^", 1)
-        t = f"lower(regexp_replace(coalesce({text}, ''), '{line}', '', 'g'))"
+        t = f"regexp_replace(lower(coalesce({text}, '')), '{line}', '', 'g')"
         t = rf"' ' || regexp_replace({t}, '[^\pL\pN]+', '  ', 'g') || ' '"
         for a, b in license_digest.SPELLINGS.items():
             t = f"replace({t}, ' {a} ', ' {b} ')"
