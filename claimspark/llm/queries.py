@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import decontam, hilbert, license_digest, packing, simhash_tiles, subword_toxicity, url_trie
+from claimspark.llm import decontam, hilbert, license_digest, mcd_quality, packing, simhash_tiles, subword_toxicity, url_trie
 from claimspark.llm.common import LOWER, UPPER, table
 
 
@@ -16,6 +16,10 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles, op6_hilbert_sharding, op8_prefix_decontamination, op9_url_trie,
+    op2_mcd_quality, op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles, op6_hilbert_sharding, op8_prefix_decontamination, op9_url_trie,
     op10_license_digests)}
 
 

@@ -120,7 +120,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[list[str]], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, dim: int = 8,
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, dim: int = 8,
           epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 0.01,
           eps: float = 3e-4, seed: int = 7) -> Model:
     """Joint training of bucket vectors and the linear softmax.  ``eps``
@@ -134,14 +134,13 @@ def train(texts: list[list[str]], labels: np.ndarray, weights: np.ndarray, bucke
     bias = np.array([0.0, np.log(share / (1 - share))])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     order = np.arange(len(texts))
-    bags: dict[int, _Bag] = {}
     rng.shuffle(order)  # batches are fixed, their order changes
     cuts = [order[i:i + batch] for i in range(0, len(order), batch)]
+    bags = [_Bag([text_words(texts[i]) for i in rows], buckets) for rows in cuts]
     step = 0
     for epoch in range(epochs):
         for b in rng.permutation(len(cuts)):
-            rows = cuts[b]
-            bag = bags.get(b) or bags.setdefault(b, _Bag([texts[i] for i in rows], buckets))
+            rows, bag = cuts[b], bags[b]
             hidden = np.stack([bag.means(vectors[d]) for d in range(dim)], axis=1)
             z = hidden @ softmax.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -179,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1700, max_neg: int =
     y = rows["toxic"].to_numpy().astype(np.int64)
     drawn = np.bincount(y, minlength=2)
     weights = np.array([counts[0] / drawn[0], counts[1] / drawn[1]])[y]
-    return train([text_words(t) for t in rows["text"]], y, weights)
+    return train(rows["text"].tolist(), y, weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", chunk_chars: int = 1 << 20) -> DataFrame:
