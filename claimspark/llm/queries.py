@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import decontam, hilbert, license_digest, mcd_quality, packing, simhash_tiles, subword_toxicity, url_trie
+from claimspark.llm import (decontam, hilbert, license_digest, mcd_quality, packing, semicrf_pii, simhash_tiles,
+                            subword_toxicity, url_trie)
 from claimspark.llm.common import LOWER, UPPER, table
 
 
@@ -38,6 +39,10 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semicrf_pii.find_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +57,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mcd_quality, op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles, op6_hilbert_sharding, op8_prefix_decontamination, op9_url_trie,
+    op2_mcd_quality, op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles, op6_hilbert_sharding, op7_semicrf_pii, op8_prefix_decontamination, op9_url_trie,
     op10_license_digests)}
 
 
