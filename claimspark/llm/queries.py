@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm import (decontam, hilbert, license_digest, mcd_quality, packing, semicrf_pii, simhash_tiles,
-                            subword_toxicity, url_trie)
+                            substring_chain, subword_toxicity, url_trie)
 from claimspark.llm.common import LOWER, UPPER, table
 
 
@@ -17,6 +17,10 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_chain.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -57,8 +61,8 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mcd_quality, op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles, op6_hilbert_sharding, op7_semicrf_pii, op8_prefix_decontamination, op9_url_trie,
-    op10_license_digests)}
+    op1_substring_chains, op2_mcd_quality, op3_subword_toxicity, op4_hierarchical_packing, op5_simhash_tiles,
+    op6_hilbert_sharding, op7_semicrf_pii, op8_prefix_decontamination, op9_url_trie, op10_license_digests)}
 
 
 def _decontam_sql(width: int = 10) -> str:
