@@ -181,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1700, max_neg: int =
     return train(rows["text"].tolist(), y, weights)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", chunk_chars: int = 1 << 20) -> DataFrame:
-    """``docs`` with a column ``score``."""
+def score_column(docs: DataFrame, model: Model, text: str = "text", chunk_chars: int = 1 << 20) -> Column:
+    """The score of each whole text, in bounded chunks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -198,18 +198,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", chunk_chars: int =
             out.append(shared.value.scores(held))
             yield pd.Series(np.concatenate(out))
 
-    return docs.withColumn("score", scored(F.col(text)))
+    return scored(F.col(text))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = score_column(docs, fit(docs, labels))
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score.alias("score")) \
+        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with their columns."""
-    scored = score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, fit(docs, labels))
-    kept = scored.where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept
+    return docs.where(score_column(docs, fit(docs, labels)) < threshold)
