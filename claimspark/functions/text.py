@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ def glove_tokens(text) -> Column:
     empty are dropped (they can never be in a vocabulary).
     """
     cleaned = F.lower(F.regexp_replace(_c(text), GLOVE_STRIP, ""))
-    return F.filter(F.split(F.trim(cleaned), r"\s+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(cleaned, r"(?U)[\s\x1c-\x1f]+"), lambda w: F.length(w) > 0)
 
 
 def word_ngrams(tokens, n: int = 2) -> Column:
@@ -59,32 +62,20 @@ def word_ngrams(tokens, n: int = 2) -> Column:
     return out
 
 
-def _accent_table() -> tuple[str, str]:
-    """Single-character accent folding built from a rule, not a list:
-    every code point in U+00C0..U+024F whose NFKD form minus combining marks
-    is one character maps to that character."""
-    import unicodedata
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
-        ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
-
-
-_ACCENT_SRC, _ACCENT_DST = _accent_table()
-
-
 def strip_accents(text) -> Column:
-    """FN-04: accent stripping as a JVM-side ``translate``.
-
-    Equal to NFKD-then-drop-combining-marks for the Latin letters
-    U+00C0..U+024F; stray combining marks are removed as well.
-    """
-    folded = F.translate(_c(text), _ACCENT_SRC, _ACCENT_DST)
-    return F.regexp_replace(folded, r"\p{M}", "")
+    """FN-04: NFKD form without combining marks, for every script.  Spark has
+    no normalisation function, so whole Arrow batches go through
+    ``unicodedata``; ASCII texts, the common case, pass unchanged."""
+    def fold(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+
+    @F.pandas_udf("string")
+    def udf(texts: pd.Series) -> pd.Series:
+        return texts.map(fold)
+
+    return udf(_c(text))
 
 
 def collapse_ws(text) -> Column:

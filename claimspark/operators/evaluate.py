@@ -142,12 +142,6 @@ def stance_report(cells: DataFrame) -> DataFrame:
     return cells.select(*out)
 
 
-def hits_at_k(ranked_gold: DataFrame, k: int) -> DataFrame:
-    """AGG-08 alone: share of rows with rank <= k, x100."""
-    return ranked_gold.agg((100.0 * F.sum(F.when(F.col("rank") <= k, 1).otherwise(0))
-                            / F.count(F.lit(1))).alias(f"hits_{k}"))
-
-
 def report_line(report: DataFrame, cols: list[str], digits: int = 1) -> DataFrame:
     """EVL-01/02 display form (FN-21, Q12): the metrics of each model
     rounded half-to-even and joined with ' & ' in a fixed order."""

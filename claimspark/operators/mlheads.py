@@ -45,6 +45,13 @@ def _clean(df: DataFrame, sides) -> DataFrame:
     return df
 
 
+def vocabulary_size(df: DataFrame, terms: str, min_df: int) -> int:
+    """Number of terms in at least ``min_df`` rows: the vectoriser keeps them
+    all, whatever its own default size."""
+    df_of = df.select(F.explode(F.array_distinct(terms)).alias("t")).groupBy("t").count()
+    return max(1, df_of.where(F.col("count") >= min_df).count())
+
+
 def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), label: str = "label",
                      C: float = 1.0, max_iter: int = 100, min_df: int = 2) -> PipelineModel:
     """STN-01: one ``PipelineModel`` with both vectorisers and the
@@ -53,12 +60,16 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
     n = data.count()
     stages, fitted = [], []
     for s in sides:
-        stages += [
+        terms = [
             RegexTokenizer(inputCol=f"{s}_clean", outputCol=f"{s}_uni", pattern=WORD_PATTERN, gaps=False,
                            toLowercase=True, minTokenLength=1),
             NGram(n=2, inputCol=f"{s}_uni", outputCol=f"{s}_bi"),
             SQLTransformer(statement=f"SELECT *, concat({s}_uni, {s}_bi) AS {s}_terms FROM __THIS__"),
-            CountVectorizer(inputCol=f"{s}_terms", outputCol=f"{s}_tf", minDF=float(min_df)),
+        ]
+        stages += [
+            *terms,
+            CountVectorizer(inputCol=f"{s}_terms", outputCol=f"{s}_tf", minDF=float(min_df),
+                            vocabSize=vocabulary_size(PipelineModel(stages=terms).transform(data), f"{s}_terms", min_df)),
             IDF(inputCol=f"{s}_tf", outputCol=f"{s}_idf0"),
         ]
     vec = Pipeline(stages=stages).fit(data)

@@ -139,11 +139,13 @@ def top_claims(scores: DataFrame, *, post_id: str, claim_id: str, score: str = "
 
 
 def zero_fill_top_k(hits: DataFrame, posts: DataFrame, claim_ids: DataFrame, *, post_id: str,
-                    claim_id: str, score: str = "score", k: int = 86,
+                    claim_id: str, k: int, score: str = "score",
                     rank_col: str = "rank") -> DataFrame:
     """JOIN-11 / SET-02 with TOP-05: the best ``k`` hits of every post, then
     claims that were not hit, at score 0 and in id order, until the post has
-    ``min(k, #claims)`` rows.
+    ``min(k, #claims)`` rows.  ``k`` is the caller's choice: the number of
+    claims gives the whole fill, which is a posts x claims output; the sparse
+    scores, with 0 for every missing pair, say the same in far fewer rows.
 
     Only the first k claim ids can ever be needed for filling, so they are
     taken once as a bounded literal array (k values).  Hits (at most k per
@@ -168,10 +170,6 @@ def zero_fill_top_k(hits: DataFrame, posts: DataFrame, claim_ids: DataFrame, *,
                     .select(post_id, F.col("c").alias(claim_id), F.col("s").alias(score), F.col("r").alias(rank_col)))
 
 
-def fill_pool_type(df: DataFrame, col: str) -> str:
-    return f"array<{df.schema[col].dataType.simpleString()}>"
-
-
 def explode_variations(claims: DataFrame, *, id_col: str = "id", variations: str = "pos_variations",
                        first_only: bool = False, out: str = "variation") -> DataFrame:
     """RET-10: one row per positive variation (with its index), or only the

@@ -36,14 +36,6 @@ def pick_smallest(indices: Column, seed: str, key: Column, k: Column | int) -> C
 
 
 # -------------------------------------------------------------- FEVER
-def wiki_sentences(wiki: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """SRC-12 + FN-06..08: (page, line, sentence) of a wiki dump; with
-    ``pages`` only the referenced pages are read (semi join first)."""
-    w = wiki.select(F.col("id").alias("page"), "lines")
-    if pages is not None:
-        w = w.join(pages.select("page").distinct(), "page", "left_semi")
-    return (w.select("page", F.posexplode(F.split(fever_unescape(F.col("lines")), "\n")).alias("line", "raw"))
-             .select("page", F.col("line").cast("int"), drop_line_number(F.col("raw")).alias("sentence")))
 
 
 def fever_convert(claims: DataFrame, wiki: DataFrame) -> DataFrame:
@@ -163,43 +155,59 @@ def nli_examples(pairs: DataFrame, codes: dict[str, int]) -> DataFrame:
     return pairs.filter(F.col("gold_label").isin(*keep)).withColumn("label", m[F.col("gold_label")].cast("bigint"))
 
 
+SLOT_STRIDE = 1_000_003  # a prime
+
+
 def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str, neg_scale: float,
                   seed: str = "dpr") -> DataFrame:
     """TRN-05 (AGG-02, FLT-09): per question its positive contexts and
     ``int(n_pos * neg_scale)`` negatives drawn without replacement from the
-    pool of non-empty texts in a seeded order, cycling when the pool is
-    short (Q30).  Long form (question, kind, ctx_idx, ctx_id, text; ctx_idx
+    non-empty texts of all *other* questions in a seeded order, cycling when
+    that pool is short (Q30); a question that owns the whole pool gets none.
+    Long form (question, kind, ctx_idx, ctx_id, text; ctx_idx
     is the negative slot, -1 for positives): no
     question's contexts are ever collected into one row, so a question
     holding a third of the data is still split across tasks.
 
-    Each question reads a window of the seeded global pool order starting at
-    its own seeded offset: an equi-join on the pool position, no pairs."""
+    The pool is numbered question by question (in a seeded order of both), so
+    a question's own contexts are one block [first, first + own).  Slot i reads
+    place (offset + i * stride) of the other n - own places, counted from the
+    end of the block around the circle: an equi-join on the pool position, no
+    pairs and no own context.  The stride is a prime that does not divide
+    n - own, so a draw repeats only after all places were read, and questions
+    read differently ordered samples."""
     pos = contexts.select(F.col(question).alias("question"), F.lit("positive").alias("kind"),
                           F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"))
     pos = pos.withColumn("ctx_idx", F.lit(-1).cast("bigint"))  # positives have no negative slot
-    # the seeded pool order is numbered on (hash, id) only -- the texts are
+    # the pool order is numbered on hashes and ids only -- the texts are
     # joined back for the chosen negatives, never copied into the checkpoint
-    pool = contexts.filter(F.length(text) > 0).select(F.col(ctx_id).alias("ctx_id"),
+    pool = contexts.filter(F.length(text) > 0).select(F.col(ctx_id).alias("ctx_id"), seeded_key(seed, question).alias("hq"),
                                                       seeded_key(seed, ctx_id).alias("h"))
-    pool = dense_ids(pool, ["h", "ctx_id"], 0, "p").select("p", "ctx_id")
+    pool = dense_ids(pool, ["hq", "h", "ctx_id"], 0, "p").select("p", "hq", "ctx_id")
     n_pool = pool.count()
+    blocks = pool.groupBy("hq").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("own"))
     texts = contexts.select(F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text"))
-    sizes = (contexts.groupBy(F.col(question).alias("question"))
-                     .agg(F.floor(F.count(F.lit(1)) * F.lit(neg_scale)).cast("bigint").alias("neg_size")))
-    off = F.conv(F.substring(seeded_key(seed, "question"), 1, 8), 16, 10).cast("bigint") % F.lit(max(n_pool, 1))
+    counts = (contexts.groupBy(F.col(question).alias("question"))
+                      .agg(F.floor(F.count(F.lit(1)) * F.lit(neg_scale)).cast("bigint").alias("neg_size")))
+    sizes = (counts.withColumn("hq", seeded_key(seed, "question")).join(blocks, "hq", "left")
+                   .withColumn("others", F.lit(n_pool) - F.coalesce("own", F.lit(0)))
+                   .withColumn("after", F.coalesce(F.col("first") - 1 + F.col("own"), F.lit(0)))
+                   .filter(F.col("others") > 0))
+    off = F.conv(F.substring(F.col("hq"), 1, 8), 16, 10).cast("bigint") % F.col("others")
     # a question may own a large share of all rows: its negative slots are
     # generated in chunks of CHUNK, the chunk list is spread over tasks
     # before the inner explode, so no single task produces all of them
     chunk = 100_000
     chunks = (sizes.filter(F.col("neg_size") > 0)
-                   .select("question", "neg_size", off.alias("o"),
+                   .select("question", "neg_size", "others", "after", off.alias("o"),
                            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("neg_size") - 1) / chunk)
                                                 .cast("bigint"))).alias("c"))
                    .repartition("question", "c"))
-    want = (chunks.select("question", "o", F.explode(F.sequence(
+    stride = F.when(F.col("others") % SLOT_STRIDE == 0, F.lit(1)).otherwise(F.lit(SLOT_STRIDE)).cast("bigint")
+    place = (F.col("o") + F.col("ctx_idx") * stride) % F.col("others")
+    want = (chunks.select("question", "o", "others", "after", F.explode(F.sequence(
                 F.col("c") * chunk, F.least(F.col("neg_size"), (F.col("c") + 1) * chunk) - 1)).alias("ctx_idx"))
-            .withColumn("p", (F.col("o") + F.col("ctx_idx")) % F.lit(max(n_pool, 1)) + 1))
+            .withColumn("p", (F.col("after") + place) % F.lit(max(n_pool, 1)) + 1))
     neg = (want.join(pool, "p").join(texts, "ctx_id")
                .select("question", F.lit("negative").alias("kind"), "ctx_id", "text", "ctx_idx"))
     return pos.unionByName(neg)

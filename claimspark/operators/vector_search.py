@@ -209,6 +209,21 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
 
 
 # ---------------------------------------------------------- soft matching
+def _claim_blocks(claims: DataFrame, vectors: DataFrame, claim_id: str, claim_text: str, tokenizer, word, vec,
+                  word_key) -> list[DataFrame]:
+    """The claims in as many blocks as keep each block's token table and
+    word vectors below the broadcast limit (one claim is never cut)."""
+    v = vectors.select(F.col(word).alias("word"), F.size(vec).alias("d"))
+    n = (token_counts(claims, claim_id, claim_text, tokenizer, word_key).join(v, "word")
+         .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("w"), F.max("d").alias("d")).first())
+    size = max(n["n"] * 32, (n["w"] or 0) * (n["d"] or 0) * 8)
+    count = -(-size // MAX_BROADCAST_BYTES) or 1
+    if count == 1:
+        return [claims]
+    cell = F.pmod(F.xxhash64(claim_id), F.lit(count))
+    return [claims.where(cell == i) for i in range(count)]
+
+
 def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_text: str, tokenizer,
                          word_key=None):
     """Claim side of soft matching as numpy: distinct claim words x dim
@@ -216,13 +231,9 @@ def _softmatch_catalogue(claims: DataFrame, v: DataFrame, claim_id: str, claim_t
     before collection (distinct words x dim x 8 bytes)."""
     ccounts = token_counts(claims, claim_id, claim_text, tokenizer, word_key).join(v, "word")
     stats = ccounts.agg(F.count_distinct("word").alias("w"), F.max(F.size("vec")).alias("d")).first()
-    if (stats["w"] or 0) * (stats["d"] or 0) * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError("claim vocabulary above the broadcast limit; split the claim set")
     cw = ccounts.select("word", "vec").distinct().toPandas()
     widx = {w: i for i, w in enumerate(cw["word"])}
     ymat = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in cw["vec"]])) if len(cw) else np.zeros((0, 1))
-    if ccounts.count() * 32 > MAX_BROADCAST_BYTES:
-        raise ValueError("claim token table above the broadcast limit; split the claim set")
     cl = ccounts.select("id", "word", "cnt").toPandas()
     cl["w"] = cl["word"].map(widx)
     cl = cl.sort_values(["id", "w"])
@@ -282,6 +293,22 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
     from claimspark.functions.text import word_tokens
     tokenizer = tokenizer or word_tokens
     claim_text = claim_text or text
+    args = dict(post_id=post_id, claim_id=claim_id, text=text, claim_text=claim_text, tokenizer=tokenizer, k=k,
+                order_by=order_by, per=per, word=word, vec=vec, word_key=word_key)
+    blocks = _claim_blocks(claims, vectors, claim_id, claim_text, tokenizer, word, vec, word_key)
+    out = _softmatch_block(posts, blocks[0], vectors, **args)
+    for b in blocks[1:]:
+        out = out.unionByName(_softmatch_block(posts, b, vectors, **args))
+    if len(blocks) == 1 or per != "post":
+        return out
+    # rounded as inside a task, so that blocks and ties rank alike
+    return top_k(out.drop("rank"), post_id, [F.round(score_key(order_by), 9).desc(), F.col(claim_id).asc()], k, "rank")
+
+
+def _softmatch_block(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *, post_id: str, claim_id: str, text: str,
+                     claim_text: str, tokenizer, k: int, order_by: str, per: str, word: str, vec: str,
+                     word_key) -> DataFrame:
+    """:func:`token_softmatch_top_k` for one block of claims."""
     spark = posts.sparkSession
     ptype = posts.schema[post_id].dataType.simpleString()
     ctype = claims.schema[claim_id].dataType.simpleString()
@@ -295,8 +322,6 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
         index = spark.createDataFrame([(w, i) for i, w in enumerate(words)], f"word {wtype}, vidx int")
         ccdf = token_counts(claims, claim_id, claim_text, tokenizer, word_key) \
             .join(F.broadcast(index), "word").select("id", "vidx", "cnt")
-        if ccdf.count() * 24 > MAX_BROADCAST_BYTES:
-            raise ValueError("claim token table above the broadcast limit; split the claim set")
         cc = ccdf.toPandas().sort_values(["id", "vidx"])
         cv, loc = np.unique(cc["vidx"].to_numpy(), return_inverse=True)
         if n_vocab * max(len(cv), 1) * 8 <= VOCAB_PLAN_MAX_BYTES:

@@ -405,8 +405,12 @@ SELECT id, """ + ", ".join(f"coalesce(sources[{i + 1}], '') AS source_{i + 1}" f
 ORACLE["dataset_digest"] = "WITH " + CLAIMS + """,
 l AS (SELECT id, unnest(pos_variations) AS line, generate_subscripts(pos_variations, 1) AS var_idx FROM claims),
 p AS (SELECT line, row_number() OVER (ORDER BY id, var_idx) AS pos FROM l),
-b AS (SELECT (pos - 1) // 16 AS bucket, md5(string_agg(md5(line), '' ORDER BY pos)) AS h, count(*) AS n FROM p GROUP BY 1)
-SELECT md5(string_agg(h, '' ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS n_lines FROM b"""
+b0 AS (SELECT (pos - 1) // 16 AS bucket, md5(string_agg(md5(line), '' ORDER BY pos)) AS h FROM p GROUP BY 1),
+""" + ",\n".join(f"""c{i} AS (SELECT count(*) > 16 AS more FROM b{i}),
+b{i + 1} AS (SELECT CASE WHEN more THEN bucket // 16 ELSE bucket END AS bucket,
+   CASE WHEN any_value(more) THEN md5(string_agg(h, '' ORDER BY b{i}.bucket)) ELSE any_value(h) END AS h
+   FROM b{i}, c{i} GROUP BY 1)""" for i in range(6)) + """
+SELECT md5(string_agg(h, '' ORDER BY bucket)) AS digest, (SELECT count(*) FROM p) AS n_lines FROM b6"""
 
 ORACLE["config_overlay"] = """WITH d AS (
   SELECT n_nationkey AS entity, 'name' AS key, n_name AS value FROM nation
@@ -591,15 +595,19 @@ SELECT CAST(sum(n) AS BIGINT) AS n_examples, count(*) AS n_batches, round(sum(ac
   round(avg(acc), 6) AS batch_mean_accuracy FROM bt"""
 
 ORACLE["retriever_training_set"] = f"""WITH
-pool AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5(concat_ws('|', 'dpr', CAST(doc_id AS VARCHAR))), doc_id) AS p
-         FROM documents WHERE length(text) > 0),
+pool AS (SELECT doc_id, text, source, row_number() OVER (ORDER BY md5(concat_ws('|', 'dpr', source)),
+           md5(concat_ws('|', 'dpr', CAST(doc_id AS VARCHAR))), doc_id) AS p FROM documents WHERE length(text) > 0),
 np AS (SELECT count(*) AS n FROM pool),
-sz AS (SELECT source AS question, CAST(floor(count(*) * 0.5) AS BIGINT) AS neg_size FROM documents GROUP BY source),
-w AS (SELECT question, ('0x' || substr(md5(concat_ws('|', 'dpr', question)), 1, 8))::BIGINT % (SELECT n FROM np) AS o,
-        unnest(range(neg_size)) AS ctx_idx FROM sz WHERE neg_size > 0)
+own AS (SELECT source, min(p) AS first, count(*) AS own FROM pool GROUP BY source),
+sz AS (SELECT d.source AS question, CAST(floor(count(*) * 0.5) AS BIGINT) AS neg_size,
+         (SELECT n FROM np) - coalesce(any_value(own), 0) AS others, coalesce(any_value(first) - 1 + any_value(own), 0) AS after
+       FROM documents d LEFT JOIN own ON own.source = d.source GROUP BY d.source),
+w AS (SELECT question, others, after, ('0x' || substr(md5(concat_ws('|', 'dpr', question)), 1, 8))::BIGINT % others AS o,
+        unnest(range(neg_size)) AS ctx_idx FROM sz WHERE neg_size > 0 AND others > 0)
 SELECT source AS question, 'positive' AS kind, CAST(-1 AS BIGINT) AS ctx_idx, doc_id AS ctx_id, text FROM documents
 UNION ALL
-SELECT w.question, 'negative', w.ctx_idx, pool.doc_id, pool.text FROM w JOIN pool ON pool.p = (w.o + w.ctx_idx) % (SELECT n FROM np) + 1"""
+SELECT w.question, 'negative', w.ctx_idx, pool.doc_id, pool.text FROM w JOIN pool ON pool.p =
+  (w.after + (w.o + w.ctx_idx * CASE WHEN w.others % 1000003 = 0 THEN 1 ELSE 1000003 END) % w.others) % (SELECT n FROM np) + 1"""
 
 ORACLE["seeded_split"] = """SELECT doc_id, (pos - 1) % 4 AS worker, (pos - 1) // 4 AS local_idx FROM (
   SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', 'split', CAST(doc_id AS VARCHAR))), doc_id) AS pos FROM documents)"""

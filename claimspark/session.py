@@ -72,6 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{os.urandom(6).hex()}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder exists, asked of its own file system; a
+    storage error rises instead of looking like a missing table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cleanup_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when its results are
     written; tables that a lazy result still reads must stay until then)."""

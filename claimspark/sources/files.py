@@ -116,13 +116,6 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
             .select(parts[0].alias("word"), F.slice(parts, 2, F.size(parts) - 1).cast("array<float>").alias("vec")))
 
 
-def read_wiki_dir(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-12: wiki dump JSONL (id, lines) -> (page, line, sentence)."""
-    w = spark.read.schema("id string, lines string").json(path)
-    return (w.select(F.col("id").alias("page"), F.posexplode(F.split(fever_unescape(F.col("lines")), "\n")).alias("line", "raw"))
-             .select("page", "line", drop_line_number(F.col("raw")).alias("sentence")))
-
-
 def read_fever_claims(spark: SparkSession, path: str) -> DataFrame:
     """SRC-13: FEVER claims with nested evidence."""
     return spark.read.schema(FEVER_SCHEMA).json(path)

@@ -34,14 +34,11 @@ def append_if_new(table_path: str, new_rows: DataFrame, key: list[str]) -> DataF
     the rows appended (existence check is one anti join, JOIN-06)."""
     spark = new_rows.sparkSession
     from claimspark.operators.ingest import anti_join_stored
-    try:
-        stored = spark.read.parquet(table_path)
-    except Exception:  # noqa: BLE001 -- first write: no table yet
-        stored = None
-    fresh = new_rows if stored is None else anti_join_stored(new_rows, stored, key)
+    from claimspark.session import checkpoint_dir, path_exists
+    first = not path_exists(spark, table_path)
+    fresh = new_rows if first else anti_join_stored(new_rows, spark.read.parquet(table_path), key)
     # materialise the anti join once (reliable checkpoint in the shared
     # folder) so the rows returned are exactly the rows appended
-    from claimspark.session import checkpoint_dir
     checkpoint_dir(spark)
     fresh = fresh.checkpoint(eager=True)
     fresh.write.mode("append").parquet(table_path)

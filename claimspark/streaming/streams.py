@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.operators.ingest import anti_join_stored, first_per_key
-from claimspark.session import checkpoint_dir, scratch_path
+from claimspark.session import checkpoint_dir, path_exists, scratch_path
 
 
 def stage_files(df: DataFrame, path: str, n_files: int) -> str:
@@ -58,12 +58,8 @@ def dedup_forever(stream: DataFrame, table: str, keys: list[str], order: str, ch
 
     def each(batch: DataFrame, batch_id: int):
         firsts = first_per_key(batch, keys, order)
-        try:
-            stored = batch.sparkSession.read.parquet(table)
-        except Exception:  # noqa: BLE001 -- empty table before the first write
-            stored = None
-        if stored is not None:
-            firsts = anti_join_stored(firsts, stored, keys)
+        if path_exists(batch.sparkSession, table):
+            firsts = anti_join_stored(firsts, batch.sparkSession.read.parquet(table), keys)
         firsts.write.mode("append").parquet(table)
     return _run(stream.writeStream.foreachBatch(each), checkpoint)
 

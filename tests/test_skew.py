@@ -36,5 +36,6 @@ def test_hot_question_negatives_are_chunked(spark):
     assert "hashpartitioning(question" in p  # chunk list spread before the inner explode
     negs = out.filter(F.col("kind") == "negative")
     assert negs.filter(F.col("question") == "hot").count() == 200_000
-    # the slots cycle over the whole pool
-    assert negs.filter(F.col("question") == "hot").select("ctx_id").distinct().count() == 300
+    # the slots cycle over all contexts of the other question, and only those
+    assert negs.filter(F.col("question") == "hot").select("ctx_id").distinct().count() == 100
+    assert negs.join(ctx, negs["ctx_id"] == ctx["id"]).filter("q = question").count() == 0
