@@ -2,15 +2,17 @@
 
 A word is the bag of its character 3- to 5-grams (with word borders) and of
 the whole word, hashed to ``buckets``; its vector is the mean of their
-vectors.  A text is the mean of its word vectors, followed by a linear
-softmax over the two classes.  Vectors and softmax are trained jointly in
+vectors.  A text is the mean of its word vectors and of ``PAD_WORDS`` zero
+vectors, so that one odd word of a short text does not decide alone, followed
+by a linear softmax over the two classes.  Vectors and softmax are trained jointly in
 numpy (Adam on minibatches), so an unseen misspelling shares the vectors of
 the n-grams it keeps.
 
 Training data are bounded: at most ``max_pos`` toxic and ``max_neg`` other
 labelled documents of at most ``max_chars`` characters, drawn by a hash of
 the id at a rate set by the label counts.  Classes drawn at different rates
-are weighted back to their share.  Only documents
+are weighted back to their share, and toxic documents then count
+``TOXIC_WEIGHT`` times.  Only documents
 whose CRC-32 of the id modulo 5 is not 0 are learnt from; label, language,
 source and id are never inputs of the score.  Scoring reads every whole
 text: the model is linear after the means, so it is broadcast as one number
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 FOLDS = 5
+PAD_WORDS, TOXIC_WEIGHT = 30, 2.0
 
 
 def fold(doc_id: Column) -> Column:
@@ -97,10 +100,10 @@ class _Bag:
         self.n_words = len(index)
         self.at, self.of = (a.astype(np.int32) for a in subwords(list(index), buckets))
         self.per_word = 1.0 / np.maximum(np.bincount(self.at, minlength=self.n_words), 1)
-        self.per_text = 1.0 / np.maximum(self.lengths, 1)
+        self.per_text = 1.0 / (self.lengths + PAD_WORDS)
 
     def means(self, value: np.ndarray) -> np.ndarray:
-        """Per text the mean over words of the mean over subwords."""
+        """Per text the padded mean over words of the mean over subwords."""
         words = np.bincount(self.at, value[self.of], self.n_words) * self.per_word
         return np.bincount(self.text, words[self.word], self.n) * self.per_text
 
@@ -120,11 +123,12 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, dim: int = 8,
-          epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 0.01,
-          eps: float = 3e-4, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, dim: int = 4,
+          epochs: int = 14, batch: int = 64, least_steps: int = 1200, rate: float = 0.1, decay: float = 0.01,
+          eps: float = 5e-5, seed: int = 7) -> Model:
     """Joint training of bucket vectors and the linear softmax.  ``eps``
-    keeps n-grams of few texts from moving as far as frequent ones."""
+    keeps n-grams of few texts from moving as far as frequent ones; few texts
+    are gone over more often, until ``least_steps`` steps are made."""
     share = float((labels * weights).sum() / max(weights.sum(), 1e-9))
     if not 0 < share < 1:
         return Model(np.zeros(buckets), 60.0 if share >= 1 else -60.0)
@@ -138,7 +142,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: in
     cuts = [order[i:i + batch] for i in range(0, len(order), batch)]
     bags = [_Bag([text_words(texts[i]) for i in rows], buckets) for rows in cuts]
     step = 0
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // len(cuts)))):
         for b in rng.permutation(len(cuts)):
             rows, bag = cuts[b], bags[b]
             hidden = np.stack([bag.means(vectors[d]) for d in range(dim)], axis=1)
@@ -177,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1700, max_neg: int =
         return Model(np.zeros(1), float(z))
     y = rows["toxic"].to_numpy().astype(np.int64)
     drawn = np.bincount(y, minlength=2)
-    weights = np.array([counts[0] / drawn[0], counts[1] / drawn[1]])[y]
+    weights = np.array([counts[0] / drawn[0], TOXIC_WEIGHT * counts[1] / drawn[1]])[y]
     return train(rows["text"].tolist(), y, weights)
 
 
