@@ -103,9 +103,12 @@ def test_shared_passages_are_found(spark, docs, empty):
     table = [(100, f"{prose(rng, 50)} {' '.join(passage)} {prose(rng, 40)}"),
              (200, f"{prose(rng, 10)} {' '.join(passage).upper()}"), (300, f"{' '.join(fuzzy)} {prose(rng, 90)}"),
              (400, prose(rng, 200)), (500, repeated), (600, prose(rng, 30) + " " + repeated)]
+    # short lines repeated have a single distinct minimizer
+    table += [(700, "tick tock " * 40), (800, prose(rng, 20) + " tick tock" * 45),
+              (900, prose(rng, 15) + "\n" + "one line of six words here\n" * 12), (950, "one line of six words here\n" * 20)]
     found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
     pairs = {(r.doc_id, r.other_id) for r in found}
-    assert pairs == {(200, 100), (300, 100), (600, 500)}
+    assert pairs == {(200, 100), (300, 100), (600, 500), (800, 700), (950, 900)}
     texts = {i: lower(t).split() for i, t in table}
     for r in found:
         a, b = texts[r.doc_id][r.start:r.end], texts[r.other_id][r.other_start:r.other_end]
@@ -308,8 +311,8 @@ def test_simhash_groups(spark, docs, empty):
     assert simhash_tiles.near_duplicates(empty).count() == 0 and simhash_tiles.keep_one_per_group(empty).count() == 0
 
 
-@pytest.mark.parametrize("tile_rows", [3, 8192])
-def test_tiles_find_every_link(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows,blocks", [(3, 4), (8192, 4), (3, 8)])
+def test_tiles_find_every_link(spark, tile_rows, blocks):
     rng = random.Random(7)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for p in prints[:100]:
@@ -319,7 +322,7 @@ def test_tiles_find_every_link(spark, tile_rows):
             prints.append(p)
     prints = sorted(set(prints + [0, 1, 3, (1 << 64) - 1]))
     fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint").repartition(3)
-    edges = simhash_tiles.near_edges(fps, 2, tile_rows=tile_rows)
+    edges = simhash_tiles.near_edges(fps, 2, blocks, tile_rows)
     groups = {r.node % (1 << 64): r.component % (1 << 64) for r in connected_components(edges).collect()}
     want = brute_components([(i, p) for i, p in enumerate(prints)])
     ours, theirs = {}, {}
