@@ -157,20 +157,39 @@ def newest_groups(df: DataFrame, group_col: Column, m: int, name: str = "grp") -
     return g.join(F.broadcast(top), name)
 
 
-def html_cards(pages: DataFrame, *, id_col: str = "page_id", html: str = "html", url: str = "url",
-               card_tag: str = "article", title_tag: str = "h1", origin: str = "fact-check-cards") -> DataFrame:
-    """PRJ-07 / TRN-07: every ``<article>`` card -> claim record: page id,
-    link, whitespace-normalised title text (FN-05), status = first word of
-    the title without its last character (FN-09), constant origin."""
-    cards = pages.select(F.col(id_col).alias("id"), F.col(url).alias("href"),
-                         F.posexplode(F.regexp_extract_all(F.col(html), F.lit(f"(?s)<{card_tag}[^>]*>(.*?)</{card_tag}>"), 1))
-                         .alias("card_idx", "card"))
-    title = collapse_ws(F.regexp_replace(F.regexp_extract(F.col("card"), f"(?s)<{title_tag}[^>]*>(.*?)</{title_tag}>", 1),
-                                         "<[^>]*>", ""))
-    return (cards.withColumn("claim", title)
-                 .withColumn("status", drop_last_char(F.split(F.col("claim"), " ")[0]))
-                 .select("id", F.col("card_idx").cast("bigint"), "href", "claim", "status",
-                         F.lit(origin).alias("origin")))
+def _unescaped(c: Column) -> Column:
+    """The five predefined character references of HTML."""
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(mark))
+    return c
+
+
+def _attribute(attrs: str, name: str) -> Column:
+    return _unescaped(F.regexp_extract(attrs, rf"""(?:^|\s){name}\s*=\s*["']([^"']*)["']""", 1))
+
+
+def html_cards(pages: DataFrame, *, html: str = "html", origin: str = "fact-check-cards") -> DataFrame:
+    """PRJ-07 / TRN-07: every ``<article>`` card -> claim record: the card's
+    id attribute, the link of its heading (``header h2 a``), the heading's
+    first string without its last character as status (FN-09), the strings
+    after it with white space normalised (FN-05) as claim, constant origin.
+    A heading of one string is a claim without a status (null); a card
+    without a heading link has an empty id, link and claim where they are
+    missing."""
+    body = r"(?s)<article\b([^>]*)>(.*?)</article>"
+    link = r"(?s)<header\b.*?<h2\b.*?<a\b([^>]*)>(.*?)</a>"
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(body), 1).alias("attrs"),
+                         F.regexp_extract_all(html, F.lit(body), 2).alias("card"))
+    cards = (pages.select(F.posexplode(found).alias("card_idx", "c"))
+             .select("card_idx", "c.attrs", F.regexp_extract("c.card", link, 1).alias("link"),
+                     F.filter(F.split(F.regexp_extract("c.card", link, 2), "<[^>]*>"), lambda s: s != "").alias("strings")))
+    both = F.size("strings") > 1
+    claim = F.when(both, F.array_join(F.slice("strings", 2, F.greatest(F.size("strings") - 1, F.lit(0))), "")) \
+        .otherwise(F.array_join("strings", ""))
+    return cards.select(_attribute("attrs", "id").alias("id"), F.col("card_idx").cast("bigint"),
+                        _attribute("link", "href").alias("href"), collapse_ws(_unescaped(claim)).alias("claim"),
+                        F.when(both, drop_last_char(_unescaped(F.get("strings", 0)))).alias("status"),
+                        F.lit(origin).alias("origin"))
 
 
 def ordered_digest(lines: DataFrame, order: list[str], text: str, bucket_rows: int = 1024) -> DataFrame:

@@ -38,6 +38,13 @@ def _size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
+def _features_once(train: DataFrame, features: str, label: str) -> tuple[DataFrame, int]:
+    """Features and labels, computed once at the input's width, and their
+    number; only what the optimiser reads is coalesced afterwards."""
+    sel = train.select(features, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    return sel, sel.count()
+
+
 def _clean(df: DataFrame, sides) -> DataFrame:
     """FN-04 accent stripping before tokenisation (JVM-side translate)."""
     for s in sides:
@@ -52,6 +59,30 @@ def vocabulary_size(df: DataFrame, terms: str, min_df: int) -> int:
     return max(1, df_of.where(F.col("count") >= min_df).count())
 
 
+def _term_stages(side: str) -> list:
+    """Uni- and bigrams of a cleaned text column."""
+    return [
+        RegexTokenizer(inputCol=f"{side}_clean", outputCol=f"{side}_uni", pattern=WORD_PATTERN, gaps=False,
+                       toLowercase=True, minTokenLength=1),
+        NGram(n=2, inputCol=f"{side}_uni", outputCol=f"{side}_bi"),
+        SQLTransformer(statement=f"SELECT *, concat({side}_uni, {side}_bi) AS {side}_terms FROM __THIS__"),
+    ]
+
+
+def bow_vocabulary(train: DataFrame, *, sides=("sentence1", "sentence2"), min_df: int = 2) -> DataFrame:
+    """STN-01's vocabularies as a table (side, term, df, idf): every term in
+    at least ``min_df`` rows, idf = ln((n + 1) / (df + 1)) + 1."""
+    data = _clean(train, sides)
+    n = data.count()
+    out = None
+    for s in sides:
+        terms = PipelineModel(stages=_term_stages(s)).transform(data).select(F.explode(F.array_distinct(f"{s}_terms")).alias("term"))
+        one = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df) \
+            .select(F.lit(s).alias("side"), "term", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), label: str = "label",
                      C: float = 1.0, max_iter: int = 100, min_df: int = 2) -> PipelineModel:
     """STN-01: one ``PipelineModel`` with both vectorisers and the
@@ -60,12 +91,7 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
     n = data.count()
     stages, fitted = [], []
     for s in sides:
-        terms = [
-            RegexTokenizer(inputCol=f"{s}_clean", outputCol=f"{s}_uni", pattern=WORD_PATTERN, gaps=False,
-                           toLowercase=True, minTokenLength=1),
-            NGram(n=2, inputCol=f"{s}_uni", outputCol=f"{s}_bi"),
-            SQLTransformer(statement=f"SELECT *, concat({s}_uni, {s}_bi) AS {s}_terms FROM __THIS__"),
-        ]
+        terms = _term_stages(s)
         stages += [
             *terms,
             CountVectorizer(inputCol=f"{s}_terms", outputCol=f"{s}_tf", minDF=float(min_df),
@@ -82,10 +108,11 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
             fitted.append(Normalizer(p=2.0, inputCol=f"{side}_tfidf", outputCol=f"{side}_vec"))
     fitted.append(VectorAssembler(inputCols=[f"{s}_vec" for s in sides], outputCol="features"))
     feats = PipelineModel(stages=fitted).transform(data).select("features", F.col(label).cast("double").alias("label"))
-    feats = _size_partitions(feats, n).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    feats.count()  # at the input's width, before the optimiser's coalesce
     lr = LogisticRegression(family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
                             maxIter=max_iter, standardization=False, featuresCol="features", labelCol="label")
-    model = lr.fit(feats)
+    model = lr.fit(_size_partitions(feats, n))
     feats.unpersist()
     data.unpersist()
     return _WithClean(sides, PipelineModel(stages=fitted + [model]))
@@ -115,13 +142,12 @@ def fit_vector_logistic(train: DataFrame, *, features: str = "features", label:
                         C: float = 1.0, max_iter: int = 100):
     """STN-03 / STN-04 (trained): logistic regression on a dense feature
     vector column (e.g. both averaged word vectors)."""
-    sel = train.select(features, F.col(label).cast("double").alias("label"))
-    n = sel.count()
-    data = _size_partitions(sel, n).persist(StorageLevel.MEMORY_AND_DISK)
+    sel, n = _features_once(train, features, label)
+    data = _size_partitions(sel, n)
     m = LogisticRegression(family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
                            maxIter=max_iter, standardization=False, featuresCol=features,
                            labelCol="label").fit(data)
-    data.unpersist()
+    sel.unpersist()
     return m
 
 
@@ -129,12 +155,12 @@ def fit_mlp(train: DataFrame, *, features: str = "features", label: str = "label
             max_iter: int = 50, seed: int = 42):
     """STN-05: multilayer perceptron pair classifier (MLlib's hidden layers
     are sigmoid; the reference's recurrent encoder is not built)."""
-    n_in = len(train.select(features).first()[0])
-    sel = train.select(features, F.col(label).cast("double").alias("label"))
-    data = _size_partitions(sel, sel.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    sel, n = _features_once(train, features, label)
+    n_in = len(sel.first()[0])
+    data = _size_partitions(sel, n)
     m = MultilayerPerceptronClassifier(layers=[n_in, *hidden, 3], maxIter=max_iter, seed=seed,
                                        featuresCol=features, labelCol="label").fit(data)
-    data.unpersist()
+    sel.unpersist()
     return m
 
 

@@ -213,6 +213,31 @@ def retriever_set(contexts: DataFrame, *, question: str, ctx_id: str, text: str,
     return pos.unionByName(neg)
 
 
+def retriever_records(rows: DataFrame, texts: DataFrame, *, ctx_id: str, text: str, max_ctxs: int = 1000) -> DataFrame:
+    """SNK-08 / AGG-02: the long form of :func:`retriever_set` as training
+    records (question, record, answers, positive_ctxs, negative_ctxs,
+    hard_negative_ctxs) with contexts {title, text, id}.  A record holds at
+    most ``max_ctxs`` contexts, positives first, so a question with a third of
+    all rows becomes many bounded records.  Only ids are numbered; ``texts``
+    (ctx_id, text) are joined to the numbered rows."""
+    keys = rows.select("question", (F.col("kind") != "positive").cast("int").alias("neg"), "ctx_idx", "ctx_id")
+    pos = dense_ids(keys, ["question", "neg", "ctx_idx", "ctx_id"], 0, "p")
+    first = pos.groupBy(F.col("question").alias("q")).agg(F.min("p").alias("first"))
+    full = (pos.join(first, pos["question"].eqNullSafe(first["q"]))
+            .join(texts.select(F.col(ctx_id).alias("ctx_id"), F.col(text).alias("text")), "ctx_id"))
+
+    def side(neg: int) -> Column:
+        ctx = F.struct("p", F.lit(None).cast("string").alias("title"), "text", F.col("ctx_id").alias("id"))
+        listed = F.array_sort(F.collect_list(F.when(F.col("neg") == neg, ctx)))
+        return F.transform(listed, lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text"), c["id"].alias("id")))
+
+    none = F.array().cast("array<struct<title:string,text:string,id:bigint>>")
+    return (full.groupBy("question", F.expr(f"(p - first) div {max_ctxs}").alias("record"))
+            .agg(side(0).alias("positive_ctxs"), side(1).alias("negative_ctxs"))
+            .select("question", "record", F.array().cast("array<string>").alias("answers"), "positive_ctxs",
+                    "negative_ctxs", none.alias("hard_negative_ctxs")))
+
+
 def seeded_split(df: DataFrame, id_col: str, world_size: int, seed: str = "split") -> DataFrame:
     """TRN-06: seeded shuffle, then worker r takes positions r, r+w, r+2w..
     (the distributed-sampler layout); positions from :func:`dense_ids`."""

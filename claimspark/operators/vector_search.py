@@ -8,24 +8,28 @@ broadcast variable; the large side (posts) is streamed through
 block of posts against the catalogue and only the best ``k`` claims per post
 leave the task.  No post x claim rows are ever materialised (JOIN-04 as a
 block product).  The pair scorer (UDF-02) is either a Column expression
-(``functions.vectors``) or such a block scorer.  A catalogue
-above the size limit is processed in bounded chunks whose per-chunk top-k are
-merged by a window.
+(``functions.vectors``) or a block scorer passed in.  Scores are formed in
+tiles of at most ``TILE_BYTES`` with a running top-k, so a task's memory does
+not grow with the catalogue.  A catalogue above the broadcast limit never
+passes through the driver: both sides are cut into blocks that Spark cogroups,
+and the per-block top-k are merged by a window.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.functions.text import glove_tokens, hash_mod
+from claimspark.functions.text import glove_tokens
 from claimspark.operators.common import by_key, score_key, top_k
 
 # Catalogue bytes (rows x dim x 8) shipped in one broadcast; larger
@@ -34,6 +38,8 @@ MAX_BROADCAST_BYTES = 256 << 20
 # Vocabulary plans (whole word-vector table, vocabulary x claim-vector
 # similarity) are used only under this size.
 VOCAB_PLAN_MAX_BYTES = 256 << 20
+# Scores a task forms at once, and each side of a cogrouped block.
+TILE_BYTES = 64 << 20
 
 
 # ----------------------------------------------------------------- averages
@@ -65,9 +71,31 @@ def _collect_vocab(vectors: DataFrame, word: str, vec: str):
     return pdf[word].tolist(), mat
 
 
+@dataclass
+class Vocab:
+    """A word-vector table that fits one broadcast: the matrix and each
+    word's row in it."""
+    matrix: Broadcast
+    index: DataFrame
+    dim: int
+
+
+def load_vocab(vectors: DataFrame, word: str = "word", vec: str = "vec") -> Vocab | None:
+    """The table as a broadcast, made once for several texts or for a whole
+    stream; None above the size limit."""
+    n, d = _vocab_size(vectors, vec)
+    if n * d * 8 > VOCAB_PLAN_MAX_BYTES:
+        return None
+    spark = vectors.sparkSession
+    words, mat = _collect_vocab(vectors, word, vec)
+    index = spark.createDataFrame([(w, i) for i, w in enumerate(words)],
+                                  f"word {vectors.schema[word].dataType.simpleString()}, vidx int")
+    return Vocab(spark.sparkContext.broadcast(mat), index, d)
+
+
 def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str = "text",
                     tokenizer=glove_tokens, word: str = "word", vec: str = "vec",
-                    word_key=None) -> DataFrame:
+                    word_key=None, vocab: Vocab | None = None) -> DataFrame:
     """RET-02 encoder (AGG-09 + JOIN-10): element-wise mean of the vectors
     of the in-vocabulary tokens (out-of-vocabulary tokens dropped); a text
     without any known token gets the zero vector.
@@ -77,19 +105,16 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
     averaged per text with one matrix product per Arrow batch.  A larger
     vocabulary is joined by Spark (shuffle join) and averaged JVM-side with
     MLlib's ``Summarizer`` (weighted mean, map-side partial aggregation).
+    ``vocab`` is a table already loaded by :func:`load_vocab`.
     """
-    spark = df.sparkSession
-    n, d = _vocab_size(vectors, vec)
     idtype = df.schema[id_col].dataType.simpleString()
-    if n * d * 8 <= VOCAB_PLAN_MAX_BYTES:
+    vocab = vocab or load_vocab(vectors, word, vec)
+    if vocab:
         # every text keeps a row (explode_outer + left join to the broadcast
         # index), so texts without known tokens need no join back: one
         # exchange (texts by id) for the whole encoder
         counts = token_counts(df, id_col, text, tokenizer, word_key, keep_empty=True)
-        words, mat = _collect_vocab(vectors, word, vec)
-        bc = spark.sparkContext.broadcast(mat)
-        index = spark.createDataFrame([(w, i) for i, w in enumerate(words)],
-                                      f"word {vectors.schema[word].dataType.simpleString()}, vidx int")
+        bc, index, d = vocab.matrix, vocab.index, vocab.dim
         known = F.filter(F.collect_list(F.struct("vidx", "cnt")), lambda s_: s_["vidx"].isNotNull())
         groups = (counts.join(F.broadcast(index), "word", "left")
                   .groupBy("id").agg(known.alias("k"))
@@ -105,6 +130,7 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
                     out.append((w @ m[np.asarray(vi, dtype=np.int64)]) / w.sum() if len(w) else np.zeros(d))
                 yield pd.DataFrame({"id": pdf["id"], "vec": out})
         return groups.mapInPandas(mean_blocks, f"id {idtype}, vec array<double>").withColumnRenamed("id", id_col)
+    _, d = _vocab_size(vectors, vec)
     counts = token_counts(df, id_col, text, tokenizer, word_key)
     v = vectors.select(F.col(word).alias("word"), array_to_vector(F.col(vec)).alias("v"))
     means = (counts.join(v, "word")
@@ -116,23 +142,18 @@ def wordvec_average(df: DataFrame, vectors: DataFrame, *, id_col: str, text: str
 
 
 # ------------------------------------------------------------- catalogue io
-def _catalogue_chunks(cat: DataFrame, c_id: str, vec: str) -> list[DataFrame]:
-    """Split the catalogue so each piece fits one broadcast (size-checked)."""
-    stats = cat.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    n_chunks = max(1, -(-(n * max(d, 1) * 8) // MAX_BROADCAST_BYTES))
-    if n_chunks == 1:
-        return [cat]
-    return [cat.filter(hash_mod(F.col(c_id), n_chunks) == i) for i in range(n_chunks)]
-
-
-def _collect_matrix(cat: DataFrame, c_id: str, vec: str):
-    pdf = cat.select(c_id, vec).toPandas()
-    if pdf[vec].map(len).nunique() > 1:
-        raise ValueError("Embedding dimensions must match")  # FN-20
-    ids = pdf[c_id].to_numpy()
-    mat = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[vec]]) if len(pdf) else np.zeros((0, 0))
-    return ids, mat
+def _matrix(rows, dim: int | None = None) -> np.ndarray:
+    """Vectors as rows of one matrix; unequal dimensions are an error (FN-20)."""
+    rows = [np.asarray(x, dtype=np.float64) for x in rows]
+    if len({len(r) for r in rows} | ({dim} if dim is not None else set())) > 1:
+        raise ValueError("Embedding dimensions must match")
+    return np.stack(rows) if rows else np.zeros((0, dim or 0))
+
+
+def _sorted_catalogue(pdf: pd.DataFrame, c_id: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) in id order, so that a lower place wins a tie."""
+    pdf = pdf.sort_values(c_id, ignore_index=True)
+    return pdf[c_id].to_numpy(), _matrix(pdf[vec])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -157,55 +178,101 @@ def _row_topk(scores: np.ndarray, ids: np.ndarray, k: int):
 
 
 # ------------------------------------------------------------ cosine top-k
+def cosine_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosine of every row pair; zero vectors score 0 (Q15)."""
+    return _unit(q) @ _unit(c).T
+
+
+def _block_top_k(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, scorer,
+                 exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, catalogue place, score) of the best ``k`` per query in
+    rank order.  Scores exist one tile at a time, with a running top-k."""
+    cols = max(1, min(len(c), TILE_BYTES // (8 * 256)))
+    rows = max(1, TILE_BYTES // (8 * cols))
+    out = []
+    for i in range(0, len(q), rows):
+        part = q[i:i + rows]
+        best, at = np.empty((len(part), 0)), np.empty((len(part), 0), np.int64)
+        for j in range(0, len(c), cols):
+            s = scorer(part, c[j:j + cols])
+            s = np.where(np.isnan(s), -np.inf, s)  # an undefined score never wins (Q20)
+            if exclude_self:
+                s = np.where(qids[i:i + rows, None] == cids[None, j:j + cols], -np.inf, s)
+            pick = np.stack(_row_topk(s, np.arange(s.shape[1]), k))
+            best, at = np.hstack([best, np.take_along_axis(s, pick, 1)]), np.hstack([at, pick + j])
+            order = np.lexsort((at, -np.round(best, 9)), axis=1)[:, :k]
+            best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
+        y, x = np.nonzero(best > -np.inf)
+        out.append((y + i, at[y, x], best[y, x]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _ranked(qids: np.ndarray, cids: np.ndarray, found, names: list[str]) -> pd.DataFrame:
+    y, x, score = found
+    first = np.r_[True, y[1:] != y[:-1]] if len(y) else np.empty(0, bool)
+    place = np.arange(len(y))
+    rank = place - np.maximum.accumulate(np.where(first, place, 0)) + 1 if len(y) else place
+    return pd.DataFrame(dict(zip(names, (qids[y], cids[x], score, rank.astype(np.int64)))))
+
+
 def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: str,
-                 vec: str = "vec", k: int = 5, exclude_self: bool = False,
-                 rank_col: str = "rank") -> DataFrame:
+                 vec: str = "vec", k: int = 5, exclude_self: bool = False, rank_col: str = "rank",
+                 scorer: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosine_scores) -> DataFrame:
     """RET-03 / RET-02: the ``k`` catalogue rows most cosine-similar to each
     query row (zero vectors score 0, Q15).  ``exclude_self`` drops the pair
-    of a row with itself (kNN within one table)."""
+    of a row with itself (kNN within one table).  ``scorer`` may be any
+    function of two matrices that gives the score of every row pair (UDF-02);
+    undefined scores are left out."""
     spark = queries.sparkSession
     qtype = queries.schema[q_id].dataType.simpleString()
     ctype = catalogue.schema[c_id].dataType.simpleString()
-    schema = f"{q_id} {qtype}, {c_id} {ctype}, score double"
-    parts = []
-    for chunk in _catalogue_chunks(catalogue, c_id, vec):
-        ids, mat = _collect_matrix(chunk, c_id, vec)
-        if len(ids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((ids, _unit(mat)))
-
-        def score_blocks(batches, bc=bc):
-            cids, cm = bc.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                rows = [np.asarray(x, dtype=np.float64) for x in pdf[vec]]
-                if any(len(r) != cm.shape[1] for r in rows):
-                    raise ValueError("Embedding dimensions must match")  # FN-20, checked in the task
-                q = _unit(np.stack(rows))
-                s = q @ cm.T
-                if exclude_self:
-                    s = np.where(pdf[q_id].to_numpy()[:, None] == cids[None, :], -np.inf, s)
-                    kk = min(k, max(len(cids) - 1, 0))
-                else:
-                    kk = k
-                pick = _row_topk(s, cids, kk)
+    schema, names = f"{q_id} {qtype}, {c_id} {ctype}, score double, {rank_col} bigint", [q_id, c_id, "score", rank_col]
+    stats = catalogue.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    size = stats["n"] * max(stats["d"] or 0, 1) * 8
+    if size > MAX_BROADCAST_BYTES:
+        return _cogrouped_top_k(queries, catalogue, size, stats["d"], q_id, c_id, vec, k, exclude_self, rank_col,
+                                scorer, schema, names)
+    ids, mat = _sorted_catalogue(catalogue.select(c_id, vec).toPandas(), c_id, vec)
+    if not len(ids):
+        return spark.createDataFrame([], schema)
+    bc = spark.sparkContext.broadcast((ids, mat))
+
+    def score_blocks(batches):
+        cids, cm = bc.value
+        for pdf in batches:
+            if not pdf.empty:
                 qids = pdf[q_id].to_numpy()
-                rows_q = np.repeat(qids, [len(p) for p in pick])
-                sel = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
-                rows_i = np.repeat(np.arange(len(qids)), [len(p) for p in pick])
-                ranks = np.concatenate([np.arange(1, len(p) + 1) for p in pick]) if pick else np.zeros(0, dtype=int)
-                yield pd.DataFrame({q_id: rows_q, c_id: cids[sel], "score": s[rows_i, sel],
-                                    rank_col: ranks.astype(np.int64)})
-
-        parts.append(queries.select(q_id, vec).mapInPandas(score_blocks, f"{schema}, {rank_col} bigint"))
-    if len(parts) == 1:
-        # one catalogue chunk: every query row is ranked completely inside its task
-        return parts[0]
-    out = parts[0].drop(rank_col)
-    for p in parts[1:]:
-        out = out.unionByName(p.drop(rank_col))
-    return top_k(out, q_id, [score_key("score").desc(), F.col(c_id).asc()], k, rank_col)
+                yield _ranked(qids, cids, _block_top_k(qids, _matrix(pdf[vec], cm.shape[1]), cids, cm, k, scorer,
+                                                       exclude_self), names)
+
+    # every query row is ranked completely inside its task
+    return queries.select(q_id, vec).mapInPandas(score_blocks, schema)
+
+
+def _cogrouped_top_k(queries, catalogue, size, dim, q_id, c_id, vec, k, exclude_self, rank_col, scorer, schema, names):
+    """Both sides in blocks of about ``TILE_BYTES``; each pair of blocks is
+    one group, and a window merges the blocks' top-k."""
+    n_c = -(-size // TILE_BYTES)
+    n_q = -(-queries.count() * max(dim, 1) * 8 // TILE_BYTES) or 1
+
+    def cell(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = queries.select(F.col(q_id), F.col(vec), cell(q_id, n_q).alias("_a"), every(n_c).alias("_b"))
+    c = catalogue.select(F.col(c_id), F.col(vec), cell(c_id, n_c).alias("_b"), every(n_q).alias("_a"))
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        qids, (cids, cm) = left[q_id].to_numpy(), _sorted_catalogue(right, c_id, vec)
+        if not len(qids) or not len(cids):
+            return pd.DataFrame(columns=names)
+        return _ranked(qids, cids, _block_top_k(qids, _matrix(left[vec], cm.shape[1]), cids, cm, k, scorer,
+                                                exclude_self), names)
+
+    found = q.groupBy("_a", "_b").cogroup(c.groupBy("_a", "_b")).applyInPandas(block, schema)
+    return top_k(found.drop(rank_col), q_id, [score_key("score").desc(), F.col(c_id).asc()], k, rank_col)
 
 
 # ---------------------------------------------------------- soft matching
@@ -252,7 +319,8 @@ def _vocab_prep(bc):
     key, v, cv, loc, offs, ccnt, cids = bc.value
     if key not in _PREP_CACHE:
         simc = v @ v[cv].T
-        m = np.maximum.reduceat(simc[:, loc], offs, axis=1)
+        step = max(1, TILE_BYTES // (8 * max(1, len(loc))))
+        m = np.vstack([np.maximum.reduceat(simc[i:i + step][:, loc], offs, axis=1) for i in range(0, len(v), step)])
         _PREP_CACHE.clear()
         _PREP_CACHE[key] = (simc, m, loc, offs, ccnt, np.add.reduceat(ccnt, offs), cids)
     return _PREP_CACHE[key]
@@ -275,10 +343,10 @@ def token_softmatch_top_k(posts: DataFrame, claims: DataFrame, vectors: DataFram
     ``P = mean_x max_y x.y``, ``R = mean_y max_x x.y``, ``F1 = 2PR/(P+R)``;
     out-of-vocabulary tokens are dropped, a side without tokens gives no
     row.  ``per='post'`` keeps the best ``k`` claims of each post;
-    ``per='claim'`` keeps, inside each Arrow batch, the best ``k`` posts of
-    each claim (ties at the boundary kept) -- a distributed bounded heap --
-    and returns these candidates for a final window.  P, R and F1 are always
-    returned.
+    ``per='claim'`` keeps a running top ``k`` of posts per claim in each task
+    (ties at the boundary kept, undefined scores left out) and returns these
+    candidates for a final window; :func:`first_copies` keeps copies of one
+    text from tying without end.  P, R and F1 are always returned.
 
     Two plans, chosen by size checks:
 
@@ -324,7 +392,7 @@ def _softmatch_block(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *,
             .join(F.broadcast(index), "word").select("id", "vidx", "cnt")
         cc = ccdf.toPandas().sort_values(["id", "vidx"])
         cv, loc = np.unique(cc["vidx"].to_numpy(), return_inverse=True)
-        if n_vocab * max(len(cv), 1) * 8 <= VOCAB_PLAN_MAX_BYTES:
+        if n_vocab * max(len(cv), cc["id"].nunique(), 1) * 8 <= VOCAB_PLAN_MAX_BYTES:
             plan = "vocab"
             cids = cc["id"].drop_duplicates().to_numpy()
             offs = np.searchsorted(cc["id"].to_numpy(), cids)
@@ -359,37 +427,46 @@ def _softmatch_block(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *,
             def one(cnt, vecs):
                 w = np.asarray(cnt, dtype=np.float64)
                 x = _unit(np.asarray(vecs, dtype=np.float64).reshape(len(w), -1))
-                sim = x @ y.T
-                prec = (w @ np.maximum.reduceat(sim[:, widx_], offs_, axis=1)) / w.sum()
-                rec = np.add.reduceat(sim.max(axis=0)[widx_] * wcnt, offs_) / clen
+                step = max(1, TILE_BYTES // (8 * max(1, len(widx_))))
+                prec, nmax = np.zeros(len(cids_)), np.full(len(y), -np.inf)
+                for i in range(0, len(x), step):
+                    sim = x[i:i + step] @ y.T
+                    prec += w[i:i + step] @ np.maximum.reduceat(sim[:, widx_], offs_, axis=1)
+                    nmax = np.maximum(nmax, sim.max(axis=0))
+                prec /= w.sum()
+                rec = np.add.reduceat(nmax[widx_] * wcnt, offs_) / clen
                 return prec, rec
             return one, cids_, ("cnt", "vecs")
 
     def score(batches):
         one, cids_, cols = scorer_factory()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            res = [one(a, b) for a, b in zip(pdf[cols[0]], pdf[cols[1]])]
-            P = np.vstack([r[0] for r in res])
-            Rm = np.vstack([r[1] for r in res])
-            F1 = _f1(P, Rm)
-            key = {"f1": F1, "precision": P, "recall": Rm}[order_by]
-            key = np.where(np.isnan(key), -np.inf, key)
-            pids = pdf["id"].to_numpy()
-            if per == "post":
-                pick = _row_topk(key, cids_, k)
-                ri = np.repeat(np.arange(len(pids)), [len(x) for x in pick])
-                ci = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
-                rk = np.concatenate([np.arange(1, len(x) + 1) for x in pick]) if pick else np.zeros(0, dtype=int)
-            else:
-                r = np.round(key, 9)
-                kk = min(k, r.shape[0])
-                kth = -np.partition(-r, kk - 1, axis=0)[kk - 1, :]
-                ri, ci = np.nonzero(r >= kth[None, :])
-                rk = np.zeros(len(ri), dtype=int)
-            yield pd.DataFrame({post_id: pids[ri], claim_id: cids_[ci], "precision": P[ri, ci],
-                                "recall": Rm[ri, ci], "f1": F1[ri, ci], "rank": rk.astype(np.int64)})
+        step = max(1, TILE_BYTES // (48 * max(1, len(cids_))))  # six arrays of posts x claims
+        top = np.empty((0, len(cids_)))  # per='claim': the best k keys this task has seen
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                pdf = whole.iloc[at:at + step]
+                res = [one(a, b) for a, b in zip(pdf[cols[0]], pdf[cols[1]])]
+                P = np.vstack([r[0] for r in res])
+                Rm = np.vstack([r[1] for r in res])
+                F1 = _f1(P, Rm)
+                key = {"f1": F1, "precision": P, "recall": Rm}[order_by]
+                key = np.where(np.isnan(key), -np.inf, key)
+                pids = pdf["id"].to_numpy()
+                if per == "post":
+                    pick = _row_topk(key, cids_, k)
+                    ri = np.repeat(np.arange(len(pids)), [len(x) for x in pick])
+                    ci = np.concatenate(pick) if pick else np.zeros(0, dtype=int)
+                    rk = np.concatenate([np.arange(1, len(x) + 1) for x in pick]) if pick else np.zeros(0, dtype=int)
+                else:
+                    r = np.round(key, 9)
+                    top = np.concatenate([top, r])
+                    if len(top) > k:
+                        top = -np.partition(-top, k - 1, axis=0)[:k]
+                    bound = top.min(axis=0) if len(top) == k else np.full(len(cids_), -np.inf)
+                    ri, ci = np.nonzero((r >= bound) & (r > -np.inf))
+                    rk = np.zeros(len(ri), dtype=int)
+                yield pd.DataFrame({post_id: pids[ri], claim_id: cids_[ci], "precision": P[ri, ci],
+                                    "recall": Rm[ri, ci], "f1": F1[ri, ci], "rank": rk.astype(np.int64)})
 
     # per='post': each post is scored and ranked completely inside one task
     # (no window); per='claim': candidates for a window by claim
@@ -398,6 +475,15 @@ def _softmatch_block(posts: DataFrame, claims: DataFrame, vectors: DataFrame, *,
     return res if per == "post" else res.drop("rank")
 
 
+def first_copies(posts: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """The ``k`` smallest ids of each distinct text: copies tie in every
+    score, so no other copy can be among the best ``k`` when ties go by id.
+    Only digests and ids are shuffled for the choice, at most ``k`` per text
+    and partition."""
+    few = top_k(posts.select(id_col, F.md5(text).alias("_h")), "_h", [F.col(id_col).asc()], k, "_r")
+    return posts.join(few.select(id_col), id_col, "left_semi")
+
+
 # ------------------------------------------------------------ user encoder
 def encode_texts(df: DataFrame, text: str, encoder_factory, dim: int, out: str = "vec") -> DataFrame:
     """UDF-01: a user-supplied text encoder as an Iterator pandas UDF.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,9 +122,10 @@ def stance_report(spark, sf):
 def wordvec_cosine_top5(spark, sf):
     """RET-02: averaged word vectors (FN-01 tokens), cosine, top 5 claims."""
     wv, key = FX.word_vectors(spark, sf)
-    pm = VS.wordvec_average(FX.posts(spark, sf), wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    vocab = VS.load_vocab(wv)
+    pm = VS.wordvec_average(FX.posts(spark, sf), wv, id_col="input_id", tokenizer=glove_tokens, word_key=key, vocab=vocab)
     cm = VS.wordvec_average(FX.table(spark, sf, "benchmark"), wv, id_col="item_id", tokenizer=glove_tokens,
-                            word_key=key)
+                            word_key=key, vocab=vocab)
     top = VS.cosine_top_k(pm, cm, q_id="input_id", c_id="item_id", k=5)
     return top.select("input_id", F.col("item_id").alias("misinfo_id"),
                       F.round("score", 6).alias("confidence"), "rank")
@@ -138,6 +140,19 @@ def embedding_cosine_top5(spark, sf):
     return top.select("vec_id", "neighbor_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("user_scorer_top5")
+def user_scorer_top5(spark, sf):
+    """UDF-02: the search with a scorer of the caller's, here the negative L1
+    distance; the stated query set, ids divisible by 50, against all rows."""
+    def negative_l1(q, c):
+        return np.stack([-np.abs(c - row).sum(axis=1) for row in q])
+
+    e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    top = VS.cosine_top_k(e.where("vec_id % 50 = 0"), e.withColumnRenamed("vec_id", "neighbor_id"), q_id="vec_id",
+                          c_id="neighbor_id", k=5, exclude_self=True, scorer=negative_l1)
+    return top.select("vec_id", "neighbor_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("token_softmatch_prf")
 def token_softmatch_prf(spark, sf):
     """RET-04: soft precision / recall / F1 of whole posts against whole
@@ -197,11 +212,10 @@ def cross_entropy(spark, sf):
     (the semi join runs before any text is tokenised)."""
     g = FX.gold(spark, sf).select("input_id", "misinfo_id", "gold_label")
     posts = FX.posts(spark, sf).join(g.select("input_id").distinct(), "input_id", "left_semi")
-    index, cv = claim_side(spark, sf, persist=False)
+    index, cv, wv, key, vocab = claim_side(spark, sf, persist=False)
     best = R.top_claims(R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index),
                         post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
-    wv, key = FX.word_vectors(spark, sf)
-    pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key)
+    pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key, vocab=vocab)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
     out = ST.linear_softmax(ST.attach_vectors(best, pv, cv, n_claims=index.n), w, b, parts=STANCE_DIM_PARTS)
     e = out.join(g, ["input_id", "misinfo_id"])
@@ -245,19 +259,18 @@ def two_stage_label(spark, sf):
 def agree_disagree_for(spark, sf, posts, static=None):
     """STN-07 for any set of posts (a table or one micro-batch): best
     TF-IDF claim, threshold 0.4, [u, v, |u-v|] head, forced binary stance.
-    ``static`` = (tfidf index, claim vectors) built once for a stream.
+    ``static`` = the result of :func:`claim_side`, built once for a stream.
     Irrelevant posts keep their best claim for reference and take the n/a
     class code (2); the stance word is given for relevant posts only."""
-    index, cv = static or claim_side(spark, sf, persist=False)
+    index, cv, wv, key, vocab = static or claim_side(spark, sf, persist=False)
     scores = R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index)
     # one row per post, written to the shared checkpoint folder: the stance
     # encoder then reads only the posts that passed the threshold
     checkpoint_dir(spark)
     best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank").checkpoint(eager=True)
     relevant_ids = best.filter(ST.relevance(best, "score")).select("input_id")
-    wv, key = FX.word_vectors(spark, sf)
     pv = VS.wordvec_average(posts.join(relevant_ids, "input_id", "left_semi"), wv, id_col="input_id",
-                            tokenizer=glove_tokens, word_key=key)
+                            tokenizer=glove_tokens, word_key=key, vocab=vocab)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
     out = ST.agree_disagree(best, pv, cv, lambda j: ST.linear_softmax(j, w, b, parts=STANCE_DIM_PARTS),
                             n_claims=index.n)
@@ -266,13 +279,15 @@ def agree_disagree_for(spark, sf, posts, static=None):
 
 
 def claim_side(spark, sf, persist: bool):
-    """Static claim side of the stance pipeline: TF-IDF index and claim
-    vectors (RET-06), optionally cached for the lifetime of a stream."""
+    """Static side of the stance pipeline: TF-IDF index, claim vectors
+    (RET-06), word vectors with their key and broadcast, optionally cached for
+    the lifetime of a stream."""
     claims = FX.table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id")
     index = R.tfidf_index(claims, claim_id="misinfo_id", persist=persist)
     wv, key = FX.word_vectors(spark, sf)
-    cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key)
-    return index, (cv.cache() if persist else cv)
+    vocab = VS.load_vocab(wv)
+    cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key, vocab=vocab)
+    return index, (cv.cache() if persist else cv), wv, key, vocab
 
 
 @register("pipeline_agree_disagree")
@@ -514,7 +529,7 @@ def latest_months(spark, sf):
 @register("html_cards_to_claims")
 def html_cards_to_claims(spark, sf):
     """PRJ-07 / TRN-07: fact-check cards -> claim records."""
-    return IG.html_cards(FX.table(spark, sf, "pages"))
+    return IG.html_cards(FX.card_pages(spark, sf))
 
 
 @register("variant_columns_wide")
@@ -561,7 +576,8 @@ def topk_posts_per_claim(spark, sf):
     var = FX.variations(spark, sf)
     wv, key = FX.word_vectors(spark, sf)
     posts = FX.posts(spark, sf)
-    cand = VS.token_softmatch_top_k(posts, var, wv, post_id="input_id", claim_id="vid",
+    few = VS.first_copies(posts, "input_id", "text", 5)
+    cand = VS.token_softmatch_top_k(few, var, wv, post_id="input_id", claim_id="vid",
                                     claim_text="line", per="claim", k=5, word_key=key)
     # the tie rule needs the text of the (few) candidates only: broadcast them
     # (size-checked) against the posts, which are then read without a shuffle
@@ -575,6 +591,29 @@ def topk_posts_per_claim(spark, sf):
                        "input_id", "tweet", F.round("f1", 6).alias("score"), "rank"))
 
 
+@register("topk_csv_roundtrip")
+def topk_csv_roundtrip(spark, sf):
+    """SNK-03: the top posts per claim variation as the result CSV (id,
+    pos_variation, tweet, score), read back."""
+    base = scratch_path(spark, "topkcsv")
+    SK.write_csv(topk_posts_per_claim(spark, sf).select("id", "pos_variation", "tweet", "score"), base)
+    r = spark.read.schema("id long, pos_variation string, tweet string, score double") \
+        .option("header", "true").option("multiLine", "true").option("escape", '"').csv(base)
+    return r.select("id", F.md5("pos_variation").alias("variation_md5"), F.md5("tweet").alias("tweet_md5"), "score")
+
+
+@register("first_variation_best")
+def first_variation_best(spark, sf):
+    """RET-10, first-variation form: each claim stands for its first
+    variation; best claim per post by TF-IDF."""
+    first = R.explode_variations(FX.claims(spark, sf), id_col="id", first_only=True) \
+        .select(F.col("id").alias("item_id"), F.col("variation").alias("line"))
+    s = R.tfidf_cosine(FX.posts(spark, sf), first, post_id="input_id", claim_id="item_id", text="text", claim_text="line")
+    best = R.top_claims(s, post_id="input_id", claim_id="item_id", k=1)
+    return best.select("input_id", F.col("item_id").alias("misinfo_id"), F.lit(0).cast("bigint").alias("var_idx"),
+                       F.round("score", 6).alias("confidence"))
+
+
 @register("best_variation_per_claim")
 def best_variation_per_claim(spark, sf):
     """RET-10 + TOP-04: TF-IDF of every post against every variation; a
@@ -704,7 +743,7 @@ def jsonl_gz_roundtrip(spark, sf):
     base = scratch_path(spark, "jsonl")
     d = FX.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     SK.write_jsonl(d.select("doc_id", "text"), f"{base}/plain")
-    SK.write_gzip_jsonl(d, f"{base}/gz", max_records=100, partition_by="lang")
+    SK.write_gzip_jsonl(d, f"{base}/gz", partition_by="lang")
     gz = SR.read_jsonl_tree(spark, f"{base}/gz", "doc_id long, source string, text string")
     plain = spark.read.schema("doc_id long, text string").json(f"{base}/plain")
     texts = SR.read_text_field(spark, f"{base}/plain", "text")
@@ -715,6 +754,22 @@ def jsonl_gz_roundtrip(spark, sf):
                       F.lit(n_plain).cast("bigint").alias("n_plain")))
 
 
+@register("file_unique_counts")
+def file_unique_counts(spark, sf):
+    """AGG-01: files listed and read, distinct ids, texts and users of a
+    tree of gzip JSONL (one file per part) beside files of another kind."""
+    base = scratch_path(spark, "count")
+    d = FX.table(spark, sf, "documents").select("doc_id", "text", "source", (F.col("doc_id") % 8).alias("part")) \
+        .repartition("part")
+    d.write.partitionBy("part").option("compression", "gzip").json(f"{base}/posts")
+    d.select("doc_id", "part").write.partitionBy("part").json(f"{base}/other")
+    files = SR.count_files(spark, base).first()
+    r = spark.read.schema("doc_id long, text string, source string").json(f"{base}/posts")
+    return r.agg(F.lit(files["n_files_listed"]).cast("bigint").alias("n_files_listed"), F.lit(files["n_files_read"]).cast("bigint").alias("n_files_read"),
+                 F.count_distinct("doc_id").alias("n_ids"), F.count_distinct(F.unhex(F.md5("text"))).alias("n_texts"),
+                 F.count_distinct("source").alias("n_users"))
+
+
 @register("mirrored_tree_thin")
 def mirrored_tree_thin(spark, sf):
     """SRC-05 + ING-07 + SNK-09: a day-folder tree of tweet JSONL thinned
@@ -910,9 +965,13 @@ def _stream_daily(spark, sf):
 
 @register("stream_unique_counts")
 def stream_unique_counts(spark, sf):
-    """ING-11: events as a stream; per UTC day the event count and the
-    approximate number of distinct users (watermarked tumbling windows)."""
-    return _stream_daily(spark, sf)
+    """ING-11: events as a stream; per UTC day the event count and whether
+    the approximate number of distinct users is within three standard errors
+    (5 % each) of the exact one."""
+    exact = FX.table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")) \
+        .agg(F.count_distinct("user_id").alias("n_users"))
+    near = F.abs(F.col("approx_users") - F.col("n_users")) <= 0.15 * F.col("n_users") + 1
+    return _stream_daily(spark, sf).join(exact, "day").select("day", "n_events", "n_users", near.alias("within_bound"))
 
 
 @register("stream_daily_events")
@@ -931,6 +990,19 @@ def _nli_split(spark, sf):
     return e.join(s, "ex_id").withColumn("split", F.when(F.col("worker") == 3, "dev").otherwise("train"))
 
 
+@register("nli_split_sizes")
+def nli_split_sizes(spark, sf):
+    """STN-09: labels of the seeded train and dev split."""
+    return _nli_split(spark, sf).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("bow_vocabulary")
+def bow_vocabulary(spark, sf):
+    """STN-01: both vocabularies of the BoW head with df and idf."""
+    v = ML.bow_vocabulary(_nli_split(spark, sf).filter(F.col("split") == "train"))
+    return v.select("side", "term", "df", F.round("idf", 6).alias("idf"))
+
+
 @register("bow_logreg_accuracy")
 def bow_logreg_accuracy(spark, sf):
     """STN-01/02/09/10: BoW logistic regression trained on the NLI train
@@ -945,10 +1017,11 @@ def bow_logreg_accuracy(spark, sf):
 
 def _nli_vectors(spark, sf, data):
     wv, key = FX.word_vectors(spark, sf)
+    vocab = VS.load_vocab(wv)
     u = VS.wordvec_average(data.select("ex_id", F.col("sentence1").alias("text")), wv, id_col="ex_id",
-                           tokenizer=glove_tokens, word_key=key).withColumnRenamed("vec", "u")
+                           tokenizer=glove_tokens, word_key=key, vocab=vocab).withColumnRenamed("vec", "u")
     v = VS.wordvec_average(data.select("ex_id", F.col("sentence2").alias("text")), wv, id_col="ex_id",
-                           tokenizer=glove_tokens, word_key=key).withColumnRenamed("vec", "v")
+                           tokenizer=glove_tokens, word_key=key, vocab=vocab).withColumnRenamed("vec", "v")
     return data.join(u, "ex_id").join(v, "ex_id")
 
 
@@ -984,10 +1057,12 @@ def user_encoder_topk(spark, sf):
 
 @register("unique_counts_approx")
 def unique_counts_approx(spark, sf):
-    """AGG-01 approximate option: HyperLogLog++ distinct counts per event type."""
+    """AGG-01 approximate option: HyperLogLog++ distinct counts per event
+    type (standard error 2 %), held against the exact ones."""
     e = FX.table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
-                                       F.approx_count_distinct("user_id", 0.02).alias("approx_users"))
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.count_distinct("user_id"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"),
+                                       (near <= 0.06 * F.count_distinct("user_id") + 1).alias("within_bound"))
 
 
 @register("all_models_report")
@@ -1011,15 +1086,12 @@ def all_models_report(spark, sf):
 
 @register("html_files_roundtrip")
 def html_files_roundtrip(spark, sf):
-    """SRC-16: pages as one HTML file each (a folder per page), read whole,
+    """SRC-16: pages as one HTML file each (many in one folder), read whole,
     cards extracted (PRJ-07)."""
     base = scratch_path(spark, "html")
-    FX.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")).repartition(32, "page_id") \
-        .write.mode("overwrite").partitionBy("page_id").text(base)
-    h = SR.read_html_dir(spark, base).withColumn(
-        "page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
-    urls = FX.table(spark, sf, "pages").select("page_id", "url")
-    return IG.html_cards(h.join(urls, "page_id"))
+    FX.card_pages(spark, sf).select(F.col("html").alias("value")).repartition(32) \
+        .write.option("maxRecordsPerFile", 1).text(base)
+    return IG.html_cards(SR.read_html_dir(spark, base))
 
 
 @register("nli_jsonl_roundtrip")
@@ -1091,6 +1163,26 @@ def retriever_jsonl_roundtrip(spark, sf):
 
 
 
+@register("retriever_records")
+def retriever_records(spark, sf):
+    """SNK-08 / TRN-05 / AGG-02: nested retriever records of at most 100
+    contexts written as JSONL and read back."""
+    base = scratch_path(spark, "dprrec")
+    d = FX.table(spark, sf, "documents")
+    r = TR.retriever_set(d, question="source", ctx_id="doc_id", text="text", neg_scale=0.5, seed="dpr")
+    SK.write_jsonl(TR.retriever_records(r, d, ctx_id="doc_id", text="text", max_ctxs=100), base)
+    ctxs = "array<struct<title:string,text:string,id:bigint>>"
+    back = spark.read.schema(f"question string, record bigint, answers array<string>, positive_ctxs {ctxs}, "
+                             f"negative_ctxs {ctxs}, hard_negative_ctxs {ctxs}").json(base)
+
+    def ids(c):
+        return F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
+    texts = F.transform(F.concat("positive_ctxs", "negative_ctxs"), lambda x: F.md5(x["text"]))
+    return back.select("question", "record", ids("positive_ctxs").alias("pos_ids"), ids("negative_ctxs").alias("neg_ids"),
+                       F.md5(F.array_join(texts, "")).alias("texts_md5"),
+                       (F.size("answers") + F.size("hard_negative_ctxs")).cast("bigint").alias("n_empty"))
+
+
 @register("mirrored_tree_stream")
 def mirrored_tree_stream(spark, sf):
     """ING-07 streaming twin: the day-folder tweet tree consumed as a file

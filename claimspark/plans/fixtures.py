@@ -103,27 +103,26 @@ def stance_preds(spark, sf) -> DataFrame:
 
 def word_vectors(spark, sf):
     """Word-vector file stand-in, keyed by a hashing vocabulary: a token's
-    vector is embedding row h(token) % n_vec; tokens with h(token) % 7 = 0
-    are out of vocabulary.  Returns (vectors(word=vec_id, vec), word_key)
-    where ``word_key`` maps a token Column to its vocabulary key (NULL when
-    out of vocabulary)."""
+    vector is embedding row h(token) % n_vec, so every token is scored.
+    Returns (vectors(word=vec_id, vec), word_key) where ``word_key`` maps a
+    token Column to its vocabulary key."""
     n_vec = n_rows(spark, sf, "embeddings")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"))
 
     def word_key(w):
-        h = hash32(w)
-        return F.when(h % 7 != 0, h % n_vec)
+        return hash32(w) % n_vec
     return vectors, word_key
 
 
 def sentence_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Sentence encoder stand-in: mean-pooled word vectors (AGG-10) of every
     post and every claim -> (input_id, vec), (misinfo_id, vec)."""
-    from claimspark.operators.vector_search import wordvec_average
+    from claimspark.operators.vector_search import load_vocab, wordvec_average
     wv, key = word_vectors(spark, sf)
-    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id", word_key=key)
+    vocab = load_vocab(wv)
+    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id", word_key=key, vocab=vocab)
     cv = wordvec_average(table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
-                         wv, id_col="misinfo_id", word_key=key)
+                         wv, id_col="misinfo_id", word_key=key, vocab=vocab)
     return pv, cv
 
 
@@ -225,6 +224,19 @@ def articles(spark, sf) -> DataFrame:
         F.when(F.col("url").contains("#"), F.lit(500)).alias("errorCode"))
 
 
+CARD_STATUS = ("FALSE:", "MISLEADING:", "No evidence:")
+
+
+def card_pages(spark, sf) -> DataFrame:
+    """fact-check pages: each page's article becomes a card with an id and a
+    linked heading of status and title."""
+    status = F.get(F.array(*[F.lit(x) for x in CARD_STATUS]), (F.col("page_id") % len(CARD_STATUS)).cast("int"))
+    head = F.concat(F.lit('<article id="post-'), F.col("page_id").cast("string"), F.lit('"><header><h2><a href="'),
+                    F.col("url"), F.lit('"><span>'), status, F.lit("</span> "))
+    html = F.replace(F.replace(F.col("html"), F.lit("<article><h1>"), head), F.lit("</h1>"), F.lit("</a></h2></header>"))
+    return table(spark, sf, "pages").select("page_id", html.alias("html"))
+
+
 def variations(spark, sf) -> DataFrame:
     """RET-10: one row per positive variation with a dense variation id."""
     from claimspark.operators.ingest import dense_ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimspark.plans.fixtures import CARD_STATUS
 from claimspark.plans.sqlfix import CLAIMS, GOLD, H, tokens
 
 ORACLE: dict[str, str] = {}
@@ -151,8 +152,7 @@ def _wv(tok_expr_docs: str, tok_expr_bench: str) -> str:
     return f"""
 wv AS (SELECT word, {H('word')} % (SELECT count(*) FROM embeddings) AS vec_id FROM (
         SELECT DISTINCT word FROM (SELECT unnest({tok_expr_docs}) AS word FROM documents
-                                   UNION ALL SELECT unnest({tok_expr_bench}) AS word FROM benchmark))
-       WHERE {H('word')} % 7 <> 0),
+                                   UNION ALL SELECT unnest({tok_expr_bench}) AS word FROM benchmark))),
 ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
 
 
@@ -391,11 +391,30 @@ SELECT path, stem FROM p WHERE stem NOT IN (SELECT stem FROM done)"""
 ORACLE["latest_months"] = """WITH m AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders)
 SELECT o_orderkey, month FROM m WHERE month IN (SELECT DISTINCT month FROM m ORDER BY month DESC LIMIT 3)"""
 
-ORACLE["html_cards_to_claims"] = """WITH c AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS cards FROM pages),
-u AS (SELECT page_id, url, unnest(cards) AS card, generate_subscripts(cards, 1) - 1 AS card_idx FROM c),
-t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_extract(card, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS claim FROM u)
-SELECT page_id AS id, CAST(card_idx AS BIGINT) AS card_idx, url AS href, claim,
-  substr(string_split(claim, ' ')[1], 1, length(string_split(claim, ' ')[1]) - 1) AS status, 'fact-check-cards' AS origin FROM t"""
+def _unescaped(x: str) -> str:
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{mark}')"
+    return x
+
+
+_CARD, _LINK = r"(?s)<article\b([^>]*)>(.*?)</article>", r"(?s)<header\b.*?<h2\b.*?<a\b([^>]*)>(.*?)</a>"
+
+
+def _attr(x: str, name: str) -> str:
+    return _unescaped(f"""regexp_extract({x}, '(?:^|\\s){name}\\s*=\\s*["'']([^"'']*)["'']', 1)""")
+
+
+_CARD_CLAIM = "CASE WHEN len(st) > 1 THEN array_to_string(st[2:], '') ELSE array_to_string(st, '') END"
+ORACLE["html_cards_to_claims"] = f"""WITH c AS (SELECT replace(replace(html, '<article><h1>', '<article id="post-' || page_id
+    || '"><header><h2><a href="' || url || '"><span>' || {list(CARD_STATUS)}[CAST(page_id % {len(CARD_STATUS)} AS INTEGER) + 1]
+    || '</span> '), '</h1>', '</a></h2></header>') AS html FROM pages),
+u AS (SELECT unnest(regexp_extract_all(html, '{_CARD}', 1)) AS attrs, unnest(regexp_extract_all(html, '{_CARD}', 2)) AS card,
+        generate_subscripts(regexp_extract_all(html, '{_CARD}', 1), 1) - 1 AS card_idx FROM c),
+l AS (SELECT attrs, card_idx, regexp_extract(card, '{_LINK}', 1) AS link,
+        list_filter(string_split_regex(regexp_extract(card, '{_LINK}', 2), '<[^>]*>'), lambda s: s <> '') AS st FROM u)
+SELECT {_attr('attrs', 'id')} AS id, CAST(card_idx AS BIGINT) AS card_idx, {_attr('link', 'href')} AS href,
+  trim(regexp_replace({_unescaped(_CARD_CLAIM)}, '\\s+', ' ', 'g')) AS claim,
+  CASE WHEN len(st) > 1 THEN {_unescaped('st[1]')}[1:-2] END AS status, 'fact-check-cards' AS origin FROM l"""
 
 ORACLE["variant_columns_wide"] = "WITH " + CLAIMS + """
 SELECT id, """ + ", ".join(f"coalesce(sources[{i + 1}], '') AS source_{i + 1}" for i in range(5)) + ", " \
@@ -445,8 +464,8 @@ r AS (SELECT nx.doc_id, cc.item_id, cc.var_idx, sum(cc.cnt * nx.nmax) / sum(cc.c
 prf AS (SELECT p.doc_id, p.item_id, p.var_idx, CASE WHEN p.p + r.r = 0 THEN NULL ELSE 2 * p.p * r.r / (p.p + r.r) END AS f1
         FROM p JOIN r ON r.doc_id = p.doc_id AND r.item_id = p.item_id AND r.var_idx = p.var_idx),
 ranked AS (SELECT prf.*, d.text AS tweet, row_number() OVER (PARTITION BY prf.item_id, prf.var_idx
-             ORDER BY round(coalesce(f1, '-inf'::DOUBLE), 9) DESC, d.text DESC, prf.doc_id) AS rank
-           FROM prf JOIN documents d ON d.doc_id = prf.doc_id)
+             ORDER BY round(f1, 9) DESC, d.text DESC, prf.doc_id) AS rank
+           FROM prf JOIN documents d ON d.doc_id = prf.doc_id WHERE f1 IS NOT NULL)
 SELECT k.item_id AS id, k.var_idx, v.line AS pos_variation, k.doc_id AS input_id, k.tweet, round(k.f1, 6) AS score, k.rank
 FROM ranked k JOIN vars v ON v.item_id = k.item_id AND v.var_idx = k.var_idx WHERE k.rank <= 5"""
 
@@ -734,3 +753,47 @@ ORACLE["retriever_jsonl_roundtrip"] = "SELECT *, CAST(0 AS BIGINT) AS n_answers
 
 ORACLE["stream_daily_events"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events FROM events GROUP BY 1"""
 ORACLE["mirrored_tree_stream"] = ORACLE["mirrored_tree_thin"]
+
+ORACLE["user_scorer_top5"] = """WITH ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sc AS (SELECT a.vec_id, b.vec_id AS neighbor_id, -list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))) AS score
+       FROM ev a JOIN ev b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT vec_id, neighbor_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, neighbor_id) AS rank FROM sc)
+WHERE rank <= 5"""
+
+ORACLE["topk_csv_roundtrip"] = f"""SELECT id, md5(pos_variation) AS variation_md5, md5(tweet) AS tweet_md5, score
+FROM ({ORACLE["topk_posts_per_claim"]})"""
+
+ORACLE["first_variation_best"] = ORACLE["best_variation_per_claim"].replace(_VARS, CLAIMS + """,
+vars AS (SELECT id AS item_id, CAST(0 AS BIGINT) AS var_idx, pos_variations[1] AS line FROM claims WHERE len(pos_variations) > 0)""")
+
+ORACLE["file_unique_counts"] = """SELECT 2 * count(DISTINCT doc_id % 8) AS n_files_listed, count(DISTINCT doc_id % 8) AS n_files_read,
+  count(DISTINCT doc_id) AS n_ids, count(DISTINCT text) AS n_texts, count(DISTINCT source) AS n_users FROM documents"""
+
+ORACLE["stream_unique_counts"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events,
+  count(DISTINCT user_id) AS n_users, true AS within_bound FROM events GROUP BY 1"""
+
+ORACLE["unique_counts_approx"] = """SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users,
+  true AS within_bound FROM events GROUP BY event_type"""
+
+_SPLIT = "WITH " + _NLI + """,
+ex AS (SELECT *, concat_ws(':', conv_id, turn) AS ex_id FROM nlx),
+sp AS (SELECT *, CASE WHEN (row_number() OVER (ORDER BY md5(concat_ws('|', 'nli', ex_id)), ex_id) - 1) % 4 = 3
+                 THEN 'dev' ELSE 'train' END AS split FROM ex)"""
+
+ORACLE["nli_split_sizes"] = _SPLIT + " SELECT split, label, count(*) AS n FROM sp GROUP BY ALL"
+
+ORACLE["bow_vocabulary"] = _SPLIT + f""",
+tx AS (SELECT ex_id, 'sentence1' AS side, {tokens('strip_accents(sentence1)')} AS w FROM sp WHERE split = 'train'
+       UNION ALL SELECT ex_id, 'sentence2', {tokens('strip_accents(sentence2)')} FROM sp WHERE split = 'train'),
+tm AS (SELECT DISTINCT ex_id, side, unnest(list_concat(w, list_transform(range(greatest(len(w) - 1, 0)),
+         lambda i: w[i + 1] || ' ' || w[i + 2]))) AS term FROM tx)
+SELECT side, term, count(*) AS df, round(ln(((SELECT count(*) FROM sp WHERE split = 'train') + 1.0) / (count(*) + 1)) + 1, 6) AS idf
+FROM tm GROUP BY side, term HAVING count(*) >= 2"""
+
+ORACLE["retriever_records"] = f"""WITH r AS ({ORACLE["retriever_training_set"]}),
+n AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY kind = 'negative', ctx_idx, ctx_id) - 1 AS p FROM r)
+SELECT question, p // 100 AS record,
+  coalesce(string_agg(CAST(ctx_id AS VARCHAR), ',' ORDER BY p) FILTER (kind = 'positive'), '') AS pos_ids,
+  coalesce(string_agg(CAST(ctx_id AS VARCHAR), ',' ORDER BY p) FILTER (kind = 'negative'), '') AS neg_ids,
+  md5(coalesce(string_agg(md5(text), '' ORDER BY p), '')) AS texts_md5, CAST(0 AS BIGINT) AS n_empty FROM n GROUP BY 1, 2"""

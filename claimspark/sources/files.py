@@ -80,6 +80,16 @@ def read_jsonl_tree(spark: SparkSession, root: str, schema, ignore: tuple[str, .
     return out
 
 
+def count_files(spark: SparkSession, root: str, exts: tuple[str, ...] = (".jsonl", ".gz")) -> DataFrame:
+    """AGG-01: files listed below ``root`` and those of them that a reader
+    of ``exts`` reads (Q23: both).  Paths only, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    read = F.lit(False)
+    for e in exts:
+        read = read | F.col("path").endswith(e)
+    return files.agg(F.count(F.lit(1)).alias("n_files_listed"), F.count_if(read).alias("n_files_read"))
+
+
 def read_annotation_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-06: headerless 7-column annotation CSV."""
     return spark.read.schema(ANNOTATION_SCHEMA).option("header", "false").option("multiLine", "true") \

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,29 @@ def test_cosine_top_k_chunked_catalogue(spark, monkeypatch):
     c = spark.createDataFrame([(100 + j, [rnd.uniform(-1, 1) for _ in range(8)]) for j in range(60)],
                               "cid long, vec array<double>")
     one = {(r["id"], r["rank"]): r["cid"] for r in VS.cosine_top_k(q, c, q_id="id", c_id="cid", k=3).collect()}
-    monkeypatch.setattr(VS, "MAX_BROADCAST_BYTES", 60 * 8 * 8 // 5)   # forces 5 chunks
+    monkeypatch.setattr(VS, "MAX_BROADCAST_BYTES", 0)   # forces the cogrouped plan
+    monkeypatch.setattr(VS, "TILE_BYTES", 60 * 8 * 8 // 5)   # in 5 x 4 blocks
     many = {(r["id"], r["rank"]): r["cid"] for r in VS.cosine_top_k(q, c, q_id="id", c_id="cid", k=3).collect()}
     assert one == many and len(one) == 120
+    none = VS.cosine_top_k(q, c.limit(0), q_id="id", c_id="cid", k=3)
+    assert none.count() == 0 and none.columns == ["id", "cid", "score", "rank"]
+
+
+def test_tiles_give_the_same_top_k(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, c = rng.normal(size=(30, 6)), np.repeat(rng.normal(size=(40, 6)), 2, axis=0)   # every score tied
+    ids = np.arange(80)
+    whole = VS._block_top_k(ids[:30], q, ids, c, 7, VS.cosine_scores, True)
+    monkeypatch.setattr(VS, "TILE_BYTES", 8 * 256 * 9)   # nine columns a tile
+    tiled = VS._block_top_k(ids[:30], q, ids, c, 7, VS.cosine_scores, True)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:2], tiled[:2])) and len(whole[0]) == 210
+    s = np.round(VS.cosine_scores(q, c), 9)
+    for i in range(30):
+        want = [j for j in sorted(ids, key=lambda j: (-s[i, j], j)) if j != i][:7]
+        assert whole[1][whole[0] == i].tolist() == want
+
+
+def test_copies_do_not_flood_the_claim_side(spark):
+    posts = spark.createDataFrame([(i, "same words here") for i in range(300)] + [(900, "other words")], "id long, text string")
+    few = sorted(r["id"] for r in VS.first_copies(posts, "id", "text", 5).collect())
+    assert few == [0, 1, 2, 3, 4, 900]

@@ -49,11 +49,14 @@ def test_gzip_writer_bounded_files(spark, tmp_path):
 
 def test_html_cards_multiple_and_nested(spark):
     from claimspark.operators.ingest import html_cards
-    html = ("<html><body><article id='a'><h1>  False:  the <b>moon</b>\n is cheese </h1></article>"
-            "<p>x</p><article><h1>True: water is wet</h1></article></body></html>")
-    pages = spark.createDataFrame([(7, "http://x.example/7", html)], "page_id long, url string, html string")
-    got = [(r["card_idx"], r["claim"], r["status"]) for r in html_cards(pages).orderBy("card_idx").collect()]
-    assert got == [(0, "False: the moon is cheese", "False"), (1, "True: water is wet", "True")]
+    html = ("<html><body><article data-id='no' id='a'><header><h2><a class='t' href='http://x.example/1?a&amp;b'><span>False:</span>"
+            "  the <b>moon</b>\n is &lt;cheese&gt; </a></h2></header></article><p>x</p>"
+            "<article id=\"b\"><header><h2><a href=\"/2\">water is wet</a></h2></header></article>"
+            "<article><h1>no card</h1></article></body></html>")
+    pages = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    got = [tuple(r)[:5] for r in html_cards(pages).orderBy("card_idx").collect()]
+    assert got == [("a", 0, "http://x.example/1?a&b", "the moon is <cheese>", "False"),
+                   ("b", 1, "/2", "water is wet", None), ("", 2, "", "", None)]
 
 
 def test_claims_from_table_keeps_alignment(spark):
