@@ -119,6 +119,16 @@ def test_shared_passages_are_found(spark, docs, empty):
     assert substring_chain.shared_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("exact,differing,shared", [(50, 16, 8), (50, 20, 16), (55, 20, 12), (60, 22, 20), (50, 26, 50)])
+def test_an_exact_passage_survives_a_gap_and_a_short_run(exact, differing, shared):
+    rng = random.Random(4)
+    head, tail = prose(rng, exact).split(), prose(rng, shared).split()
+    a, b = (head + prose(rng, differing).split() + tail for _ in range(2))
+    at = [*range(0, exact - 4, 9), *range(exact + differing, len(a) - 4, 2)]
+    found = [r for r in substring_chain.align(a, b, at, at) if r[1] - r[0] >= 40 and r[4] >= 0.8 * (r[1] - r[0])]
+    assert len(found) == 1 + (shared >= 40) and found[0][0] == 0 and found[0][1] >= exact
+
+
 # --- 2 quality ------------------------------------------------------------
 
 def brute_stats(text):
