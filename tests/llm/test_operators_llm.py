@@ -129,6 +129,20 @@ def test_an_exact_passage_survives_a_gap_and_a_short_run(exact, differing, share
     assert len(found) == 1 + (shared >= 40) and found[0][0] == 0 and found[0][1] >= exact
 
 
+@pytest.mark.parametrize("parts", [(26, 26), (30, 30), (38, 38), (20, 20, 20), (39, 1), (1, 39)])
+def test_parts_of_an_exact_passage_have_other_first_holders(spark, parts):
+    rng = random.Random(sum(parts))
+    table, passages = [], []
+    for case in range(6):
+        shared = [prose(rng, n) for n in parts]
+        table += [(100 * case + i, f"{prose(rng, 30)} {p} {prose(rng, 30)}") for i, p in enumerate(shared)]
+        b, c = 100 * case + 50, 100 * case + 51
+        table += [(i, f"{prose(rng, 35)} {' '.join(shared)} {prose(rng, 25)}") for i in (b, c)]
+        passages.append((c, b))
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found if r.end - r.start >= sum(parts)} == set(passages)
+
+
 # --- 2 quality ------------------------------------------------------------
 
 def brute_stats(text):
