@@ -143,6 +143,21 @@ def test_parts_of_an_exact_passage_have_other_first_holders(spark, parts):
     assert {(r.doc_id, r.other_id) for r in found if r.end - r.start >= sum(parts)} == set(passages)
 
 
+@pytest.mark.parametrize("words,rate", [(50, 0.1), (50, 0.15), (60, 0.15), (80, 0.15)])
+def test_changed_passages_are_found(spark, words, rate):
+    rng = random.Random(words)
+    table = []
+    for case in range(40):
+        a = prose(rng, words).split()
+        b = list(a)
+        for i in rng.sample(range(words), round(rate * words)):
+            b[i] = prose(rng, 1) + "z"
+        table += [(2 * case + n, f"{prose(rng, 40)} {' '.join(t)} {prose(rng, 40)}") for n, t in enumerate((a, b))]
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert pairs <= {(2 * case + 1, 2 * case) for case in range(40)} and len(pairs) >= 34
+
+
 # --- 2 quality ------------------------------------------------------------
 
 def brute_stats(text):
