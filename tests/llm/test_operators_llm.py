@@ -305,6 +305,12 @@ def test_packing_edges(docs):
     assert sum(r.length for r in got) == tokens
 
 
+def test_long_blank_runs_are_encoded():
+    encode = packing.encoder(queries.rank_file())
+    for text in ("a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" + " \n" * 20_000 + " y", " " * 9_999 + "z"):
+        assert encode(text) + [1] == brute_ids([text])[0].tolist()
+
+
 # --- 5 simhash ------------------------------------------------------------
 
 def brute_simhash(text):
