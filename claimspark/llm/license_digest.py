@@ -1,11 +1,11 @@
 """License scan by canonical digest of whole texts.
 
-A text is normalised (copyright lines dropped, lower case, punctuation and
+A text is normalised (copyright notices dropped, lower case, punctuation and
 white space to single blanks, equivalent spellings to one form) and its
 SHA-256 is looked up among the digests of known licence texts, normalised
 by the same expression.  Built-in functions only.
 
-The known table is broadcast: it holds the texts below, or a table of the
+The known table is broadcast: it holds the texts below and in ``licenses/``, or a table of the
 caller's whose rows are counted first; above ``max_broadcast_rows`` the
 lookup is a plain shuffled join on the digest.  Known texts that share a
 digest count as one, under the smallest licence id.
@@ -17,6 +17,8 @@ result; the document's other columns are not touched.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,30 @@ SPELLINGS = {
 }
 COPYRIGHT_LINE = r"(?mi)^[^\pL\pN\n]*(?:copyright\b|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 
+# Words that follow "copyright" in licence wording, not in notices.
+WORDING = ("also|and|are|as|claims?|disclaimers?|doctrines?|for|holders?|if|in|including|infringement|interests?|is|"
+           "laws?|licen[cs]es?|like|lines?|more|notices?|of|on|or|owners?|ownership|patents?|permission|protection|"
+           "resulting|statements?|the (?:library|program|software|work)|then|those|to|treat(?:y|ies)|under|was")
+NOTICE_LINE = (r"(?m)^[^\pL\pN\n©]*(?:copyright\b(?=[^\pL\pN\n]*[\pL\pN])(?![^\pL\pN\n]*(?:" + WORDING + r")\b)[^\n]*"
+               r"|\(c\)[ \t]+(?:copyright\b|[0-9]{4})[^\n]*|©[^\n]*|all rights reserved[^\pL\pN\n]*)$")
+
+# Title lines that copies of untitled texts have.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License',
+                     "Simplified BSD License", "BSD License", "The BSD License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License',
+                     "New BSD License", "Modified BSD License", "BSD License", "The BSD License",
+                     "The BSD 3-Clause License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "NCSA": ("University of Illinois/NCSA Open Source License",),
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+TEXTS = Path(__file__).with_name("licenses")
+
 # Public licence texts, without their copyright lines.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -87,13 +113,14 @@ MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
 }
 
 
-def canonical(text: Column) -> Column:
-    """The normal form of a licence text: words of letters and digits."""
+def canonical(text: Column, line: str = COPYRIGHT_LINE) -> Column:
+    """The normal form of a licence text: words of letters and digits, without
+    the matches of ``line``."""
     t = F.lower(F.coalesce(text, F.lit("")))
     noted = F.lit(False)
     for mark in ("copyright", "(c)", "\u00a9", "all rights reserved"):
         noted = noted | t.contains(mark)
-    t = F.when(noted, F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
+    t = F.when(noted, F.regexp_replace(t, line, "")).otherwise(t)
     # each word keeps blanks of its own on both sides, so that neighbouring
     # words can both be replaced
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\pL\pN]+", "  "), F.lit(" "))
@@ -110,18 +137,33 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of the texts above and of the published ones beside
+    this module; also under their titles, and without what follows the terms."""
+    texts = [*KNOWN.items(), *((p.name.removesuffix(".txt"), p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+    texts += [(i, t[:t.index(TERMS_END) + len(TERMS_END)]) for i, t in texts if TERMS_END in t]
+    return texts + [(i, f"{title}\n\n{t}") for i, t in texts for title in TITLES.get(i, ())]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   max_broadcast_rows: int = 100_000) -> DataFrame:
     """(id, n_canonical, digest, license_id): the known licence that the
-    whole text is, else null."""
-    table = (known.select(canonical(F.col("text")).alias("c"), "license_id").where("c <> ''")
-             .groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id")))
-    if known.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        table = F.broadcast(table)
-    own = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("c")) \
-        .select(id_col, F.length("c").cast("bigint").alias("n_canonical"), F.sha2("c", 256).alias("digest"))
-    return own.join(table, "digest", "left").select(id_col, "n_canonical", "digest", "license_id")
+    whole text is, else null.  ``digest`` is of the text without any line that
+    begins with a copyright mark; looked up first is the text without notices
+    only, which does not depend on where the licence's own lines break."""
+    def lookup(line: str, key: str) -> DataFrame:
+        found = (known.select(canonical(F.col("text"), line).alias("c"), "license_id").where("c <> ''")
+                 .groupBy(F.sha2("c", 256).alias(key)).agg(F.min("license_id").alias(f"{key}_id")))
+        return F.broadcast(found) if few else found
+
+    few = known.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    own = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("c"),
+                      canonical(F.col(text_col), NOTICE_LINE).alias("whole")) \
+        .select(id_col, F.length("c").cast("bigint").alias("n_canonical"), F.sha2("c", 256).alias("digest"),
+                F.sha2("whole", 256).alias("whole"))
+    return own.join(lookup(NOTICE_LINE, "whole"), "whole", "left").join(lookup(COPYRIGHT_LINE, "digest"), "digest", "left") \
+        .select(id_col, "n_canonical", "digest", F.coalesce("whole_id", "digest_id").alias("license_id"))

@@ -589,3 +589,20 @@ def test_licenses(spark, docs, empty):
     assert sorted(map(str, far)) == sorted(map(str, got.values()))
     assert license_digest.scan_licenses(docs, known).count() == len(rows())
     assert license_digest.scan_licenses(empty, known).count() == 0
+
+
+def test_license_layouts(spark):
+    import textwrap
+    notice = "Copyright (c) 2020-2024, Some Body <a@b.c>\nAll rights reserved.\n\n"
+    table, want = [], []
+    for name, text in license_digest.KNOWN.items():
+        for title in ("", *(t + "\n\n" for t in license_digest.TITLES.get(name, ()) if t not in ("BSD License", "The BSD License"))):
+            for width in (20, 41, 60, 72, 80, 100):
+                want.append(name)
+                table.append((len(table), title + notice + textwrap.fill(text, width)))
+    isc = license_digest.KNOWN["ISC"].replace("\n", " ").replace("above copyright notice", "above\ncopyright notice")
+    want.append("ISC")
+    table.append((len(table), "ISC License\n\nCopyright 2004 by Some Body\n\n" + isc))
+    got = license_digest.scan_licenses(spark.createDataFrame(table, "doc_id bigint, text string"),
+                                       license_digest.known_licenses(spark)).collect()
+    assert [r.license_id for r in sorted(got)] == want
