@@ -606,3 +606,20 @@ def test_license_layouts(spark):
     got = license_digest.scan_licenses(spark.createDataFrame(table, "doc_id bigint, text string"),
                                        license_digest.known_licenses(spark)).collect()
     assert [r.license_id for r in sorted(got)] == want
+
+
+def test_published_licenses(spark):
+    files = sorted(license_digest.TEXTS.glob("*.txt"))
+    names = [f.name.removesuffix(".txt") for f in files]
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense",
+            "BSL-1.0", "CC0-1.0"} <= set(names)
+    whole = [f.read_text("utf-8") for f in files]
+    cut = [t.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n" if "END OF TERMS AND CONDITIONS" in t else t
+           for t in whole]
+    texts = [*whole, *(t.upper().replace(",", " ,") for t in whole), *cut, *(t.replace("\n", "\r\n") for t in whole)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(license_digest.scan_licenses(table, license_digest.known_licenses(spark)).collect())
+    assert [r.license_id for r in got] == names * 4
+    assert not any(r.license_id for r in license_digest.scan_licenses(
+        spark.createDataFrame([(i, t[:len(t) // 2]) for i, t in enumerate(whole)], "doc_id bigint, text string"),
+        license_digest.known_licenses(spark)).collect())
