@@ -7,6 +7,7 @@ import string
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimspark.session import scratch_path
 
@@ -31,6 +32,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, group: str, order: list[str], nulls_last: bool = False,
+           max_broadcast_rows: int = 200_000) -> DataFrame:
+    """Add ``_g`` (number of the row's group in the groups' order), ``_i``
+    (its place within the group) and ``_n`` (the group's rows), all from 0
+    upwards and gapless.  A group's null is a group of its own, first or last;
+    nulls of ``order`` come first, and wholly tied rows are numbered anyhow.
+
+    No group meets in one task: rows are range-partitioned by group and
+    order (tied rows too may be split), written with their place in their
+    partition, and a table of one row per partition and group that lies in
+    it holds what comes before.  Callers pass written, narrow rows, since
+    range partitioning reads its input twice."""
+    keys = [F.col(group).asc_nulls_last() if nulls_last else F.col(group).asc_nulls_first(),
+            *(F.col(c).asc_nulls_first() for c in order), F.col("_tie")]
+    placed = materialise(df.withColumn("_tie", F.monotonically_increasing_id())
+                         .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+                         .withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_part", F.call_function("shiftright", F.col("_at"), F.lit(33)))
+    parts = materialise(placed.groupBy("_part", F.col(group).alias("_group"))
+                        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c")), "parts")
+    within = Window.partitionBy("_group").orderBy("_part")
+    parts = parts.select("*", F.sum("_c").over(Window.partitionBy("_group")).alias("_n"),
+                         (F.sum("_c").over(within) - F.col("_c")).alias("_before"),
+                         (F.row_number().over(within) == 1).cast("bigint").alias("_new"))
+    # groups that begin in earlier partitions: a window over one row per partition
+    begun = parts.groupBy("_part").agg(F.sum("_new").alias("_b")).select(
+        "_part", (F.sum("_b").over(Window.orderBy("_part")) - F.col("_b")).alias("_begun"))
+    parts = parts.join(begun, "_part").withColumn(
+        "_g", F.col("_begun") + F.sum("_new").over(Window.partitionBy("_part").orderBy("_first")) - 1)
+    parts = materialise(parts.select(F.col("_part").alias("_p"), "_group", "_first", "_n", "_before", "_g"), "parts")
+    if parts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        parts = F.broadcast(parts)
+    return placed.join(parts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group"))).select(
+        *df.columns, "_g", (F.col("_before") + F.col("_at") - F.col("_first")).alias("_i"), "_n")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph given as edge rows;
     component is the smallest node reachable.  Alternating large-star and
