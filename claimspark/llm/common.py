@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,6 +102,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .union(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray | None:
+    """Train on a bounded sample (the caller's limit) in one executor task,
+    which a lost executor repeats; the driver sees the numbers only.  None
+    where the sample is empty."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if parts:
+            yield pd.DataFrame({"model": [fit(pd.concat(parts, ignore_index=True)).astype("<f8").tobytes()]})
+
+    found = sample.coalesce(1).mapInPandas(run, "model binary").collect()
+    return np.frombuffer(found[0]["model"], "<f8").copy() if found else None
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Unsigned 64-bit XXH64 of each word (seed 42)."""
     from xxhash import xxh64_intdigest

@@ -38,13 +38,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.llm.common import fit_in_task
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 # The patterns of the query's contract.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match begins where a run of digits does: if it fails there, so it does further in
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOT, _BLANK = re.compile(r"[0-9@]"), re.compile(r"\s")
@@ -282,7 +285,7 @@ def _apart(spans: list[Span]) -> list[Span]:
 
 
 def fit(docs: DataFrame, sample_docs: int = 20_000, max_zones: int = 3000, zone_chars: int = 300) -> np.ndarray:
-    """Train on zones of a bounded sample."""
+    """Train on zones of a bounded sample, in one task."""
     rate = min(1.0, sample_docs / max(docs.count(), 1))
     hot = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(rate * (1 << 30))) \
         .where(F.col("text").rlike("[0-9@]"))
@@ -299,10 +302,14 @@ def fit(docs: DataFrame, sample_docs: int = 20_000, max_zones: int = 3000, zone_
             yield pd.DataFrame(out, columns=["zone", "spans"])
 
     found = hot.mapInPandas(cut, "zone string, spans string")
-    rows = found.orderBy(F.xxhash64("zone"), "zone").limit(max_zones).toPandas()
-    parsed = [(z, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(";") if x)])
-              for z, s in zip(rows["zone"], rows["spans"])]
-    return train(parsed)
+
+    def learn(pdf: pd.DataFrame) -> np.ndarray:
+        return train([(z, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(";") if x)])
+                      for z, s in zip(pdf["zone"], pdf["spans"])])
+
+    rows = found.withColumn("h", F.xxhash64("zone")).orderBy("h", "zone").limit(max_zones)
+    learnt = fit_in_task(rows.select("zone", "spans"), learn)
+    return train([]) if learnt is None else learnt
 
 
 def all_spans(text: str | None, w: np.ndarray) -> tuple[list[Span], list[Span]]:

@@ -37,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.llm.common import fit_in_task
 
 WORD = re.compile(r"[^\W_]+")
 FOLDS = 5
@@ -164,7 +165,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: in
 
 def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1700, max_neg: int = 5000,
         max_chars: int = 20_000) -> Model:
-    """Train on the bounded sample."""
+    """Train on the bounded sample, in one task."""
     usable = labels.where("toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     rates = {c: min(1.0, most / max(counts.get(c, 0), 1)) for c, most in ((1, max_pos), (0, max_neg))}
@@ -173,16 +174,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1700, max_neg: int =
              for c, most in ((1, max_pos), (0, max_neg))]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * (max_pos + max_neg) ids
     rows = (docs.select("doc_id", "text").where((F.length("text") <= max_chars) & (F.length("text") > 0))
-            .join(sample, "doc_id").limit(4 * (max_pos + max_neg)).toPandas().sort_values(["doc_id", "toxic"]))
-    total = sum(counts.values())
-    if rows.empty or rows["toxic"].nunique() < 2:
-        share = counts.get(1, 0) / total if total else 0.0
-        z = np.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0)
-        return Model(np.zeros(1), float(z))
-    y = rows["toxic"].to_numpy().astype(np.int64)
-    drawn = np.bincount(y, minlength=2)
-    weights = np.array([counts[0] / drawn[0], TOXIC_WEIGHT * counts[1] / drawn[1]])[y]
-    return train(rows["text"].tolist(), y, weights)
+            .join(sample, "doc_id").limit(4 * (max_pos + max_neg)))
+    share = counts.get(1, 0) / max(sum(counts.values()), 1)
+    constant = np.array([0.0, np.log(share / (1 - share)) if 0 < share < 1 else 60.0 if share else -60.0])
+
+    def learn(pdf: pd.DataFrame) -> np.ndarray:
+        pdf = pdf.sort_values(["doc_id", "toxic"])
+        y = pdf["toxic"].to_numpy().astype(np.int64)
+        drawn = np.bincount(y, minlength=2)
+        if not drawn.all():
+            return constant
+        weights = np.array([counts[0] / drawn[0], TOXIC_WEIGHT * counts[1] / drawn[1]])[y]
+        model = train(pdf["text"].tolist(), y, weights)
+        return np.append(model.weight, model.bias)
+
+    learnt = fit_in_task(rows, learn)
+    learnt = constant if learnt is None else learnt
+    return Model(learnt[:-1], float(learnt[-1]))
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text", chunk_chars: int = 1 << 20) -> Column:
