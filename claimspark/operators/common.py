@@ -6,19 +6,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only under this many (estimated) rows -- about 100 MB
-# for the ~50-byte rows of a claim term index; above it the join is left to
-# Spark (sort-merge, AQE re-plan and skew-join splitting).
-BROADCAST_MAX_ROWS = 2_000_000
+# A side is broadcast only under this many (estimated) bytes; above it the
+# join is left to Spark (sort-merge, AQE re-plan and skew-join splitting).
+BROADCAST_MAX_BYTES = 100 << 20
+ROW_BYTES = 50          # a row of a claim term index
+VECTOR_ROW_BYTES = 8 << 10  # a row with a vector of up to a thousand doubles
 
 
-def broadcast_if(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if(df: DataFrame, rows: int | None, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Broadcast hint only behind a size check; otherwise AQE decides."""
-    if rows is not None and rows <= max_rows:
+    if rows is not None and rows * row_bytes <= BROADCAST_MAX_BYTES:
         return F.broadcast(df)
     return df
 
 
+def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
+    """(rows, average bytes of a row) of a table of texts, for a size check."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
+    return int(r["n"]), int(r["b"]) // max(int(r["n"]), 1) + ROW_BYTES
+
+
 def top_k(df: DataFrame, by, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """TOP-01/02/05 and the selection extension point (UDF-03: k, order and
     tie rule are the window specification): the first ``k`` rows per group with a deterministic
@@ -53,3 +60,10 @@ def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFra
     floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n = df.rdd.getNumPartitions()
     return df.repartition(n, key) if n > floor else df.repartition(key)
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Rows dealt over all cores where the input has few splits (a small
+    table in one file); an input of many splits is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < per_core * cores else df

@@ -56,9 +56,9 @@ def retrieval_report(gold: DataFrame, preds: DataFrame, models: list[str], *, ks
     fixed list) is evaluated on the full gold set in one pass.
 
     Predictions are first reduced to the gold posts (semi join), ranked with
-    averaged ties (WIN-01), and gathered per (model, post) into a
-    claim -> rank map (bounded by the claims a post was scored against), so
-    the scoring plan is read once.  Gold rows with labels 0/1 are kept
+    averaged ties (WIN-01), and the ranks of a post's gold claims, which come
+    along with the semi join, are kept per (model, post), so the scoring plan
+    is read once and no more ranks than annotations are gathered.  Gold rows with labels 0/1 are kept
     (FLT-11).  With ``n_claims`` the predictions are read as a sparse table
     whose missing pairs score 0: such a pair takes the mean rank of the tied
     zero block, ``h + (n_claims - h + 1) / 2`` with h positive scores of the
@@ -66,10 +66,11 @@ def retrieval_report(gold: DataFrame, preds: DataFrame, models: list[str], *, ks
     skipped by the MRR mean (Q10).  Hits are percentages, unrounded.
     """
     g = gold.filter(F.col("gold_label").isin(0, 1)).select("input_id", "misinfo_id", "gold_label")
-    p = preds.join(g.select("input_id").distinct(), "input_id", "left_semi")
+    p = preds.join(g.groupBy("input_id").agg(F.collect_set("misinfo_id").alias("_gold")), "input_id")
     ranked = average_rank(p, by="input_id", score=score)
+    wanted = F.when(F.array_contains("_gold", F.col("misinfo_id")), F.struct("misinfo_id", "rank"))
     per_post = ranked.groupBy("model_id", "input_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("misinfo_id", "rank"))).alias("ranks"),
+        F.map_from_entries(F.collect_list(wanted)).alias("ranks"),
         F.count_if(F.col(score) > 0).alias("n_pos"))
     e = (g.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
           .join(per_post, ["model_id", "input_id"], "left"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import collapse_ws, drop_last_char
+from claimspark.operators.common import BROADCAST_MAX_BYTES, ROW_BYTES
 from claimspark.session import checkpoint_dir
 
 
@@ -47,7 +48,7 @@ def first_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def anti_join_stored(new: DataFrame, stored: DataFrame, keys: list[str],
-                     max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                     max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """JOIN-06: rows of ``new`` whose key is not in ``stored``.
 
     When the new keys are few (a batch against a large store) they are
@@ -56,8 +57,9 @@ def anti_join_stored(new: DataFrame, stored: DataFrame, keys: list[str],
     broadcast anti join.  Otherwise a plain shuffled anti join.
     """
     new_keys = new.select(*keys).distinct()
-    n = new_keys.count()
-    if n <= max_broadcast_rows:
+    width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + ROW_BYTES for k in keys), F.lit(0))
+    size = new_keys.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    if size <= max_broadcast_bytes:
         hit = stored.select(*keys).join(F.broadcast(new_keys), keys, "left_semi").distinct()
         return new.join(F.broadcast(hit), keys, "left_anti")
     return new.join(stored.select(*keys).distinct(), keys, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.vectors import (
     argmax, combine_stages, forced_binary, linear_head, pair_features, softmax, stance_word,
 )
-from claimspark.operators.common import broadcast_if
+from claimspark.operators.common import VECTOR_ROW_BYTES, broadcast_if
 
 RELEVANCE_THRESHOLD = 0.4  # fixed value: relevance threshold of the online pipeline
 
@@ -32,7 +32,7 @@ def attach_vectors(pairs: DataFrame, post_vecs: DataFrame, claim_vecs: DataFrame
     vectors are the small side (broadcast behind the size check)."""
     pv = post_vecs.select(F.col(post_vecs.columns[0]).alias(post_id), F.col("vec").alias("u"))
     cv = claim_vecs.select(F.col(claim_vecs.columns[0]).alias(claim_id), F.col("vec").alias("v"))
-    return pairs.join(pv, post_id).join(broadcast_if(cv, n_claims), claim_id)
+    return pairs.join(pv, post_id).join(broadcast_if(cv, n_claims, VECTOR_ROW_BYTES), claim_id)
 
 
 def linear_softmax(pairs: DataFrame, weights, bias, *, parts=("u", "v", "absdiff")) -> DataFrame:
@@ -60,7 +60,7 @@ def attach_vectors_if(pairs: DataFrame, post_vecs: DataFrame, claim_vecs: DataFr
     pv = post_vecs.select(F.col(post_vecs.columns[0]).alias("_p"), F.col("vec").alias("u"))
     cv = claim_vecs.select(F.col(claim_vecs.columns[0]).alias("_c"), F.col("vec").alias("v"))
     j = pairs.join(pv, (F.col(post_id) == F.col("_p")) & cond, "left").drop("_p")
-    return j.join(broadcast_if(cv, n_claims), (F.col(claim_id) == F.col("_c")) & cond, "left").drop("_c")
+    return j.join(broadcast_if(cv, n_claims, VECTOR_ROW_BYTES), (F.col(claim_id) == F.col("_c")) & cond, "left").drop("_c")
 
 
 def two_stage(scores: DataFrame, post_vecs: DataFrame, claim_vecs: DataFrame, head, *,

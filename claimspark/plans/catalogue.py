@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.misc import ANNOTATION_CODES, NLI_CODES, day_window, label_code, utc_stamp
 from claimspark.functions.text import glove_tokens, word_tokens
 from claimspark.functions.vectors import pair_features as _pf
+from claimspark.operators import claim_index as CI
 from claimspark.operators import evaluate as EV
 from claimspark.operators import ingest as IG
 from claimspark.operators import mlheads as ML
@@ -24,7 +25,7 @@ from claimspark.operators import retrieval as R
 from claimspark.operators import stance as ST
 from claimspark.operators import training as TR
 from claimspark.operators import vector_search as VS
-from claimspark.operators.common import broadcast_if
+from claimspark.operators.common import broadcast_if, text_bytes
 from claimspark.operators.common import top_k as _top_k
 from claimspark.plans import fixtures as FX
 from claimspark.session import checkpoint_dir, scratch_path
@@ -47,12 +48,33 @@ def register(name: str):
 def tfidf_top5(spark, sf):
     """Flagship: TF-IDF cosine of every post against every claim, top 5."""
     posts, claims = FX.posts(spark, sf), FX.table(spark, sf, "benchmark")
-    s = R.tfidf_cosine(posts, claims, post_id="input_id", claim_id="item_id", text="text")
-    top = R.top_claims(s, post_id="input_id", claim_id="item_id", k=5)
+    top = CI.tfidf_top_k(posts, claims, post_id="input_id", claim_id="item_id", k=5)
     return top.select("input_id", F.col("item_id").alias("misinfo_id"),
                       F.round("score", 6).alias("confidence"), "rank")
 
 
+@register("bm25_top5")
+def bm25_top5(spark, sf):
+    """RET-05 + TOP-05: the five best claims per post by BM25."""
+    posts, claims = FX.posts(spark, sf), FX.table(spark, sf, "benchmark")
+    top = CI.bm25_top_k(posts, claims, post_id="input_id", claim_id="item_id", k=5)
+    return top.select("input_id", F.col("item_id").alias("misinfo_id"),
+                      F.round("score", 6).alias("confidence"), "rank")
+
+
+@register("kept_index_batches")
+def kept_index_batches(spark, sf):
+    """RET-06: two batches of posts, by language, against a claim index that
+    the first one writes and the second one reads."""
+    claims, posts = FX.table(spark, sf, "benchmark"), FX.posts(spark, sf)
+    folder = scratch_path(spark, "claim-index")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    parts = [CI.tfidf_top_k(posts.where(c), claims, post_id="input_id", claim_id="item_id", k=5, folder=folder)
+             for c in (english, ~english)]
+    return parts[0].unionByName(parts[1]).select("input_id", F.col("item_id").alias("misinfo_id"),
+                                                 F.round("score", 6).alias("confidence"), "rank")
+
+
 @register("tfidf_scores")
 def tfidf_scores(spark, sf):
     """RET-08 batch scoring record for every scored pair (others are 0)."""
@@ -66,7 +88,7 @@ def tfidf_scores(spark, sf):
 def bm25_zero_filled(spark, sf):
     """RET-05 + TOP-05 + JOIN-11: 86 best BM25 claims per post, zero-filled."""
     posts, claims = FX.posts(spark, sf), FX.table(spark, sf, "benchmark")
-    s = R.bm25(posts, claims, post_id="input_id", claim_id="item_id", text="text")
+    s = CI.bm25_top_k(posts, claims, post_id="input_id", claim_id="item_id", k=86).drop("rank")
     z = R.zero_fill_top_k(s, posts, claims, post_id="input_id", claim_id="item_id", k=86)
     return z.select("input_id", F.col("item_id").alias("misinfo_id"),
                     F.round("score", 6).alias("confidence"), "rank")
@@ -213,8 +235,7 @@ def cross_entropy(spark, sf):
     g = FX.gold(spark, sf).select("input_id", "misinfo_id", "gold_label")
     posts = FX.posts(spark, sf).join(g.select("input_id").distinct(), "input_id", "left_semi")
     index, cv, wv, key, vocab = claim_side(spark, sf, persist=False)
-    best = R.top_claims(R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index),
-                        post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+    best = CI.best_claims(posts, index, post_id="input_id", k=1).drop("rank")
     pv = VS.wordvec_average(posts, wv, id_col="input_id", tokenizer=glove_tokens, word_key=key, vocab=vocab)
     w, b = ST.rule_weights(3, 64 * len(STANCE_DIM_PARTS))
     out = ST.linear_softmax(ST.attach_vectors(best, pv, cv, n_claims=index.n), w, b, parts=STANCE_DIM_PARTS)
@@ -263,11 +284,10 @@ def agree_disagree_for(spark, sf, posts, static=None):
     Irrelevant posts keep their best claim for reference and take the n/a
     class code (2); the stance word is given for relevant posts only."""
     index, cv, wv, key, vocab = static or claim_side(spark, sf, persist=False)
-    scores = R.tfidf_cosine(posts, post_id="input_id", claim_id="misinfo_id", index=index)
     # one row per post, written to the shared checkpoint folder: the stance
     # encoder then reads only the posts that passed the threshold
     checkpoint_dir(spark)
-    best = R.top_claims(scores, post_id="input_id", claim_id="misinfo_id", k=1).drop("rank").checkpoint(eager=True)
+    best = CI.best_claims(posts, index, post_id="input_id", k=1).drop("rank").checkpoint(eager=True)
     relevant_ids = best.filter(ST.relevance(best, "score")).select("input_id")
     pv = VS.wordvec_average(posts.join(relevant_ids, "input_id", "left_semi"), wv, id_col="input_id",
                             tokenizer=glove_tokens, word_key=key, vocab=vocab)
@@ -283,7 +303,7 @@ def claim_side(spark, sf, persist: bool):
     (RET-06), word vectors with their key and broadcast, optionally cached for
     the lifetime of a stream."""
     claims = FX.table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id")
-    index = R.tfidf_index(claims, claim_id="misinfo_id", persist=persist)
+    index = CI.prepare(claims, claim_id="misinfo_id")
     wv, key = FX.word_vectors(spark, sf)
     vocab = VS.load_vocab(wv)
     cv = VS.wordvec_average(claims, wv, id_col="misinfo_id", tokenizer=glove_tokens, word_key=key, vocab=vocab)
@@ -608,8 +628,7 @@ def first_variation_best(spark, sf):
     variation; best claim per post by TF-IDF."""
     first = R.explode_variations(FX.claims(spark, sf), id_col="id", first_only=True) \
         .select(F.col("id").alias("item_id"), F.col("variation").alias("line"))
-    s = R.tfidf_cosine(FX.posts(spark, sf), first, post_id="input_id", claim_id="item_id", text="text", claim_text="line")
-    best = R.top_claims(s, post_id="input_id", claim_id="item_id", k=1)
+    best = CI.tfidf_top_k(FX.posts(spark, sf), first, post_id="input_id", claim_id="item_id", k=1, claim_text="line")
     return best.select("input_id", F.col("item_id").alias("misinfo_id"), F.lit(0).cast("bigint").alias("var_idx"),
                        F.round("score", 6).alias("confidence"))
 
@@ -619,22 +638,20 @@ def best_variation_per_claim(spark, sf):
     """RET-10 + TOP-04: TF-IDF of every post against every variation; a
     claim scores its best variation; the best claim per post (max_by)."""
     var = FX.variations(spark, sf)
-    s = R.tfidf_cosine(FX.posts(spark, sf), var, post_id="input_id", claim_id="vid", text="text",
-                       claim_text="line")
-    s = s.join(broadcast_if(var.select("vid", "item_id", "var_idx"), var.count()), "vid")
-    best = s.groupBy("input_id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("item_id")).alias("ni"),
-                                                    (-F.col("var_idx")).alias("nv"), F.col("score").alias("raw"))).alias("b"))
-    return best.select("input_id", (-F.col("b.ni")).alias("misinfo_id"), (-F.col("b.nv")).alias("var_idx"),
-                       F.round("b.raw", 6).alias("confidence"))
+    # variations are numbered by (claim, variation), so ties fall as they should
+    best = CI.tfidf_top_k(FX.posts(spark, sf), var, post_id="input_id", claim_id="vid", k=1, claim_text="line")
+    best = best.join(broadcast_if(var.select("vid", "item_id", "var_idx"), var.count()), "vid")
+    return best.select("input_id", F.col("item_id").alias("misinfo_id"), "var_idx",
+                       F.round("score", 6).alias("confidence"))
 
 
 @register("readable_predictions")
 def readable_predictions(spark, sf):
     """RET-07 / PRJ-08: per post {input, relevant, predictions[{score,
     claim}]} (top 5 by TF-IDF), exploded back to rows."""
-    top = R.top_claims(FX.tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=5)
+    top = FX.tfidf_best(spark, sf, 5)
     cl = FX.table(spark, sf, "benchmark").select(F.col("item_id").alias("misinfo_id"), F.col("text").alias("claim"))
-    nested = (top.join(broadcast_if(cl, FX.n_rows(spark, sf, "benchmark")), "misinfo_id")
+    nested = (top.join(broadcast_if(cl, *text_bytes(cl, "claim")), "misinfo_id")
                  .groupBy("input_id")
                  .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").alias("misinformation_score"),
                                                            "misinfo_id", "claim"))).alias("predictions"))
@@ -922,8 +939,7 @@ def stream_stance(spark, sf):
     stream = SM.file_stream(spark, f"{base}/in", posts.schema)
     static = claim_side(spark, sf, persist=True)   # stream-static: claims prepared once
     SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b, static), f"{base}/out")
-    for d in (static[0].dfm, static[0].ct, static[0].mb, static[1]):
-        d.unpersist()
+    static[1].unpersist()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 

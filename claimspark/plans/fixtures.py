@@ -133,10 +133,13 @@ def tfidf_scores(spark, sf) -> DataFrame:
                           post_id="input_id", claim_id="misinfo_id")
 
 
-def tfidf_best(spark, sf) -> DataFrame:
-    """TOP-04: best claim per post by TF-IDF cosine (ties: lower claim id)."""
-    from claimspark.operators import retrieval as R
-    return R.top_claims(tfidf_scores(spark, sf), post_id="input_id", claim_id="misinfo_id", k=1).drop("rank")
+def tfidf_best(spark, sf, k: int = 1) -> DataFrame:
+    """TOP-01/04: the ``k`` best claims per post by TF-IDF cosine (ties:
+    lower claim id)."""
+    from claimspark.operators import claim_index as CI
+    best = CI.tfidf_top_k(posts(spark, sf), table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
+                          post_id="input_id", claim_id="misinfo_id", k=k)
+    return best.drop("rank") if k == 1 else best
 
 
 # ----------------------------------------------------------- store views

@@ -55,6 +55,13 @@ SELECT doc_id AS input_id, item_id AS misinfo_id, round(score, 6) AS confidence,
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM tfidf_sc)
 WHERE rank <= 5"""
 
+ORACLE["kept_index_batches"] = ORACLE["tfidf_top5"]
+
+ORACLE["bm25_top5"] = "WITH " + BM25 + """
+SELECT doc_id AS input_id, item_id AS misinfo_id, round(score, 6) AS confidence, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25_sc)
+WHERE rank <= 5"""
+
 ORACLE["tfidf_scores"] = "WITH " + TFIDF + """
 SELECT doc_id AS input_id, 'bow-cosine' AS model_id, CAST(NULL AS INTEGER) AS label_id,
        item_id AS misinfo_id, round(score, 6) AS confidence FROM tfidf_sc"""
