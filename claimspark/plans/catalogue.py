@@ -18,6 +18,7 @@ from claimspark.functions.text import glove_tokens, word_tokens
 from claimspark.functions.vectors import pair_features as _pf
 from claimspark.operators import claim_index as CI
 from claimspark.operators import evaluate as EV
+from claimspark.operators import gradient as GR
 from claimspark.operators import ingest as IG
 from claimspark.operators import mlheads as ML
 from claimspark.operators import relational as RL
@@ -1019,16 +1020,38 @@ def bow_vocabulary(spark, sf):
     return v.select("side", "term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _written(df, name):
+    """A table that a training reads many times, written once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _trained_bow(spark, sf):
+    """The NLI split, its features, and the weights of the BoW head trained
+    on its train part, each a table on shared storage (STN-10)."""
+    data = _written(_nli_split(spark, sf).select("ex_id", "label", "split", "sentence1", "sentence2"), "nli")
+    train = data.where("split = 'train'")
+    vocabulary = _written(ML.bow_vocabulary(train), "vocabulary")
+    features = _written(GR.bow_features(data, vocabulary, id_col="ex_id"), "features")
+    labels = train.select(F.col("ex_id").alias("id"), "label")
+    return data, features, GR.fit_softmax(features, labels, rounds=12, l2=1.0 / max(labels.count(), 1))
+
+
 @register("bow_logreg_accuracy")
 def bow_logreg_accuracy(spark, sf):
-    """STN-01/02/09/10: BoW logistic regression trained on the NLI train
-    split, saved, re-loaded and scored on train and dev."""
-    data = _nli_split(spark, sf)
-    model = ML.fit_bow_logistic(data.filter(F.col("split") == "train"))
-    path = scratch_path(spark, "bowlog")
-    model.save(path)
-    loaded = ML._WithClean.load(path)
-    return ML.accuracy_by_split(loaded.transform(data))
+    """STN-01/02/09/10: BoW softmax regression trained on the NLI train split
+    by distributed sums, its weights saved and read, and scored on train and
+    dev."""
+    data, features, weights = _trained_bow(spark, sf)
+    scored = GR.predict(features, weights)
+    return ML.accuracy_by_split(data.join(scored, data["ex_id"] == scored["id"]))
+
+
+@register("bow_logreg_weights")
+def bow_logreg_weights(spark, sf):
+    """STN-01: the trained weights of every term and class."""
+    return _trained_bow(spark, sf)[2].select("key", *[F.round(f"w{c}", 6).alias(f"w{c}") for c in range(3)])
 
 
 def _nli_vectors(spark, sf, data):
@@ -1044,10 +1067,11 @@ def _nli_vectors(spark, sf, data):
 @register("boe_logreg_accuracy")
 def boe_logreg_accuracy(spark, sf):
     """STN-03: logistic regression on both averaged word vectors."""
-    d = _nli_vectors(spark, sf, _nli_split(spark, sf)) \
-        .withColumn("features", array_to_vector(F.concat("u", "v")))
-    m = ML.fit_vector_logistic(d.filter(F.col("split") == "train"))
-    return ML.accuracy_by_split(m.transform(d))
+    d = _written(_nli_vectors(spark, sf, _nli_split(spark, sf)).select("ex_id", "label", "split", "u", "v"), "pairs")
+    features = GR.vector_features(d, F.concat("u", "v"), id_col="ex_id")
+    labels = d.where("split = 'train'").select(F.col("ex_id").alias("id"), "label")
+    scored = GR.predict(features, GR.fit_softmax(features, labels, rounds=8, l2=1.0 / max(labels.count(), 1)))
+    return ML.accuracy_by_split(d.join(scored, d["ex_id"] == scored["id"]))
 
 
 @register("mlp_pair_classifier")

@@ -804,3 +804,61 @@ SELECT question, p // 100 AS record,
   coalesce(string_agg(CAST(ctx_id AS VARCHAR), ',' ORDER BY p) FILTER (kind = 'positive'), '') AS pos_ids,
   coalesce(string_agg(CAST(ctx_id AS VARCHAR), ',' ORDER BY p) FILTER (kind = 'negative'), '') AS neg_ids,
   md5(coalesce(string_agg(md5(text), '' ORDER BY p), '')) AS texts_md5, CAST(0 AS BIGINT) AS n_empty FROM n GROUP BY 1, 2"""
+
+
+def _softmax_sql(rounds: int, l2: str) -> str:
+    """Rounds of ``gradient.fit_softmax`` over f(id, key, x, label, split),
+    unrolled; the last state is ``s{rounds}``."""
+    out = """,
+tr AS MATERIALIZED (SELECT id, key, x, label FROM f WHERE split = 'train'),
+q AS MATERIALIZED (SELECT count(*) AS n, 2.0 / max(q) AS rate FROM (SELECT id, sum(x * x) AS q FROM tr GROUP BY id)),
+s0 AS MATERIALIZED (SELECT DISTINCT key, 0.0 AS w0, 0.0 AS w1, 0.0 AS w2, 0.0 AS y0, 0.0 AS y1, 0.0 AS y2 FROM tr)"""
+    for r in range(rounds):
+        def each(text: str) -> str:
+            return ", ".join(text.replace("#", str(c)) for c in range(3))
+        out += f""",
+z{r} AS (SELECT id, any_value(label) AS label, {each('sum(x * y#) AS z#')} FROM tr JOIN s{r} USING (key) GROUP BY id),
+e{r} AS MATERIALIZED (SELECT id, {each('exp(z# - greatest(z0, z1, z2)) / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) - (label = #)::DOUBLE AS e#')} FROM z{r}),
+g{r} AS (SELECT key, {each('sum(x * e#) AS g#')} FROM tr JOIN e{r} USING (id) GROUP BY key),
+v{r} AS (SELECT key, {each('w#')}, {each(f"y# - rate * (g# / n + CASE WHEN key = '' THEN 0.0 ELSE {l2} END * y#) AS v#")}
+         FROM g{r} JOIN s{r} USING (key), q),
+s{r + 1} AS MATERIALIZED (SELECT key, {each('v# AS w#')}, {each(f'v# + {r + 1}.0 / {r + 4}.0 * (v# - w#) AS y#')} FROM v{r})"""
+    return out
+
+
+def _accuracy_sql(rounds: int) -> str:
+    best = "CASE WHEN z0 >= greatest(z0, z1, z2) THEN 0 WHEN z1 >= greatest(z0, z1, z2) THEN 1 ELSE 2 END"
+    return f""",
+p AS (SELECT id, any_value(split) AS split, any_value(label) AS label, sum(x * coalesce(w0, 0)) AS z0,
+             sum(x * coalesce(w1, 0)) AS z1, sum(x * coalesce(w2, 0)) AS z2
+      FROM f LEFT JOIN s{rounds} USING (key) GROUP BY id)
+SELECT split, count(*) AS n, avg(({best} = label)::DOUBLE) AS accuracy FROM p GROUP BY split"""
+
+
+_BOW_TRAINED = _SPLIT + f""",
+voc AS MATERIALIZED ({ORACLE["bow_vocabulary"].replace(_SPLIT + ",", "WITH").replace("round(ln(", "(ln(").replace(" + 1, 6)", " + 1)")}),
+tk AS (SELECT ex_id, 'sentence1' AS side, {tokens('strip_accents(sentence1)')} AS w FROM sp
+       UNION ALL SELECT ex_id, 'sentence2', {tokens('strip_accents(sentence2)')} FROM sp),
+tt AS (SELECT ex_id, side, unnest(list_concat(w, list_transform(range(greatest(len(w) - 1, 0)),
+         lambda i: w[i + 1] || ' ' || w[i + 2]))) AS term FROM tk),
+tx2 AS (SELECT ex_id, side, term, count(*) * any_value(idf) AS x FROM tt JOIN voc USING (side, term) GROUP BY ALL),
+f AS MATERIALIZED (SELECT ex_id AS id, key, x, label, split FROM (
+       SELECT ex_id, side || '|' || term AS key, x / sqrt(sum(x * x) OVER (PARTITION BY ex_id, side)) AS x FROM tx2
+       UNION ALL SELECT ex_id, '', 1.0 FROM sp) JOIN sp USING (ex_id))""" + _softmax_sql(12, "1.0 / n")
+
+ORACLE["bow_logreg_accuracy"] = _BOW_TRAINED + _accuracy_sql(12)
+ORACLE["bow_logreg_weights"] = _BOW_TRAINED + """
+SELECT key, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM s12"""
+
+_NLI_MEANS = _SPLIT + f""",
+snt AS (SELECT ex_id || '#0' AS sid, sentence1 AS text FROM sp UNION ALL SELECT ex_id || '#1', sentence2 FROM sp),
+wv AS (SELECT word, {H('word')} % (SELECT count(*) FROM embeddings) AS vec_id
+       FROM (SELECT DISTINCT unnest({glove_toks('text')}) AS word FROM snt)),
+ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),""" + _mean_vec("sm", "snt", "sid")
+
+ORACLE["boe_logreg_accuracy"] = _NLI_MEANS + """,
+uv AS (SELECT sp.ex_id, label, split, list_concat(a.vec, b.vec) AS v
+       FROM sp JOIN sm_m a ON a.id = sp.ex_id || '#0' JOIN sm_m b ON b.id = sp.ex_id || '#1'),
+f AS MATERIALIZED (SELECT ex_id AS id, CAST(i - 1 AS VARCHAR) AS key, x, label, split
+       FROM (SELECT ex_id, label, split, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM uv) WHERE x <> 0
+       UNION ALL SELECT ex_id, '', 1.0, label, split FROM uv)""" + _softmax_sql(8, "1.0 / n") + _accuracy_sql(8)
