@@ -38,7 +38,7 @@ def bow_features(data: DataFrame, vocabulary: DataFrame, *, id_col: str,
     that the vocabulary (side, term, idf) holds, as tf * idf of length 1."""
     parts = []
     for s in sides:
-        toks = data.select(F.col(id_col).alias("id"), word_tokens(strip_accents(s)).alias("w"))
+        toks = data.select(F.col(id_col).alias("id"), word_tokens(F.coalesce(strip_accents(s), F.lit(""))).alias("w"))
         pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))),
                            F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
                            lambda a, b: F.concat(a, F.lit(" "), b))

@@ -46,9 +46,9 @@ def _features_once(train: DataFrame, features: str, label: str) -> tuple[DataFra
 
 
 def _clean(df: DataFrame, sides) -> DataFrame:
-    """FN-04 accent stripping before tokenisation (JVM-side translate)."""
+    """FN-04 accent stripping before tokenisation; a null text is empty."""
     for s in sides:
-        df = df.withColumn(f"{s}_clean", strip_accents(s))
+        df = df.withColumn(f"{s}_clean", F.coalesce(strip_accents(s), F.lit("")))
     return df
 
 

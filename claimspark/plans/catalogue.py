@@ -946,8 +946,8 @@ def stream_stance(spark, sf):
 
 @register("article_dedup_stream")
 def article_dedup_stream(spark, sf):
-    """ING-06 streaming twin: incoming articles as a file stream, each
-    micro-batch appended only with keys never stored (exact dedup)."""
+    """ING-06 streaming twin: incoming articles as a file stream, of which
+    only keys never stored pass (exact dedup by keyed state)."""
     base = scratch_path(spark, "stream-dedup")
     e = FX.table(spark, sf, "events").select(
         F.col("event_type").alias("category"),
@@ -958,9 +958,8 @@ def article_dedup_stream(spark, sf):
     incoming = e.filter(F.col("ts") >= split).select("category", "url", "seq")
     incoming.repartition(4, "category", "url").write.mode("overwrite").parquet(f"{base}/in")
     stream = SM.file_stream(spark, f"{base}/in", incoming.schema)
-    SM.dedup_forever(stream, f"{base}/stored", ["category", "url"], "seq")
-    stored_before = e.filter(F.col("ts") < split).select("category", "url", "seq")
-    return spark.read.parquet(f"{base}/stored").join(stored_before, ["category", "url", "seq"], "left_anti")
+    SM.dedup_keyed(stream, ["category", "url"], "seq", f"{base}/new", stored=f"{base}/stored")
+    return spark.read.schema(incoming.schema).parquet(f"{base}/new")
 
 
 def _stream_daily(spark, sf):
@@ -997,9 +996,29 @@ def stream_daily_events(spark, sf):
     return _stream_daily(spark, sf).select("day", "n_events")
 
 
-# ------------------------------------------------------------- MLlib heads
+@register("stream_weekly_users")
+def stream_weekly_users(spark, sf):
+    """ING-11 / AGG-01: the log as a stream in order; each day's sketch is
+    stored once the watermark has passed it, and weeks are united from the
+    stored days: whether their distinct users are within three standard
+    errors of the exact number."""
+    base = scratch_path(spark, "stream-sketches")
+    ev = FX.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    SM.stage_in_order(ev, f"{base}/in", "ts", 4)
+    stream = SM.file_stream(spark, f"{base}/in", ev.schema)
+    SM.sink_to_parquet(SM.daily_sketches(stream, "ts", "user_id"), f"{base}/days")
+    days = spark.read.parquet(f"{base}/days")
+    week = F.date_format(F.date_trunc("week", "w.start"), "yyyy-MM-dd")
+    found = SM.users_of_spans(days, week, "week")
+    exact = ev.join(days.select("w"), (F.col("ts") >= F.col("w.start")) & (F.col("ts") < F.col("w.end"))
+                    & (F.to_date("ts") == F.to_date("w.start"))) \
+        .groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week")) \
+        .agg(F.count_distinct("user_id").alias("n_users"))
+    near = F.abs(F.col("approx_users") - F.col("n_users")) <= 3 * 1.04 / 64 * F.col("n_users") + 1
+    return found.join(exact, "week").select("week", "n_days", "n_events", "n_users", near.alias("within_bound"))
 
 
+# ------------------------------------------------------------- MLlib heads
 
 def _nli_split(spark, sf):
     e = TR.nli_examples(FX.nli_pairs(spark, sf), NLI_CODES).withColumn("ex_id", F.concat_ws(":", "conv_id", "turn"))
