@@ -1,4 +1,5 @@
-"""Trained stance heads with MLlib (STN-01..03, STN-05, STN-09, STN-10).
+"""A trained stance head as a persisted MLlib pipeline (STN-01, STN-02, STN-10).
+Heads trained by distributed sums are in ``gradient`` and ``tanh_net``.
 
 * BoW logistic: per side RegexTokenizer -> uni+bigrams -> CountVectorizer
   (min df 2) -> smooth idf **+1** (the sklearn weighting; MLlib's ``IDF``
@@ -6,8 +7,6 @@
   ``ElementwiseProduct``) -> L2 ``Normalizer``; both sides assembled;
   multinomial L2 logistic regression with ``regParam = 1 / (C * n_train)``
   (MLlib averages the loss, the reference's solver sums it).
-* Averaged-word-vector logistic: mean word vector of each side (AGG-09).
-* MLP pair classifier on [u, v, |u-v|, u*v].
 
 Training data is persisted once (memory and disk) because every optimizer
 iteration scans it.
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
@@ -38,13 +37,6 @@ def _size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
-def _features_once(train: DataFrame, features: str, label: str) -> tuple[DataFrame, int]:
-    """Features and labels, computed once at the input's width, and their
-    number; only what the optimiser reads is coalesced afterwards."""
-    sel = train.select(features, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    return sel, sel.count()
-
-
 def _clean(df: DataFrame, sides) -> DataFrame:
     """FN-04 accent stripping before tokenisation; a null text is empty."""
     for s in sides:
@@ -138,32 +130,6 @@ class _WithClean:
         return cls(sides, PipelineModel.load(path))
 
 
-def fit_vector_logistic(train: DataFrame, *, features: str = "features", label: str = "label",
-                        C: float = 1.0, max_iter: int = 100):
-    """STN-03 / STN-04 (trained): logistic regression on a dense feature
-    vector column (e.g. both averaged word vectors)."""
-    sel, n = _features_once(train, features, label)
-    data = _size_partitions(sel, n)
-    m = LogisticRegression(family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
-                           maxIter=max_iter, standardization=False, featuresCol=features,
-                           labelCol="label").fit(data)
-    sel.unpersist()
-    return m
-
-
-def fit_mlp(train: DataFrame, *, features: str = "features", label: str = "label", hidden=(16,),
-            max_iter: int = 50, seed: int = 42):
-    """STN-05: multilayer perceptron pair classifier (MLlib's hidden layers
-    are sigmoid; the reference's recurrent encoder is not built)."""
-    sel, n = _features_once(train, features, label)
-    n_in = len(sel.first()[0])
-    data = _size_partitions(sel, n)
-    m = MultilayerPerceptronClassifier(layers=[n_in, *hidden, 3], maxIter=max_iter, seed=seed,
-                                       featuresCol=features, labelCol="label").fit(data)
-    sel.unpersist()
-    return m
-
-
 def accuracy_by_split(scored: DataFrame, split: str = "split", label: str = "label",
                       prediction: str = "prediction") -> DataFrame:
     """STN-09 / AGG-04: accuracy per split, one aggregate."""

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from claimspark.operators import mlheads as ML
 from claimspark.operators import relational as RL
 from claimspark.operators import retrieval as R
 from claimspark.operators import stance as ST
+from claimspark.operators import tanh_net as TN
 from claimspark.operators import training as TR
 from claimspark.operators import vector_search as VS
 from claimspark.operators.common import broadcast_if, text_bytes
@@ -1093,13 +1093,33 @@ def boe_logreg_accuracy(spark, sf):
     return ML.accuracy_by_split(d.join(scored, d["ex_id"] == scored["id"]))
 
 
+def _pair_examples(spark, sf):
+    d = _nli_vectors(spark, sf, _nli_split(spark, sf))
+    return _written(d.select("ex_id", "label", "split", _pf("u", "v", ("u", "v", "absdiff", "prod")).alias("features")),
+                    "pairs")
+
+
 @register("mlp_pair_classifier")
 def mlp_pair_classifier(spark, sf):
-    """STN-05: MLP on [u, v, |u-v|, u*v] pair features."""
-    d = _nli_vectors(spark, sf, _nli_split(spark, sf)) \
-        .withColumn("features", array_to_vector(_pf("u", "v", ("u", "v", "absdiff", "prod"))))
-    m = ML.fit_mlp(d.filter(F.col("split") == "train"))
-    return ML.accuracy_by_split(m.transform(d))
+    """STN-05: three hidden tanh layers on [u, v, |u-v|, u*v] pair features,
+    trained data-parallel."""
+    d = _pair_examples(spark, sf)
+    layers = TN.fit(d.where("split = 'train'"), id_col="ex_id")
+    z = TN.logits_column(spark, F.col("features"), layers)
+    return ML.accuracy_by_split(d.withColumn("z", z).withColumn(
+        "prediction", F.array_position("z", F.array_max("z")) - 1))
+
+
+@register("tanh_forward")
+def tanh_forward(spark, sf):
+    """STN-05: the forward pass of every pair for stated weights, the sines
+    of their places over the root of the layer's inputs."""
+    d = _pair_examples(spark, sf)
+    sizes = [len(d.first()["features"]), 8, 8, 8, 3] if d.count() else [1, 8, 8, 8, 3]
+    layers = [(np.sin(7.0 * np.arange(a)[:, None] + 13.0 * np.arange(b)[None, :] + 17.0 * l + 1.0) / np.sqrt(a),
+               np.cos(np.arange(b) + 3.0 * l)) for l, (a, b) in enumerate(zip(sizes, sizes[1:]))]
+    z = TN.logits_column(spark, F.col("features"), layers)
+    return d.select("ex_id", z.alias("z")).select("ex_id", *[F.round(F.get("z", F.lit(c)), 6).alias(f"z{c}") for c in range(3)])
 
 
 # ------------------------------------------------------- more operators

@@ -868,3 +868,25 @@ uv AS (SELECT sp.ex_id, label, split, list_concat(a.vec, b.vec) AS v
 f AS MATERIALIZED (SELECT ex_id AS id, CAST(i - 1 AS VARCHAR) AS key, x, label, split
        FROM (SELECT ex_id, label, split, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM uv) WHERE x <> 0
        UNION ALL SELECT ex_id, '', 1.0, label, split FROM uv)""" + _softmax_sql(8, "1.0 / n") + _accuracy_sql(8)
+
+
+def _tanh_sql() -> str:
+    out, last = "", "v"
+    for l in range(4):
+        width = 3 if l == 3 else 8
+        unit = (f"list_sum(list_transform(range(len({last})), lambda i: {last}[i + 1] * sin(7.0 * i + 13.0 * j + {17 * l + 1}.0)"
+                f" / sqrt(len({last})))) + cos(j + {3 * l}.0)")
+        unit = unit if l == 3 else f"tanh({unit})"
+        out += f""",
+h{l} AS MATERIALIZED (SELECT ex_id, list(u ORDER BY j) AS h{l} FROM (SELECT ex_id, j, {unit} AS u
+       FROM {'uv' if l == 0 else f'h{l - 1}'}, (SELECT unnest(range({width})) AS j)) GROUP BY ex_id)"""
+        last = f"h{l}"
+    return out
+
+
+ORACLE["tanh_forward"] = _NLI_MEANS + """,
+uv AS (SELECT sp.ex_id, list_concat(list_concat(a.vec, b.vec), list_concat(
+         list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2])),
+         list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2]))) AS v
+       FROM sp JOIN sm_m a ON a.id = sp.ex_id || '#0' JOIN sm_m b ON b.id = sp.ex_id || '#1')""" + _tanh_sql() + """
+SELECT ex_id, round(h3[1], 6) AS z0, round(h3[2], 6) AS z1, round(h3[3], 6) AS z2 FROM h3"""

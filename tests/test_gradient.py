@@ -2,9 +2,11 @@
 head's persistence."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from claimspark.operators import gradient as GR
 from claimspark.operators import mlheads as ML
+from claimspark.operators import tanh_net as TN
 
 
 def numpy_fit(x, y, rounds, l2):
@@ -60,3 +62,46 @@ def test_mllib_head_keeps_its_predictions_when_saved(spark, tmp_path):
     again = ML._WithClean.load(str(tmp_path / "m")).transform(train).select("label", "prediction").collect()
     assert [tuple(r) for r in again] == [tuple(r) for r in model.transform(train).select("label", "prediction").collect()]
     assert sum(r.label == r.prediction for r in again) == len(rows)
+
+
+# --- hidden tanh layers -----------------------------------------------------
+
+def net_data(spark, n=300):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (n, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int) + (x[:, 2] > 0.8)
+    return x, y, spark.createDataFrame([(f"e{i}", x[i].tolist(), int(y[i])) for i in range(n)],
+                                       "id string, features array<double>, label long")
+
+
+def test_tanh_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(0)
+    x, y, sizes = rng.normal(0, 1, (9, 4)), rng.integers(0, 3, 9), [4, 5, 5, 5, 3]
+    values = TN.flat(TN.first_layers(sizes, 1))
+    _, grad = TN.loss_gradient(x, y, TN.unflat(values, sizes))
+    for at in rng.integers(0, len(values), 25):
+        up, down = values.copy(), values.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        slope = (TN.loss_gradient(x, y, TN.unflat(up, sizes))[0] - TN.loss_gradient(x, y, TN.unflat(down, sizes))[0]) / 2e-5
+        assert abs(slope - grad[at]) < 1e-5
+
+
+def test_tanh_net_learns_and_does_not_depend_on_the_dealing(spark, monkeypatch):
+    monkeypatch.setattr(TN, "ROWS_PER_PART", 12)  # 25 parts: two levels of merging
+    x, y, df = net_data(spark)
+    args = dict(id_col="id", hidden=(12, 12, 12), rounds=25, rate=0.03)
+    layers = TN.fit(df, **args)
+    again = TN.fit(df.repartition(7), **args)
+    assert all((a == b).all() for p, q in zip(layers, again) for a, b in zip(p, q))
+    # the same steps on the whole table at once
+    sizes = [4, 12, 12, 12, 3]
+    values = TN.flat(TN.first_layers(sizes, 42))
+    m = v = np.zeros_like(values)
+    for step in range(1, 26):
+        g = TN.loss_gradient(x, y, TN.unflat(values, sizes))[1] / len(x)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        values = values - 0.03 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    assert np.allclose(TN.flat(layers), values, atol=1e-6)
+    z = [r.z for r in df.orderBy(F.substring("id", 2, 9).cast("int")).select(TN.logits_column(spark, F.col("features"), layers).alias("z")).collect()]
+    assert np.allclose(z, TN.forward(x, layers)[-1]) and (np.argmax(z, axis=1) == y).mean() > 0.8
