@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -996,6 +997,33 @@ def stream_daily_events(spark, sf):
     return _stream_daily(spark, sf).select("day", "n_events")
 
 
+@register("resumed_requests")
+def resumed_requests(spark, sf):
+    """ING-08 / JOIN-12: post ids in four files, asked for in requests of 100;
+    the run breaks in its third batch and is started again.  Per post the
+    length of what came and how often it was written."""
+    base = scratch_path(spark, "requests")
+    docs = FX.table(spark, sf, "documents").select("doc_id", "text")
+    SM.stage_files(docs.select("doc_id"), f"{base}/in", 4)
+    calls = []
+
+    def fetch(requests):
+        calls.append(1)
+        if len(calls) == 3:
+            raise ConnectionError("the service went away")
+        ids = requests.select("batch", F.explode(F.split("ids", ",").cast("array<bigint>")).alias("doc_id"))
+        return ids.join(docs, "doc_id").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+    for _ in range(2):
+        stream = SM.file_stream(spark, f"{base}/in", docs.select("doc_id").schema)
+        try:
+            SM.request_stream(stream, "doc_id", 100, fetch, f"{base}/out", f"{base}/ledger")
+        except StreamingQueryException:
+            if len(calls) != 3:
+                raise
+    return spark.read.parquet(f"{base}/out").groupBy("doc_id", "n_chars").agg(F.count(F.lit(1)).alias("n_written"))
+
+
 @register("stream_weekly_users")
 def stream_weekly_users(spark, sf):
     """ING-11 / AGG-01: the log as a stream in order; each day's sketch is

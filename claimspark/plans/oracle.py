@@ -780,6 +780,9 @@ ORACLE["file_unique_counts"] = """SELECT 2 * count(DISTINCT doc_id % 8) AS n_fil
 ORACLE["stream_unique_counts"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events,
   count(DISTINCT user_id) AS n_users, true AS within_bound FROM events GROUP BY 1"""
 
+ORACLE["resumed_requests"] = """SELECT doc_id, length(text) AS n_chars, count(*) AS n_written
+FROM documents GROUP BY doc_id, length(text)"""
+
 # a day is emitted once the watermark, an hour behind the last event, has passed its end
 ORACLE["stream_weekly_users"] = """WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id FROM events
   WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)

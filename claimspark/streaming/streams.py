@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.operators.ingest import anti_join_stored, first_per_key
+from claimspark.operators.ingest import anti_join_stored, first_per_key, request_batches
 from claimspark.session import checkpoint_dir, path_exists, scratch_path
 
 
@@ -57,6 +57,15 @@ def score_stream(stream: DataFrame, batch_fn, sink: str, checkpoint: str | None
     return _run(stream.writeStream.foreachBatch(each), checkpoint)
 
 
+def request_stream(stream: DataFrame, id_col: str, n: int, fetch, out: str, checkpoint: str):
+    """ING-08 / JOIN-12 with resume: ids that arrive as files are asked for in
+    requests of ``n`` by ``fetch``, a function of the request table (batch,
+    n_ids, ids).  The checkpoint is the ledger of finished batches and each
+    batch writes one folder, so a run that broke goes on with the batch it
+    broke in and asks for no finished one again."""
+    return score_stream(stream, lambda batch: fetch(request_batches(batch, id_col, n)), out, checkpoint)
+
+
 def dedup_forever(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str | None = None):
     """ING-06 (exact): append rows whose key was never stored.  Batches are
     processed in order, so keys of earlier batches are in the table."""
@@ -153,7 +162,7 @@ def sink_to_parquet(agg: DataFrame, sink: str, checkpoint: str | None = None, mo
     return _run(agg.writeStream.format("parquet").outputMode(mode).option("path", sink), checkpoint)
 
 
-__all__ = ["stage_files", "stage_in_order", "file_stream", "score_stream", "dedup_forever", "dedup_keyed",
+__all__ = ["stage_files", "stage_in_order", "file_stream", "score_stream", "request_stream", "dedup_forever", "dedup_keyed",
            "dedup_within_watermark", "daily_distinct_counts", "daily_sketches", "users_of_spans", "sink_to_parquet",
            "checkpoint_dir"]
 

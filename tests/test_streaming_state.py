@@ -64,3 +64,34 @@ def test_daily_sketches_append_once_and_leave_late_rows_out(spark, tmp_path):
     week = SM.users_of_spans(days, F.date_trunc("week", "w.start"), "week").first()
     assert (week.n_days, week.n_events) == (2, 5050)
     assert abs(week.approx_users - 4000) <= 3 * 1.04 / 64 * 4000
+
+
+def test_requests_go_on_after_a_crash(spark, tmp_path):
+    """Each batch is written once, and no finished one is asked for again."""
+    import pytest
+    from pyspark.errors import StreamingQueryException
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for f in range(4):
+        land(spark, [(10 * f + i,) for i in range(10)], src, "id long")
+    asked = []
+
+    def fetch(requests):
+        rows = requests.collect()
+        asked.append(sorted(int(i) for r in rows for i in r.ids.split(",")))
+        assert all(r.n_ids <= 3 for r in rows) and len(rows) == 4
+        if len(asked) == 3:
+            raise ConnectionError
+        return requests.select("ids")
+
+    def run():
+        stream = SM.file_stream(spark, src, "id long")
+        SM.request_stream(stream, "id", 3, fetch, out, ck)
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    run()
+    run()
+    assert len(asked) == 5 and asked[2] == asked[3]
+    assert sorted(i for a in asked[:2] + asked[3:] for i in a) == list(range(40))
+    written = [int(i) for r in spark.read.parquet(out).collect() for i in r.ids.split(",")]
+    assert sorted(written) == list(range(40))
