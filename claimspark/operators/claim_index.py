@@ -241,11 +241,11 @@ def top_k(posts: DataFrame, postings: DataFrame, *, post_id: str, claim_id: str,
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for pdf in batches:
-            p, c, score, rank = score_batch(ix, [t if t is not None else [] for t in pdf["_h"]], k, prune_rows)
-            yield pd.DataFrame({post_id: pdf["_p"].to_numpy()[p], claim_id: ix.ids[c], "score": score, "rank": rank})
+            p, c, score, rank = score_batch(ix, [t if t is not None else [] for t in pdf["h"]], k, prune_rows)
+            yield pd.DataFrame({post_id: pdf["pid"].to_numpy()[p], claim_id: ix.ids[c], "score": score, "rank": rank})
 
-    hashed = spread(posts.select(post_id, text)).select(F.col(post_id).alias("_p"),
-                          F.transform(tokenizer(F.col(text)), lambda t: F.xxhash64(t)).alias("_h"))
+    dealt = spread(posts.select(F.col(post_id).alias("pid"), F.col(text).alias("text")), "pid")
+    hashed = dealt.select("pid", F.transform(tokenizer(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
     kind = posts.schema[post_id].dataType.simpleString()
     return hashed.mapInPandas(best, f"`{post_id}` {kind}, `{claim_id}` {ids}, score double, rank bigint")
 

@@ -62,8 +62,8 @@ def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFra
     return df.repartition(n, key) if n > floor else df.repartition(key)
 
 
-def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Rows dealt over all cores where the input has few splits (a small
-    table in one file); an input of many splits is read as it lies."""
+def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
+    """Rows dealt over all cores by a key where the input has few splits (a
+    small table in one file); an input of many splits is read as it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < per_core * cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < per_core * cores else df
