@@ -14,12 +14,15 @@ iteration scans it.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +40,32 @@ def _size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
-def _clean(df: DataFrame, sides) -> DataFrame:
-    """FN-04 accent stripping before tokenisation; a null text is empty."""
-    for s in sides:
-        df = df.withColumn(f"{s}_clean", F.coalesce(strip_accents(s), F.lit("")))
-    return df
+class AccentFolder(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """FN-04 as a stage, so that cleaning is saved with the model (STN-10): each
+    input column without accents as the output column; a null text is empty."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({out: F.coalesce(strip_accents(c), F.lit(""))
+                               for c, out in zip(self.getInputCols(), self.getOutputCols())})
+
+
+def folder(sides) -> AccentFolder:
+    return AccentFolder(inputCols=list(sides), outputCols=[f"{s}_clean" for s in sides])
+
+
+def judge_stance(pairs: DataFrame, model: Transformer) -> DataFrame:
+    """UDF-05: any stance model, own or the user's, as a Transformer that adds
+    ``prediction`` (class code) and ``probability`` (of the classes, an array
+    or a vector): the pairs with ``label_id`` and ``confidence``."""
+    scored = model.transform(pairs)
+    p = F.col("probability") if scored.schema["probability"].dataType.typeName() == "array" else vector_to_array("probability")
+    return scored.select(*pairs.columns, F.col("prediction").cast("bigint").alias("label_id"),
+                         F.array_max(p).alias("confidence"))
 
 
 def vocabulary_size(df: DataFrame, terms: str, min_df: int) -> int:
@@ -64,7 +88,7 @@ def _term_stages(side: str) -> list:
 def bow_vocabulary(train: DataFrame, *, sides=("sentence1", "sentence2"), min_df: int = 2) -> DataFrame:
     """STN-01's vocabularies as a table (side, term, df, idf): every term in
     at least ``min_df`` rows, idf = ln((n + 1) / (df + 1)) + 1."""
-    data = _clean(train, sides)
+    data = folder(sides).transform(train)
     n = data.count()
     out = None
     for s in sides:
@@ -79,7 +103,7 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
                      C: float = 1.0, max_iter: int = 100, min_df: int = 2) -> PipelineModel:
     """STN-01: one ``PipelineModel`` with both vectorisers and the
     classifier (Q33: a single artefact for training and scoring)."""
-    data = _clean(train, sides).persist(StorageLevel.MEMORY_AND_DISK)
+    data = folder(sides).transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
     stages, fitted = [], []
     for s in sides:
@@ -107,27 +131,7 @@ def fit_bow_logistic(train: DataFrame, *, sides=("sentence1", "sentence2"), labe
     model = lr.fit(_size_partitions(feats, n))
     feats.unpersist()
     data.unpersist()
-    return _WithClean(sides, PipelineModel(stages=fitted + [model]))
-
-
-class _WithClean:
-    """STN-02 scoring (class, probabilities, max probability via the
-    LogisticRegression output columns): cleans the text columns, then the
-    fitted pipeline (the pipeline itself is what is persisted).  The fitted
-    pipeline is the stance model as an MLlib Transformer (UDF-05)."""
-
-    def __init__(self, sides, model: PipelineModel):
-        self.sides, self.model = sides, model
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_clean(df, self.sides))
-
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
-
-    @classmethod
-    def load(cls, path: str, sides=("sentence1", "sentence2")) -> "_WithClean":
-        return cls(sides, PipelineModel.load(path))
+    return PipelineModel(stages=[folder(sides), *fitted, model])
 
 
 def accuracy_by_split(scored: DataFrame, split: str = "split", label: str = "label",

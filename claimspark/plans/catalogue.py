@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.errors import StreamingQueryException
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1150,6 +1153,37 @@ def tanh_forward(spark, sf):
     return d.select("ex_id", z.alias("z")).select("ex_id", *[F.round(F.get("z", F.lit(c)), 6).alias(f"z{c}") for c in range(3)])
 
 
+class OverlapStance(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A stance model as a user may bring it: by the share of the reply's
+    different words that the claim holds."""
+    least = Param(Params._dummy(), "least", "share from which a reply is about the claim", TypeConverters.toFloat)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(least=0.1)
+
+    def _transform(self, df):
+        said = F.array_distinct(word_tokens("sentence2_clean"))
+        share = F.coalesce(F.try_divide(F.size(F.array_intersect(said, word_tokens("sentence1_clean"))), F.size(said)), F.lit(0.0))
+        least = self.getOrDefault(self.least)
+        part = F.when(share >= least, F.array(share, 1 - share, F.lit(0.0))).otherwise(F.array(F.lit(0.0), share, 1 - share))
+        return df.withColumn("probability", part).withColumn(
+            "prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
+
+
+@register("user_stance_model")
+def user_stance_model(spark, sf):
+    """UDF-05 / STN-10: a user's model, with the cleaning before it, saved as
+    one pipeline, loaded and applied."""
+    path = scratch_path(spark, "user-stance")
+    mine = OverlapStance()
+    mine._set(least=0.2)
+    PipelineModel(stages=[ML.folder(("sentence1", "sentence2")), mine]).write().overwrite().save(path)
+    pairs = _nli_split(spark, sf).select("ex_id", "label", "sentence1", "sentence2")
+    return ML.judge_stance(pairs, PipelineModel.load(path)).select(
+        "ex_id", "label", "label_id", F.round("confidence", 6).alias("confidence"))
+
+
 # ------------------------------------------------------- more operators
 @register("user_encoder_topk")
 def user_encoder_topk(spark, sf):

@@ -893,3 +893,11 @@ uv AS (SELECT sp.ex_id, list_concat(list_concat(a.vec, b.vec), list_concat(
          list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2]))) AS v
        FROM sp JOIN sm_m a ON a.id = sp.ex_id || '#0' JOIN sm_m b ON b.id = sp.ex_id || '#1')""" + _tanh_sql() + """
 SELECT ex_id, round(h3[1], 6) AS z0, round(h3[2], 6) AS z1, round(h3[3], 6) AS z2 FROM h3"""
+
+ORACLE["user_stance_model"] = _SPLIT + f""",
+w AS (SELECT ex_id, label, list_distinct({tokens("strip_accents(coalesce(sentence2, ''))")}) AS said,
+             {tokens("strip_accents(coalesce(sentence1, ''))")} AS claim FROM sp),
+sh AS (SELECT ex_id, label, CASE WHEN len(said) = 0 THEN 0.0 ELSE len(list_intersect(said, claim)) * 1.0 / len(said) END AS s FROM w)
+SELECT ex_id, label, CAST(CASE WHEN s >= 0.2 THEN CASE WHEN s >= 1 - s THEN 0 ELSE 1 END
+                              ELSE CASE WHEN s >= 1 - s THEN 1 ELSE 2 END END AS BIGINT) AS label_id,
+       round(greatest(s, 1 - s), 6) AS confidence FROM sh"""

@@ -2,6 +2,7 @@
 head's persistence."""
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from claimspark.operators import gradient as GR
@@ -58,8 +59,11 @@ def test_mllib_head_keeps_its_predictions_when_saved(spark, tmp_path):
         + [(f"odd é {i}", "maybe", 2) for i in range(12)]
     train = spark.createDataFrame(rows, "sentence1 string, sentence2 string, label long")
     model = ML.fit_bow_logistic(train, max_iter=20)
-    model.save(str(tmp_path / "m"))
-    again = ML._WithClean.load(str(tmp_path / "m")).transform(train).select("label", "prediction").collect()
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m"))  # the cleaning is part of it
+    again = loaded.transform(train).select("label", "prediction").collect()
+    judged = ML.judge_stance(train, loaded).collect()
+    assert [r.label_id for r in judged] == [int(r.prediction) for r in again] and all(1 / 3 < r.confidence <= 1 for r in judged)
     assert [tuple(r) for r in again] == [tuple(r) for r in model.transform(train).select("label", "prediction").collect()]
     assert sum(r.label == r.prediction for r in again) == len(rows)
 
