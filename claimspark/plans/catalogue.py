@@ -15,6 +15,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimspark.functions.misc import ANNOTATION_CODES, NLI_CODES, day_window, label_code, utc_stamp
 from claimspark.functions.text import glove_tokens, word_tokens
@@ -1153,6 +1154,22 @@ def tanh_forward(spark, sf):
     return d.select("ex_id", z.alias("z")).select("ex_id", *[F.round(F.get("z", F.lit(c)), 6).alias(f"z{c}") for c in range(3)])
 
 
+@register("seed_yaml_roundtrip")
+def seed_yaml_roundtrip(spark, sf):
+    """SRC-09: seed dimensions written as one YAML file per region, read back
+    from the store through Spark."""
+    n = FX.table(spark, sf, "nation")
+    record = F.concat(F.lit("  - id: "), F.col("n_nationkey").cast("string"), F.lit("\n    name: \""), F.col("n_name"),
+                      F.lit("\"\n"))
+    files = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(record)), "").alias("r")).select(
+        F.col("n_regionkey").alias("region"), F.concat(F.lit("table_class: Label\nrecords:\n"), "r").alias("value"))
+    base = scratch_path(spark, "seeds")
+    files.write.partitionBy("region").text(base)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("misc", T.StringType())])
+    return SR.read_seed_yaml(spark, f"{base}/region=*", schema)
+
+
 class OverlapStance(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """A stance model as a user may bring it: by the share of the reply's
     different words that the claim holds."""

@@ -901,3 +901,5 @@ sh AS (SELECT ex_id, label, CASE WHEN len(said) = 0 THEN 0.0 ELSE len(list_inter
 SELECT ex_id, label, CAST(CASE WHEN s >= 0.2 THEN CASE WHEN s >= 1 - s THEN 0 ELSE 1 END
                               ELSE CASE WHEN s >= 1 - s THEN 1 ELSE 2 END END AS BIGINT) AS label_id,
        round(greatest(s, 1 - s), 6) AS confidence FROM sh"""
+
+ORACLE["seed_yaml_roundtrip"] = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS misc FROM nation"

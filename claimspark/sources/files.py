@@ -7,6 +7,9 @@ the readers themselves; the source file of each row is taken from the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,14 +112,19 @@ def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_seed_yaml(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC-09: ``{table_class, records}`` seed file -> rows (a handful of
-    dimension rows, read on the driver by design)."""
-    import yaml
-    with open(path) as f:
-        doc = yaml.safe_load(f)
+    """SRC-09: ``{table_class, records}`` seed files -> rows.  Files come
+    from any store that Spark reads and each is parsed in its task; a record
+    without a field gives null, a file without records no row."""
     names = schema.names
-    rows = [tuple(r.get(n) for n in names) for r in doc.get("records", [])]
-    return spark.createDataFrame(rows, schema)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+        for pdf in batches:
+            for text in pdf["value"]:
+                records = (yaml.safe_load(text) or {}).get("records") or []
+                yield pd.DataFrame([[r.get(n) for n in names] for r in records], columns=names, dtype=object)
+
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, schema)
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
