@@ -250,6 +250,24 @@ def annotation_inputs(rows: DataFrame) -> DataFrame:
                                    F.lit("Twitter").alias("source_type")), ["source_id"], "doc_id")
 
 
+def load_annotations(raw: DataFrame, stored_inputs: DataFrame, stored_outputs: DataFrame, label: Column, *,
+                     model_id: str = "human") -> tuple[DataFrame, DataFrame]:
+    """ING-03: the new inputs (source_id, text, source_type, doc_id, id) and
+    new outputs (input_id, model_id, misinfo_id, label_id, confidence, doc_id,
+    id) of an annotation file: inputs are inserted if new (ING-01), every
+    labelled row is joined to its input, new or stored (JOIN-03), and outputs
+    are inserted if new by (input, model, claim).  A file loaded again, or
+    again with more rows, adds only what is not stored."""
+    inputs, _ = insert_if_new(annotation_inputs(raw), stored_inputs, key=["source_id"], order="doc_id")
+    ids = inputs.select("source_id", "id").unionByName(stored_inputs.select("source_id", "id")) \
+        .withColumnRenamed("id", "input_id")
+    rows = raw.filter((F.length("label") > 0) & (F.length("tweet_id") > 0))
+    outputs = rows.join(ids, rows["tweet_id"] == ids["source_id"]).select(
+        "input_id", F.lit(model_id).alias("model_id"), F.col("misconception_id").alias("misinfo_id"),
+        label.cast("bigint").alias("label_id"), F.lit(1.0).alias("confidence"), "doc_id")
+    return inputs, insert_if_new(outputs, stored_outputs, key=["input_id", "model_id", "misinfo_id"], order="doc_id")[0]
+
+
 # UDF-04: per-format record reshapers, applied with ``df.transform(RESHAPERS[name])``.
 RESHAPERS = {
     "initial_wiki": lambda df: claims_to_rows(df, keep_id=True),

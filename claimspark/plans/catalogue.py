@@ -417,6 +417,22 @@ def annotation_csv_load(spark, sf):
                         F.lit(1.0).alias("confidence"), F.lit("human").alias("model_id")))
 
 
+@register("annotation_outputs_insert")
+def annotation_outputs_insert(spark, sf):
+    """ING-03: an annotation file loaded in two passes, inputs and then
+    outputs, and loaded again when it has grown: only new rows are added."""
+    raw = FX.annotation_rows(spark, sf)
+    base = scratch_path(spark, "annotations")
+    inputs = spark.createDataFrame([], "source_id string, id bigint")
+    outputs = spark.createDataFrame([], "input_id bigint, model_id string, misinfo_id bigint, id bigint")
+    code = label_code("label", ANNOTATION_CODES, 2)
+    for load, rows in enumerate((raw.where("doc_id % 2 = 0"), raw)):
+        for name, new in zip(("input", "output"), IG.load_annotations(rows, inputs, outputs, code)):
+            new.withColumn("load", F.lit(load)).write.mode("append").parquet(f"{base}/{name}")
+        inputs, outputs = (spark.read.parquet(f"{base}/{n}") for n in ("input", "output"))
+    return outputs.select("load", "id", "input_id", "misinfo_id", "label_id", "model_id")
+
+
 @register("claims_to_table")
 def claims_to_table(spark, sf):
     """PRJ-03 / ING-04: claim records -> misinformation rows keyed by text."""

@@ -903,3 +903,18 @@ SELECT ex_id, label, CAST(CASE WHEN s >= 0.2 THEN CASE WHEN s >= 1 - s THEN 0 EL
        round(greatest(s, 1 - s), 6) AS confidence FROM sh"""
 
 ORACLE["seed_yaml_roundtrip"] = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS misc FROM nation"
+
+ORACLE["annotation_outputs_insert"] = ORACLE["annotation_csv_load"].split("firsts AS")[0] + """
+i1 AS (SELECT tweet_id, row_number() OVER (ORDER BY min(doc_id)) AS input_id FROM r WHERE doc_id % 2 = 0 GROUP BY tweet_id),
+i2 AS (SELECT tweet_id, (SELECT count(*) FROM i1) + row_number() OVER (ORDER BY min(doc_id)) AS input_id
+       FROM r WHERE tweet_id NOT IN (SELECT tweet_id FROM i1) GROUP BY tweet_id),
+o AS (SELECT doc_id, input_id, misconception_id AS misinfo_id,
+             CASE label WHEN 'pos' THEN 0 WHEN 'neg' THEN 1 ELSE 2 END AS label_id
+      FROM r JOIN (SELECT * FROM i1 UNION ALL SELECT * FROM i2) USING (tweet_id)),
+o1 AS (SELECT input_id, misinfo_id, arg_min(label_id, doc_id) AS label_id, row_number() OVER (ORDER BY min(doc_id)) AS id
+       FROM o WHERE doc_id % 2 = 0 GROUP BY ALL),
+o2 AS (SELECT input_id, misinfo_id, arg_min(label_id, doc_id) AS label_id,
+              (SELECT count(*) FROM o1) + row_number() OVER (ORDER BY min(doc_id)) AS id
+       FROM o WHERE (input_id, misinfo_id) NOT IN (SELECT (input_id, misinfo_id) FROM o1) GROUP BY ALL)
+SELECT CAST(0 AS INTEGER) AS load, id, input_id, misinfo_id, CAST(label_id AS BIGINT) AS label_id, 'human' AS model_id FROM o1
+UNION ALL SELECT 1, id, input_id, misinfo_id, CAST(label_id AS BIGINT), 'human' FROM o2"""
