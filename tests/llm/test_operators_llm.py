@@ -158,6 +158,56 @@ def test_changed_passages_are_found(spark, words, rate):
     assert pairs <= {(2 * case + 1, 2 * case) for case in range(40)} and len(pairs) >= 34
 
 
+def changed(rng, words, rate, indels):
+    """The words with about ``rate`` of them substituted, or, half of the
+    time if ``indels``, left out or followed by another word."""
+    out = []
+    at = set(rng.sample(range(len(words)), round(rate * len(words))))
+    for i, w in enumerate(words):
+        kind = rng.choice("ssid" if indels else "s") if i in at else "-"
+        out += {"s": [prose(rng, 1) + "z"], "i": [w, prose(rng, 1) + "z"], "d": [], "-": [w]}[kind]
+    return out
+
+
+@pytest.mark.parametrize("words,rate", [(50, 0.1), (60, 0.15), (80, 0.15)])
+def test_passages_with_words_left_out_and_put_in(spark, words, rate):
+    rng = random.Random(words + 1)
+    table, due = [], set()
+    for case in range(40):
+        a = prose(rng, words).split()
+        b = changed(rng, a, rate, True)
+        if substring_chain.common_words(a, b) >= 0.8 * max(len(a), len(b)) and len(b) >= 40:  # brute force
+            due.add((2 * case + 1, 2 * case))
+        table += [(2 * case + n, f"{prose(rng, 40)} {' '.join(t)} {prose(rng, 40)}") for n, t in enumerate((a, b))]
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert len(due) >= 30 and len(due & pairs) >= 0.9 * len(due)
+
+
+def test_a_changed_passage_whose_halves_stand_in_earlier_documents(spark):
+    rng = random.Random(77)
+    table, due = [], set()
+    for case in range(60):
+        halves = [prose(rng, 30).split() for _ in range(2)]
+        passage = halves[0] + halves[1]
+        texts = [*halves, passage, changed(rng, passage, 0.1, False)]
+        table += [(10 * case + i, f"{prose(rng, 35)} {' '.join(t)} {prose(rng, 35)}") for i, t in enumerate(texts)]
+        due.add((10 * case + 3, 10 * case + 2))
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert len(due & {(r.doc_id, r.other_id) for r in found}) >= 54
+
+
+def test_links_equal_brute_force_where_a_seed_is_hot(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, *range(3, 40)]), rng.randrange(4000), 2 * rng.randrange(90)) for _ in range(9000)]
+    rows = [(h, d, at + h % 2) for h, d, at in rows]
+    first = {h: min((d, at) for g, d, at in rows if g == h) for h in {r[0] for r in rows}}
+    due = sorted((h, d, at, *first[h]) for h, d, at in rows
+                 if d != first[h][0] or (at % 2 and at != first[h][1]))
+    got = substring_chain.links(spark.createDataFrame(rows, substring_chain.SEED_SCHEMA).repartition(5))
+    assert sorted(tuple(r) for r in got.collect()) == due
+
+
 # --- 2 quality ------------------------------------------------------------
 
 def brute_stats(text):
