@@ -7,6 +7,8 @@ ordered digests (AGG-17) and configuration overlay (FN-28).
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,15 +161,51 @@ def newest_groups(df: DataFrame, group_col: Column, m: int, name: str = "grp") -
     return g.join(F.broadcast(top), name)
 
 
-def _unescaped(c: Column) -> Column:
-    """The five predefined character references of HTML."""
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(mark))
-    return c
-
-
-def _attribute(attrs: str, name: str) -> Column:
-    return _unescaped(F.regexp_extract(attrs, rf"""(?:^|\s){name}\s*=\s*["']([^"']*)["']""", 1))
+class _CardParser(HTMLParser):
+    """The ``<article>`` elements of a page in order of their start, nested
+    ones too: [id, link, strings of the first link in the first ``h2`` of the
+    first ``header``].  Comments, scripts and tags inside attribute values are
+    what the parser takes them for; an element left open ends with the one
+    around it."""
+    PATH = ("header", "h2", "a")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.cards, self.open = [], []  # open: (card, steps of PATH entered, whether the path has ended)
+
+    def handle_starttag(self, tag, attrs):
+        for state in self.open:
+            if not state[2] and tag == self.PATH[min(state[1], 2)] and state[1] < 3:
+                state[1] += 1
+                if state[1] == 3:
+                    state[0][1] = dict(attrs).get("href") or ""
+        if tag == "article":
+            self.cards.append([dict(attrs).get("id") or "", "", []])
+            self.open.append([self.cards[-1], 0, False])
+
+    def handle_endtag(self, tag):
+        if tag == "article" and self.open:
+            self.open.pop()
+        for state in self.open:
+            if tag in self.PATH[:state[1]]:
+                # the heading's link ends the search; an element that holds none does so too (its first one counts)
+                state[2] = True
+
+    def handle_data(self, data):
+        for card, step, ended in self.open:
+            if step == 3 and not ended and data and self.cdata_elem is None:
+                card[2].append(data)
+
+
+@F.udtf(returnType="card_idx bigint, id string, href string, strings array<string>")
+class _ArticleCards:
+    def eval(self, html: str):
+        if html:
+            parser = _CardParser()
+            parser.feed(html)
+            parser.close()
+            for i, (name, href, strings) in enumerate(parser.cards):
+                yield i, name, href, strings
 
 
 def html_cards(pages: DataFrame, *, html: str = "html", origin: str = "fact-check-cards") -> DataFrame:
@@ -177,20 +215,14 @@ def html_cards(pages: DataFrame, *, html: str = "html", origin: str = "fact-chec
     after it with white space normalised (FN-05) as claim, constant origin.
     A heading of one string is a claim without a status (null); a card
     without a heading link has an empty id, link and claim where they are
-    missing."""
-    body = r"(?s)<article\b([^>]*)>(.*?)</article>"
-    link = r"(?s)<header\b.*?<h2\b.*?<a\b([^>]*)>(.*?)</a>"
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(body), 1).alias("attrs"),
-                         F.regexp_extract_all(html, F.lit(body), 2).alias("card"))
-    cards = (pages.select(F.posexplode(found).alias("card_idx", "c"))
-             .select("card_idx", "c.attrs", F.regexp_extract("c.card", link, 1).alias("link"),
-                     F.filter(F.split(F.regexp_extract("c.card", link, 2), "<[^>]*>"), lambda s: s != "").alias("strings")))
+    missing.  Pages are parsed in a table function joined laterally; null and
+    empty pages have no card."""
+    cards = pages.select(F.col(html).alias("_html")).lateralJoin(_ArticleCards(F.col("_html").outer()))
     both = F.size("strings") > 1
     claim = F.when(both, F.array_join(F.slice("strings", 2, F.greatest(F.size("strings") - 1, F.lit(0))), "")) \
         .otherwise(F.array_join("strings", ""))
-    return cards.select(_attribute("attrs", "id").alias("id"), F.col("card_idx").cast("bigint"),
-                        _attribute("link", "href").alias("href"), collapse_ws(_unescaped(claim)).alias("claim"),
-                        F.when(both, drop_last_char(_unescaped(F.get("strings", 0)))).alias("status"),
+    return cards.select("id", "card_idx", "href", collapse_ws(claim).alias("claim"),
+                        F.when(both, drop_last_char(F.get("strings", 0))).alias("status"),
                         F.lit(origin).alias("origin"))
 
 

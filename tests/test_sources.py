@@ -59,6 +59,24 @@ def test_html_cards_multiple_and_nested(spark):
                    ("b", 1, "/2", "water is wet", None), ("", 2, "", "", None)]
 
 
+def test_html_cards_as_a_parser_sees_them(spark):
+    from claimspark.operators.ingest import html_cards
+    heads = [
+        # nested cards, an unquoted attribute, a comment and a script with markup in them
+        "<article id=out><header><h2><a href=/1>True: <!-- <b>no</b> -->one</a></h2></header>"
+        "<article id='in'><header><h2><a href='/2'><i>False:</i> two</a></h2></header></article></article>",
+        "<!-- <article id='gone'></article> --><script>var s = \"<article id='s'></article>\";</script>"
+        "<article id='c'><header><p><h2><a href='/3?x=1&amp;y=2'>Half: <script>if (a < b) {}</script>&eacute;t&#233; &hellip;</a></header></article>",
+        # nothing closed, a tag's end inside an attribute, upper case
+        "<ARTICLE ID='d' title='a > b'><HEADER><H2><A HREF='/4'><B>Wrong:</B> four",
+        "<article id='e'><header><h2>no link</h2><h2><a href='/5'>later</a></h2></header></article></article>"]
+    pages = spark.createDataFrame([(h,) for h in heads], "html string")
+    got = {r["id"]: (r["card_idx"], r["href"], r["claim"], r["status"]) for r in html_cards(pages).collect()}
+    assert got == {"out": (0, "/1", "one", "True:"), "in": (1, "/2", "two", "False"),
+                   "c": (0, "/3?x=1&y=2", "\u00e9t\u00e9 \u2026", "Half:"), "d": (0, "/4", "four", "Wrong"),
+                   "e": (0, "", "", None)}
+
+
 def test_claims_from_table_keeps_alignment(spark):
     from claimspark.operators.ingest import claims_to_rows
     claims = spark.createDataFrame(
