@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
     "NLI_CODES", "ANNOTATION_CODES", "label_code", "reciprocal_rank", "utc_stamp",
     "day_window", "path_basename", "path_stem", "path_dirname", "map_overlay",
-    "drop_blank_values",
+    "drop_blank_values", "json_overlay",
 ]
 
 # Class codes used across the reference.
@@ -81,3 +84,23 @@ def map_overlay(base, override) -> Column:
 def drop_blank_values(m) -> Column:
     """FLT-14: drop NULL / empty-string values from a parameter map."""
     return F.map_filter(_c(m), lambda k, v: v.isNotNull() & (v.cast("string") != ""))
+
+
+def _overlaid(base, override):
+    if not (isinstance(base, dict) and isinstance(override, dict)):
+        return override
+    return {**base, **{k: _overlaid(base[k], v) if k in base else v for k, v in override.items()}}
+
+
+def json_overlay(base, override) -> Column:
+    """FN-28 (any depth): two JSON objects as text merged key by key.  Values
+    of ``override`` win, null and lists included; maps on both sides are
+    merged, a map and anything else replace each other; new keys follow the
+    old ones.  A null text counts as absent; text that is no JSON raises."""
+    @F.pandas_udf("string")
+    def merge(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x if y is None else y if x is None
+                          else json.dumps(_overlaid(json.loads(x), json.loads(y)), ensure_ascii=False)
+                          for x, y in zip(a, b)], dtype=object)
+
+    return merge(_c(base), _c(override))

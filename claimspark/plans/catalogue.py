@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.functions.misc import ANNOTATION_CODES, NLI_CODES, day_window, label_code, utc_stamp
+from claimspark.functions.misc import ANNOTATION_CODES, NLI_CODES, day_window, json_overlay, label_code, utc_stamp
 from claimspark.functions.text import glove_tokens, word_tokens
 from claimspark.functions.vectors import pair_features as _pf
 from claimspark.operators import claim_index as CI
@@ -608,6 +608,27 @@ def config_overlay(spark, sf):
     return IG.overlay(defaults, overrides).select(F.col("entity").cast("bigint"), "key", "value")
 
 
+@register("nested_overlay")
+def nested_overlay(spark, sf):
+    """FN-28: each customer's settings, JSON of three levels, over those of
+    the nation."""
+    n = FX.table(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(
+        F.col("n_name").alias("name"), F.struct(
+            F.struct(F.lit(0).alias("min"), F.lit(9999).alias("max")).alias("balance"),
+            F.lit("plain").alias("tier")).alias("limits"))).alias("base"))
+    c = FX.table(spark, sf, "customer")
+    debt = F.to_json(F.struct(F.struct(F.struct(F.floor("c_acctbal").alias("min")).alias("balance")).alias("limits"),
+                              F.struct(F.lit(True).alias("debt")).alias("flags")))
+    plain = F.to_json(F.struct(F.struct(F.col("c_mktsegment").alias("tier")).alias("limits")))
+    both = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", json_overlay("base", F.when(F.col("c_acctbal") < 0, debt).otherwise(plain)).alias("m"))
+    at = lambda path: F.get_json_object("m", path)
+    return both.select(F.col("c_custkey").cast("bigint"), at("$.name").alias("name"),
+                       at("$.limits.balance.min").cast("bigint").alias("balance_min"),
+                       at("$.limits.balance.max").cast("bigint").alias("balance_max"),
+                       at("$.limits.tier").alias("tier"), at("$.flags.debt").alias("debt"))
+
+
 # ------------------------------------------------- variations / readable
 
 

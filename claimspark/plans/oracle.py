@@ -450,6 +450,18 @@ SELECT CAST(coalesce(d.entity, o2.entity) AS BIGINT) AS entity, coalesce(d.key,
   coalesce(o2.value, d.value) AS value FROM d FULL OUTER JOIN o2 ON d.entity = o2.entity AND d.key = o2.key"""
 
 
+ORACLE["nested_overlay"] = """WITH m AS (SELECT c_custkey, json_merge_patch(
+    json_object('name', n_name, 'limits', json_object('balance', json_object('min', 0, 'max', 9999), 'tier', 'plain')),
+    CASE WHEN c_acctbal < 0 THEN json_object('limits', json_object('balance', json_object('min', CAST(floor(c_acctbal) AS BIGINT))),
+                                             'flags', json_object('debt', true))
+         ELSE json_object('limits', json_object('tier', c_mktsegment)) END) AS m
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, json_extract_string(m, '$.name') AS name,
+  CAST(json_extract_string(m, '$.limits.balance.min') AS BIGINT) AS balance_min,
+  CAST(json_extract_string(m, '$.limits.balance.max') AS BIGINT) AS balance_max,
+  json_extract_string(m, '$.limits.tier') AS tier, json_extract_string(m, '$.flags.debt') AS debt FROM m"""
+
+
 # ------------------------------------------------- variations / readable
 _VARS = CLAIMS + """,
 vars AS (SELECT id AS item_id, CAST(generate_subscripts(pos_variations, 1) - 1 AS BIGINT) AS var_idx,

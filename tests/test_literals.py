@@ -1,5 +1,6 @@
 """Literal cases mirroring the reference's unit tests (FIXTURES A3-A6)."""
 
+import json
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from claimspark.functions.vectors import cosine, f1_of
 from claimspark.operators import vector_search as VS
 from claimspark.operators.common import top_k
 from claimspark.operators.ingest import overlay
-from claimspark.functions.misc import map_overlay, drop_blank_values
+from claimspark.functions.misc import map_overlay, drop_blank_values, json_overlay
 
 
 def _vocab(spark):
@@ -89,6 +90,18 @@ def test_overlay_long_and_map(spark):
     assert r == {"a": "1", "b": "3"} or r == {"a": "1", "b": "3", "c": None}
 
 
+def test_json_overlay_at_any_depth(spark):
+    cases = [('{"a":{"b":{"c":1,"d":2},"e":3},"f":4}', '{"a":{"b":{"c":9,"x":{"y":1}}},"g":[1]}',
+              {"a": {"b": {"c": 9, "d": 2, "x": {"y": 1}}, "e": 3}, "f": 4, "g": [1]}),
+             ('{"a":{"b":1}}', '{"a":2}', {"a": 2}), ('{"a":2}', '{"a":{"b":1}}', {"a": {"b": 1}}),
+             ('{"a":[1,2]}', '{"a":[3]}', {"a": [3]}), ('{"a":{"b":1}}', '{"a":{}}', {"a": {"b": 1}}),
+             ('{"a":1}', '{"a":null}', {"a": None}), (None, '{"a":1}', {"a": 1}), ('{"a":"\u00e9"}', None, {"a": "\u00e9"}),
+             (None, None, None)]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(cases)], "i int, x string, y string")
+    got = {r["i"]: r["z"] and json.loads(r["z"]) for r in rows.select("i", json_overlay("x", "y").alias("z")).collect()}
+    assert got == {i: z for i, (_, _, z) in enumerate(cases)}
+
+
 def test_f1_zero_guard(spark):
     r = spark.range(1).select(f1_of(F.lit(0.0), F.lit(0.0)).alias("f")).first()["f"]
     assert r is None or math.isnan(r)
