@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.operators.common import broadcast_if, text_bytes
+
 
 def input_output_pairs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """JOIN-01: inputs ⨝ outputs on input.id = output.input_id.  Plain
@@ -90,6 +92,32 @@ def keyword_filter(df: DataFrame, *, tokens: Column, any_of=(), all_of=(), phras
     return df.filter(cond)
 
 
+def match_queries(df: DataFrame, queries: DataFrame, *, tokens: Column, id_col: str, text: str) -> DataFrame:
+    """FLT-13 for many crawl queries at once: (query_id, id) of every pair
+    that ``keyword_filter`` keeps.  ``queries``: query_id and the arrays
+    any_of, all_of, phrases.  Each text is tokenised once and meets only the
+    queries that share a word with it, by a join on the word; phrases are
+    looked up in the pairs left.  A query of phrases alone would meet every
+    text and is refused; null arrays are empty."""
+    q = queries.select("query_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c)
+                                     for c in ("any_of", "all_of", "phrases")])
+    if q.where("size(any_of) + size(all_of) = 0").limit(1).count():
+        raise ValueError("a crawl query needs a keyword")
+    words = q.select("query_id", F.explode(F.array_distinct("any_of")).alias("token"), F.lit(1).alias("any"), F.lit(0).alias("all")) \
+        .union(q.select("query_id", F.explode(F.array_distinct("all_of")), F.lit(0), F.lit(1)))
+    need = q.select("query_id", (F.size("any_of") > 0).alias("has_any"), F.size(F.array_distinct("all_of")).alias("n_all"),
+                    F.transform("phrases", lambda p: F.lower(p)).alias("phrases"))
+    found = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("token"))
+    hits = (found.join(broadcast_if(words, *text_bytes(words, "token")), "token").groupBy("query_id", id_col)
+            .agg(F.max("any").alias("any"), F.sum("all").alias("all")))
+    pairs = hits.join(need, "query_id").where("(not has_any or any = 1) and all = n_all")
+    plain = pairs.where("size(phrases) = 0").select("query_id", id_col)
+    texts = df.select(id_col, F.lower(F.col(text)).alias("_text"))
+    held = pairs.where("size(phrases) > 0").join(texts, id_col).where(
+        F.forall("phrases", lambda p: F.col("_text").contains(p)))
+    return plain.union(held.select("query_id", id_col))
+
+
 def page(df: DataFrame, order: list[Column], size: int = 100, number: int = 0) -> DataFrame:
     """TOP-07: one page of a sorted result (sort, then offset / limit)."""
     return df.orderBy(*order).offset(size * number).limit(size)

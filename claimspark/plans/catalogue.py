@@ -500,6 +500,18 @@ def keyword_domain_filter(spark, sf):
         .select("page_id", "host", "publishedAt")
 
 
+@register("crawl_queries")
+def crawl_queries(spark, sf):
+    """FLT-13: a crawl query per claim (any of its first three words, all of
+    the next two, the sixth as a phrase) against every page at once."""
+    word = F.lit(r"[\p{L}\p{N}_]{2,}")
+    w = F.regexp_extract_all(F.lower("text"), word, 0)
+    q = FX.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).where("size(w) > 0").select(
+        "query_id", F.slice("w", 1, 3).alias("any_of"), F.slice("w", 4, 2).alias("all_of"), F.slice("w", 6, 1).alias("phrases"))
+    a = FX.articles(spark, sf)
+    return RL.match_queries(a, q, tokens=F.regexp_extract_all(F.lower("html"), word, 0), id_col="page_id", text="html")
+
+
 @register("article_dedup")
 def article_dedup(spark, sf):
     """ING-06 / JOIN-07: batch articles (events after the split day) new by

@@ -374,6 +374,12 @@ WHERE (list_contains(toks, 'the') OR list_contains(toks, 'with')) AND list_conta
   AND publishedAt >= '2024-01-03' AND publishedAt < '2024-01-28'
 ORDER BY publishedAt DESC, page_id LIMIT 100"""
 
+ORACLE["crawl_queries"] = "WITH " + _ARTICLES + f""",
+tk AS (SELECT page_id, lower(html) AS html, {tokens('html')} AS toks FROM art),
+q AS (SELECT item_id AS query_id, {tokens('text')} AS w FROM benchmark)
+SELECT query_id, page_id FROM tk, q WHERE len(w) > 0 AND list_has_any(toks, w[1:3]) AND list_has_all(toks, w[4:5])
+  AND (len(w) < 6 OR contains(html, w[6]))"""
+
 ORACLE["article_dedup"] = """WITH e AS (SELECT event_type AS category, 'https://news.example/' || CAST(user_id AS VARCHAR) AS url,
   event_id AS seq, ts FROM events),
 b AS (SELECT category, url, min(seq) AS seq FROM e WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY ALL)

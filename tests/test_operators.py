@@ -233,6 +233,22 @@ def test_dedup_within_watermark(spark, tmp_path):
     assert got == [("a", "u1"), ("b", "u2")]
 
 
+def test_many_crawl_queries_equal_each_alone(spark):
+    texts = ["masks help people", "Vaccines cause harm, they say", "vaccines do not cause harm", "", None, "harm harm masks"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    queries = [("a", ["masks", "vaccines"], [], []), ("b", [], ["harm", "vaccines", "harm"], None), ("c", ["masks", "they"], ["harm"], []),
+               ("d", ["vaccines"], None, ["Cause Harm,", "say"]), ("e", ["nowhere"], ["masks"], []), ("f", ["masks", "masks"], [], ["p peo"])]
+    q = spark.createDataFrame(queries, "query_id string, any_of array<string>, all_of array<string>, phrases array<string>")
+    toks = F.split(F.lower("text"), "[^a-z]+")
+    got = sorted(tuple(r) for r in RL.match_queries(df, q, tokens=toks, id_col="id", text="text").collect())
+    due = sorted((k, r["id"]) for k, some, every, phrases in queries for r in RL.keyword_filter(
+        df, tokens=toks, any_of=some or (), all_of=every or (), phrases=phrases or (), text="text").collect())
+    assert got == due and {k for k, _ in due} == set("abcdf")
+    with pytest.raises(ValueError):
+        RL.match_queries(df, q.select("query_id", F.lit(None).cast("array<string>").alias("any_of"),
+                                      F.array().cast("array<string>").alias("all_of"), "phrases"), tokens=toks, id_col="id", text="text")
+
+
 def test_keyword_filter_and_page(spark):
     df = spark.createDataFrame([
         (1, "a.example.com", "en", "Vaccines cause harm says post", "2024-01-02"),
