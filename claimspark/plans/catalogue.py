@@ -826,6 +826,21 @@ def jsonl_gz_roundtrip(spark, sf):
                       F.lit(n_plain).cast("bigint").alias("n_plain")))
 
 
+@register("named_files_roundtrip")
+def named_files_roundtrip(spark, sf):
+    """SNK-02: events as ``events-day-index.jsonl.gz`` of at most 500 rows,
+    read back with the day of the file's name and the size of its file."""
+    base = scratch_path(spark, "named")
+    e = FX.table(spark, sf, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    SK.write_named_jsonl(e, base, "events", "day", 500)
+    back = spark.read.schema("event_id long, event_type string, day string").json(f"{base}/events-*.jsonl.gz") \
+        .withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1))
+    small = back.groupBy("file").agg((F.count(F.lit(1)) <= 500).alias("bounded"))
+    return back.join(small, "file").select(
+        "event_id", "event_type", F.regexp_extract("file", r"^events-(\d{4}-\d{2}-\d{2})-\d+\.jsonl\.gz$", 1).alias("day"),
+        (F.col("day") == F.substring("file", 8, 10)).alias("same_day"), "bounded")
+
+
 @register("file_unique_counts")
 def file_unique_counts(spark, sf):
     """AGG-01: files listed and read, distinct ids, texts and users of a

@@ -670,6 +670,9 @@ SELECT term, count(*) AS df FROM d GROUP BY term HAVING count(*) >= 2"""
 ORACLE["jsonl_gz_roundtrip"] = """SELECT doc_id, lang, source, md5(text) AS text_md5, true AS same_plain,
   (SELECT count(*) FROM documents) AS n_plain FROM documents"""
 
+ORACLE["named_files_roundtrip"] = """SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day, true AS same_day,
+  true AS bounded FROM events"""
+
 ORACLE["mirrored_tree_thin"] = "WITH " + _TWEETS + """
 SELECT strftime(created_at, '%Y-%m-%d') AS day, id, lang, id_str AS user_id_str,
   CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM tw WHERE lang = 'en' AND retweeted_status IS NULL"""

@@ -4,6 +4,9 @@ driver."""
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,32 @@ def write_gzip_jsonl(df: DataFrame, path: str, max_records: int = 200_000, parti
     w.json(path)
 
 
+def write_named_jsonl(df: DataFrame, path: str, prefix: str, day: str, max_records: int = 200_000) -> int:
+    """SNK-02: gzip JSONL files ``prefix-day-index.jsonl.gz`` of at most
+    ``max_records`` rows, in one folder; returns their number.  Spark writes
+    and commits part files in a hidden folder beside them first, so a failed
+    job leaves no named file; then each is renamed, which moves no data.
+    The index of a day goes on after the files that stand; rows without a day
+    are named ``none``."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path
+    staging = f"{path.rstrip('/')}/_staging-{os.urandom(6).hex()}"
+    write_gzip_jsonl(df.withColumn("_day", F.coalesce(F.col(day).cast("string"), F.lit("none"))), staging, max_records, "_day")
+    fs, n = file(staging).getFileSystem(conf), 0
+    for folder in fs.listStatus(file(staging)):
+        if not folder.isDirectory():
+            continue
+        stem = f"{prefix}-{unquote(folder.getPath().getName().split('=', 1)[1])}"
+        taken = [f.getPath().getName()[len(stem) + 1:].split(".")[0] for f in fs.globStatus(file(f"{path}/{stem}-*.jsonl.gz")) or []]
+        index = 1 + max((int(x) for x in taken if x.isdigit()), default=-1)
+        for part in sorted((f.getPath() for f in fs.listStatus(folder.getPath())), key=lambda p: p.getName()):
+            if not fs.rename(part, file(f"{path}/{stem}-{index}.jsonl.gz")):
+                raise OSError(f"could not name {part.toString()}")
+            index, n = index + 1, n + 1
+    fs.delete(file(staging), True)
+    return n
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
     """SNK-03 / SNK-04 / SNK-07: CSV with quoting of multi-line text."""
     df.write.mode(mode).option("header", str(header).lower()).option("escape", '"').csv(path)

@@ -47,6 +47,24 @@ def test_gzip_writer_bounded_files(spark, tmp_path):
     assert spark.read.json(str(out)).count() == 250
 
 
+def test_named_files_go_on_and_a_failed_job_leaves_none(spark, tmp_path):
+    import os
+    import pytest
+    from pyspark.sql import functions as F
+    from claimspark.sources.sinks import write_named_jsonl
+    path = str(tmp_path / "named")
+    df = spark.range(10, numPartitions=1).withColumn("day", F.when(F.col("id") < 7, F.lit("2024-01-01")))
+    assert write_named_jsonl(df, path, "p", "day", 4) == 3
+    assert write_named_jsonl(df.where("id < 2"), path, "p", "day", 4) == 1
+    names = {"p-2024-01-01-0.jsonl.gz", "p-2024-01-01-1.jsonl.gz", "p-2024-01-01-2.jsonl.gz", "p-none-0.jsonl.gz"}
+    seen = lambda: {f for f in os.listdir(path) if f.startswith("p-")}
+    assert seen() == names and spark.read.json(f"{path}/p-*.jsonl.gz").count() == 12
+    broken = df.withColumn("x", F.when(F.col("id") == 9, F.raise_error(F.lit("stop"))))
+    with pytest.raises(Exception):
+        write_named_jsonl(broken, path, "p", "day", 4)
+    assert seen() == names
+
+
 def test_html_cards_multiple_and_nested(spark):
     from claimspark.operators.ingest import html_cards
     html = ("<html><body><article data-id='no' id='a'><header><h2><a class='t' href='http://x.example/1?a&amp;b'><span>False:</span>"
