@@ -19,8 +19,10 @@ smaller determinant wins.  ``FLOORS`` is added to the scatter as the
 tolerance in each direction, since a statistic that is constant in most
 documents would otherwise have none.
 
-Groups of fewer than ``min_rows`` documents are pooled by language, then
-altogether; a pool that is still smaller rejects nothing.  Estimates are
+Documents in groups of fewer than ``min_rows`` are judged by an estimate
+over the small groups of their language or, where these hold fewer together,
+over all documents that pass the base rules; only a table in which fewer than
+``min_rows`` documents pass them rejects nothing more.  Estimates are
 broadcast while there are at most ``max_groups`` groups; beyond, rows are
 salted and the estimates replicated, so a hot source is not one task.
 
@@ -222,10 +224,15 @@ def judge(docs: DataFrame, min_rows: int = 100, tail: float = 1e-6, max_groups:
         .otherwise(F.lit("all"))
     named = materialise(named.select("cell", F.when(F.col("n") >= min_rows, F.concat(F.lit("cell "), "cell"))
                                      .otherwise(small).alias("grp"), "n"), "cells")
-    sizes = named.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
-    n_cells, n_groups = named.count(), sizes.count()
-    fitted = named.join(sizes.select("grp"), "grp", "left_semi").select("cell", "grp")
-    vectors = _join_small(passed, fitted, "cell", n_cells, max_groups).select(
+    # documents no group of their own can judge are judged by all that passed
+    left_over = bool(named.where("grp = 'all'").limit(1).count())
+    enough = named.agg(F.sum("n")).first()[0] or 0
+    fitted = named.where("grp <> 'all'" if enough < min_rows else "true").select("cell", "grp")
+    n_cells, n_groups = named.count(), fitted.select("grp").distinct().count()
+    fits = fitted.where("grp <> 'all'")
+    if left_over and enough >= min_rows:
+        fits = fits.unionByName(named.select("cell", F.lit("all").alias("grp")))
+    vectors = _join_small(passed, fits, "cell", 2 * n_cells, max_groups).select(
         "doc_id", "grp", *[f"x{i}" for i in range(P)])
     estimates = mcd(materialise(vectors, "vectors"), n_groups, max_groups)
     by_cell = fitted.join(estimates, "grp").select("cell", "centre", "inverse")
