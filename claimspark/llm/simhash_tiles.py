@@ -28,7 +28,7 @@ Edge cases: null and empty texts have fingerprint 0 and link like any
 other; repeated rows share a fingerprint; rows with a null doc_id take part
 but never name a component unless it holds no other id (then null); empty
 tables give an empty result; extra columns are ignored by the search and
-kept by ``keep_one_per_group``.
+kept by ``keep_one_per_group``, whatever their names.
 """
 
 from __future__ import annotations
@@ -196,8 +196,9 @@ def near_edges(fps: DataFrame, radius: int, blocks: int = 4, tile_rows: int = 81
     return meet.select("tile", "part", "role", "fp").mapInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every document row."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, blocks: int | None) -> DataFrame:
+    """(doc_id, fp, component, component_id) of every document row;
+    ``component`` is a fingerprint that names the group."""
     prints = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "simhash")
     lowest = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     blocks = blocks or (4 if lowest.count() <= FEW_PRINTS else 8)
@@ -205,8 +206,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks:
     named = (lowest.join(groups, lowest["fp"] == groups["node"], "left")
              .select("fp", "low", F.coalesce("component", "fp").alias("component")))
     smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_print = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = named.join(smallest, "component").select("fp", "component", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every document row."""
+    return _grouped(docs, shingle, radius, blocks).drop("component")
 
 
 def hex16(fp: Column) -> Column:
@@ -214,19 +220,24 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The document with the smallest id of each group.  Rows that repeat
-    an id count as one document and one of them stays; rows with a null id
-    stay only in groups that hold no other, one per group."""
-    groups = materialise(near_duplicates(docs, shingle, radius), "groups")
-    drop = groups.where("doc_id <> component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
-    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if groups.where("doc_id is null and component_id is null").limit(1).count():
-        orphans = (docs.where("doc_id is null").withColumn("_fp", fingerprint(F.col("text"), shingle))
-                   .join(groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"))
-                         .distinct(), "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
-        kept = kept.unionByName(orphans)
-    if again.limit(1).count():
-        first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(first)
-    return kept
+    """The row with the smallest id of each group; where several rows of the
+    group have that id, the one with the smallest fingerprint and text.  Rows
+    of one id in different groups are judged each in its own group, and a
+    group without any id keeps one row."""
+    groups = materialise(_grouped(docs, shingle, radius, None), "groups")
+    unclear = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null")
+    unclear = materialise(unclear.select("doc_id"), "unclear")
+    same_id = docs["doc_id"].eqNullSafe(unclear["doc_id"])
+    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    if not unclear.limit(1).count():
+        return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
+    clear = docs.join(unclear, same_id, "left_anti").join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
+    # the id does not tell these rows apart, so they find their group by their fingerprint
+    rows = docs.join(unclear, same_id, "left_semi").select(
+        F.struct("*").alias("row"), fingerprint(F.col("text"), shingle).alias("fp"))
+    place = (groups.where("doc_id <=> component_id").join(unclear, groups["doc_id"].eqNullSafe(unclear["doc_id"]),
+                                                          "left_semi")
+             .select(F.col("doc_id").alias("id"), F.col("fp").alias("print"), "component").distinct())
+    first = (rows.join(place, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("print")))
+             .groupBy("component").agg(F.min_by("row", F.struct("fp", "row.text")).alias("row")))
+    return clear.unionByName(first.select("row.*"))
