@@ -4,7 +4,9 @@ Several metadata dimensions are quantised to ``bits`` bits each, a row's
 cell gets its index on the Hilbert curve, rows are sorted by that index and
 the order is cut into runs.  Neighbours on the curve are neighbours in every
 dimension, so a shard spans a small box and files can be pruned by any of
-them.  Built-in functions only.
+them.  Names are quantised by rank: a name's cell is the share of rows whose
+names come before it, so cells follow the names' order (and a file's minimum
+and maximum prune) and hold about equally many rows.  Built-in functions only.
 
 Law ``rows``: shard sizes differ by at most one row.  The exact rank comes
 from a range partitioning, the row index inside each partition and a running
@@ -14,8 +16,10 @@ re-run.  Equal cells are cut anywhere: a hot source or group of copies
 spreads over several partitions and shards.
 
 Edge cases: null text counts as empty with size 16 and CRC 0; null lang and
-source have cells of their own; repeated rows get slots of their own; an
-empty table gives an empty result; extra columns are ignored by ``shard``.
+source come before all names; names so rare that they share a cell stay
+neighbours; repeated rows get slots of their own; an empty table gives an
+empty result; extra columns are ignored by ``shard`` and written by
+``write_shards``, whose folder column takes another name if theirs clash.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimspark.llm.common import materialise
+from claimspark.llm.common import materialise, ranked
 
 
 def text_size(text: Column) -> Column:
@@ -32,10 +36,37 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("bigint")
 
 
-def quantise_name(c: Column, bits: int) -> Column:
-    """A categorical value's cell: the low bits of its CRC-32, so that the
-    cell never depends on what else the table holds."""
-    return (F.crc32(F.coalesce(c.cast("string"), F.lit("\0")).cast("binary")) % (1 << bits)).cast("int")
+def _crc(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("bigint")
+
+
+def name_bounds(docs: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """One row with a column per name column: an array of at most 2^bits
+    (cell, first name of the cell), ascending.  The names' counts come from
+    one aggregate over the rows; their running sums from a range partitioning
+    of the distinct names and one row per partition, so no task holds all."""
+    entries = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("string").alias("name"))
+                        for i, c in enumerate(cols)])
+    counts = materialise(docs.select(F.explode(entries).alias("e")).groupBy("e.dim", "e.name")
+                         .agg(F.count(F.lit(1)).alias("n")), "names")
+    placed = materialise(counts.repartitionByRange("dim", "name").withColumn("_part", F.spark_partition_id()), "names")
+    parts = placed.groupBy("dim", "_part").agg(F.sum("n").alias("_n"))  # one row per partition, two at most
+    before = F.sum("_n").over(Window.partitionBy("dim").orderBy("_part")) - F.col("_n")
+    parts = parts.select("dim", "_part", before.alias("_before"),
+                         F.sum("_n").over(Window.partitionBy("dim")).alias("_total"))
+    within = Window.partitionBy("dim", "_part").orderBy(F.col("name").asc_nulls_first())
+    upto = F.col("_before") + F.sum("n").over(within) - F.col("n")
+    cells = (placed.join(F.broadcast(parts), ["dim", "_part"])
+             .select("dim", "name", F.floor(upto * (1 << bits) / F.col("_total")).cast("int").alias("cell"))
+             .where("name is not null").groupBy("dim", "cell").agg(F.min("name").alias("name")))
+    return cells.agg(*[F.sort_array(F.collect_list(F.when(F.col("dim") == i, F.struct("cell", "name")))).alias(f"_b{i}")
+                       for i in range(len(cols))])
+
+
+def quantise_name(c: Column, bounds: Column) -> Column:
+    """A name's cell: the last one that begins at or before it; 0 for null."""
+    begun = F.filter(bounds, lambda b: b["name"] <= c.cast("string"))
+    return F.coalesce(F.get(begun, F.size(begun) - 1)["cell"], F.lit(0))
 
 
 def quantise_size(size: Column, bits: int) -> Column:
@@ -79,10 +110,12 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int, out: str = "curve")
 def shard(docs: DataFrame, n_shards: int = 40, bits: int = 6) -> DataFrame:
     """(doc_id, size, text_crc32, curve, law, shard, slot) of every row."""
     spark = docs.sparkSession
+    bounds = name_bounds(docs, ["lang", "source"], bits)  # one row of at most 2^bits names a column
     meta = docs.select(
-        "doc_id", text_size(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
-        quantise_name(F.col("lang"), bits).alias("_lang"), quantise_name(F.col("source"), bits).alias("_source"))
+        "doc_id", text_size(F.col("text")).alias("size"), _crc(F.col("text")).alias("text_crc32"),
+        F.struct("lang", "source").alias("_names")).crossJoin(F.broadcast(bounds))
+    meta = meta.select("doc_id", "size", "text_crc32", quantise_name(F.col("_names.lang"), F.col("_b0")).alias("_lang"),
+                       quantise_name(F.col("_names.source"), F.col("_b1")).alias("_source"))
     meta = meta.withColumn("_size", quantise_size(F.col("size"), bits))
     meta = hilbert_index(meta, ["_lang", "_source", "_size"], bits).drop("_lang", "_source", "_size")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -105,13 +138,30 @@ def shard(docs: DataFrame, n_shards: int = 40, bits: int = 6) -> DataFrame:
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", "curve"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 40, bits: int = 6) -> None:
-    """Write the documents themselves, one folder per shard; rows join
-    their shard by id and CRC, so repeated rows of one id go to the first
-    shard that holds them."""
-    place = (shard(docs, n_shards, bits).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard")))
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("bigint")
-    keyed = docs.withColumn("_crc", crc)
-    (keyed.join(place, keyed["doc_id"].eqNullSafe(place["doc_id"]) & (keyed["_crc"] == place["text_crc32"]))
-     .drop(place["doc_id"]).drop("text_crc32", "_crc")
-     .write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, bits: int = 6) -> str:
+    """Write the documents themselves, one folder per shard, each file a run
+    of slots, and return the name of the folder column.
+
+    Rows meet their place by id and CRC.  Equal rows lie side by side in the
+    order of shards, so at most ``n_shards - 1`` sets of them are cut by a
+    border; only those are numbered (a hot set spread over tasks) to give
+    each shard its count.  Equal CRCs of one id with unequal texts count as
+    equal here: shards still get their counts, as many rows in all."""
+    n = docs.count()
+    place = materialise(shard(docs, n_shards, bits).groupBy("doc_id", "text_crc32").agg(
+        F.min(F.struct("shard", "slot")).alias("first"), F.max("shard").alias("last")), "places")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), _crc(F.col("text")).alias("_crc"))
+    both = rows.join(place, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_crc") == F.col("text_crc32"))) \
+        .select("row", "_id", "_crc", "first", "last")
+    whole = both.where("first.shard = last").select("row", F.col("last").alias("shard"), F.col("first.slot").alias("slot"))
+    cut = both.where("first.shard <> last").withColumn("_key", F.to_json(F.struct("_id", "_crc")))
+    rank = F.expr(f"(first.shard * {n} + {n_shards - 1}) div {n_shards} + first.slot + _i") if n else F.lit(0)
+    cut = ranked(materialise(cut, "cut"), "_key", []).withColumn("_rank", rank)
+    cut = cut.withColumn("shard", F.expr(f"(_rank * {n_shards}) div {max(n, 1)}").cast("int")) \
+             .select("row", "shard", F.lit(0).cast("bigint").alias("slot"))
+    column = "shard"
+    while column.lower() in [c.lower() for c in docs.columns]:
+        column += "_"
+    (whole.unionByName(cut).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .select("row.*", F.col("shard").alias(column)).write.partitionBy(column).parquet(path))
+    return column
