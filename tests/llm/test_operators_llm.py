@@ -250,6 +250,48 @@ def test_outliers_are_rejected(spark, docs, empty):
     assert mcd_quality.judge(empty).count() == 0
 
 
+def test_small_groups_are_judged_by_all_documents(spark):
+    rng = random.Random(9)
+    table = [(i, prose(rng, rng.randint(40, 200)), "en", "s0") for i in range(300)]
+    odd = [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(4)]
+    table += [(1000 + i, t, f"l{i}", "rare") for i, t in enumerate(odd)]
+    table += [(2000 + i, prose(rng, 80), f"l{i}", "rare") for i in range(4)]
+    got = {r.doc_id: r.kept for r in mcd_quality.judge(
+        spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert len(got) == 308 and not any(got[1000 + i] for i in range(4))
+    assert all(got[i] for i in range(300)) and all(got[2000 + i] for i in range(4))
+
+
+def test_the_scatter_is_as_tight_as_that_of_many_starts(spark):
+    """Concentration from 300 random subsets, exact half sets, in numpy."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (160, 5)) @ rng.normal(0, 1, (5, 5)), rng.normal(30, 0.5, (60, 5))])
+    floors = np.diag(np.square(mcd_quality.FLOORS))
+    factor = 0.5 / mcd_quality.chi2_cdf(mcd_quality.chi2_quantile(0.5, 5), 7)
+    best, nearest = np.inf, None
+    for _ in range(300):
+        half = rng.choice(len(x), 6, replace=False)
+        for _ in range(30):
+            inverse = np.linalg.inv(np.cov(x[half].T, bias=True) * factor + floors)
+            d = x - x[half].mean(0)
+            half = np.argsort(np.einsum("ij,jk,ik->i", d, inverse, d))[:(len(x) + 1) // 2]
+        scatter = np.cov(x[half].T, bias=True) * factor + floors
+        if np.linalg.slogdet(scatter)[1] < best:
+            best, d = np.linalg.slogdet(scatter)[1], x - x[half].mean(0)
+            nearest = np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d)
+    names = ", ".join(f"x{i} double" for i in range(5))
+    table = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(x)], f"doc_id int, grp string, {names}")
+    found = mcd_quality.mcd(table, 1, 100).first()
+    inverse = np.zeros((5, 5))
+    for k, (i, j) in enumerate(mcd_quality.PAIRS):
+        inverse[i, j] = inverse[j, i] = found.inverse[k]
+    assert -np.linalg.slogdet(inverse)[1] <= best + 0.5  # within a bin's width of the best half set
+    d = x - np.array(found.centre)
+    cutoff = mcd_quality.chi2_quantile(1 - 1e-6, 5)
+    far = np.einsum("ij,jk,ik->i", d, inverse, d) > cutoff
+    assert (far == (nearest > cutoff)).all() and far[160:].all() and not far[:160].any()
+
+
 def test_salted_join_equals_broadcast(spark):
     rng = random.Random(8)
     table = spark.createDataFrame([(i, prose(rng, rng.randint(20, 60)), "en", f"s{i % 2}") for i in range(300)],
@@ -406,6 +448,20 @@ def test_simhash_groups(spark, docs, empty):
     assert simhash_tiles.near_duplicates(empty).count() == 0 and simhash_tiles.keep_one_per_group(empty).count() == 0
 
 
+def test_one_row_per_group_where_ids_repeat(spark):
+    rng = random.Random(11)
+    x, y, z, u = (prose(rng, 60) for _ in range(4))
+    table = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (5, y, "c"), (None, z, "d"), (None, z, "d"), (None, x, "e"), (7, u, "f"),
+             (None, None, "g"), (8, u, "h")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, _fp string").repartition(3)
+    docs = docs.select("_fp", "text", "doc_id", docs["_fp"].alias("component"), docs["_fp"].alias("print"))
+    kept = simhash_tiles.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = [(3, x), (5, y), (7, u), (None, z), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("tile_rows,blocks", [(3, 4), (8192, 4), (3, 8)])
 def test_tiles_find_every_link(spark, tile_rows, blocks):
     rng = random.Random(7)
@@ -462,6 +518,45 @@ def test_shards(spark, docs, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows())
 
 
+def test_written_shards_hold_their_rows(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(100)]
+    table = [(i, t, "en", f"s{i % 3}", "x", 1, 2) for i, t in enumerate(texts)] + [(500, "hot", "en", "s1", "x", 1, 2)] * 90
+    schema = "doc_id bigint, text string, lang string, source string, shard string, text_crc32 int, _crc int"
+    docs = spark.createDataFrame(table, schema).repartition(4)
+    column = hilbert.write_shards(docs, str(tmp_path / "cut"), 7)
+    assert column == "shard_"
+    back = spark.read.parquet(str(tmp_path / "cut"))
+    want, got = {}, {}
+    for r in hilbert.shard(docs, 7).collect():
+        want.setdefault(r.shard, []).append(r.doc_id)
+    for r in back.collect():
+        got.setdefault(r.shard_, []).append(r.doc_id)
+    assert {s: sorted(v) for s, v in got.items()} == {s: sorted(v) for s, v in want.items()}
+    assert sorted(map(tuple, back.drop(column).collect())) == sorted(table)
+    for s in range(7):  # slots run on through a shard's files
+        files = sorted((tmp_path / "cut" / f"shard_={s}").glob("*.parquet"))
+        ids = [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert len(ids) == len(want[s])
+
+
+def test_shards_are_pruned_by_minimum_and_maximum(spark):
+    """A predicate on one value reads the shards whose range holds it: far
+    fewer than all, and not many more than really hold it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = docs.join(hilbert.shard(docs).select("doc_id", "shard"), "doc_id").select("lang", "source", "shard").collect()
+    for name, most in (("lang", 1.25), ("source", 2.0)):
+        held = {}
+        for r in placed:
+            if r[name] is not None:
+                held.setdefault(r.shard, set()).add(r[name])
+        values = {v for vs in held.values() for v in vs}
+        read = sum(min(vs) <= v <= max(vs) for v in values for vs in held.values()) / len(values)
+        hold = sum(v in vs for v in values for vs in held.values()) / len(values)
+        print(name, read, hold)
+        assert hold <= read <= most * hold
+
+
 # --- 7 personal data ------------------------------------------------------
 
 def brute_spans(text):
