@@ -198,8 +198,8 @@ def token_softmatch_prf(spark, sf):
 STANCE_DIM_PARTS = ("u", "v", "absdiff")
 
 
-def _stance_fn(spark, sf, parts=STANCE_DIM_PARTS):
-    pv, cv = FX.sentence_vectors(spark, sf)
+def _stance_fn(spark, sf, parts=STANCE_DIM_PARTS, posts=None):
+    pv, cv = FX.sentence_vectors(spark, sf, only_posts=posts)
     d = 64 * len(parts)
     w, b = ST.rule_weights(3, d)
     n = FX.n_rows(spark, sf, "benchmark")
@@ -222,6 +222,17 @@ def linear_softmax_head(spark, sf):
                       F.round("confidence", 6).alias("confidence"), *_probs_cols(out))
 
 
+@register("softmax_stance_report")
+def softmax_stance_report(spark, sf):
+    """EVL-02 / EVL-05 of a real model: the softmax head reads every annotated
+    pair, and its confusion cells give accuracy and P/R/F1.  Only annotated
+    posts are encoded."""
+    g = FX.gold(spark, sf)
+    head = _stance_fn(spark, sf, posts=g.select("input_id").distinct())
+    preds = head(g.select("input_id", "misinfo_id")).withColumn("model_id", F.lit("linear-softmax"))
+    return _round_doubles(EV.stance_report(EV.confusion_cells(g, preds)))
+
+
 @register("pair_features")
 def pair_features(spark, sf):
     """FN-18 with the element-wise product: summary of [u, v, |u-v|, u*v]."""

@@ -114,13 +114,17 @@ def word_vectors(spark, sf):
     return vectors, word_key
 
 
-def sentence_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+def sentence_vectors(spark, sf, only_posts=None) -> tuple[DataFrame, DataFrame]:
     """Sentence encoder stand-in: mean-pooled word vectors (AGG-10) of every
-    post and every claim -> (input_id, vec), (misinfo_id, vec)."""
+    post (or those of ``only_posts``) and every claim -> (input_id, vec),
+    (misinfo_id, vec)."""
     from claimspark.operators.vector_search import load_vocab, wordvec_average
     wv, key = word_vectors(spark, sf)
     vocab = load_vocab(wv)
-    pv = wordvec_average(posts(spark, sf), wv, id_col="input_id", word_key=key, vocab=vocab)
+    p = posts(spark, sf)
+    if only_posts is not None:
+        p = p.join(only_posts, "input_id", "left_semi")
+    pv = wordvec_average(p, wv, id_col="input_id", word_key=key, vocab=vocab)
     cv = wordvec_average(table(spark, sf, "benchmark").withColumnRenamed("item_id", "misinfo_id"),
                          wv, id_col="misinfo_id", word_key=key, vocab=vocab)
     return pv, cv

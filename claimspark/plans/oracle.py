@@ -244,6 +244,14 @@ SELECT input_id, misinfo_id,
   round(greatest(p0, p1, p2), 6) AS confidence, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2
 FROM head"""
 
+ORACLE["softmax_stance_report"] = _SENT + "," + GOLD + "," + _head("gold") + f""",
+spreds AS (SELECT 'linear-softmax' AS model_id, input_id, misinfo_id,
+  CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) AS label_id FROM head),
+cells AS (SELECT p.model_id, {_CELLS}
+          FROM gold g JOIN spreds p ON p.input_id = g.input_id AND p.misinfo_id = g.misinfo_id
+          GROUP BY p.model_id)
+""" + _stance_report_sql("cells")
+
 ORACLE["pair_features"] = _SENT + """,
 feat AS (SELECT s.*, p.vec AS u, c.vec AS v FROM best s JOIN pm_m p ON p.id = s.input_id JOIN cm_m c ON c.id = s.misinfo_id),
 x AS (SELECT input_id, misinfo_id, list_concat(u, v, list_transform(range(len(u)), lambda i: abs(u[i + 1] - v[i + 1])),
@@ -760,6 +768,7 @@ _SR_COLS = ["accuracy", "macro_precision", "macro_recall", "macro_f1"] + \
 
 ORACLE["retrieval_report"] = _rounded(ORACLE["retrieval_report"], _RR_COLS)
 ORACLE["stance_report"] = _rounded(ORACLE["stance_report"], _SR_COLS)
+ORACLE["softmax_stance_report"] = _rounded(ORACLE["softmax_stance_report"], _SR_COLS)
 
 ORACLE["all_models_report"] = f"""WITH reg(model_id, family) AS (VALUES {_REG}),
 rr AS ({ORACLE['retrieval_report']}),
