@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # join is left to Spark (sort-merge, AQE re-plan and skew-join splitting).
 BROADCAST_MAX_BYTES = 100 << 20
 ROW_BYTES = 50          # a row of a claim term index
+PART_TEXT_BYTES = 4 << 20  # text of one part, before its tokens become rows
 VECTOR_ROW_BYTES = 8 << 10  # a row with a vector of up to a thousand doubles
 
 
@@ -47,19 +48,18 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
     return F.round(F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c), digits)
 
 
-def by_key(df: DataFrame, key: str, assume_partitioned: bool = False) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` once, sized to the input.  A large
-    input gets one partition per input split (each about
-    ``spark.sql.files.maxPartitionBytes``), so the shuffle grows with the
-    data instead of with a fixed setting; a small input keeps the session's
-    shuffle partitions, which AQE coalesces.  With ``assume_partitioned`` (a
+def by_key(df: DataFrame, key: str, assume_partitioned: bool = False, *, text: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` once, into parts of about
+    ``PART_TEXT_BYTES`` of ``text``: a text's tokens take some hundred times
+    its size as rows, so the parts, not a fixed setting, bound what a task
+    holds.  Where that gives fewer parts than cores, the session's shuffle
+    partitions are kept, which AQE coalesces.  With ``assume_partitioned`` (a
     table bucketed / partitioned by the key) no exchange is added."""
     if assume_partitioned:
         return df
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = df.rdd.getNumPartitions()
-    return df.repartition(n, key) if n > floor else df.repartition(key)
+    rows, row_bytes = text_bytes(df, text)
+    n = -(-rows * row_bytes // PART_TEXT_BYTES)
+    return df.repartition(n, key) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(key)
 
 
 def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:

@@ -23,12 +23,13 @@ def term_counts(df: DataFrame, id_col: str, text: str = "text", tokenizer=word_t
     """Bag of words: (id, tok, tf).
 
     The input is first hash-partitioned by id (moving compact text, not token
-    rows; one partition per input split); every later per-id aggregation and
+    rows; parts of bounded size); every later per-id aggregation and
     id join then reuses this partitioning without another exchange.  A table
     already bucketed by id skips the exchange (``assume_partitioned``).
     """
     out_id = out_id or id_col
-    return (by_key(df.select(F.col(id_col).alias(out_id), F.col(text)), out_id, assume_partitioned)
+    return (by_key(df.select(F.col(id_col).alias(out_id), F.col(text)), out_id, assume_partitioned,
+                   text=text)
               .select(out_id, F.explode(tokenizer(F.col(text))).alias("tok"))
               .groupBy(out_id, "tok").agg(F.count(F.lit(1)).alias("tf")))
 

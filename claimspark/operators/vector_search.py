@@ -56,7 +56,7 @@ def token_counts(df: DataFrame, id_col: str, text: str, tokenizer=glove_tokens,
     ``keep_empty`` every id keeps at least one row (word NULL when it has no
     in-vocabulary token), so no join back to the ids is needed."""
     exploder = F.explode_outer if keep_empty else F.explode
-    toks = (by_key(df.select(F.col(id_col).alias("id"), F.col(text)), "id")
+    toks = (by_key(df.select(F.col(id_col).alias("id"), F.col(text)), "id", text=text)
               .select("id", exploder(tokenizer(F.col(text))).alias("word")))
     if word_key is not None:
         toks = toks.select("id", word_key(F.col("word")).alias("word"))
