@@ -239,7 +239,7 @@ def cosine_top_k(queries: DataFrame, catalogue: DataFrame, *, q_id: str, c_id: s
     schema, names = f"{q_id} {qtype}, {c_id} {ctype}, score double, {rank_col} bigint", [q_id, c_id, "score", rank_col]
     stats = catalogue.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     size = stats["n"] * max(stats["d"] or 0, 1) * 8
-    if size > MAX_BROADCAST_BYTES:
+    if size > min(MAX_BROADCAST_BYTES, CATALOGUE_MAX_BYTES):
         return _cogrouped_top_k(queries, catalogue, size, stats["d"], q_id, c_id, vec, k, exclude_self, rank_col,
                                 scorer, schema, names)
     ids, mat = _sorted_catalogue(catalogue.select(c_id, vec).toPandas(), c_id, vec)
@@ -271,14 +271,15 @@ def _cogrouped_top_k(queries, catalogue, size, dim, q_id, c_id, vec, k, exclude_
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = queries.select(F.col(q_id), F.col(vec), cell(q_id, n_q).alias("_a"), every(n_c).alias("_b"))
-    c = catalogue.select(F.col(c_id), F.col(vec), cell(c_id, n_c).alias("_b"), every(n_q).alias("_a"))
+    # names of their own: both sides may be one table, and a cogroup of equal columns loses them
+    q = queries.select(F.col(q_id).alias("_q"), F.col(vec).alias("_u"), cell(q_id, n_q).alias("_a"), every(n_c).alias("_b"))
+    c = catalogue.select(F.col(c_id).alias("_c"), F.col(vec).alias("_v"), cell(c_id, n_c).alias("_b"), every(n_q).alias("_a"))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        qids, (cids, cm) = left[q_id].to_numpy(), _sorted_catalogue(right, c_id, vec)
+        qids, (cids, cm) = left["_q"].to_numpy(), _sorted_catalogue(right, "_c", "_v")
         if not len(qids) or not len(cids):
             return pd.DataFrame(columns=names)
-        return _ranked(qids, cids, _block_top_k(qids, _matrix(left[vec], cm.shape[1]), cids, cm, k, scorer,
+        return _ranked(qids, cids, _block_top_k(qids, _matrix(left["_u"], cm.shape[1]), cids, cm, k, scorer,
                                                 exclude_self), names)
 
     found = q.groupBy("_a", "_b").cogroup(c.groupBy("_a", "_b")).applyInPandas(block, schema)
