@@ -1019,8 +1019,10 @@ def stream_stance(spark, sf):
     STN-07 pipeline (foreachBatch, one output folder per batch id)."""
     base = scratch_path(spark, "stream-stance")
     posts = FX.posts(spark, sf)
-    SM.stage_files(posts, f"{base}/in", 2)
-    stream = SM.file_stream(spark, f"{base}/in", posts.schema)
+    # two micro-batches, each of as many files as half the input has splits
+    files = max(1, -(-posts.rdd.getNumPartitions() // 2))
+    SM.stage_files(posts, f"{base}/in", 2 * files)
+    stream = SM.file_stream(spark, f"{base}/in", posts.schema, files_per_trigger=files)
     static = claim_side(spark, sf, persist=True)   # stream-static: claims prepared once
     SM.score_stream(stream, lambda b: agree_disagree_for(spark, sf, b, static), f"{base}/out")
     static[1].unpersist()
