@@ -35,6 +35,7 @@ from claimspark.session import path_exists, scratch_path
 
 PRUNE_ROWS = 50_000
 CHUNK_ROWS = 1 << 20
+BATCH_TOKENS = 1 << 18
 POSTING_BYTES = 40
 SLACK = 1 - 1e-9  # sums in another order may differ in their last digits
 
@@ -229,6 +230,16 @@ def score_batch(index: Index, tokens: list[np.ndarray], k: int, prune_rows: int
     return p[best], c[best], score[best], rank[best]
 
 
+def _slices(pdf: pd.DataFrame, tokens: int = BATCH_TOKENS) -> Iterator[pd.DataFrame]:
+    """An Arrow batch in slices of about ``tokens`` terms: scoring holds some
+    ten arrays as long as a slice."""
+    place = np.cumsum([0 if t is None else len(t) for t in pdf["h"]]) // tokens
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(pdf)]
+    for s, e in zip(cuts, cuts[1:]):
+        if e > s:
+            yield pdf.iloc[s:e]
+
+
 def top_k(posts: DataFrame, postings: DataFrame, *, post_id: str, claim_id: str, k: int, index: Index,
           text: str = "text", tokenizer=word_tokens, prune_rows: int = PRUNE_ROWS) -> DataFrame:
     """(post_id, claim_id, score, rank): the k best claims of every post that
@@ -240,9 +251,10 @@ def top_k(posts: DataFrame, postings: DataFrame, *, post_id: str, claim_id: str,
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
-        for pdf in batches:
-            p, c, score, rank = score_batch(ix, [t if t is not None else [] for t in pdf["h"]], k, prune_rows)
-            yield pd.DataFrame({post_id: pdf["pid"].to_numpy()[p], claim_id: ix.ids[c], "score": score, "rank": rank})
+        for whole in batches:
+            for pdf in _slices(whole):
+                p, c, score, rank = score_batch(ix, [t if t is not None else [] for t in pdf["h"]], k, prune_rows)
+                yield pd.DataFrame({post_id: pdf["pid"].to_numpy()[p], claim_id: ix.ids[c], "score": score, "rank": rank})
 
     dealt = spread(posts.select(F.col(post_id).alias("pid"), F.col(text).alias("text")), "pid")
     hashed = dealt.select("pid", F.transform(tokenizer(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
