@@ -4,9 +4,12 @@ Examples are rows (id, key, x) of their non-zero features, the constant of the
 bias under the key ''.  A round sums the logits per example, the errors of
 the class probabilities, and the errors times x per key: two aggregates over
 the features, which stay partitioned by example for all rounds, and one
-weight row per key and class.  Weights never pass through the driver: each
-round writes them to the shared scratch folder, and they are broadcast behind
-a size check, else joined by key.  So the vocabulary may grow with the data.
+weight row per key and class.  Each round writes the weights to the shared
+scratch folder.  They are broadcast, which takes them through the driver once
+a round, only where the rounds together stay below a size limit; else they are
+joined by key to a second copy of the features that lies by key, and only
+logits and errors per example are shuffled.  So the vocabulary may grow with
+the data.
 
 Steps are accelerated (Nesterov) with a fixed length of 2 / (greatest squared
 norm of an example), the inverse of a bound of the loss's curvature; the
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import strip_accents, word_tokens
-from claimspark.operators.common import broadcast_if
+from claimspark.operators.common import BROADCAST_MAX_BYTES, ROW_BYTES, broadcast_if
 from claimspark.operators.mlheads import bow_vocabulary
 from claimspark.session import scratch_path
 
@@ -65,6 +68,18 @@ def _logits(prefix: str) -> list[Column]:
     return [F.sum(F.col("x") * F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0))) for c in range(CLASSES)]
 
 
+def _shares() -> list[Column]:
+    """The class probabilities of logits."""
+    top = F.greatest("z0", "z1", "z2")
+    e = [F.exp(F.col(f"z{c}") - top) for c in range(CLASSES)]
+    total = e[0] + e[1] + e[2]
+    return [v / total for v in e]
+
+
+def _errors(shares: list[Column]) -> list[Column]:
+    return [F.sum(F.col("x") * (p - (F.col("label") == c).cast("double"))).alias(f"g{c}") for c, p in enumerate(shares)]
+
+
 def fit_softmax(features: DataFrame, labels: DataFrame, *, rounds: int, l2: float = 0.0) -> DataFrame:
     """Weights (key, w0, w1, w2) after ``rounds`` steps from 0 for the
     examples that ``labels`` (id, label) names.  ``l2`` is the penalty per
@@ -77,17 +92,21 @@ def fit_softmax(features: DataFrame, labels: DataFrame, *, rounds: int, l2: floa
     rate = 2.0 / longest
     names = [f"{v}{c}" for v in "wy" for c in range(CLASSES)]
     state = None  # per key the weights w and the point y ahead of them that the gradient is taken at
+    of_key = None  # the features by key, once the weights are too many to be broadcast every round
     for r in range(rounds):
-        here = data.withColumns({v: F.lit(0.0) for v in names}) if state is None else \
-            data.join(broadcast_if(state, n_keys), "key")
-        of_example = Window.partitionBy("id")
-        z = here.select("key", "x", "label", *names,
-                        *[s.over(of_example).alias(f"z{c}") for c, s in enumerate(_logits("y"))])
-        top = F.greatest("z0", "z1", "z2")
-        e = [F.exp(F.col(f"z{c}") - top) for c in range(CLASSES)]
-        total = e[0] + e[1] + e[2]
-        grad = z.groupBy("key").agg(*[F.any_value(v).alias(v) for v in names], *[
-            F.sum(F.col("x") * (e[c] / total - (F.col("label") == c).cast("double"))).alias(f"g{c}") for c in range(CLASSES)])
+        if state is not None and n_keys * rounds * ROW_BYTES > BROADCAST_MAX_BYTES:
+            if of_key is None:
+                of_key = data.select("id", "key", "x").repartition("key").persist(StorageLevel.MEMORY_AND_DISK)
+            z = of_key.join(state.select("key", "y0", "y1", "y2"), "key").groupBy("id").agg(
+                *[s.alias(f"z{c}") for c, s in enumerate(_logits("y"))])
+            p = z.select("id", *[s.alias(f"p{c}") for c, s in enumerate(_shares())])
+            grad = data.join(p, "id").groupBy("key").agg(*_errors([F.col(f"p{c}") for c in range(CLASSES)])).join(state, "key")
+        else:
+            here = data.withColumns({v: F.lit(0.0) for v in names}) if state is None else data.join(F.broadcast(state), "key")
+            of_example = Window.partitionBy("id")
+            z = here.select("key", "x", "label", *names,
+                            *[s.over(of_example).alias(f"z{c}") for c, s in enumerate(_logits("y"))])
+            grad = z.groupBy("key").agg(*[F.any_value(v).alias(v) for v in names], *_errors(_shares()))
         penalty = F.when(F.col("key") == "", 0.0).otherwise(l2)
         grad = grad.withColumns({f"v{c}": F.col(f"y{c}") - rate * (F.col(f"g{c}") / n + penalty * F.col(f"y{c}"))
                                  for c in range(CLASSES)})
@@ -99,6 +118,8 @@ def fit_softmax(features: DataFrame, labels: DataFrame, *, rounds: int, l2: floa
         state = spark.read.parquet(path)
         n_keys = n_keys if r else state.count()  # the keys stay the same
     data.unpersist()
+    if of_key is not None:
+        of_key.unpersist()
     return state.select("key", "w0", "w1", "w2")
 
 
