@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -83,6 +84,32 @@ def test_minimizers_cover_every_run():
     assert np.diff(at).max() <= substring_chain.WINDOW and at[0] < substring_chain.WINDOW
 
 
+@pytest.mark.parametrize("min_words", [40, 16])
+def test_texts_seeded_together_have_each_its_own_seeds(monkeypatch, min_words):
+    rng = random.Random(min_words)
+    few, many = ["a", "B", "\u00fc", "Zz", "\x1cq"], prose(rng, 400).split()
+    ids, texts = np.array(rng.sample(range(1000), 120)), []
+    for _ in ids:
+        words = rng.choice([few[:1], few[:2], few, many])
+        blanks = [" ", "  ", "\n", "\t\x0b", "\r\x0c"]
+        texts.append("".join(rng.choice(blanks) + rng.choice(words) for _ in range(rng.choice([0, 5, 16, 39, 40, 60, 150]))))
+    due = set()
+    for doc_id, text in zip(ids.tolist(), texts):
+        words = text.encode().lower().split()
+        if len(words) < min_words:
+            continue
+        due |= {(h, doc_id, 2 * at) for h, at in zip(*(c.tolist() for c in substring_chain.seeds_of(words)))}
+        starts = substring_chain.seeds_of(words, window=substring_chain.SPARSE)[1]
+        whole = substring_chain.long_seeds_of(substring_chain.word_hashes(words), starts, min_words - substring_chain.SPARSE + 1)
+        due |= {(h, doc_id, 2 * at + 1) for h, at in zip(*(c.tolist() for c in whole))}
+    calls, one = [], substring_chain._minimizers
+    monkeypatch.setattr(substring_chain, "_minimizers", lambda *a: calls.append(1) or one(*a))
+    found = substring_chain._texts_seeds(ids, pa.array(texts), substring_chain.K, substring_chain.WINDOW, min_words)
+    rows = [r for h, doc_id, at in found for r in zip(h.view(np.uint64).tolist(), doc_id.tolist(), at.tolist())]
+    assert len(rows) == len(due) and set(rows) == due
+    assert len(calls) == 2  # for all texts at once, not for each
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
