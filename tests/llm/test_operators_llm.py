@@ -224,6 +224,44 @@ def test_a_changed_passage_whose_halves_stand_in_earlier_documents(spark):
     assert len(due & {(r.doc_id, r.other_id) for r in found}) >= 54
 
 
+@pytest.mark.parametrize("cases,holders,few", [(40, 5, substring_chain.FEW), (5, 40, None)])
+def test_a_changed_passage_whose_halves_stand_in_many_earlier_documents(spark, cases, holders, few):
+    rng = random.Random(holders)
+    table, due = [], set()
+    for case in range(cases):
+        halves = [prose(rng, 30).split() for _ in range(2)]
+        passage = halves[0] + halves[1]
+        texts = halves * holders + [passage, changed(rng, passage, 0.1, False)]
+        table += [(100 * case + i, f"{prose(rng, 35)} {' '.join(t)} {prose(rng, 35)}") for i, t in enumerate(texts)]
+        due.add((100 * case + 2 * holders + 1, 100 * case + 2 * holders))
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string"), few=few).collect()
+    assert {(r.doc_id, r.other_id) for r in found} <= due and len(found) >= 0.9 * cases
+
+
+@pytest.mark.parametrize("few", [None, 5])
+def test_links_of_all_holders_equal_brute_force(spark, few):
+    rng = random.Random(8)
+    seeds = sorted({(h, rng.randrange(30), 2 * rng.randrange(50)) for h in range(60) for _ in range(rng.randint(1, 9))})
+    first = {h: min((d, at) for g, d, at in seeds if g == h) for h in range(60)}
+    matches = [(h, d, at, *first[h]) for h, d, at in seeds if d != first[h][0]]
+    found = [(d, at // 2 - 1, at // 2 + 9, o, 0, 10, 9, 0.9) for h, d, at, o, _ in matches if rng.random() < 0.4]
+
+    def met(d, at, o):
+        return any(f[0] == d and f[3] == o and f[1] <= at // 2 and at // 2 + 5 <= f[2] for f in found)
+
+    due = set()
+    for h, d, at, o, _ in matches:
+        group = [m for m in matches if m[0] == h]
+        if few is None or len(group) < few:
+            due |= {(h, d, at, m[1], m[2]) for m in group
+                    if d > m[1] and not (met(d, at, o) and met(m[1], m[2], o))}
+    matches = spark.createDataFrame(matches, "h bigint, doc_id bigint, at bigint, other_id bigint, other_at bigint")
+    found = spark.createDataFrame(found, "doc_id bigint, start bigint, end bigint, other_id bigint, other_start bigint, "
+                                         "other_end bigint, matched bigint, identity double")
+    got = substring_chain.pair_links(matches, substring_chain._alone(matches, found, substring_chain.K), few)
+    assert {tuple(r) for r in got.collect()} == due and due
+
+
 def test_links_equal_brute_force_where_a_seed_is_hot(spark):
     rng = random.Random(6)
     rows = [(rng.choice([1, 1, 1, 2, *range(3, 40)]), rng.randrange(4000), 2 * rng.randrange(90)) for _ in range(9000)]
