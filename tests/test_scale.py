@@ -149,3 +149,25 @@ def test_stream_files_grow_with_the_input(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         CAT.QUERIES["stream_stance"](spark, "")
     assert seen["files"] == 10
+
+
+@pytest.mark.parametrize("per,most", [("post", 256 << 20), ("claim", 256 << 20), ("post", 1 << 20), ("claim", 1 << 20)])
+def test_word_vectors_beyond_the_driver_are_not_collected(spark, vectors, monkeypatch, per, most):
+    """70 000 vectors of 64 numbers (18 MB), 40 of them of the texts' words;
+    one word has two vectors, one none, and ids come twice or are null."""
+    posts = spark.createDataFrame(texts(30, 1) + texts(5, 9) + [(None, "w1 w2 w2"), (77, "zz"), (78, None)],
+                                  "pid long, text string")
+    claims = spark.createDataFrame(texts(9, 2) + [(3, "w7 w8"), (50, "zz")], "cid long, text string")
+    args = dict(post_id="pid", claim_id="cid", k=3, per=per, tokenizer=word_tokens)
+    names = ["pid", "cid", "precision", "recall", "f1"]
+    some = vectors.where("word <> 'w5'").select("word", F.transform(
+        F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("vec", (i % 4 + 1).cast("int")) * (1 + i / 9)).cast("array<float>").alias("vec"))
+    some = some.union(some.where("word = 'w2'").select("word", F.reverse("vec"))).cache()
+    want = rows(VS.token_softmatch_top_k(posts, claims, some, **args).na.fill(-1, "pid"), names)
+    rest = spark.range(70_000).selectExpr("concat('x', id) word", "array_repeat(CAST(id AS FLOAT), 64) vec")
+    monkeypatch.setattr(VS, "_collect_vocab", None)
+    monkeypatch.setattr(VS, "VOCAB_PLAN_MAX_BYTES", most)  # in blocks, or joined by Spark
+    monkeypatch.setattr(VS, "STORE_BYTES", 64 * 150)  # words and posts in blocks of a few
+    got = rows(VS.token_softmatch_top_k(posts, claims, some.union(rest), **args).na.fill(-1, "pid"), names)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-8)
