@@ -262,6 +262,19 @@ def test_links_of_all_holders_equal_brute_force(spark, few):
     assert {tuple(r) for r in got.collect()} == due and due
 
 
+def test_the_query_links_all_holders_however_many(spark, monkeypatch):
+    """A passage whose halves 20 earlier documents hold each, and in blocks."""
+    monkeypatch.setattr(substring_chain, "PAIR_BLOCK", 3)
+    rng = random.Random(21)
+    halves = [prose(rng, 30).split() for _ in range(2)]
+    passage = halves[0] + halves[1]
+    # the copy lacks a word at the seam: no seed goes across
+    texts = halves * 20 + [passage, passage[:29] + ["seam"] + passage[30:]]
+    table = [(i, f"{prose(rng, 35)} {' '.join(t)} {prose(rng, 35)}") for i, t in enumerate(texts)]
+    found = substring_chain.shared_passages(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(41, 40)}
+
+
 def test_links_equal_brute_force_where_a_seed_is_hot(spark):
     rng = random.Random(6)
     rows = [(rng.choice([1, 1, 1, 2, *range(3, 40)]), rng.randrange(4000), 2 * rng.randrange(90)) for _ in range(9000)]
